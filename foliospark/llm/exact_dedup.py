@@ -1,8 +1,8 @@
 """Exact dedup by a heavy-hitter split, in DataFrame functions only.
 
 A Misra-Gries sketch (Spark's frequent-items sketch, which keeps a fixed number of counters and lowers all of
-them when it is full) finds digests that may be frequent. Sketches are merged in two levels, so no task gathers
-more than a few hundred of them. Candidates are then counted exactly; those that do repeat are the winners, at
+them when it is full) finds digests that may be frequent. Each group of input partitions has a sketch; summaries
+are merged by adding the counters of equal keys and keeping the largest, so no task gathers whole sketches. Candidates are then counted exactly; those that do repeat are the winners, at
 most ``counters`` rows, which are broadcast: their rows are settled where they are read and never shuffled. All
 other digests are rare by the sketch's guarantee, and go through one ordinary shuffle.
 """
@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 
 def frequent_digests(digests: DataFrame, counters: int = 1024) -> DataFrame:
     """At most ``counters`` keys (column ``__key``), among them each one with a share over 4/``counters``."""
-    return (
+    sketched = (
         digests.select("__key", (F.spark_partition_id() % 256).alias("__part"))
         .groupBy("__part")
-        .agg(F.expr(f"approx_top_k_accumulate(__key, {counters})").alias("__sketch"))
-        .agg(F.expr(f"approx_top_k_combine(__sketch, {counters})").alias("__sketch"))
-        .select(F.explode(F.expr(f"approx_top_k_estimate(__sketch, {counters})")).alias("__item"))
-        .select(F.col("__item.item").alias("__key"))
+        .agg(F.expr(f"approx_top_k(__key, {counters}, {counters})").alias("__items"))
+        .select(F.explode("__items").alias("__item"))
+    )
+    return (
+        sketched.groupBy(F.col("__item.item").alias("__key"))
+        .agg(F.sum("__item.count").alias("__count"))
+        .orderBy(F.desc("__count"), "__key")
+        .limit(counters)
+        .select("__key")
     )
 
 
