@@ -75,3 +75,18 @@ def hashed_ngrams(data: np.ndarray, size: int, bits: int) -> np.ndarray:
     h ^= h >> np.uint32(15)
     h *= np.uint32(0xC2B2AE35)
     return h >> np.uint32(32 - bits)
+
+
+def ready_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() work: the folder is the session's spark.checkpoint.dir; one of our own only where unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder)

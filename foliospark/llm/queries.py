@@ -8,8 +8,12 @@ from importlib import import_module
 _OPS = [
     ("exact_dedup", "op1_exact_dedup", "OP1_SQL"),
     ("chat_format", "op2_chat_format", "OP2_SQL"),
+    ("line_dedup", "op3_line_dedup", None),
     ("language_id", "op4_language_id", None),
     ("licenses", "op5_license_scan", None),
+    ("packing", "op6_best_fit_packing", None),
+    ("near_dedup", "op8_setsketch_dedup", None),
+    ("mixing", "op9_pfair_mixing", None),
 ]
 
 
