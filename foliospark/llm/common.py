@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,3 +90,16 @@ def ready_checkpoints(spark: SparkSession) -> None:
 
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     context.setCheckpointDir(folder)
+
+
+def hash_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, parts: int = 64) -> DataFrame:
+    """``__id, __class`` of at most ``per_class`` rows of each class: those whose ids have the smallest hashes.
+
+    Ranked within parts of a class first and then within the class, so that a common class does not fill a task.
+    """
+    ids = df.select(F.col(id_col).alias("__id"), F.col(class_col).alias("__class"), F.xxhash64(id_col).alias("__hash"))
+    ids = ids.where("__id IS NOT NULL AND __class IS NOT NULL").withColumn("__part", F.pmod("__hash", F.lit(parts)))
+    for keys in (["__class", "__part"], ["__class"]):
+        first = Window.partitionBy(*keys).orderBy("__hash", "__id")
+        ids = ids.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= per_class)
+    return ids.select("__id", "__class").distinct()
