@@ -12,8 +12,10 @@ _OPS = [
     ("language_id", "op4_language_id", None),
     ("licenses", "op5_license_scan", None),
     ("packing", "op6_best_fit_packing", None),
+    ("quality", "op7_quality_knn", None),
     ("near_dedup", "op8_setsketch_dedup", None),
     ("mixing", "op9_pfair_mixing", None),
+    ("ann", "op10_graph_search", None),
 ]
 
 
