@@ -103,3 +103,10 @@ def hash_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, part
         first = Window.partitionBy(*keys).orderBy("__hash", "__id")
         ids = ids.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= per_class)
     return ids.select("__id", "__class").distinct()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts hold about ``most`` bytes, so that what is made of a slice stays small."""
+    for batch in batches:
+        for first, last in blocks(text_bytes(batch.column(column))[1], most):
+            yield batch.slice(first, last - first)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, table
+from .common import add_columns, slices, table
 
 
 def line_chunks(text: bytes, min_words: int = 50, divisor: int = 2, window: int = 2) -> list[tuple[bytes, bool]]:
@@ -98,7 +98,7 @@ def line_dedup(
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches, 2):
             rows, nos, found = [], [], []
             for k, text in enumerate(batch.column(2).cast(pa.binary())):
                 for no, (chunk, used) in enumerate(line_chunks(text.as_py(), **cut)):
@@ -126,7 +126,7 @@ def line_dedup(
     per_doc = again.groupBy("__key").agg(F.collect_set(F.struct("no", "digest")).alias("__marks"))
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_at):
             digest, chunk = [], []
             marks = batch.column(len(names)).to_pylist()
             for text, wanted in zip(batch.column(text_at).cast(pa.binary()), marks):
@@ -134,9 +134,6 @@ def line_dedup(
                 for mark in wanted:
                     digest.append(mark["digest"])
                     chunk.append(all_[mark["no"]][0])
-                if len(chunk) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(chunk, pa.binary())], ["digest", "chunk"])
-                    digest, chunk = [], []
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(chunk, pa.binary())], ["digest", "chunk"])
 
     verified = (
@@ -156,7 +153,7 @@ def line_dedup(
     )
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_at):
             texts, counts = [], []
             for text, gone in zip(batch.column(text_at), batch.column(len(names)).to_pylist()):
                 if not text.is_valid:
