@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns, table
+from .common import add_columns, slices, table
 
 # Base phrases and their labels, as the contract gives them.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -184,7 +184,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-        for batch in batches:
+        for batch in slices(batches, text):
             column = batch.column(text).fill_null("").cast(pa.binary())
             found = [scan(x.as_py()) for x in column]
             new = [pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)]

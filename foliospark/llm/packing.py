@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 END_OF_TEXT = "<|endoftext|>"
 
@@ -212,7 +212,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, number = encoder(path), 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows_, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
