@@ -13,6 +13,8 @@ registers can be banded.
    are checked on the full sets, and components follow from the links found. ``t`` starts at 1, so a group of
    thousands of near copies proposes about one pair per class, not all pairs; then 32, then all pairs that are
    still between components. The rounds end when nothing was left out, so no cap decides a result.
+   Buckets of different bands with the same classes are one. The documents read for a check are found by broadcast
+   of at most ``broadcast_rows`` ids (counted first), by an ordinary join beyond that.
 4. Buckets over ``chunk`` classes are split by a hash; a star around one class joins the parts. Where such a bucket
    still holds two components after the rounds, its parts are compared with each other, pair of parts by pair.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ready_checkpoints, spaced, table, text_bytes
+from .common import blocks, ready_checkpoints, slices, spaced, table, text_bytes
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -131,8 +133,6 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             counts, reps, sketches = [], [], []
@@ -146,8 +146,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 counts += n.tolist()
                 for k in range(len(n)):
                     if n[k]:
-                        digest = xxhash.xxh3_64_intdigest(shingles[bounds[k] : bounds[k + 1]].tobytes())
-                        reps.append(digest - (1 << 64) if digest >> 63 else digest)
+                        reps.append(_digest(shingles[bounds[k] : bounds[k + 1]]))
                         sketches.append(drawn[where[k]].tobytes())
                     else:
                         reps.append(None)
@@ -242,14 +241,24 @@ def _proposals(limit: int | None, least: float, bound: tuple[int, int]):
     return run
 
 
+def _digest(shingles: np.ndarray) -> int:
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 def _sets(size: int):
+    """rep, text -> rep, items: the text's set, if it is the one that rep is the digest of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             data, offsets = text_bytes(batch.column(1))
-            for first, last in blocks(offsets, 1 << 22):
-                shingles, bounds = shingle_sets(data, offsets[first : last + 1], size)
-                sets = [shingles[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], ["rep", "items"])
+            shingles, bounds = shingle_sets(data, offsets, size)
+            sets = [shingles[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            rows = [(rep, x.tobytes()) for rep, x in zip(batch.column(0).to_pylist(), sets) if rep == _digest(x)]
+            arrays = [pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["rep", "items"])
 
     return run
 
@@ -268,8 +277,9 @@ def _verified(bound: tuple[int, int]):
 
 
 def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, chunk: int = 2048
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, chunk: int = 2048,
+    broadcast_rows: int = 1_000_000,
+) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of ``size``-word shingles (words
@@ -289,12 +299,17 @@ def near_dedup(
     )
     classes = classes.checkpoint()
     bands = classes.select("rep", "sketch").mapInArrow(_buckets, "rep long, bucket long")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre")).where("c > 1")
+    shared = bands.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("c"),
+        F.min("rep").alias("centre"),
+        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("__sum"),
+    )
+    # Bands in which the same classes meet make the same pairs: one of them is enough.
+    shared = shared.where("c > 1").groupBy("c", "centre", "__sum").agg(F.min("bucket").alias("bucket")).drop("__sum")
     parts = F.expr(f"CAST(ceil(c / {chunk}) AS INT)")
     members = (
         bands.join(shared, "bucket")
         .select("bucket", "rep", "centre", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).alias("part"))
-        .join(classes.select("rep", "n", "sketch"), "rep")
         .checkpoint()
     )
     hot = members.where("parts > 1")
@@ -302,7 +317,6 @@ def near_dedup(
         F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"), F.lit(False).alias("more")
     )
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("__mark", F.xxhash64("text"))
 
     def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Rows of the buckets that hold more than one component, with the component of each class."""
@@ -314,16 +328,20 @@ def near_dedup(
         return rows.join(mixed.select("bucket"), "bucket", "left_semi")
 
     def proposed(rows: DataFrame, limit: int | None) -> DataFrame:
-        """rows: group, side, rep, comp, n, sketch."""
-        dealt = rows.select("group", "side", "rep", "comp", "n", "sketch").repartition("group").sortWithinPartitions("group")
+        """rows: group, side, rep, comp."""
+        dealt = rows.select("group", "side", "rep", "comp").join(classes.select("rep", "n", "sketch"), "rep")
+        dealt = dealt.select("group", "side", "rep", "comp", "n", "sketch").repartition("group").sortWithinPartitions("group")
         return dealt.mapInArrow(_proposals(limit, least, bound), "a long, b long, more boolean")
 
     def check(pairs: DataFrame) -> DataFrame:
         """Pairs with ``ok``: whether the full sets are as similar as asked. Each class is read from one document."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        one = signed.join(wanted, "rep").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
-        sets = texts.join(one, texts["doc_id"].eqNullSafe(one["doc_id"])).select("rep", "text")
+        one = classes.join(wanted, "rep").select("rep", F.col("least_id").alias("__least")).checkpoint()
+        if one.count() <= broadcast_rows:
+            one = F.broadcast(one)
+        sets = texts.join(one, F.col("doc_id").eqNullSafe(F.col("__least"))).select("rep", "text")
         sets = sets.mapInArrow(_sets(size), "rep long, items binary")
+        sets = sets.groupBy("rep").agg(F.first("items").alias("items"))
         return (
             pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
