@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, add_columns, blocks, hashed_ngrams, remainder, spaced, table, text_bytes
+from .common import LETTERS, add_columns, blocks, hash_sample, hashed_ngrams, remainder, spaced, table, text_bytes
 
 BITS, SIZES = 12, (2, 3, 4)
 
@@ -133,17 +133,9 @@ def fit_language_model(
     a whole and becomes one row of bucket shares in 16-bit floats (8 KB) on the executors; only those reach the
     driver, at most ``per_language * most_languages`` of them. None if there is no labelled text with a letter.
     """
-    labelled = df.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    first = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    ids = (
-        labelled.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
-        .withColumn("__rank", F.row_number().over(first))
-        .where(F.col("__rank") <= per_language)
-        .select("__id", "__lang")
-        .distinct()
-    )
-    rows = labelled.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    sample = rows.join(F.broadcast(ids), ["__id", "__lang"], "left_semi")
+    ids = hash_sample(df, id_col, lang_col, per_language)
+    rows = df.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__class"), F.col(text_col).alias("__text"))
+    sample = rows.join(F.broadcast(ids), ["__id", "__class"], "left_semi")
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,14 +150,14 @@ def fit_language_model(
             vectors = pa.array([x.tobytes() for x in (out[keep] * 4096).astype(np.float16)], pa.binary())
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(mask), batch.column(1).filter(mask), vectors], ["__id", "__lang", "x"]
+                [batch.column(0).filter(mask), batch.column(1).filter(mask), vectors], ["__id", "__class", "x"]
             )
 
-    schema = T.StructType([rows.schema["__id"], rows.schema["__lang"], T.StructField("x", T.BinaryType())])
+    schema = T.StructType([rows.schema["__id"], rows.schema["__class"], T.StructField("x", T.BinaryType())])
     got = sample.mapInArrow(shares, schema).toArrow()
     if not got.num_rows:
         return None
-    langs = np.array(got.column("__lang").to_pylist())
+    langs = np.array(got.column("__class").to_pylist())
     languages = tuple(sorted(set(langs)))
     if len(languages) > most_languages:
         raise ValueError(f"{len(languages)} languages; at most {most_languages} are expected")
