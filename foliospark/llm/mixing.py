@@ -54,7 +54,7 @@ def schedule(quota: dict[str, int]) -> list[str]:
 
 def mix(
     df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id",
-    block_rows: int = 16, period: int = 1000, bucket_rows: int = 32768,
+    block_rows: int = 16, period: int = 1000, bucket_rows: int = 4096,
 ) -> DataFrame:
     """All rows and columns, with ``mix_source, mix_block, mix_slot, mix_row, mix_release, mix_deadline``.
 
