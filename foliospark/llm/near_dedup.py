@@ -9,10 +9,10 @@ registers can be banded.
    one class from here on.
 2. Bands of registers put classes in buckets; buckets with one class go. In a bucket, pairs whose joint likelihood
    (given both exact sizes) peaks under the threshold less five standard deviations are dropped.
-3. Rounds: each class proposes its ``t`` likeliest partners that are not yet in its component; the pairs proposed
-   are checked on the full sets, and components follow from the links found. ``t`` starts at 1, so a group of
-   thousands of near copies proposes about one pair per class, not all pairs; then 32, then all pairs that are
-   still between components. The rounds end when nothing was left out, so no cap decides a result.
+3. Rounds: first each class proposes its likeliest partner in each bucket; pairs proposed are checked on the full
+   sets, and components follow from the links found. Then each component proposes its 8, then 128 likeliest pairs
+   with other components, then all that are left. So a group of thousands of near copies proposes about one pair
+   per class, not all pairs; and the rounds end only when nothing was left out, so no cap decides a result.
    Buckets of different bands with the same classes are one. The documents read for a check are found by broadcast
    of at most ``broadcast_rows`` ids (counted first), by an ordinary join beyond that.
 4. Buckets over ``chunk`` classes are split by a hash; a star around one class joins the parts. Where such a bucket
@@ -170,11 +170,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(h.ravel().view(np.int64))], ["rep", "bucket"])
 
 
-def _proposals(limit: int | None, least: float, bound: tuple[int, int]):
+def _proposals(limit: int | None, first_round: bool, least: float, bound: tuple[int, int]):
     """Over rows sorted by group (group, side, rep, comp, n, sketch): pairs that may be links, a > b.
 
-    Each row proposes its ``limit`` likeliest partners among the rows before it in its group; one row (0, 0, true)
-    says that some were left out.
+    In the first round each row proposes its ``limit`` likeliest partners among the rows before it in its group;
+    later each component proposes its ``limit`` likeliest pairs with other components in each group. One row
+    (0, 0, true) says that some were left out.
     """
 
     def pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -194,6 +195,7 @@ def _proposals(limit: int | None, least: float, bound: tuple[int, int]):
         key = rows.column("group").combine_chunks()
         code = pa.compute.run_end_encode(key).run_ends.to_numpy() if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(code, prepend=0)
+        group_of = np.repeat(np.arange(len(sizes)), sizes)
         side, rep, comp = (rows.column(c).to_numpy() for c in ("side", "rep", "comp"))
         n = rows.column("n").to_numpy().astype(np.float64)
         drawn = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
@@ -212,11 +214,16 @@ def _proposals(limit: int | None, least: float, bound: tuple[int, int]):
         x, y, s = np.concatenate(later), np.concatenate(before), np.concatenate(score)
         more = False
         if limit is not None and len(x):
-            order = np.lexsort((y, -s, x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            more = bool((rank >= limit).any())
-            x, y = x[rank < limit], y[rank < limit]
+            if first_round:
+                owner, pair = x, np.arange(len(x))
+            else:  # each pair stands in the lists of both components, in its own group
+                _, owner = np.unique(np.stack([np.tile(group_of[x], 2), np.append(comp[x], comp[y])], 1), axis=0, return_inverse=True)
+                pair = np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((pair, -s[pair], owner))
+            owner, pair = owner[order], pair[order]
+            kept = np.unique(pair[np.arange(len(owner)) - np.searchsorted(owner, owner) < limit])
+            more = len(kept) < len(x)
+            x, y = x[kept], y[kept]
         a, b = np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])
         flags = np.zeros(len(a) + more, bool)
         flags[len(a) :] = True
@@ -331,7 +338,7 @@ def near_dedup(
         """rows: group, side, rep, comp."""
         dealt = rows.select("group", "side", "rep", "comp").join(classes.select("rep", "n", "sketch"), "rep")
         dealt = dealt.select("group", "side", "rep", "comp", "n", "sketch").repartition("group").sortWithinPartitions("group")
-        return dealt.mapInArrow(_proposals(limit, least, bound), "a long, b long, more boolean")
+        return dealt.mapInArrow(_proposals(limit, labels is None, least, bound), "a long, b long, more boolean")
 
     def check(pairs: DataFrame) -> DataFrame:
         """Pairs with ``ok``: whether the full sets are as similar as asked. Each class is read from one document."""
@@ -350,7 +357,7 @@ def near_dedup(
         )
 
     labels = tested = None
-    steps: list[tuple[str, int | None]] = [("inside", 1), ("inside", 32), ("inside", None), ("across", None)]
+    steps: list[tuple[str, int | None]] = [("inside", 1), ("inside", 8), ("inside", 128), ("inside", None), ("across", None)]
     for where, limit in steps:
         if where == "inside":
             rows = labelled(members, labels)
