@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,19 +260,31 @@ def pack_pieces(pieces: DataFrame, n_rows: int, capacity: int = 2048, block_rows
     schema = T.StructType(
         [*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
-    names = schema.fieldNames()
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], kind="stable", ignore_index=True)
-        number, offset = pack(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)[names]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        by = [("length", "ascending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]
+        rows = rows.take(pa.compute.sort_indices(rows, by)).drop_columns(["__row", "__block"])
+        number, offset = pack(rows.column("length").to_numpy(), capacity)
+        first = key[0].as_py() << 32
+        rows = rows.append_column("sequence_id", pa.array(first + number, pa.int64()))
+        return rows.append_column("offset", pa.array(offset, pa.int64()))
 
-    return pieces.withColumn("__block", block).groupBy("__block").applyInPandas(run, schema)
+    return pieces.withColumn("__block", block).groupBy("__block").applyInArrow(run, schema)
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, **options) -> DataFrame:
-    """Tokenise and pack whole documents; ``with_ids=True`` keeps each piece's token ids in the result."""
-    return pack_pieces(token_pieces(df, id_col, text_col, capacity, **options), df.count(), capacity)
+def pack_documents(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False, **options
+) -> DataFrame:
+    """Tokenise and pack whole documents; ``with_ids`` keeps each piece's token ids in the result.
+
+    A block then holds tokens as well, so blocks are counted by the number of pieces that the texts' bytes allow.
+    """
+    if with_ids:
+        n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+        n += size // capacity
+    else:
+        n = df.count()
+    return pack_pieces(token_pieces(df, id_col, text_col, capacity, with_ids=with_ids, **options), n, capacity)
 
 
 def op6_best_fit_packing(spark, sf_dir):
