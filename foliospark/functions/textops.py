@@ -167,12 +167,17 @@ def ocr_flags(metrics: Column | str, limits: dict[str, float] | None = None) ->
 
 def has_repeated_4gram(c: Column | str, head_chars: int = 3000, min_count: int = 3) -> Column:
     """Some phrase of four words occurs ``min_count`` times in the head. The last phrase is not formed (as the rule has it)."""
-    w = words(F.substring(F.coalesce(as_col(c), F.lit("")), 1, head_chars))
-    n = F.size(w) - 4
-    grams = F.when(
-        n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 4), " "))
-    ).otherwise(F.array().cast("array<string>"))
-    ordered = F.array_sort(grams)
-    at = F.sequence(F.lit(1), F.greatest(F.size(ordered) - (min_count - 1), F.lit(1)))
-    hit = F.exists(at, lambda i: F.get(ordered, i - 1) == F.get(ordered, i + (min_count - 2)))
-    return F.coalesce(hit, F.lit(False))
+    head = words(F.substring(F.coalesce(as_col(c), F.lit("")), 1, head_chars))
+    one = F.lit(1)
+
+    def phrases(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 4, F.lit(0))
+        return F.transform(F.slice(F.sequence(one, F.greatest(n, one)), one, n), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " "))
+
+    def repeats(ordered: Column) -> Column:
+        n = F.greatest(F.size(ordered) - (min_count - 1), F.lit(0))
+        at = F.slice(F.sequence(one, F.greatest(n, one)), one, n)
+        return F.exists(at, lambda i: F.get(ordered, i - 1) == F.get(ordered, i + (min_count - 2)))
+
+    # exists() over an array of one element binds its value, so it is computed once and not for each inner step.
+    return F.exists(F.array(head), lambda w: F.exists(F.array(F.array_sort(phrases(w))), repeats))

@@ -103,17 +103,15 @@ def sql_ocr(text: str) -> str:
 
 
 _OCR = f", m AS (SELECT *, {sql_ocr('text')} FROM r WHERE {_SAMPLE.format(salt='q', key='cnr', rate=0.5)}), f AS (SELECT *, non_ascii_share > 0.05 AS f1, replacement_chars > 5 AS f2, spaced_letter_share > 0.02 AS f3, vowelless_share > 0.05 AS f4, symbol_share > 0.15 AS f5 FROM m), g AS (SELECT *, f1 OR f2 OR f3 OR f4 OR f5 AS suspect FROM f)"
-_GRAM = (
-    "coalesce((SELECT max(c) >= 3 FROM (SELECT count(*) AS c FROM (SELECT unnest(list_transform(range(1, greatest(len({w}) - 3, 1)), "
-    "lambda i: array_to_string(({w})[i:i + 3], ' '))) AS g) GROUP BY g)), false)"
-)
-
-
-def sql_grams(text: str) -> str:
-    w = f"regexp_extract_all(substring({text}, 1, 3000), '[^{_SPACES}]+')"
-    return _GRAM.format(w=w)
+def sql_words(text: str) -> str:
+    return f"regexp_extract_all(substring({text}, 1, 3000), '[^{_SPACES}]+')"
 
 
+#: Over a column ``w`` of words: some phrase of four occurs three times (the last one is not formed).
+_GRAMS = (
+    "coalesce(list_max(map_values(list_aggregate(list_transform(range(1, greatest(len(w) - 3, 1)), "
+    "lambda i: array_to_string(w[i:i + 3], ' ')), 'histogram'))) >= 3, false)"
+)
 _FEATURE = " UNION ALL ".join(
     f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(quantile_cont({f}, 0.95), 6) AS p95, round(quantile_cont({f}, 0.99), 6) AS p99, round(CAST(max({f}) AS DOUBLE), 6) AS max FROM m"
     for f in FEATURES
@@ -127,14 +125,14 @@ SQL = {
     "agg11_ocr_share": ROWS_SQL + _OCR + f"SELECT 'bench' AS kind, bench_name AS value, k AS hits, n, {sql_wilson('k', 'n')} FROM (SELECT bench_name, count(*) FILTER (suspect) AS k, count(*) AS n FROM g GROUP BY 1)",
     "agg11_ocr_reasons": ROWS_SQL + _OCR + f", h AS (SELECT 'all' AS kind, 'suspect' AS value, count(*) FILTER (suspect) AS k, count(*) AS n FROM g" + "".join(f" UNION ALL SELECT 'reason', '{r}', count(*) FILTER (f{i + 1}), count(*) FROM g" for i, r in enumerate(FEATURES)) + f") SELECT kind, value, k AS hits, n, {sql_wilson('k', 'n')} FROM h",
     "agg12_feature_distribution": ROWS_SQL + _OCR + _FEATURE,
-    "agg13_repeat_share": ROWS_SQL + f"SELECT count(*) AS n, round(avg(CAST(x AS INTEGER)), 6) AS repeated_4gram_share, 0.0 AS repeat_cleaned_share FROM (SELECT {sql_grams('text')} AS x FROM r)",
+    "agg13_repeat_share": ROWS_SQL + f"SELECT count(*) AS n, round(avg(CAST(x AS INTEGER)), 6) AS repeated_4gram_share, 0.0 AS repeat_cleaned_share FROM (SELECT {_GRAMS} AS x FROM (SELECT {sql_words('text')} AS w FROM r))",
     "agg14_residual_duplicates": ROWS_SQL + "SELECT count(cnr) - count(DISTINCT cnr) AS repeated_cnrs, count(*) FILTER (in_search_index) - count(DISTINCT sha1(substring(lower(regexp_replace(text, '[^\\p{L}\\p{N}_]', '', 'g')), 1, 2000))) FILTER (in_search_index) AS repeated_fingerprints FROM r",
     "agg15_link_stats": BUILD_SQL + "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS removed, count(*) AS kept_with_duplicates, coalesce(max(n), 0) + 1 AS largest_group FROM (SELECT winner, count(*) AS n FROM b WHERE outcome_label = 'near_duplicate' GROUP BY 1)",
     "jon13_duplicate_bench": ROWS_SQL + "SELECT coalesce(r.bench_name, '(not in search index)') AS bench, CAST(sum(n) AS BIGINT) AS removed FROM (SELECT winner, count(*) AS n FROM b WHERE outcome_label = 'near_duplicate' GROUP BY 1) x LEFT JOIN r ON r.cnr = x.winner AND r.in_search_index GROUP BY 1",
     "jon16_profile_reconcile": ROWS_SQL + "SELECT source_config, expected, built, built - expected AS difference FROM (SELECT source_config, count(cnr) AS expected FROM j GROUP BY 1) JOIN (SELECT source_config, count(*) AS built FROM r GROUP BY 1) USING (source_config)",
     "scl15_ocr_metrics": f"SELECT doc_id, round(non_ascii_share, 6) AS non_ascii_share, replacement_chars, round(vowelless_share, 6) AS vowelless_share, round(symbol_share, 6) AS symbol_share FROM (SELECT doc_id, {sql_ocr('text')} FROM documents)",
     "scl16_ocr_flags": f"SELECT doc_id, non_ascii_share > 0.05 AS non_ascii_share, vowelless_share > 0.05 AS vowelless_share, symbol_share > 0.15 AS symbol_share, replacement_chars > 5 AS replacement_chars FROM (SELECT doc_id, {sql_ocr('text')} FROM documents)",
-    "scl17_has_repeated_4gram": f"SELECT doc_id, {sql_grams('text')} AS repeated FROM documents",
+    "scl17_has_repeated_4gram": f"SELECT doc_id, {_GRAMS} AS repeated FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)",
     "flt7_hash_sample": f"SELECT doc_id FROM documents WHERE {_SAMPLE.format(salt='salt', key='doc_id', rate=0.25)}",
     "flt8_eligible_length": f"SELECT doc_id FROM documents WHERE length(trim(regexp_replace(regexp_replace(text, '{CTRL}', ' ', 'g'), '[{_SPACES}]+', ' ', 'g'))) BETWEEN 500 AND 80000",
     "agg16_profile_benches": _REC + "SELECT bench, substring(cnr, 1, 6) AS cnr_prefix, count(*) AS records, count(*) FILTER (text_length >= 5000) AS reasoned_records, CAST(sum(text_length) AS BIGINT) AS chars, CAST(coalesce(sum(text_length) FILTER (text_length >= 5000), 0) AS BIGINT) AS reasoned_chars, median(text_length) AS median_chars, count(*) FILTER (text_length < 2000) AS under_2k FROM q GROUP BY 1, 2",
@@ -143,7 +141,7 @@ SQL = {
     "agg19_profile_date_check": _REC + "SELECT count(*) FILTER (s = t) AS date_matches_cnr, count(*) FILTER (s <> t) AS date_differs_from_cnr, count(*) FILTER (substring(s, 1, 4) <> substring(t, 1, 4)) AS year_differs_from_cnr, max(s) AS latest_cnr_date FROM (SELECT split_part(cnr, '_', 3) AS s, decision_date AS t FROM q)",
     "agg20_profile_source": _J + "SELECT count(*) AS records, min(year) AS first_year, max(year) AS last_year, count(*) FILTER (length(full_text) >= 5000) AS reasoned_records, CAST(coalesce(sum(length(full_text)) FILTER (length(full_text) >= 5000), 0) AS BIGINT) AS reasoned_chars FROM j WHERE source_config = 'supreme_court'",
     "agg21_court_code_prefixes": _J + "SELECT court_code, substring(cnr, 1, 4) AS cnr_prefix, count(*) AS records FROM j WHERE court_code IN ('27_1', '10_8', '18_6') GROUP BY 1, 2",
-    "agg22_profile_text_sample": _J + f", x AS (SELECT CAST({sql_grams('full_text')} AS INTEGER) AS r, CAST({sql_count('substring(full_text, 1, 3000)', r'[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} / greatest(length(substring(full_text, 1, 3000)), 1) > 0.2 AS INTEGER) AS f, CAST(contains(upper(substring(full_text, 1, 400)), 'TION') AS INTEGER) AS h, {_PRINT} AS p FROM j WHERE d % 3 = 0) SELECT count(*) AS sample_rows, round(avg(r), 6) AS repeated_4gram_share, round(avg(f), 6) AS non_english_share, round((count(*) - count(DISTINCT p)) / count(*), 6) AS near_duplicate_share, CAST(sum(h) AS BIGINT) AS header_hits FROM x",
+    "agg22_profile_text_sample": _J + f", x AS (SELECT CAST({_GRAMS} AS INTEGER) AS r, CAST({sql_count('substring(full_text, 1, 3000)', r'[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} / greatest(length(substring(full_text, 1, 3000)), 1) > 0.2 AS INTEGER) AS f, CAST(contains(upper(substring(full_text, 1, 400)), 'TION') AS INTEGER) AS h, {_PRINT} AS p FROM (SELECT *, {sql_words('full_text')} AS w FROM j) WHERE d % 3 = 0) SELECT count(*) AS sample_rows, round(avg(r), 6) AS repeated_4gram_share, round(avg(f), 6) AS non_english_share, round((count(*) - count(DISTINCT p)) / count(*), 6) AS near_duplicate_share, CAST(sum(h) AS BIGINT) AS header_hits FROM x",
     "agg23_table_profile": _J + f"SELECT count(*) AS rows, count(*) FILTER (cnr IS NULL) AS null_cnr, count(*) FILTER (court_code IS NULL) AS null_court_code, count(*) FILTER (year IS NULL) AS null_year, count(*) FILTER (full_text IS NULL) AS null_full_text, count(*) FILTER (trim(full_text) = '') AS empty_texts, count(full_text) - count(DISTINCT full_text) AS duplicate_texts, min(length(full_text)) AS min_length, max(length(full_text)) AS max_length, round(avg(length(full_text)), 6) AS mean_length, quantile_cont(length(full_text), 0.25) AS p25_length, quantile_cont(length(full_text), 0.5) AS median_length, quantile_cont(length(full_text), 0.75) AS p75_length, quantile_cont(length(full_text), 0.95) AS p95_length FROM j",
     "agg23_value_counts": _J + "SELECT 'court_code' AS column, court_code AS value, count(*) AS n FROM j GROUP BY 2 UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM j GROUP BY 2",
     "agg24_length_by_court": _J + "SELECT court_code, count(*) AS documents, round(avg(length(full_text)), 6) AS mean, median(length(full_text)) AS median, min(length(full_text)) AS min, max(length(full_text)) AS max FROM j GROUP BY 1",
