@@ -42,12 +42,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``most`` bytes each; a longer row stands alone."""
+def blocks(offsets: np.ndarray, most: int = 1 << 20, rows: int = 512) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows that hold about ``most`` bytes each; a longer row stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + rows, n)
         yield first, last
         first = last
 
@@ -92,21 +92,29 @@ def ready_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def hash_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, parts: int = 64) -> DataFrame:
+def hash_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, most_classes: int = 1000) -> DataFrame:
     """``__id, __class`` of at most ``per_class`` rows of each class: those whose ids have the smallest hashes.
 
-    Ranked within parts of a class first and then within the class, so that a common class does not fill a task.
+    Classes are counted first; of a class of n rows only those with a hash in the lowest 4 * per_class / n of the
+    range are ranked (4 * per_class rows or so), so a common class does not fill a task. More than
+    ``most_classes`` classes is an error.
     """
     ids = df.select(F.col(id_col).alias("__id"), F.col(class_col).alias("__class"), F.xxhash64(id_col).alias("__hash"))
-    ids = ids.where("__id IS NOT NULL AND __class IS NOT NULL").withColumn("__part", F.pmod("__hash", F.lit(parts)))
-    for keys in (["__class", "__part"], ["__class"]):
-        first = Window.partitionBy(*keys).orderBy("__hash", "__id")
-        ids = ids.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= per_class)
-    return ids.select("__id", "__class").distinct()
+    ids = ids.where("__id IS NOT NULL AND __class IS NOT NULL")
+    counts = ids.groupBy("__class").count().limit(most_classes + 1).collect()
+    if len(counts) > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
+    below = F.lit(None).cast("double")
+    for value, n in counts:
+        share = min(1.0, 4 * per_class / n)
+        below = F.when(F.col("__class") == F.lit(value), F.lit((2 * share - 1) * 2.0**63)).otherwise(below)
+    first = Window.partitionBy("__class").orderBy("__hash", "__id")
+    ids = ids.where(F.col("__hash").cast("double") <= below).withColumn("__rank", F.row_number().over(first))
+    return ids.where(F.col("__rank") <= per_class).select("__id", "__class").distinct()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts hold about ``most`` bytes, so that what is made of a slice stays small."""
     for batch in batches:
-        for first, last in blocks(text_bytes(batch.column(column))[1], most):
+        for first, last in blocks(text_bytes(batch.column(column))[1], most, 1 << 20):
             yield batch.slice(first, last - first)

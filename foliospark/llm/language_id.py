@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, add_columns, blocks, hash_sample, hashed_ngrams, remainder, spaced, table, text_bytes
+from .common import LETTERS, add_columns, blocks, hash_sample, hashed_ngrams, remainder, slices, spaced, table, text_bytes
 
 BITS, SIZES = 12, (2, 3, 4)
 
@@ -28,8 +28,9 @@ BITS, SIZES = 12, (2, 3, 4)
 def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size: row and bucket of each subword of these rows."""
     text, starts = spaced(data, offsets, LETTERS)
+    text = np.concatenate([np.full(1, 32, np.uint8), text])  # each row now starts with the space in front of it
     letter = text != 32
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    row = np.append(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), len(starts) - 2)
     for size in SIZES:
         h = hashed_ngrams(text, size, BITS)
         n = len(h)
@@ -140,18 +141,16 @@ def fit_language_model(
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            out = np.zeros((batch.num_rows, 1 << BITS), np.float32)
             for a, b in blocks(offsets):
+                out = np.zeros((b - a, 1 << BITS), np.float32)
                 for row, h in subwords(data, offsets[a : b + 1]):
-                    out[a:b] += np.bincount(row * (1 << BITS) + h, minlength=(b - a) << BITS).reshape(b - a, -1)
-            total = out.sum(1)
-            out /= np.maximum(total, 1)[:, None]
-            keep = total > 0
-            vectors = pa.array([x.tobytes() for x in (out[keep] * 4096).astype(np.float16)], pa.binary())
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(mask), batch.column(1).filter(mask), vectors], ["__id", "__class", "x"]
-            )
+                    out += np.bincount((row << BITS) + h, minlength=(b - a) << BITS).reshape(b - a, -1)
+                total = out.sum(1)
+                some = total > 0
+                out = (out[some] / total[some][:, None] * 4096).astype(np.float16)
+                vectors, mask, part = pa.array([x.tobytes() for x in out], pa.binary()), pa.array(some), batch.slice(a, b - a)
+                arrays = [part.column(0).filter(mask), part.column(1).filter(mask), vectors]
+                yield pa.RecordBatch.from_arrays(arrays, ["__id", "__class", "x"])
 
     schema = T.StructType([rows.schema["__id"], rows.schema["__class"], T.StructField("x", T.BinaryType())])
     got = sample.mapInArrow(shares, schema).toArrow()
@@ -187,7 +186,7 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             n = batch.num_rows
             pred, score, out = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
             if model is not None and n:

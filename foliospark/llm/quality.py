@@ -141,9 +141,7 @@ def score_quality(df: DataFrame, model: Neighbours | None, text_col: str = "text
             data, offsets = text_bytes(batch.column(text))
             out = np.full(batch.num_rows, 0.5)
             for a, b in blocks(offsets) if known is not None else ():
-                for s in range(a, b, 512):
-                    e = min(b, s + 512)
-                    out[s:e] = known.scores(features(data, offsets[s : e + 1]))
+                out[a:b] = known.scores(features(data, offsets[a : b + 1]))
             out = np.clip(out, 0.0, 1.0)
             new = [pa.array(out), pa.array((out >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names)
