@@ -92,6 +92,32 @@ def ready_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+_BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64)
+_P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(int(_P), -1, 2**64))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit values spread over all of them."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of a text of bytes in which 32 separates words.
+
+    The hash is that of a polynomial over the word's bytes, read off sums over the whole text.
+    """
+    word = text != 32
+    first = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    end = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
+    powers = np.cumprod(np.full(len(text), _P, np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[text] * powers)])
+    inverse = np.cumprod(np.full(len(text), _P_INVERSE, np.uint64))
+    return first, end, mixed((total[end] - total[first]) * inverse[first] + (end - first).astype(np.uint64))
+
+
 def hash_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, most_classes: int = 1000) -> DataFrame:
     """``__id, __class`` of at most ``per_class`` rows of each class: those whose ids have the smallest hashes.
 

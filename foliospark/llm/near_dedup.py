@@ -29,40 +29,25 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ready_checkpoints, slices, spaced, table, text_bytes
+from .common import blocks, mixed, ready_checkpoints, slices, spaced, table, text_bytes, words_of
 from .components import components
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
 _MUL = _rng.integers(0, 2**64, REGISTERS, np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, REGISTERS, np.uint64)
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 2**64))
 _LOWER = np.array(
     [32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 )
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingles of each row, one row after another, and where each row starts."""
     n_rows = len(offsets) - 1
     text, starts = spaced(data, offsets, _LOWER)
-    word = text != 32
-    first = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
-    end = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
-    powers = np.cumprod(np.full(len(text), _P, np.uint64)) if len(text) else np.zeros(0, np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[text] * powers)])
-    inverse = np.cumprod(np.full(len(text), _P_INV, np.uint64)) if len(text) else powers
-    words = _mixed((total[end] - total[first]) * inverse[first] + (end - first).astype(np.uint64))
+    first, _, words = words_of(text)
     row = np.searchsorted(starts, first, "right") - 1
     at = np.searchsorted(row, np.arange(n_rows + 1))
     count = np.diff(at)
@@ -72,14 +57,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 3) -> tuple[
         same = row[:full] == row[size - 1 :]
         shingles = np.full(full, np.uint64(size), np.uint64)
         for k in range(size):
-            shingles = _mixed(shingles * np.uint64(0xD6E8FEB86659FD93) + words[k : full + k])
+            shingles = mixed(shingles * np.uint64(0xD6E8FEB86659FD93) + words[k : full + k])
         shingles, of = shingles[same], row[:full][same]
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
         extra = count[short].astype(np.uint64)
         for k in range(size - 1):
             more = count[short] > k
-            extra[more] = _mixed(extra[more] * np.uint64(0xD6E8FEB86659FD93) + words[at[short][more] + k])
+            extra[more] = mixed(extra[more] * np.uint64(0xD6E8FEB86659FD93) + words[at[short][more] + k])
         shingles, of = np.concatenate([shingles, extra]), np.concatenate([of, short])
         order = np.argsort(of, kind="stable")
         shingles, of = shingles[order], of[order]
@@ -166,7 +151,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
         h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), drawn.shape[:2]).copy()
         for k in range(ROWS):
-            h = _mixed(h * np.uint64(0xD6E8FEB86659FD93) + drawn[:, :, k].astype(np.uint64))
+            h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + drawn[:, :, k].astype(np.uint64))
         reps = np.repeat(batch.column(0).to_numpy(), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(h.ravel().view(np.int64))], ["rep", "bucket"])
 

@@ -18,13 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, blocks, hash_sample, hashed_ngrams, remainder, spaced, table, text_bytes
+from .common import add_columns, blocks, hash_sample, hashed_ngrams, remainder, spaced, table, text_bytes, words_of
 
 BITS, SIZES = 12, (1, 2, 3)
+_BLANK = np.array([32 if c <= 32 else c for c in range(256)], np.uint8)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log(1 + count) of the hashed n-grams of each row, scaled to length one; rows without text stay zero."""
+    """log(1 + count) of the hashed n-grams of each row, scaled to length one; rows without text stay zero.
+
+    One more component is the share of words that say the word before them again; then the length is one again.
+    """
     n = len(offsets) - 1
     text, starts = spaced(data, offsets)
     row = np.repeat(np.arange(n), np.diff(starts))
@@ -38,8 +46,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             ok = ok & inside[k : len(h) + k]
         where = (row[: len(h)] << BITS) + h
         out += np.bincount(where[ok], minlength=n << BITS).reshape(n, -1)
-    out = np.log1p(out)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    out = unit(np.log1p(out))
+    first, _, word = words_of(_BLANK[text])
+    owner = np.searchsorted(starts, first, "right") - 1
+    again = np.zeros(len(word), bool)
+    again[1:] = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
+    share = np.bincount(owner[again], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
+    return unit(np.concatenate([out, share[:, None].astype(np.float32)], 1))
 
 
 def latent(x: np.ndarray, dim: int, seed: int = 5) -> np.ndarray:
@@ -54,10 +67,6 @@ def latent(x: np.ndarray, dim: int, seed: int = 5) -> np.ndarray:
     return np.linalg.svd(q.T @ x, full_matrices=False)[2][:dim].T.astype(np.float32)
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
 @dataclass(frozen=True)
 class Neighbours:
     space: np.ndarray  #: features x dim
