@@ -9,14 +9,15 @@ registers can be banded.
    one class from here on.
 2. Bands of registers put classes in buckets; buckets with one class go. In a bucket, pairs whose joint likelihood
    (given both exact sizes) peaks under the threshold less five standard deviations are dropped.
-3. Rounds: first each class proposes its likeliest partner in each bucket; pairs proposed are checked on the full
-   sets, and components follow from the links found. Then each component proposes its 8, then 128 likeliest pairs
-   with other components, then all that are left. So a group of thousands of near copies proposes about one pair
-   per class, not all pairs; and the rounds end only when nothing was left out, so no cap decides a result.
+3. First each class proposes its likeliest partner in each bucket; pairs proposed are checked on the full sets, and
+   components follow from the links found. Then each component proposes its ``few`` likeliest pairs with other
+   components. Buckets in which more were possible get their classes' full sets in one task and check every pair
+   between parts that are still apart. So a group of thousands of near copies gives about one pair per class, not
+   all pairs, and no cap decides a result.
    Buckets of different bands with the same classes are one. The documents read for a check are found by broadcast
    of at most ``broadcast_rows`` ids (counted first), by an ordinary join beyond that.
 4. Buckets over ``chunk`` classes are split by a hash; a star around one class joins the parts. Where such a bucket
-   still holds two components after the rounds, its parts are compared with each other, pair of parts by pair.
+   still holds two components then, its parts are compared with each other, pair of parts by pair, in the same way.
 """
 
 from __future__ import annotations
@@ -156,12 +157,22 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(h.ravel().view(np.int64))], ["rep", "bucket"])
 
 
+def _linked(x: np.ndarray, y: np.ndarray, bound: tuple[int, int]) -> bool:
+    """Whether two sorted sets are as similar as asked."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+    both = int((y[at] == x).sum()) if len(x) else 0
+    return both > 0 and bound[1] * both >= bound[0] * (len(x) + len(y) - both)
+
+
 def _proposals(limit: int | None, first_round: bool, least: float, bound: tuple[int, int]):
     """Over rows sorted by group (group, side, rep, comp, n, sketch): pairs that may be links, a > b.
 
     In the first round each row proposes its ``limit`` likeliest partners among the rows before it in its group;
-    later each component proposes its ``limit`` likeliest pairs with other components in each group. One row
-    (0, 0, true) says that some were left out.
+    later each component proposes its ``limit`` likeliest pairs with other components in each group. A row (group,
+    0, true) names a group of which pairs were left out. Without a limit the rows also hold ``items``: pairs are
+    checked where they are, likeliest first and only between parts not yet linked, and the links found come out.
     """
 
     def pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,8 +209,26 @@ def _proposals(limit: int | None, first_round: bool, least: float, bound: tuple[
         if not later:
             return None
         x, y, s = np.concatenate(later), np.concatenate(before), np.concatenate(score)
-        more = False
-        if limit is not None and len(x):
+        left_out = np.zeros(0, np.int64)
+        if limit is None:
+            items = rows.column("items").combine_chunks()
+            label: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def root(k: tuple[int, int]) -> tuple[int, int]:
+                while (up := label.get(k, k)) != k:
+                    label[k] = label.get(up, up)
+                    k = up
+                return k
+
+            kept = []
+            for k in np.argsort(-s, kind="stable").tolist():
+                i, j = int(x[k]), int(y[k])
+                p, q = root((int(group_of[i]), int(comp[i]))), root((int(group_of[j]), int(comp[j])))
+                if p != q and _linked(*(np.frombuffer(items[m].as_buffer(), np.uint64) for m in (i, j)), bound):
+                    label[p] = q
+                    kept.append(k)
+            x, y = x[kept], y[kept]
+        elif len(x):
             if first_round:
                 owner, pair = x, np.arange(len(x))
             else:  # each pair stands in the lists of both components, in its own group
@@ -208,13 +237,13 @@ def _proposals(limit: int | None, first_round: bool, least: float, bound: tuple[
             order = np.lexsort((pair, -s[pair], owner))
             owner, pair = owner[order], pair[order]
             kept = np.unique(pair[np.arange(len(owner)) - np.searchsorted(owner, owner) < limit])
-            more = len(kept) < len(x)
+            lost = np.ones(len(x), bool)
+            lost[kept] = False
+            left_out = np.unique(key.to_numpy()[x[lost]])
             x, y = x[kept], y[kept]
         a, b = np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])
-        flags = np.zeros(len(a) + more, bool)
-        flags[len(a) :] = True
-        zeros = np.zeros(int(more), np.int64)
-        arrays = [pa.array(np.append(a, zeros)), pa.array(np.append(b, zeros)), pa.array(flags)]
+        flags = np.append(np.zeros(len(a), bool), np.ones(len(left_out), bool))
+        arrays = [pa.array(np.append(a, left_out)), pa.array(np.append(b, np.zeros_like(left_out))), pa.array(flags)]
         return pa.RecordBatch.from_arrays(arrays, ["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +288,8 @@ def _sets(size: int):
 def _verified(bound: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
-                ok.append(bound[1] * both >= bound[0] * (len(x) + len(y) - both))
+            sets = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (2, 3))
+            ok = [_linked(x, y, bound) for x, y in zip(*sets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return run
@@ -271,7 +297,7 @@ def _verified(bound: tuple[int, int]):
 
 def near_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, chunk: int = 2048,
-    broadcast_rows: int = 1_000_000,
+    few: int = 8, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -323,57 +349,61 @@ def near_dedup(
     def proposed(rows: DataFrame, limit: int | None) -> DataFrame:
         """rows: group, side, rep, comp."""
         dealt = rows.select("group", "side", "rep", "comp").join(classes.select("rep", "n", "sketch"), "rep")
-        dealt = dealt.select("group", "side", "rep", "comp", "n", "sketch").repartition("group").sortWithinPartitions("group")
+        columns = ["group", "side", "rep", "comp", "n", "sketch"]
+        if limit is None:
+            dealt, columns = dealt.join(sets_of(rows.select("rep").distinct()), "rep"), [*columns, "items"]
+        dealt = dealt.select(*columns).repartition("group").sortWithinPartitions("group")
         return dealt.mapInArrow(_proposals(limit, labels is None, least, bound), "a long, b long, more boolean")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """Pairs with ``ok``: whether the full sets are as similar as asked. Each class is read from one document."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """rep, items of the classes wanted, each read from one document."""
         one = classes.join(wanted, "rep").select("rep", F.col("least_id").alias("__least")).checkpoint()
         if one.count() <= broadcast_rows:
             one = F.broadcast(one)
         sets = texts.join(one, F.col("doc_id").eqNullSafe(F.col("__least"))).select("rep", "text")
         sets = sets.mapInArrow(_sets(size), "rep long, items binary")
-        sets = sets.groupBy("rep").agg(F.first("items").alias("items"))
-        return (
+        return sets.groupBy("rep").agg(F.first("items").alias("items"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links on their full sets."""
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        found = (
             pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
             .select("a", "b", "x", "y")
             .mapInArrow(_verified(bound), "a long, b long, ok boolean")
         )
-
-    labels = tested = None
-    steps: list[tuple[str, int | None]] = [("inside", 1), ("inside", 8), ("inside", 128), ("inside", None), ("across", None)]
-    for where, limit in steps:
-        if where == "inside":
-            rows = labelled(members, labels)
-            found = proposed(rows.withColumns({"group": F.xxhash64("bucket", "part"), "side": F.lit(-1)}), limit)
-            if labels is None:
-                found = found.unionByName(star)
-        else:
-            rows = labelled(hot, labels)
-            other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
-            rows = rows.withColumn("other", other)
-            rows = rows.withColumns(
-                {
-                    "group": F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")),
-                    "side": (F.col("part") > F.col("other")).cast("int"),
-                }
-            )
-            found = proposed(rows, limit)
-        found = found.distinct().checkpoint()
-        pairs = found.where("NOT more").select("a", "b")
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        checked = check(pairs).checkpoint()
-        tested = checked if tested is None else tested.unionByName(checked)
-        if not checked.where("ok").isEmpty():
-            labels = components(tested.where("ok").select("a", "b"))
-        elif labels is None:
-            labels = spark.createDataFrame([], "node long, label long")
-        if where == "inside" and found.where("more").isEmpty():
-            if hot.isEmpty():
-                break
+        return found.where("ok").select("a", "b")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"group": F.xxhash64("bucket", "part"), "side": F.lit(-1)})
+
+    labels = links = None
+
+    def add(found: DataFrame) -> None:
+        nonlocal labels, links
+        found = found.checkpoint()
+        links = found if links is None else links.unionByName(found)
+        if labels is None or not found.isEmpty():
+            labels = components(links).checkpoint()
+
+    # Each class and its likeliest partner; and the stars that join the parts of large buckets.
+    found = proposed(grouped(labelled(members, None)), 1).unionByName(star).distinct().checkpoint()
+    left_out = not found.where("more").isEmpty()
+    add(check(found.where("NOT more").select("a", "b")))
+    if left_out:
+        found = proposed(grouped(labelled(members, labels)), few).distinct().checkpoint()
+        large = found.where("more").select(F.col("a").alias("group")).distinct()
+        add(check(found.where("NOT more").select("a", "b")))
+        if not large.isEmpty():
+            rows = grouped(labelled(members, labels)).join(large, "group", "left_semi").checkpoint()
+            add(proposed(rows, None).select("a", "b").distinct())
+    if not hot.isEmpty():
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
+        rows = labelled(hot, labels).withColumn("other", other)
+        pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+        rows = rows.withColumns({"group": pair, "side": (F.col("part") > F.col("other")).cast("int")}).checkpoint()
+        add(proposed(rows, None).select("a", "b").distinct())
     reached = classes.select("rep", "least_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     reached = reached.withColumn("label", F.coalesce("label", "rep"))
     smallest = reached.groupBy("label").agg(F.min("least_id").alias("component_id"))
