@@ -44,10 +44,8 @@ def gold_window(items: DataFrame, chunks: DataFrame, sizes: tuple[int, ...] = SI
 
 def gold_span_overlap(items: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks (with chunk_start, chunk_end) that overlap the span where the passage stands in the whole text."""
-    flat = lambda c: textops.normalize_match(c, punctuation=False)
     spans = items.select("question_id", "cnr", F.lower("supporting_text").alias("p")).join(documents.select("cnr", F.lower("text").alias("t")), "cnr")
     spans = spans.select("question_id", "cnr", (F.instr("t", F.col("p")) - 1).alias("start"), F.char_length("p").alias("n")).where("start >= 0 AND n > 0")
-    del flat
     return spans.join(chunks.select("chunk_id", "cnr", "chunk_start", "chunk_end"), "cnr").where(
         "chunk_start < start + n AND chunk_end > start"
     ).select("question_id", "chunk_id")

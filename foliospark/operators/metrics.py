@@ -114,7 +114,7 @@ def failure_table(records: DataFrame, label: str = "failure_label") -> DataFrame
     listed = spark.sql("SELECT explode(array(" + ", ".join(f"'{x}'" for x in LABELS) + ")) AS label")
     counted = records.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("c"))
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("base"))
-    out = F.broadcast(listed).join(counted, "label", "left") if False else listed.join(counted, "label", "left")
+    out = listed.join(counted, "label", "left")
     out = out.join(F.broadcast(total)).withColumn("n", F.coalesce("c", F.lit(0))).withColumn("w", wilson("n", "base"))
     return out.select("label", "n", "base", "w.estimate", "w.low", "w.high")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import textops
 from ..functions.answers import l2_normalize
@@ -133,7 +134,7 @@ def attach_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def score_pairs(df: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], batch_size: int = 32) -> DataFrame:
     """Adds ``score`` to rows with query and text; the scorer gets full batches in each Python worker."""
-    schema = df.drop("score").schema.add("score", "double")
+    schema = T.StructType([*df.drop("score").schema.fields, T.StructField("score", T.DoubleType())])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +150,7 @@ def score_pairs(df: DataFrame, scorer: Callable[[list[str], list[str]], list[flo
 
 def embed(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", batch_size: int = 32) -> DataFrame:
     """Adds ``embedding``: the encoder's vectors at length one."""
-    schema = df.schema.add("embedding", "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
