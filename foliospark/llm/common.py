@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the bytes of the Arrow batches that go to Python workers, unless the session has set a bound itself.
+
+    Spark's own bound of 64 MB is held several times over, outside the heap, by each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864b", "64m"):
+        spark.conf.set(key, size)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(modulus)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, add_columns, blocks, hash_sample, hashed_ngrams, remainder, slices, spaced, table, text_bytes
+from .common import LETTERS, add_columns, blocks, hash_sample, hashed_ngrams, remainder, slices, small_batches, spaced, table, text_bytes
 
 BITS, SIZES = 12, (2, 3, 4)
 
@@ -134,6 +134,7 @@ def fit_language_model(
     a whole and becomes one row of bucket shares in 16-bit floats (8 KB) on the executors; only those reach the
     driver, at most ``per_language * most_languages`` of them. None if there is no labelled text with a letter.
     """
+    small_batches(df.sparkSession)
     ids = hash_sample(df, id_col, lang_col, per_language)
     rows = df.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__class"), F.col(text_col).alias("__text"))
     sample = rows.join(F.broadcast(ids), ["__id", "__class"], "left_semi")
@@ -181,6 +182,7 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
     Otherwise it is the likeliest language, and ``rejected`` says that its confidence is under the calibrated
     threshold. Existing columns named like a result are replaced. Nothing but the text is read.
     """
+    small_batches(df.sparkSession)
     kept, schema = add_columns(df, FIELDS)
     text = kept.columns.index(text_col)
     names = schema.fieldNames()

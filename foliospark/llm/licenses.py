@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns, slices, table
+from .common import add_columns, slices, small_batches, table
 
 # Base phrases and their labels, as the contract gives them.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -179,6 +179,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     Null counts as empty: no words, no places (null starts), empty label lists, score 0. ``score`` says how much
     the strictest notice restricts reuse. Existing columns named like a result are replaced.
     """
+    small_batches(df.sparkSession)
     kept, schema = add_columns(df, FIELDS)
     text, names = kept.columns.index(text_col), schema.fieldNames()
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, slices, table
+from .common import add_columns, slices, small_batches, table
 
 
 def line_chunks(text: bytes, min_words: int = 50, divisor: int = 2, window: int = 2) -> list[tuple[bytes, bool]]:
@@ -76,6 +76,7 @@ def line_dedup(
     one stays empty. A text all of whose chunks are repeated becomes empty; the row stays. Columns named like a
     result are replaced. An empty table stays empty.
     """
+    small_batches(df.sparkSession)
     cut = {"min_words": min_words, "divisor": divisor, "window": window}
     kept, _ = add_columns(df, FIELDS)
     key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.xxhash64(F.col(text_col)))

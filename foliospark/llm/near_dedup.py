@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mixed, ready_checkpoints, slices, spaced, table, text_bytes, words_of
+from .common import blocks, mixed, ready_checkpoints, slices, small_batches, spaced, table, text_bytes, words_of
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -309,6 +309,7 @@ def near_dedup(
     """
     spark = df.sparkSession
     ready_checkpoints(spark)
+    small_batches(spark)
     bound = (percent, 100)
     share = percent / 100
     least = max(0.05, share - 5 * (share * (1 - share) / REGISTERS) ** 0.5)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import slices, small_batches, table
 
 END_OF_TEXT = "<|endoftext|>"
 
@@ -196,6 +196,7 @@ def token_pieces(
     is longer than ``capacity`` is cut; then the first piece takes the remainder and all others are full. Ids may
     be null or repeated; other columns are not read.
     """
+    small_batches(df.sparkSession)
     path = vocabulary or default_vocabulary()
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType(

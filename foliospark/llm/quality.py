@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, blocks, hash_sample, hashed_ngrams, remainder, spaced, table, text_bytes, words_of
+from .common import add_columns, blocks, hash_sample, hashed_ngrams, remainder, small_batches, spaced, table, text_bytes, words_of
 
 BITS, SIZES = 12, (1, 2, 3)
 _BLANK = np.array([32 if c <= 32 else c for c in range(256)], np.uint8)
@@ -96,6 +96,7 @@ def fit_neighbours(
     those reach the driver. Null labels and ids are left out; of several labels of an id the largest counts. None
     if no labelled document has text.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
     ids = hash_sample(known, id_col, "__label", per_label)
@@ -140,6 +141,7 @@ def score_quality(df: DataFrame, model: Neighbours | None, text_col: str = "text
     ``score`` is the share of label 1 among the neighbours' votes, ``predicted`` is 1 from ``threshold`` up. A null
     or empty text gets the labels' true share (0.5 without a model). Columns named like a result are replaced.
     """
+    small_batches(df.sparkSession)
     kept, schema = add_columns(df, FIELDS)
     text, names = kept.columns.index(text_col), schema.fieldNames()
     shared = df.sparkSession.sparkContext.broadcast(model)
