@@ -88,7 +88,7 @@ def repeats(s, d):
 
 
 def flagship(s, d):
-    """BM25 and exact vector lists of every question fused by reciprocal rank, with the fused document's source."""
+    """BM25 lists of every question fused with a second ranked list by reciprocal rank, with each document's source."""
     fused = R.rrf_fuse(R.union_ranked({"bm25": E.bm25(s, d), "hash": E.ranked(s, d).where("system = 'dense'").drop("system", "cnr")}), top=10)
     return E.rounded(R.attach_chunks(fused, table(s, d, "documents").selectExpr("doc_id AS chunk_id", "source AS cnr")), "score")
 
