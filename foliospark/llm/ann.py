@@ -138,7 +138,7 @@ def build_graph(points: np.ndarray, norm2: float, batch: int = 512, seed: int =
 
 def nearest(
     df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
-    shard_rows: int = 16384, block_rows: int = 2048, beam: int = 128,
+    shard_rows: int = 16384, block_rows: int = 2048, beam: int = 192,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best rows found for each query, other than the query's own id.
 
