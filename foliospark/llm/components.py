@@ -8,30 +8,34 @@ from pyspark.sql import functions as F
 from .common import ready_checkpoints
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
+def _smallest(edges: DataFrame, parts: int) -> DataFrame:
     """Edges (v, u) with m, the smallest of v and all that v is linked to."""
     least = edges.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-    return edges.join(least, "v")
+    return edges.join(least.coalesce(parts), "v").coalesce(parts)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, part_rows: int = 200_000) -> DataFrame:
     """``node, label`` for each node of the links ``a, b`` (longs): the smallest node of its component.
 
     Each step is two grouped minima joined back, so a node with very many links is combined on the map side and
-    split by the join; labels settle in about the logarithm of the longest chain. Self-links are ignored.
+    split by the join; labels settle in about the logarithm of the longest chain. Self-links are ignored. Steps
+    run in as many tasks as ``part_rows`` links to a task give, so that a small table does not leave thousands of
+    small shuffle files.
     """
     ready_checkpoints(links.sparkSession)
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     edges, seen = edges.checkpoint(), None
+    parts = max(1, -(-edges.count() // part_rows))
+    edges = edges.coalesce(parts)
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = _smallest(both).where("u > v AND u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        down = _smallest(large.distinct())
+        large = _smallest(both, parts).where("u > v AND u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        down = _smallest(large.distinct().coalesce(parts), parts)
         small = down.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        edges = small.unionByName(down.select("v", F.col("m").alias("u"))).distinct().checkpoint()
+        edges = small.unionByName(down.select("v", F.col("m").alias("u"))).distinct().coalesce(parts).checkpoint()
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    roots = edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
+    roots = edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct().coalesce(parts)
     return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(roots)

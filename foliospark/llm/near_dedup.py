@@ -384,6 +384,7 @@ def near_dedup(
     def add(found: DataFrame) -> None:
         nonlocal labels, links
         found = found.checkpoint()
+        found = found.coalesce(max(1, -(-found.count() // 200_000)))
         links = found if links is None else links.unionByName(found)
         if labels is None or not found.isEmpty():
             labels = components(links).checkpoint()
