@@ -66,6 +66,14 @@ def test_bin_completion_reaches_the_optimum():
     assert complete_bins(sizes, 100, len(best_fit(sizes, 100)) + 1, 500) is not None
 
 
+def test_bin_completion_of_a_block_of_many_sequences():
+    sizes = np.tile([60, 50, 30, 20, 20, 20], 900)
+    assert len(best_fit(sizes, 100)) > 1800
+    number, offset = pack(sizes, 100)
+    assert number.max() + 1 == lower_bound(sizes, 100) == 1800
+    assert np.bincount(number, sizes).max() <= 100 and (offset + sizes).max() <= 100
+
+
 def test_schedule_stays_within_a_block():
     for weights in ({"a": 5, "b": 3, "c": 2}, {str(k): k + 1 for k in range(40)}, {"a": 0.98, "b": 0.01, "c": 0.01}):
         quota = quotas(weights, 1000)
