@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines, ``n_chars`` following; a document all of whose text went goes too."""
-    cut = line_dedup(docs)
+    """Texts without repeated runs of lines, ``n_chars`` following; a document all of whose text went goes too."""
+    cut = line_dedup(docs, passages=True)
     cut = cut.where(~((F.col("chunks_removed") > 0) & (F.trim(F.col("text")) == "")))
     return cut.select(*[F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else f"`{c}`" for c in docs.columns])
 

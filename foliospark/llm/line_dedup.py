@@ -7,6 +7,11 @@ move them. A line of
 and such single lines, are compared over the whole corpus by a 128-bit digest; those that occur in two documents
 are compared byte by byte before anything is removed, and every occurrence but the first goes.
 
+A chunk starts with the lines in front of a passage, so chunks alone miss short passages and the ends of long ones.
+With ``passages`` the shortest run of lines of ``min_words`` words from each line on, and the one up to each line, are
+compared in the same way. Any run of whole lines with so many words that two documents share is then covered from its
+first line to its last. A passage inside a longer line is not found.
+
 What is shuffled: digests with places, once; whole texts once, by document; and of the repeated chunks the bytes,
 combined on the map side (smallest and largest bytes of each digest: they are equal if all are).
 """
@@ -58,6 +63,27 @@ def line_chunks(text: bytes, min_words: int = 50, divisor: int = 2, window: int
     return out
 
 
+def line_runs(text: bytes, passages: bool = False, min_words: int = 50, **cut) -> list[tuple[int, int, bytes]]:
+    """Runs of lines that take part: first line, line after the last, bytes. Chunks, and with ``passages`` the shortest
+    runs of ``min_words`` words that start or end with each line with text."""
+    at, runs = 0, set()
+    for chunk, used in line_chunks(text, min_words, **cut):
+        n = chunk.count(b"\n") + 1
+        if used:
+            runs.add((at, at + n))
+        at += n
+    lines = text.split(b"\n")
+    if passages:
+        total = np.cumsum([0] + [len(x.split()) for x in lines])
+        full = np.flatnonzero(np.diff(total))
+        end = np.searchsorted(total, total[full] + min_words)
+        start = np.searchsorted(total, total[full + 1] - min_words, "right") - 1
+        runs.update((a, b) for a, b in zip(full.tolist(), end.tolist()) if b <= len(lines))
+        runs.update((a, b + 1) for a, b in zip(start.tolist(), full.tolist()) if a >= 0)
+    place = np.cumsum([0] + [len(x) + 1 for x in lines]).tolist()
+    return [(a, b, text[place[a] : place[b] - 1]) for a, b in sorted(runs)]
+
+
 FIELDS = [
     T.StructField("chunks", T.LongType()),
     T.StructField("chunks_removed", T.LongType()),
@@ -66,12 +92,14 @@ FIELDS = [
 
 
 def line_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, divisor: int = 2, window: int = 2
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, divisor: int = 2, window: int = 2,
+    passages: bool = False,
+) -> DataFrame:
     """All rows and columns, the text without repeated chunks, and ``chunks, chunks_removed, bytes_removed``.
 
-    Of the places of a repeated chunk the first stays: smallest id (null ids first), then smallest place in the
-    text. A chunk must occur in two different documents; repeats inside one document alone stay. Rows that repeat
+    With ``passages`` runs of lines of ``min_words`` words are compared as well as chunks; ``chunks_removed`` counts
+    the chunks that lost lines. Of the places of a repeated chunk or run the first stays: smallest id (null ids first),
+    then smallest place in the text; what repeats in that text takes no line of the first place. A chunk must occur in two different documents; repeats inside one document alone stay. Rows that repeat
     both id and text count as one document and come out alike. A null text has no chunks and stays null; an empty
     one stays empty. A text all of whose chunks are repeated becomes empty; the row stays. Columns named like a
     result are replaced. An empty table stays empty.
@@ -92,6 +120,7 @@ def line_dedup(
             T.StructField("__key", T.StringType()),
             narrow.schema["__id"],
             T.StructField("no", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
             T.StructField("digest", T.BinaryType()),
         ]
     )
@@ -100,16 +129,16 @@ def line_dedup(
         import xxhash
 
         for batch in slices(batches, 2):
-            rows, nos, found = [], [], []
+            rows, nos, ends, found = [], [], [], []
             for k, text in enumerate(batch.column(2).cast(pa.binary())):
-                for no, (chunk, used) in enumerate(line_chunks(text.as_py(), **cut)):
-                    if used:
-                        rows.append(k)
-                        nos.append(no)
-                        found.append(xxhash.xxh3_128_digest(chunk))
+                for no, end, run in line_runs(text.as_py(), passages, **cut):
+                    rows.append(k)
+                    nos.append(no)
+                    ends.append(end)
+                    found.append(xxhash.xxh3_128_digest(run))
             at = pa.array(rows, pa.int64())
-            arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["__key", "__id", "no", "digest"])
+            arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(ends, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.binary())], ["__key", "__id", "no", "end", "digest"])
 
     places = narrow.mapInArrow(digests, chunk_schema)
     repeated = (
@@ -122,19 +151,19 @@ def line_dedup(
         .where("__least <> __last")
         .select("digest", "first")
     )
-    is_first = (F.col("__key") == F.col("first.__key")) & (F.col("no") == F.col("first.no"))
-    again = places.join(repeated, "digest").select("digest", "__key", "no", is_first.alias("is_first"))
-    per_doc = again.groupBy("__key").agg(F.collect_set(F.struct("no", "digest")).alias("__marks"))
+    first_here = F.when(F.col("__key") == F.col("first.__key"), F.col("first.no")).otherwise(-1)
+    again = places.join(repeated, "digest").select("digest", "__key", "no", "end", first_here.alias("first"))
+    per_doc = again.groupBy("__key").agg(F.collect_set(F.struct("no", "end", "digest")).alias("__marks"))
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_at):
             digest, chunk = [], []
             marks = batch.column(len(names)).to_pylist()
             for text, wanted in zip(batch.column(text_at).cast(pa.binary()), marks):
-                all_ = line_chunks(text.as_py(), **cut)
+                lines = text.as_py().split(b"\n")
                 for mark in wanted:
                     digest.append(mark["digest"])
-                    chunk.append(all_[mark["no"]][0])
+                    chunk.append(b"\n".join(lines[mark["no"] : mark["end"]]))
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(chunk, pa.binary())], ["digest", "chunk"])
 
     verified = (
@@ -147,10 +176,10 @@ def line_dedup(
         .select("digest")
     )
     removed = (
-        again.where("NOT is_first")
+        again.where("no <> first")
         .join(verified, "digest", "left_semi")
         .groupBy("__key")
-        .agg(F.collect_set("no").alias("__gone"))
+        .agg(F.collect_set(F.struct("no", "end", "first")).alias("__gone"))
     )
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +194,15 @@ def line_dedup(
                 data = whole.encode()
                 chunks = line_chunks(data, **cut)
                 if gone:
-                    gone = set(gone)
-                    data = b"\n".join(c for k, (c, _) in enumerate(chunks) if k not in gone)
-                    counts.append((len(chunks), len(gone), len(whole.encode()) - len(data)))
+                    lines = data.split(b"\n")
+                    out = np.zeros(len(lines), bool)
+                    for run in gone:
+                        no, end, first = run["no"], run["end"], run["first"]
+                        out[no if first < 0 else max(no, first + end - no) : end] = True
+                    bounds = np.cumsum([0] + [c.count(b"\n") + 1 for c, _ in chunks[:-1]])
+                    size = len(data)
+                    data = b"\n".join(x for x, o in zip(lines, out.tolist()) if not o)
+                    counts.append((len(chunks), int(np.logical_or.reduceat(out, bounds).sum()), size - len(data)))
                     texts.append(data.decode())
                 else:
                     counts.append((len(chunks), 0, 0))
@@ -182,7 +217,7 @@ def line_dedup(
 
 def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs).select(
+    return line_dedup(docs, passages=True).select(
         "doc_id",
         "chunks",
         "chunks_removed",

@@ -32,6 +32,25 @@ def test_line_dedup_by_brute_force(spark):
     assert sum(r["chunks_removed"] > 0 for r in result.values() if r["doc_id"] > 10_000) == 4
 
 
+def test_passages_of_few_lines_go_whole(spark):
+    rows, want = [], {}
+    for n in (1, 2, 3, 4, 6, 9):
+        for case in range(8):
+            words = [f"p{n}x{case}w{k}" for k in range(55)]
+            lines = [" ".join(x) for x in np.array_split(words, n)]
+            for copy in range(2):
+                doc = n * 1000 + case * 10 + copy
+                around = [f"line {k} of {doc} alone" for k in range(6)]
+                rows.append((doc, "\n".join(around[:3] + lines + around[3:])))
+                want[doc] = "\n".join(around) if copy else rows[-1][1]
+    same = "\n".join(["again and again"] * 60)
+    rows += [(1, same), (2, same), (3, "a\nb\nc\n" + " ".join(["w"] * 49))]
+    want |= {1: "\n".join(["again and again"] * 17), 2: "", 3: rows[-1][1]}
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert all((r["chunks_removed"] > 0) == (r["bytes_removed"] > 0) for r in got)
+
+
 def test_chunk_bounds_resist_shifts():
     lines = [f"row {i} {i * i}" for i in range(200)]
     a = {c for c, _ in line_chunks("\n".join(lines).encode())}
