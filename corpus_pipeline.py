@@ -18,6 +18,9 @@ from foliospark.llm.mixing import in_mixture_order, mix
 from foliospark.llm.near_dedup import near_dedup
 from foliospark.llm.packing import pack_documents
 
+#: Pieces of a block of the packing stage.
+BLOCK_ROWS = 8192
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID accepts; those without a letter or with a rejected prediction go."""
@@ -44,8 +47,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in packed sequences of 2048: a row for each piece, with its place."""
-    return pack_documents(docs, with_ids=True)
+    """Token ids of all documents in packed sequences of 2048: a row for each piece, with its place.
+
+    Blocks are cut from the rows in the order of the files, which is that of the mixture.
+    """
+    docs = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+    before, start = [], 0
+    for name, n in sorted(tuple(r) for r in docs.groupBy("__file").count().collect()):
+        before.append((name, start))
+        start += n
+    starts = F.broadcast(spark.createDataFrame(before, "__file string, __start long"))
+    placed = docs.join(starts, "__file").withColumn("__place", F.col("__start") + F.col("__at"))
+    return pack_documents(placed, with_ids=True, place_col="__place", block_rows=BLOCK_ROWS)
 
 
 STAGES = [

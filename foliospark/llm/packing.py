@@ -217,17 +217,18 @@ def pack(sizes: np.ndarray, capacity: int, nodes: int = 1500) -> tuple[np.ndarra
 
 def token_pieces(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
-    vocabulary: str | None = None, with_ids: bool = False,
+    vocabulary: str | None = None, with_ids: bool = False, place_col: str | None = None,
 ) -> DataFrame:
     """Pieces of the tokenised texts: ``doc_id, piece, start, length, ids_crc32, __row`` and, if wanted, ``ids``.
 
     A text's ids are followed by ``end_id``; null counts as empty (one piece that is ``end_id`` alone). Only what
     is longer than ``capacity`` is cut; then the first piece takes the remainder and all others are full. Ids may
-    be null or repeated; other columns are not read.
+    be null or repeated; other columns are not read. ``__row`` is ``place_col`` where given, else the row's number in
+    its task.
     """
     small_batches(df.sparkSession)
     path = vocabulary or default_vocabulary()
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(place_col)] if place_col else []))
     schema = T.StructType(
         [
             rows.schema["doc_id"],
@@ -268,7 +269,7 @@ def token_pieces(
                 pa.array(starts, pa.int64()),
                 pa.array(lengths, pa.int64()),
                 pa.array(crcs, pa.int64()),
-                pa.array(np.array(rows_, np.int64) + number, pa.int64()),
+                batch.column(2).take(pa.array(rows_, pa.int64())) if place_col else pa.array(np.array(rows_, np.int64) + number, pa.int64()),
             ]
             if with_ids:
                 out.append(pa.array(ids, pa.list_(pa.int32())))
@@ -278,14 +279,20 @@ def token_pieces(
     return rows.mapInArrow(run, schema)
 
 
-def pack_pieces(pieces: DataFrame, n_rows: int, capacity: int = 2048, block_rows: int = 8192) -> DataFrame:
+def pack_pieces(
+    pieces: DataFrame, n_rows: int, capacity: int = 2048, block_rows: int = 8192, n_places: int | None = None
+) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``; one shuffle, by block.
 
     ``n_rows`` only sets the number of blocks. Blocks are dealt by a hash of the row's place, so neither copies
-    nor repeated ids can fill one.
+    nor repeated ids can fill one. With ``n_places`` rows in an order, of which ``__row`` is the place, blocks are
+    consecutive rows instead and ``sequence_id`` rises with them; a text of over ``block_rows`` pieces goes on in the
+    next block.
     """
     n_blocks = max(1, -(-n_rows // block_rows))
     block = F.pmod(F.xxhash64("doc_id", "piece", "__row"), F.lit(n_blocks)).cast("long")
+    if n_places:
+        block = F.expr(f"(__row * {n_blocks} div {n_places} + piece div {block_rows}) % {n_blocks}").cast("long")
     fields = [f for f in pieces.schema.fields if f.name != "__row"]
     schema = T.StructType(
         [*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
@@ -303,18 +310,22 @@ def pack_pieces(pieces: DataFrame, n_rows: int, capacity: int = 2048, block_rows
 
 
 def pack_documents(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False, **options
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False,
+    place_col: str | None = None, block_rows: int = 8192, **options,
+) -> DataFrame:
     """Tokenise and pack whole documents; ``with_ids`` keeps each piece's token ids in the result.
 
     A block then holds tokens as well, so blocks are counted by the number of pieces that the texts' bytes allow.
+    ``place_col`` numbers the rows from 0 on; blocks then follow that order.
     """
+    n_places = df.count() if place_col else None
     if with_ids:
         n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
         n += size // capacity
     else:
         n = df.count()
-    return pack_pieces(token_pieces(df, id_col, text_col, capacity, with_ids=with_ids, **options), n, capacity)
+    pieces = token_pieces(df, id_col, text_col, capacity, with_ids=with_ids, place_col=place_col, **options)
+    return pack_pieces(pieces, n, capacity, block_rows, n_places)
 
 
 def op6_best_fit_packing(spark, sf_dir):
