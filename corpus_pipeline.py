@@ -22,6 +22,18 @@ from foliospark.llm.packing import pack_documents
 BLOCK_ROWS = 8192
 
 
+def with_places(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of a folder of files with ``__place``: their number in the order of the files, from 0 on."""
+    docs = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+    before, start = [], 0
+    for name, n in sorted(tuple(r) for r in docs.groupBy("__file").count().collect()):
+        before.append((name, start))
+        start += n
+    starts = F.broadcast(spark.createDataFrame(before, "__file string, __start long"))
+    placed = docs.join(starts, "__file").withColumn("__place", F.col("__start") + F.col("__at"))
+    return placed.drop("__file", "__at", "__start")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID accepts; those without a letter or with a rejected prediction go."""
     found = identify(docs, fit_language_model(docs)).where("NOT rejected")
@@ -36,9 +48,14 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (3-word shingles, similarity of 0.85)."""
-    gone = near_dedup(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies (5-word shingles, similarity of 0.8): smallest id, then place in the files.
+
+    Rows are dropped one by one, so other rows of an id stay and repeated rows go; null ids come last.
+    """
+    keyed = with_places(spark, docs)
+    keyed = keyed.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__place"))
+    gone = near_dedup(keyed, id_col="__key", size=5, percent=80).where("NOT kept").select("doc_id.__place")
+    return keyed.join(gone, "__place", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +68,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Blocks are cut from the rows in the order of the files, which is that of the mixture.
     """
-    docs = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
-    before, start = [], 0
-    for name, n in sorted(tuple(r) for r in docs.groupBy("__file").count().collect()):
-        before.append((name, start))
-        start += n
-    starts = F.broadcast(spark.createDataFrame(before, "__file string, __start long"))
-    placed = docs.join(starts, "__file").withColumn("__place", F.col("__start") + F.col("__at"))
-    return pack_documents(placed, with_ids=True, place_col="__place", block_rows=BLOCK_ROWS)
+    return pack_documents(with_places(spark, docs), with_ids=True, place_col="__place", block_rows=BLOCK_ROWS)
 
 
 STAGES = [

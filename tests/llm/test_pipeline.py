@@ -14,3 +14,14 @@ def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
     n_blocks = -(-(332 + sum(len(r[1]) for r in rows) // 2048) // 16)
     assert {r["doc_id"]: r["sequence_id"] >> 32 for r in got} == {d: k * n_blocks // 332 for k, d in enumerate(order)}
     assert {r["doc_id"] for r in got if r["doc_id"] >= 300} == {d for d in order[:64] if d >= 300}
+
+
+def test_near_copies_go_row_by_row(spark, tmp_path):
+    base = [f"w{k}" for k in range(100)]
+    whole, cut = " ".join(base), " ".join(base[:82])
+    rows = [(1, whole), (2, cut), (2, "another text of the same id stays here"), (1, whole), (None, whole), (None, "no id but a text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/d")
+    got = corpus_pipeline.one_of_each_group(spark, spark.read.parquet(f"{tmp_path}/d"), "")
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted((str(i), t) for i, t in [rows[0], rows[2], rows[5]])
