@@ -2,9 +2,8 @@
 
 Each text is cut into chunks of lines. A rolling hash over the hashes of the last ``window`` lines decides whether a
 chunk of at least two lines ends there, so boundaries follow the content: lines put in or taken out elsewhere do not
-move them. A line of
-``min_words`` words or more stands alone, since it is a passage by itself. Chunks of two or more lines with text,
-and such single lines, are compared over the whole corpus by a 128-bit digest; those that occur in two documents
+move them. A line of ``min_words`` words or more stands alone, since it is a passage by itself. Chunks of two or more
+lines with text, and such single lines, are compared over the whole corpus; those that occur in two documents
 are compared byte by byte before anything is removed, and every occurrence but the first goes.
 
 A chunk starts with the lines in front of a passage, so chunks alone miss short passages and the ends of long ones.
@@ -12,8 +11,11 @@ With ``passages`` the shortest run of lines of ``min_words`` words from each lin
 compared in the same way. Any run of whole lines with so many words that two documents share is then covered from its
 first line to its last. A passage inside a longer line is not found.
 
-What is shuffled: digests with places, once; whole texts once, by document; and of the repeated chunks the bytes,
-combined on the map side (smallest and largest bytes of each digest: they are equal if all are).
+A run is known by 64 bits made from the hashes of its lines. What is shuffled: pairs of 64-bit hashes (run, document) to
+find the runs of two documents; places of runs, to join them with those; whole texts once, by document; and of the
+repeated runs the bytes, combined on the map side (smallest and largest bytes of each hash: they are equal if all are).
+Runs that share a hash without being equal are left alone. The ``HOT`` runs with most places are dealt out over ``SALTS``
+keys each, so a line that stands in a third of all documents does not fill a task.
 """
 
 from __future__ import annotations
@@ -26,62 +28,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, slices, small_batches, table
-
-
-def line_chunks(text: bytes, min_words: int = 50, divisor: int = 2, window: int = 2) -> list[tuple[bytes, bool]]:
-    """Chunks of a text in order, and whether each one takes part; joined by line ends they are the text again."""
-    import xxhash
-
-    lines = text.split(b"\n")
-    n = len(lines)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, n)
-    rolled = h.copy()
-    for k in range(1, window):
-        older = np.concatenate([np.zeros(k, np.uint64), h[: n - k]])
-        rolled ^= ((older << np.uint64(7 * k)) | (older >> np.uint64(64 - 7 * k))) * np.uint64(0x9E3779B97F4A7C15)
-    rolled ^= rolled >> np.uint64(29)
-    ends = (rolled * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(divisor) == 0
-    words = [len(x) >= 2 * min_words - 1 and len(x.split()) >= min_words for x in lines]
-    out: list[tuple[bytes, bool]] = []
-    held: list[bytes] = []
-
-    def close() -> None:
-        if held:
-            out.append((b"\n".join(held), sum(bool(x.strip()) for x in held) >= 2))
-            held.clear()
-
-    for line, cut, alone in zip(lines, ends.tolist(), words):
-        if alone:
-            close()
-            out.append((line, True))
-            continue
-        held.append(line)
-        if cut and len(held) >= 2:
-            close()
-    close()
-    return out
-
-
-def line_runs(text: bytes, passages: bool = False, min_words: int = 50, **cut) -> list[tuple[int, int, bytes]]:
-    """Runs of lines that take part: first line, line after the last, bytes. Chunks, and with ``passages`` the shortest
-    runs of ``min_words`` words that start or end with each line with text."""
-    at, runs = 0, set()
-    for chunk, used in line_chunks(text, min_words, **cut):
-        n = chunk.count(b"\n") + 1
-        if used:
-            runs.add((at, at + n))
-        at += n
-    lines = text.split(b"\n")
-    if passages:
-        total = np.cumsum([0] + [len(x.split()) for x in lines])
-        full = np.flatnonzero(np.diff(total))
-        end = np.searchsorted(total, total[full] + min_words)
-        start = np.searchsorted(total, total[full + 1] - min_words, "right") - 1
-        runs.update((a, b) for a, b in zip(full.tolist(), end.tolist()) if b <= len(lines))
-        runs.update((a, b + 1) for a, b in zip(start.tolist(), full.tolist()) if a >= 0)
-    place = np.cumsum([0] + [len(x) + 1 for x in lines]).tolist()
-    return [(a, b, text[place[a] : place[b] - 1]) for a, b in sorted(runs)]
+from .common import _P, _P_INVERSE, add_columns, blocks, mixed, small_batches, table, text_bytes
+
+HOT, SALTS = 1024, 64
+
+
+class Lines:
+    """Lines of many texts at once: ``lines``, the text ``row`` of each, its hash and number of words, ``first`` of each text."""
+
+    def __init__(self, texts: list[bytes], min_words: int, divisor: int, window: int):
+        import xxhash
+
+        self.lines = b"\n".join(texts).split(b"\n") if texts else []
+        n, self.min_words = len(self.lines), min_words
+        sizes = np.array([x.count(b"\n") + 1 for x in texts], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(texts)), sizes)
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, self.lines), np.uint64, n)
+        self.words = np.fromiter(map(len, map(bytes.split, self.lines)), np.int64, n)
+        place = np.arange(n) - self.first[self.row]
+        rolled = self.hash.copy()
+        for k in range(1, window):
+            older = np.where(place >= k, np.concatenate([np.zeros(min(k, n), np.uint64), self.hash[: max(n - k, 0)]]), np.uint64(0))
+            rolled ^= ((older << np.uint64(7 * k)) | (older >> np.uint64(64 - 7 * k))) * np.uint64(0x9E3779B97F4A7C15)
+        rolled ^= rolled >> np.uint64(29)
+        self.ends = (rolled * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(divisor) == 0
+
+    def chunk_starts(self) -> np.ndarray:
+        """The line each chunk starts with; chunks follow each other without gaps and do not cross texts."""
+        starts: list[int] = []
+        opened, closed = set(self.first[:-1].tolist()), True
+        for k, (cut, alone) in enumerate(zip(self.ends.tolist(), (self.words >= self.min_words).tolist())):
+            if closed or alone or k in opened:
+                starts.append(k)
+            closed = alone or (cut and k > starts[-1])
+        return np.array(starts, np.int64)
+
+    def runs(self, passages: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First line, line after the last, and hash of each run that takes part, each run once."""
+        n = len(self.lines)
+        starts = self.chunk_starts()
+        ends = np.append(starts[1:], n)[: len(starts)]
+        text = np.concatenate([[0], np.cumsum(self.words > 0)])
+        used = (text[ends] - text[starts] >= 2) | (self.words[starts] >= self.min_words)
+        begin, end = starts[used], ends[used]
+        if passages and n:
+            total = np.concatenate([[0], np.cumsum(self.words)])
+            full = np.flatnonzero(self.words)
+            on = np.searchsorted(total, total[full] + self.min_words)
+            ok = on <= self.first[self.row[full] + 1]
+            back = np.searchsorted(total, total[full + 1] - self.min_words, "right") - 1
+            too = back >= self.first[self.row[full]]
+            begin, end = np.concatenate([begin, full[ok], back[too]]), np.concatenate([end, on[ok], full[too] + 1])
+            code = np.unique(begin * (n + 1) + end)
+            begin, end = code // (n + 1), code % (n + 1)
+        powers, inverse = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (_P, _P_INVERSE))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.hash) * powers[:n])])
+        return begin, end, mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+
+
+def line_chunks(text: bytes, min_words: int = 50, divisor: int = 2, window: int = 2) -> list[bytes]:
+    """Chunks of one text in order; joined by line ends they are the text again."""
+    seen = Lines([text], min_words, divisor, window)
+    starts = seen.chunk_starts().tolist()
+    return [b"\n".join(seen.lines[a:b]) for a, b in zip(starts, [*starts[1:], len(seen.lines)])]
 
 
 FIELDS = [
@@ -99,120 +109,122 @@ def line_dedup(
 
     With ``passages`` runs of lines of ``min_words`` words are compared as well as chunks; ``chunks_removed`` counts
     the chunks that lost lines. Of the places of a repeated chunk or run the first stays: smallest id (null ids first),
-    then smallest place in the text; what repeats in that text takes no line of the first place. A chunk must occur in two different documents; repeats inside one document alone stay. Rows that repeat
-    both id and text count as one document and come out alike. A null text has no chunks and stays null; an empty
-    one stays empty. A text all of whose chunks are repeated becomes empty; the row stays. Columns named like a
-    result are replaced. An empty table stays empty.
+    then smallest place in the text; what repeats in that text takes no line of the first place. A chunk must occur in
+    two different documents; repeats inside one document alone stay. Rows that repeat both id and text count as one
+    document and come out alike. A null text has no chunks and stays null; an empty one stays empty. A text all of
+    whose chunks are repeated becomes empty; the row stays. Texts of any length are handled whole, a long one by
+    itself. Columns named like a result are replaced; all others come through whatever their names. An empty table
+    stays empty.
     """
     small_batches(df.sparkSession)
     cut = {"min_words": min_words, "divisor": divisor, "window": window}
-    kept, _ = add_columns(df, FIELDS)
-    key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.xxhash64(F.col(text_col)))
-    base = kept.withColumn("__key", key)
-    text_at, names = kept.columns.index(text_col), base.columns
-    out_schema = T.StructType(kept.schema.fields + FIELDS)
-    out_names = out_schema.fieldNames()
-
-    narrow = base.select("__key", F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    narrow = narrow.where(F.col("__text").isNotNull())
-    chunk_schema = T.StructType(
-        [
-            T.StructField("__key", T.StringType()),
-            narrow.schema["__id"],
-            T.StructField("no", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-            T.StructField("digest", T.BinaryType()),
-        ]
+    kept, out_schema = add_columns(df, FIELDS)
+    text_at, out_names = kept.columns.index(text_col), out_schema.fieldNames()
+    whole = F.struct(*[f"`{c}`" for c in kept.columns])
+    base = kept.select(whole.alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
+    narrow = kept.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    narrow = narrow.where(F.col("text").isNotNull())
+    hash_ = T.StructField("h", T.LongType())
+    number = [T.StructField("no", T.IntegerType()), T.StructField("end", T.IntegerType())]
+    place_schema = T.StructType([*narrow.schema.fields[:2], hash_, *number])
+
+    def parts(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        """Slices of a batch whose texts hold about 4 MB, and their texts (null: empty)."""
+        for a, b in blocks(text_bytes(texts)[1], 1 << 22, 1 << 20):
+            yield batch.slice(a, b - a), [x or b"" for x in texts.slice(a, b - a).cast(pa.binary()).to_pylist()]
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for batch, texts in parts(whole_batch, whole_batch.column(2)):
+                seen = Lines(texts, **cut)
+                begin, end, h = seen.runs(passages)
+                row = seen.row[begin]
+                at, least = pa.array(row), seen.first[row]
+                arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(h)]
+                arrays += [pa.array((x - least).astype(np.int32)) for x in (begin, end)]
+                yield pa.RecordBatch.from_arrays(arrays, place_schema.fieldNames())
+
+    places = narrow.mapInArrow(places_of, place_schema)
+    repeated = (
+        places.select("h", F.xxhash64("id", "t").alias("doc"))
+        .groupBy("h")
+        .agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
+        .where("least <> most AND n > 1")  # names n, so that both uses below share one shuffle
+        .select("h", "n")
     )
+    hot = F.broadcast(repeated.orderBy(F.desc("n"), "h").limit(HOT).select("h", F.lit(True).alias("hot")))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")).otherwise(0)
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def salted(runs: DataFrame, *columns: str) -> DataFrame:
+        """A row for each salt under which places of a run may be found."""
+        return runs.join(hot, "h", "left").select("h", *columns, F.explode(salts).alias("salt"))
 
-        for batch in slices(batches, 2):
-            rows, nos, ends, found = [], [], [], []
-            for k, text in enumerate(batch.column(2).cast(pa.binary())):
-                for no, end, run in line_runs(text.as_py(), passages, **cut):
-                    rows.append(k)
-                    nos.append(no)
-                    ends.append(end)
-                    found.append(xxhash.xxh3_128_digest(run))
-            at = pa.array(rows, pa.int64())
-            arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(ends, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.binary())], ["__key", "__id", "no", "end", "digest"])
-
-    places = narrow.mapInArrow(digests, chunk_schema)
-    repeated = (
-        places.groupBy("digest")
-        .agg(
-            F.min(F.struct("__id", "__key", "no")).alias("first"),
-            F.max("__key").alias("__last"),
-            F.min("__key").alias("__least"),
-        )
-        .where("__least <> __last")
-        .select("digest", "first")
-    )
-    first_here = F.when(F.col("__key") == F.col("first.__key"), F.col("first.no")).otherwise(-1)
-    again = places.join(repeated, "digest").select("digest", "__key", "no", "end", first_here.alias("first"))
-    per_doc = again.groupBy("__key").agg(F.collect_set(F.struct("no", "end", "digest")).alias("__marks"))
+    again = places.join(hot, "h", "left").withColumn("salt", salt).drop("hot").join(salted(repeated), ["h", "salt"])
+    # The end is not needed here; with the same columns as below, the shuffled places are made once for both.
+    firsts = again.groupBy("h").agg(F.min(F.struct("id", "t", "no", "end")).alias("first"))
+    here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
+    marks = again.join(salted(firsts, "first"), ["h", "salt"]).withColumn("first", F.when(here, F.col("first.no")).otherwise(-1))
+    per_doc = marks.groupBy("id", "t").agg(F.collect_set(F.struct("no", "end", "first", "h")).alias("marks"))
+
+    def by_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnsRenamed({"id": "id2", "t": "t2"})
+        return left.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")), how).drop("id2", "t2")
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_at):
-            digest, chunk = [], []
-            marks = batch.column(len(names)).to_pylist()
-            for text, wanted in zip(batch.column(text_at).cast(pa.binary()), marks):
-                lines = text.as_py().split(b"\n")
-                for mark in wanted:
-                    digest.append(mark["digest"])
-                    chunk.append(b"\n".join(lines[mark["no"] : mark["end"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(chunk, pa.binary())], ["digest", "chunk"])
-
-    verified = (
-        base.join(per_doc, "__key")
-        .select(*names, "__marks")
-        .mapInArrow(bytes_of, "digest binary, chunk binary")
-        .groupBy("digest")
-        .agg(F.min("chunk").alias("a"), F.max("chunk").alias("b"))
-        .where("a = b")
-        .select("digest")
-    )
-    removed = (
-        again.where("no <> first")
-        .join(verified, "digest", "left_semi")
-        .groupBy("__key")
-        .agg(F.collect_set(F.struct("no", "end", "first")).alias("__gone"))
+        for whole_batch in batches:
+            for batch, texts in parts(whole_batch, whole_batch.column(0).flatten()[text_at]):
+                h, chunk = [], []
+                for text, wanted in zip(texts, batch.column(1).to_pylist()):
+                    lines = text.split(b"\n")
+                    for mark in wanted:
+                        h.append(mark["h"])
+                        chunk.append(b"\n".join(lines[mark["no"] : mark["end"]]))
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(chunk, pa.binary())], ["h", "chunk"])
+
+    unequal = (
+        by_document(base, per_doc, "inner")
+        .select("row", "marks")  # whole rows, so that the shuffle of texts is that of the last step
+        .mapInArrow(bytes_of, "h long, chunk binary")
+        .groupBy("h")
+        .agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+        .where("least <> most")
+        .select("h")
     )
+    spared = marks.join(salted(unequal), ["h", "salt"], "left_semi").groupBy("id", "t").agg(F.collect_set("h").alias("spared"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_at):
-            texts, counts = [], []
-            for text, gone in zip(batch.column(text_at), batch.column(len(names)).to_pylist()):
-                if not text.is_valid:
-                    texts.append(None)
-                    counts.append((0, 0, 0))
-                    continue
-                whole = text.as_py()
-                data = whole.encode()
-                chunks = line_chunks(data, **cut)
-                if gone:
-                    lines = data.split(b"\n")
-                    out = np.zeros(len(lines), bool)
-                    for run in gone:
+        for whole_batch in batches:
+            columns = whole_batch.column(0).flatten()
+            for a, b in blocks(text_bytes(columns[text_at])[1], 1 << 22, 1 << 20):
+                own = [x.slice(a, b - a) for x in columns]
+                texts = own[text_at].cast(pa.binary()).to_pylist()
+                seen = Lines([x or b"" for x in texts], **cut)
+                starts = seen.chunk_starts()
+                owner = seen.row[starts]
+                chunks = np.bincount(owner, minlength=b - a)
+                gone = np.zeros(len(seen.lines), bool)
+                lists = zip(*(whole_batch.column(k).slice(a, b - a).to_pylist() for k in (1, 2)))
+                for k, (runs, left) in enumerate(lists):
+                    least = int(seen.first[k])
+                    for run in runs or ():
                         no, end, first = run["no"], run["end"], run["first"]
-                        out[no if first < 0 else max(no, first + end - no) : end] = True
-                    bounds = np.cumsum([0] + [c.count(b"\n") + 1 for c, _ in chunks[:-1]])
-                    size = len(data)
-                    data = b"\n".join(x for x, o in zip(lines, out.tolist()) if not o)
-                    counts.append((len(chunks), int(np.logical_or.reduceat(out, bounds).sum()), size - len(data)))
-                    texts.append(data.decode())
-                else:
-                    counts.append((len(chunks), 0, 0))
-                    texts.append(whole)
-            columns = [c for k, c in enumerate(batch.columns[: len(names) - 1])]
-            columns[text_at] = pa.array(texts, pa.string())
-            new = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, *new], out_names)
-
-    return base.join(removed, "__key", "left").select(*names, "__gone").mapInArrow(rebuild, out_schema)
+                        if no != first and not (left and run["h"] in left):
+                            gone[least + (no if first < 0 else max(no, first + end - no)) : least + end] = True
+                lost = np.bincount(owner[np.logical_or.reduceat(gone, starts)], minlength=b - a) if len(starts) else chunks
+                removed = np.zeros(b - a, np.int64)
+                for k in np.flatnonzero(lost).tolist():
+                    first, last = int(seen.first[k]), int(seen.first[k + 1])
+                    left_over = b"\n".join(x for x, o in zip(seen.lines[first:last], gone[first:last].tolist()) if not o)
+                    removed[k] = len(texts[k]) - len(left_over)
+                    texts[k] = left_over
+                some = np.array([x is not None for x in texts], bool)
+                own[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
+                new = [pa.array(np.where(some, x, 0).astype(np.int64)) for x in (chunks, lost, removed)]
+                yield pa.RecordBatch.from_arrays([*own, *new], out_names)
+
+    marked = by_document(by_document(base, per_doc, "left"), spared, "left")
+    return marked.select("row", "marks", "spared").mapInArrow(rebuild, out_schema)
 
 
 def op3_line_dedup(spark, sf_dir):

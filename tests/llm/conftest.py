@@ -31,7 +31,7 @@ def odd(spark):
         (11, "one two", "en", "c", 1),
     ]
     frame = spark.createDataFrame(rows, DOCS)
-    for name in ("score", "kept", "keep_id", "Digest", "no", "rank", "bucket", "lang_pred", "rejected", "labels", "mix_slot", "group", "chunks"):
+    for name in ("score", "kept", "keep_id", "Digest", "no", "rank", "bucket", "lang_pred", "rejected", "labels", "mix_slot", "group", "chunks", "__key", "__before", "__bucket", "h", "salt", "marks", "t", "row", "hash", "bucket_", "quota"):
         frame = frame.withColumn(name, frame["n_chars"])
     return frame
 

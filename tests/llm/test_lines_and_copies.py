@@ -8,15 +8,39 @@ from foliospark.llm.line_dedup import line_chunks, line_dedup
 from foliospark.llm.near_dedup import near_dedup, shingle_sets
 
 
+def _chunks(text):
+    """Chunks of a text, written anew line by line: (bytes, takes part)."""
+    import xxhash
+
+    out, held, before = [], [], 0
+    for line in text.split(b"\n"):
+        h = xxhash.xxh64_intdigest(line)
+        turned = ((before << 7) | (before >> 57)) % 2**64
+        rolled = h ^ (turned * 0x9E3779B97F4A7C15 % 2**64)
+        rolled ^= rolled >> 29
+        before = h
+        if len(line.split()) >= 50:
+            out += [held] if held else []
+            out.append([line])
+            held = []
+            continue
+        held.append(line)
+        if ((rolled * 0xBF58476D1CE4E5B9 % 2**64) >> 32) % 2 == 0 and len(held) >= 2:
+            out.append(held)
+            held = []
+    out += [held] if held else []
+    return [(b"\n".join(x), sum(bool(y.strip()) for y in x) >= 2 or len(x[0].split()) >= 50) for x in out]
+
+
 def _expected(rows):
     seen = defaultdict(list)
     for doc, text in rows:
-        for no, (chunk, used) in enumerate(line_chunks((text or "").encode())):
+        for no, (chunk, used) in enumerate(_chunks((text or "").encode())):
             if used:
                 seen[chunk].append((doc, no))
     out = {}
     for doc, text in rows:
-        chunks = line_chunks((text or "").encode())
+        chunks = _chunks((text or "").encode())
         keep = [c for no, (c, used) in enumerate(chunks) if not (used and len({d for d, _ in seen[c]}) > 1 and min(seen[c]) != (doc, no))]
         out[doc] = b"\n".join(keep).decode()
     return out
@@ -53,10 +77,10 @@ def test_passages_of_few_lines_go_whole(spark):
 
 def test_chunk_bounds_resist_shifts():
     lines = [f"row {i} {i * i}" for i in range(200)]
-    a = {c for c, _ in line_chunks("\n".join(lines).encode())}
-    b = {c for c, _ in line_chunks("\n".join(["new line here"] + lines[:50] + ["another"] + lines[50:]).encode())}
+    a = set(line_chunks("\n".join(lines).encode()))
+    b = set(line_chunks("\n".join(["new line here"] + lines[:50] + ["another"] + lines[50:]).encode()))
     assert len(a & b) >= 0.8 * len(a)
-    assert b"\n".join(c for c, _ in line_chunks(b"a\n\n\nb\n")) == b"a\n\n\nb\n"
+    assert b"\n".join(line_chunks(b"a\n\n\nb\n")) == b"a\n\n\nb\n"
 
 
 def test_line_dedup_edges(odd, none):
