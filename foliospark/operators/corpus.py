@@ -1,17 +1,19 @@
 """Corpus build: court filter, first record of a number, text and date rules, first fingerprint, accounting.
 
-A record's place in the scan is an explicit order column. Both duplicate rules are grouped minima over narrow rows
-(combined on the map side, so one very common key is no hot task), joined back to the records.
+A record's place in the scan is an explicit order column. Each text is cleaned and judged once, where it is read; what
+the rules need of it goes into a narrow table that is kept in the shared folder. Both duplicate rules work on that
+table, and its verdicts meet the records once, by their place in the scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import caseref, dates, textops
+from ..sources.stages import staged
 
 # Drop reasons in the order in which they are tried.
 DROP_REASONS = (
@@ -60,53 +62,80 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
+#: Keys with most rows that are dealt out over SALTS tasks each; rows without a key go over LOOSE.
+HOT, SALTS, LOOSE = 1024, 64, 1 << 20
+
+
 def first_of(df: DataFrame, key: str, order: list[str], flag: str, also: str | None = None) -> DataFrame:
-    """Adds ``flag``: the row is the first of its key in the given order; null keys get no flag (null)."""
+    """Adds ``flag``: the row is the first of its key in the given order; null keys get no flag (null).
+
+    Firsts are grouped minima, combined on the map side. Rows meet them by key and a salt, so neither a very common key
+    nor the rows without one end up in one task.
+    """
     place = F.struct(*order)
     value = F.struct(place.alias("place"), *([F.col(also).alias("also")] if also else []))
-    firsts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("__first"))
-    out = df.join(firsts, F.col(key) == F.col("__key"), "left").withColumn(flag, place == F.col("__first.place"))
+    firsts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
+    firsts = firsts.agg(F.min(value).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    hot = F.broadcast(firsts.orderBy(F.desc("__n"), "__key").limit(HOT).select(F.col("__key").alias("__hot")))
+    at = F.xxhash64(*order)
+    salt = F.when(F.col(key).isNull(), F.pmod(at, F.lit(LOOSE))).when(F.col("__hot").isNotNull(), F.pmod(at, F.lit(SALTS))).otherwise(0)
+    rows = df.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    salts = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    firsts = firsts.join(hot, F.col("__key") == F.col("__hot"), "left").select("__key", "__first", F.explode(salts).alias("__salt2"))
+    met = (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__salt2"))
+    out = rows.join(firsts, met, "left").withColumn(flag, place == F.col("__first.place"))
     if also:
         out = out.withColumn(f"{flag}_of", F.col("__first.also"))
-    return out.drop("__key", "__first")
+    return out.drop("__key", "__first", "__salt", "__salt2")
 
 
-def label_records(records: DataFrame, build: Build, order: tuple[str, ...] = ("d",)) -> DataFrame:
-    """Every record with ``outcome`` (a drop reason or where it is kept), its fields, and ``duplicate_of``."""
-    order = list(order)
+def selected(build: Build) -> Column:
+    """Whether the court of a record is wanted: the given code where its source has one, else always."""
     wanted = F.lit(True)
     for source, code in build.courts:
         wanted = F.when(F.col("source_config") == source, F.coalesce(F.col("court_code") == code, F.lit(False))).otherwise(wanted)
-    rows = records.withColumns({"__selected": wanted, "cnr": textops.blank_to_null("cnr")})
-    rows = rows.withColumn("__cnr", F.when(F.col("__selected"), F.col("cnr")))
-    rows = first_of(rows, "__cnr", order, "__first_cnr")
-    text_ok = F.col("__first_cnr") & (textops.strip("full_text") != "")
-    rows = rows.withColumns(
-        {
-            "__has_text": F.coalesce(text_ok, F.lit(False)),
-            "__bad": textops.is_corrupted("full_text"),
-            "text": textops.clean_text("full_text"),
-            "repeat_chars_removed": F.lit(0).cast("long"),
-            "__date": dates.resolve_date("decision_date", "cnr", build.today, build.date_rule),
-        }
-    )
+    return wanted
+
+
+def with_text(records: DataFrame, build: Build) -> DataFrame:
+    """Adds the cleaned ``text`` and ``repeat_chars_removed``."""
+    rows = records.withColumns({"text": textops.clean_text("full_text"), "repeat_chars_removed": F.lit(0).cast("long")})
     if build.clean_repeats:
         from ..functions.udfs import collapse_repeats
 
         rows = collapse_repeats(rows, "text", "repeat_chars_removed")
-    rows = rows.withColumn("in_search_index", F.char_length("text") >= build.min_chars)
-    alive = F.col("__has_text") & ~F.col("__bad")
-    if build.require_date:
-        undated = alive & F.col("in_search_index") & F.col("__date.judgment_date").isNull()
-    else:
-        undated = F.lit(False)
+    return rows
+
+
+def text_facts(records: DataFrame, build: Build, order: list[str]) -> DataFrame:
+    """What the rules need of each record, without its text: place, number, court, text flags, dates and fingerprint."""
+    long_enough = F.char_length("text") >= build.min_chars
+    usable = F.col("__has_text") & ~F.col("__bad") & F.col("in_search_index")
+    print_ = F.when(usable, textops.fingerprint("text", build.dedup)) if build.dedup != "off" else F.lit(None).cast("string")
+    wanted = selected(build)
+    rows = with_text(records.select(*order, wanted.alias("__selected"), textops.blank_to_null("cnr").alias("cnr"), "decision_date", "full_text"), build)
+    rows = rows.select(
+        *order, "__selected", "cnr", F.when(F.col("__selected"), F.col("cnr")).alias("__cnr"), "text",
+        F.coalesce(F.col("full_text").rlike(f"[^{textops.SPACES}]"), F.lit(False)).alias("__has_text"),
+        textops.is_corrupted("full_text").alias("__bad"), long_enough.alias("in_search_index"),
+        dates.resolve_date("decision_date", "cnr", build.today, build.date_rule).alias("__date"),
+    )
+    return rows.select(*[c for c in rows.columns if c != "text"], print_.alias("__print"))
+
+
+def label_records(records: DataFrame, build: Build, order: tuple[str, ...] = ("d",)) -> DataFrame:
+    """Every record with ``outcome_label`` (a drop reason or where it is kept), its fields, and ``duplicate_of``.
+
+    ``order`` tells a record's place in the scan and must be its own.
+    """
+    order = list(order)
+    facts = staged(text_facts(records, build, order))
+    rows = first_of(facts, "__cnr", order, "__first_cnr")
+    alive = F.coalesce(F.col("__first_cnr") & F.col("__has_text") & ~F.col("__bad"), F.lit(False))
+    undated = alive & F.col("in_search_index") & F.col("__date.judgment_date").isNull() if build.require_date else F.lit(False)
     rows = rows.withColumns({"__alive": alive, "__undated": undated})
-    if build.dedup != "off":
-        search = F.col("__alive") & ~F.col("__undated") & F.col("in_search_index")
-        rows = rows.withColumn("__print", F.when(search, textops.fingerprint("text", build.dedup)))
-        rows = first_of(rows, "__print", order, "__first_print", also="cnr")
-    else:
-        rows = rows.withColumns({"__first_print": F.lit(None).cast("boolean"), "__first_print_of": F.lit(None).cast("string")})
+    rows = rows.withColumn("__print", F.when(F.col("__alive") & ~F.col("__undated"), F.col("__print")))
+    rows = first_of(rows, "__print", order, "__first_print", also="cnr")
     outcome = (
         F.when(~F.col("__selected"), "court_not_selected")
         .when(F.col("cnr").isNull(), "missing_cnr")
@@ -119,9 +148,15 @@ def label_records(records: DataFrame, build: Build, order: tuple[str, ...] = ("d
         .otherwise("kept_lookup_only")
     )
     rows = rows.withColumn("outcome_label", outcome)
-    return rows.withColumn(
-        "duplicate_of", F.when(F.col("outcome_label") == "near_duplicate", F.col("__first_print_of"))
-    )
+    near = F.when(F.col("outcome_label") == "near_duplicate", F.col("__first_print_of"))
+    places = [F.col(c).alias(f"__at{k}") for k, c in enumerate(order)]
+    verdicts = rows.select(*places, "in_search_index", "__date", "outcome_label", near.alias("duplicate_of"))
+    same = F.lit(True)
+    for k, c in enumerate(order):
+        same = F.col(c).eqNullSafe(F.col(f"__at{k}")) if k == 0 else same & F.col(c).eqNullSafe(F.col(f"__at{k}"))
+    met = records.drop("in_search_index", "outcome_label", "duplicate_of", "text", "repeat_chars_removed").join(verdicts, same)
+    met = met.drop(*[f"__at{k}" for k in range(len(order))])
+    return with_text(met.withColumn("cnr", textops.blank_to_null("cnr")), build)
 
 
 def build_rows(labelled: DataFrame, build: Build) -> DataFrame:
@@ -172,10 +207,13 @@ def build_rows(labelled: DataFrame, build: Build) -> DataFrame:
 def build_corpus(records: DataFrame, build: Build, order: tuple[str, ...] = ("d",)) -> tuple[DataFrame, DataFrame]:
     """Kept rows with the fixed output columns, and the links from removed near duplicates to kept records."""
     labelled = label_records(records, build, order)
-    links = labelled.where(F.col("duplicate_of").isNotNull()).select(
-        F.col("cnr").alias("duplicate_cnr"), F.col("duplicate_of").alias("kept_cnr"), "source_config"
-    )
-    return build_rows(labelled, build).select(*OUTPUT), links
+    return build_rows(labelled, build).select(*OUTPUT), duplicate_links(labelled)
+
+
+def duplicate_links(labelled: DataFrame) -> DataFrame:
+    """From each removed near duplicate to the record that was kept."""
+    near = labelled.where(F.col("duplicate_of").isNotNull())
+    return near.select(F.col("cnr").alias("duplicate_cnr"), F.col("duplicate_of").alias("kept_cnr"), "source_config")
 
 
 def resolve_cnr(ids: DataFrame, links: DataFrame, cnr: str = "cnr") -> DataFrame:

@@ -42,13 +42,27 @@ def gold_window(items: DataFrame, chunks: DataFrame, sizes: tuple[int, ...] = SI
     return best.select("question_id", "chunk_id", "size", place.alias("place"))
 
 
-def gold_span_overlap(items: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks (with chunk_start, chunk_end) that overlap the span where the passage stands in the whole text."""
-    spans = items.select("question_id", "cnr", F.lower("supporting_text").alias("p")).join(documents.select("cnr", F.lower("text").alias("t")), "cnr")
-    spans = spans.select("question_id", "cnr", (F.instr("t", F.col("p")) - 1).alias("start"), F.char_length("p").alias("n")).where("start >= 0 AND n > 0")
-    return spans.join(chunks.select("chunk_id", "cnr", "chunk_start", "chunk_end"), "cnr").where(
-        "chunk_start < start + n AND chunk_end > start"
-    ).select("question_id", "chunk_id")
+def gold_span_overlap(items: DataFrame, documents: DataFrame, chunks: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """question_id, chunk_id: chunks of the judgment that overlap the span where the passage stands in the whole text.
+
+    Case and white space do not count. Chunks are placed in the whole text by their own first occurrence. Questions
+    without such a chunk get the first chunk that holds a window of the passage's words: largest size first, then the
+    first place, moving on word by word.
+    """
+    same = lambda c: textops.normalize_match(c, punctuation=False)
+    asked = items.select("question_id", "cnr", same("supporting_text").alias("p")).where("p <> ''")
+    whole = documents.select("cnr", same("text").alias("t")).join(asked.select("cnr").distinct(), "cnr", "left_semi")
+    parts = chunks.select("chunk_id", "cnr", "chunk_index", same("text").alias("c")).join(asked.select("cnr").distinct(), "cnr", "left_semi")
+    spans = asked.join(whole, "cnr").select("question_id", "cnr", (F.instr("t", F.col("p")) - 1).alias("start"), F.char_length("p").alias("n"))
+    placed = parts.join(whole, "cnr").select("cnr", "chunk_id", (F.instr("t", F.col("c")) - 1).alias("at"), F.char_length("c").alias("m"))
+    hits = spans.where("start >= 0").join(placed.where("at >= 0"), "cnr").where("at < start + n AND at + m > start").select("question_id", "chunk_id").distinct()
+    rest = asked.join(hits.select("question_id").distinct(), "question_id", "left_anti").withColumn("w", F.split("p", " "))
+    rest = rest.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(F.size("w") >= F.col("size"))
+    rest = rest.withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))))
+    rest = rest.select("question_id", "cnr", "size", "pos", F.array_join(F.slice("w", F.col("pos") + 1, F.col("size")), " ").alias("phrase"))
+    found = rest.join(parts, "cnr").where(F.contains("c", "phrase"))
+    first = found.groupBy("question_id").agg(F.min(F.struct(-F.col("size"), "pos", "chunk_index", "chunk_id")).alias("x"))
+    return hits.unionByName(first.select("question_id", "x.chunk_id"))
 
 
 def gold_similarity(items: DataFrame, chunks: DataFrame, least: float = 0.5, top: int = 1) -> DataFrame:

@@ -105,6 +105,12 @@ def text_sample(df: DataFrame, keep, text: str = "full_text", header: str = "NAG
     )
 
 
+def header_by_bench(df: DataFrame, keep, text: str = "full_text", header: str = "NAGPUR") -> DataFrame:
+    """On the sampled rows: how many of each bench have the word in their first 400 characters."""
+    hit = F.upper(F.substring(text, 1, 400)).contains(header)
+    return df.where(keep).groupBy("bench").agg(F.count_if(hit).alias("header_hits"), F.count(F.lit(1)).alias("rows"))
+
+
 def table_profile(df: DataFrame, text: str, group_cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """One row of counts and text lengths; and value counts of the grouping columns as (column, value, n)."""
     length = F.char_length(text)

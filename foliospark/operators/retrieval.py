@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import textops
 from ..functions.answers import l2_normalize
+from ..sources.stages import staged
 
 
 def rank_within(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("question_id",)) -> DataFrame:
@@ -21,49 +24,135 @@ def rank_within(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("q
     return ranked.where(F.col("rank") <= k)
 
 
-def bm25_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> dict[str, DataFrame]:
-    """``postings`` (token, chunk_id, tf), ``docs`` (chunk_id, dl), ``terms`` (token, df, idf), ``corpus`` (n, avgdl).
+def bm25_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", position: str | None = None) -> dict[str, DataFrame]:
+    """``postings`` (token, chunk_id, position, dl, tf), ``terms`` (token, df, idf), ``corpus`` (n, avgdl), ``places``.
 
-    idf is ln(n - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean idf.
+    idf is ln(n - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean idf. Texts are cut into tokens
+    once: all else is counted from the postings, which are kept in the shared folder. ``places`` has the ids and
+    positions of all chunks.
     """
-    docs = chunks.select(F.col(chunk_id).alias("chunk_id"), textops.tokenize(text).alias("tokens"))
-    corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    postings = docs.select("chunk_id", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    terms = docs.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    places = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(position or chunk_id).alias("position"))
+    docs = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(position or chunk_id).alias("position"), textops.tokenize(text).alias("tokens"))
+    tokens = docs.select("chunk_id", "position", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    postings = staged(tokens.groupBy("token", "chunk_id", "position", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    corpus = places.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+    terms = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = terms.join(F.broadcast(corpus.select("n"))).select("token", "df", raw.alias("raw"))
     floor = terms.agg((F.avg("raw") * 0.25).alias("floor"))
     terms = terms.join(F.broadcast(floor)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": postings, "docs": docs.select("chunk_id", F.size("tokens").alias("dl")), "terms": terms, "corpus": corpus}
+    return {"postings": postings, "terms": terms, "corpus": corpus, "places": places}
+
+
+def _pairs(left: DataFrame, n_left: int, right: DataFrame, n_right: int) -> DataFrame:
+    """Every block of one side beside every block of the other, each pair under a key (and so a task) of its own.
+
+    left: ``block`` and its payload; right: ``other`` and its payload. A stated set of questions against all rows.
+    """
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return left.withColumn("other", numbers(n_right)).join(right.withColumn("block", numbers(n_left)), ["block", "other"])
+
+
+def _number(n_blocks: int, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n_blocks)).cast("int")
 
 
 def bm25_search(
     queries: DataFrame, chunks: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, chunk_id: str = "chunk_id",
-    text: str = "text", position: str | None = None,
+    text: str = "text", position: str | None = None, index: dict[str, DataFrame] | None = None,
+    block_rows: int = 4096, block_questions: int = 512, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """``question_id, rank, chunk_id, score`` for queries (question_id, query); questions without tokens get nothing.
 
-    Only tokens that some query holds are exploded and counted, so the shuffle carries their postings alone. Where
-    fewer than ``k`` chunks match, the lowest positions fill up with score 0.
+    Postings are packed into blocks of chunks, questions into blocks of questions with the idf of their tokens. A pair
+    of blocks adds up, for each question, the stretches of postings that its tokens have, and returns its own best
+    ``k``; so no token, however common, is a key of a shuffle. A prebuilt ``index`` is taken as it is. Where fewer than
+    ``k`` chunks match, the lowest positions fill up with score 0. Scores equal to 9 digits are ties.
     """
-    position = position or chunk_id
+    index = index or bm25_index(chunks, chunk_id, text, position)
+    postings, places = index["postings"], index["places"]
     asked = queries.select("question_id", F.explode(textops.tokenize("query")).alias("token"))
-    asked = asked.groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    docs = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(position).alias("position"), textops.tokenize(text).alias("tokens"))
-    index = bm25_index(chunks, chunk_id, text)
-    wanted = index["terms"].join(asked.select("token").distinct(), "token", "left_semi")
-    hits = docs.select("chunk_id", "position", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    hits = hits.join(F.broadcast(wanted), "token").groupBy("token", "chunk_id", "position", "dl", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    hits = hits.join(F.broadcast(index["corpus"].select("avgdl")))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.withColumn("w", weight).join(asked, "token").groupBy("question_id", "chunk_id", "position").agg(F.sum(F.col("times") * F.col("w")).alias("score"))
-    top = rank_within(scored, k, F.round("score", 12).desc(), F.col("position").asc())
+    asked = staged(asked.groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("times")))
+    wanted = asked.select("token").distinct()
+    n_chunks, n_questions, n_wanted = places.count(), asked.select("question_id").distinct().count(), wanted.count()
+    if n_wanted <= broadcast_rows:
+        postings = postings.join(F.broadcast(wanted), "token", "left_semi")
+    known = index["terms"].join(wanted, "token", "left_semi").select("token", "idf")
+    n_left, n_right = max(1, -(-n_questions // block_questions)), max(1, -(-n_chunks // block_rows))
+    kinds = dict(places.dtypes) | {"question_id": dict(queries.dtypes)["question_id"]}
+    avgdl = F.broadcast(index["corpus"].select("avgdl"))
+
+    def packed(name: str, *columns: str):
+        def pack(key: tuple, rows: pa.Table) -> pa.Table:
+            rows = rows.select(list(columns)).sort_by([(c, "ascending") for c in columns[:2]]).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_table(rows)
+            return pa.table({"number": key[0:1], name: pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        return lambda df, block: df.withColumn("number", block).groupBy("number").applyInArrow(pack, f"number int, {name} binary")
+
+    left = packed("questions", "question_id", "token", "times", "idf")(asked.join(known, "token"), _number(n_left, "question_id"))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighted = postings.join(avgdl).select("token", "position", "chunk_id", weight.alias("w"))
+    right = packed("postings", "token", "position", "chunk_id", "w")(weighted, _number(n_right, "chunk_id"))
+    pairs = _pairs(left.withColumnRenamed("number", "block"), n_left, right.withColumnRenamed("number", "other"), n_right)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for questions, held in zip(batch.column(0), batch.column(1)):
+                q, p = (pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks() for x in (questions, held))
+                if out := _bm25_block(q, p, k):
+                    yield pa.RecordBatch.from_arrays(out, ["question_id", "chunk_id", "position", "score"])
+
+    found = f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, position {kinds['position']}, score double"
+    scored = pairs.select("questions", "postings").mapInArrow(score, found)
+    top = staged(rank_within(scored, k, F.round("score", 9).desc(), F.col("position").asc()))
     counts = asked.select("question_id").distinct().join(top.groupBy("question_id").agg(F.count(F.lit(1)).alias("found")), "question_id", "left")
     lacking = counts.where(F.coalesce("found", F.lit(0)) < k).select("question_id")
-    lowest = docs.select("chunk_id", "position").orderBy("position").limit(2 * k)
+    lowest = places.orderBy("position").limit(2 * k)
     fill = lacking.join(F.broadcast(lowest)).join(top.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
     both = top.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0)))
-    return rank_within(both, k, F.round("score", 12).desc(), F.col("position").asc()).select("question_id", "rank", "chunk_id", "score")
+    return rank_within(both, k, F.round("score", 9).desc(), F.col("position").asc()).select("question_id", "rank", "chunk_id", "score")
+
+
+def _bm25_block(q: pa.Table, p: pa.Table, k: int) -> list[pa.Array]:
+    """question_id, chunk_id, position, score of the best ``k`` chunks of a block for each question; postings by token."""
+    if not len(p):
+        return []
+    tokens = p.column("token").dictionary_encode().combine_chunks()
+    ends = np.append(np.flatnonzero(np.diff(tokens.indices.to_numpy())) + 1, len(p))
+    at = {t: (a, z) for t, a, z in zip(tokens.dictionary.to_pylist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())}
+    chunk = p.column("chunk_id").dictionary_encode().combine_chunks()
+    place, w = chunk.indices.to_numpy(), p.column("w").to_numpy()
+    own = np.zeros(len(chunk.dictionary), np.int64)
+    own[place] = np.arange(len(place))  # a posting of each chunk
+    position = p.column("position").take(pa.array(own))
+    order = np.empty(len(own), np.int64)
+    order[pa.compute.sort_indices(position).to_numpy()] = np.arange(len(own))
+    rows, hits, scores = [], [], []
+    ids, first = q.column("question_id"), 0
+    number = ids.dictionary_encode().combine_chunks().indices.to_numpy()
+    names, share = q.column("token").to_pylist(), q.column("idf").to_numpy() * q.column("times").to_numpy()
+    for last in np.append(np.flatnonzero(np.diff(number)) + 1, len(number)).tolist():
+        spans = [(*at[t], share[n]) for n, t in zip(range(first, last), names[first:last]) if t in at]
+        if spans:
+            where = np.concatenate([place[a:z] for a, z, _ in spans])
+            total = np.bincount(where, np.concatenate([w[a:z] * x for a, z, x in spans]), len(own))
+            seen = np.flatnonzero(np.bincount(where, minlength=len(own)))
+            if len(seen) > 4 * k:  # all that tie with the k-th stay
+                least = np.round(np.partition(total[seen], len(seen) - k)[len(seen) - k], 9) - 1e-9
+                seen = seen[total[seen] >= least]
+            best = seen[np.lexsort((order[seen], -np.round(total[seen], 9)))[:k]]
+            rows += [first] * len(best)
+            hits.append(best)
+            scores.append(total[best])
+        first = last
+    if not rows:
+        return []
+    best = pa.array(np.concatenate(hits))
+    return [ids.take(pa.array(rows)).combine_chunks(), chunk.dictionary.take(best), position.take(best).combine_chunks(), pa.array(np.concatenate(scores))]
 
 
 def normalize_index(vectors: DataFrame, chunk_id: str, embedding: str) -> DataFrame:
@@ -76,23 +165,24 @@ def check_embeddings(vectors: DataFrame, embedding: str) -> DataFrame:
     return vectors.agg(F.count(F.lit(1)).alias("rows"), F.min(F.size(embedding)).alias("min_dim"), F.max(F.size(embedding)).alias("max_dim"))
 
 
-def _packed(df: DataFrame, n_blocks: int, name: str) -> DataFrame:
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+def _packed(df: DataFrame, n_blocks: int, name: str, number: str) -> DataFrame:
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         held = {"id": rows["id"].to_numpy(), "v": np.array(rows["v"].tolist(), np.float64)}
-        return pd.DataFrame({"dim": [held["v"].shape[1]], name: [pickle.dumps(held)]})
+        return pd.DataFrame({"dim": [key[1]], number: [key[0]], name: [pickle.dumps(held)]})
 
-    rows = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-    return rows.groupBy("block", F.size("v")).applyInPandas(pack, f"dim int, {name} binary")
+    rows = df.withColumn("number", _number(n_blocks, "id"))
+    return rows.groupBy("number", F.size("v")).applyInPandas(pack, f"dim int, {number} int, {name} binary")
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
     """Exact inner products of queries (id long, v array) and vectors (id long, v array): best ``k`` of each query.
 
-    Both sides are packed into blocks of bounded size; each pair of blocks is one matrix product that returns only
-    its own best ``k``, so nothing but k rows for a query and block is shuffled.
+    Both sides are packed into blocks of bounded size; each pair of blocks of one width is one matrix product that
+    returns only its own best ``k``, so nothing but k rows for a query and block is shuffled.
     """
-    q = _packed(queries, max(1, -(-queries.count() // block_rows)), "queries")
-    v = _packed(vectors, max(1, -(-vectors.count() // block_rows)), "vectors")
+    n_left, n_right = (max(1, -(-x.count() // block_rows)) for x in (queries, vectors))
+    q = _packed(queries, n_left, "queries", "block")
+    v = _packed(vectors, n_right, "vectors", "other").withColumnRenamed("dim", "width")
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,12 +191,18 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, exclude_se
                 score = a["v"] @ b["v"].T
                 if exclude_self:
                     score[a["id"][:, None] == b["id"][None, :]] = -np.inf
-                keys = np.lexsort((np.broadcast_to(b["id"], score.shape), -np.round(score, 12)), axis=1)[:, :k]
-                got = np.take_along_axis(score, keys, 1)
-                frame = pd.DataFrame({"question_id": np.repeat(a["id"], keys.shape[1]), "chunk_id": b["id"][keys].ravel(), "score": got.ravel()})
-                yield frame[np.isfinite(frame["score"])]
-
-    hits = q.join(v, "dim").select("queries", "vectors").mapInPandas(multiply, "question_id long, chunk_id long, score double")
+                rounded = np.round(score, 12)
+                n = min(k, score.shape[1])
+                least = np.partition(rounded, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+                row, at = np.nonzero((rounded >= least[:, None]) & np.isfinite(score))  # all that tie with the k-th
+                order = np.lexsort((b["id"][at], -rounded[row, at], row))
+                row, at = row[order], at[order]
+                some = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[some], at[some]
+                yield pd.DataFrame({"question_id": a["id"][row], "chunk_id": b["id"][at], "score": score[row, at]})
+
+    hits = _pairs(q, n_left, v, n_right).where("dim = width").select("queries", "vectors")
+    hits = hits.mapInPandas(multiply, "question_id long, chunk_id long, score double")
     return rank_within(hits, k, F.round("score", 12).desc(), F.col("chunk_id").asc()).select("question_id", "rank", "chunk_id", "score")
 
 
@@ -175,16 +271,16 @@ def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:
 
 
 def rerank(pool: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=overlap_scorer, k: int = 5, batch_size: int = 32) -> DataFrame:
-    """Pool (question_id, chunk_id) rescored by the scorer; unknown ids go. An empty result for a pool that is not
-    empty is an error, raised when the result is asked for."""
-    rows = pool.select("question_id", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    rows = rows.join(F.broadcast(queries.select("question_id", "query")), "question_id")
-    scored = score_pairs(rows, scorer, batch_size)
-    best = rank_within(scored, k, F.round("score", 12).desc(), F.col("chunk_id").asc()).select("question_id", "rank", "chunk_id", "score")
-    lost = pool.select("question_id").distinct().join(best, "question_id", "left_anti")
-    if not lost.isEmpty():
+    """Pool (question_id, chunk_id) rescored by the scorer; unknown ids go. A question that has candidates, none of
+    them known, is an error; it is looked for among the ids, before any pair is scored."""
+    pool = pool.select("question_id", "chunk_id")
+    known = pool.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    lost = pool.select("question_id").distinct().join(known.select("question_id"), "question_id", "left_anti")
+    if lost.limit(1).count():
         raise ValueError("some questions have candidates but none of them is in the chunk table")
-    return best
+    rows = pool.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("question_id", "query"), "question_id")
+    scored = score_pairs(rows, scorer, batch_size)
+    return rank_within(scored, k, F.round("score", 12).desc(), F.col("chunk_id").asc()).select("question_id", "rank", "chunk_id", "score")
 
 
 def context_rows(ranked: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
@@ -196,12 +292,26 @@ def context_rows(ranked: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
 
 def retrieve_all(queries: DataFrame, chunks: DataFrame, dense: DataFrame, scorer=overlap_scorer, k: int = 50) -> DataFrame:
     """bm25, dense, hybrid_rrf and hybrid_rerank lists of every question as one long table."""
-    bm25 = bm25_search(queries, chunks, k)
+    bm25 = staged(bm25_search(queries, chunks, k))
     lists = union_ranked({"bm25": bm25, "dense": dense})
-    fused = rrf_fuse(lists, top=k)
-    again = rerank(fused, queries, chunks, scorer, k)
+    fused = staged(rrf_fuse(lists, top=k))
+    again = rerank(fused.join(queries.select("question_id"), "question_id", "left_semi"), queries, chunks, scorer, k)
     out = None
     for system, ranked in (("bm25", bm25), ("dense", dense), ("hybrid_rrf", fused), ("hybrid_rerank", again)):
         part = ranked.select("question_id", F.lit(system).alias("system"), "rank", "chunk_id", "score")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def retrieval_records(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """One record for each question: ``status``, ``systems`` (ids of each list by rank), ``context`` (first ``k`` texts).
+
+    The status is ``error`` for a question without any list, else ``ok``; chunks has text, court_code, decision_date.
+    """
+    lists = ranked.groupBy("question_id", "system").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("list"))
+    lists = lists.select("question_id", "system", F.transform("list", lambda x: x["chunk_id"]).alias("ids"))
+    lists = lists.join(context_rows(ranked, chunks, k), ["question_id", "system"], "left")
+    entry = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", c))))
+    found = lists.groupBy("question_id").agg(entry("ids").alias("systems"), entry("context").alias("context"))
+    status = F.when(F.col("systems").isNull(), "error").otherwise("ok").alias("status")
+    return queries.select("question_id").join(found, "question_id", "left").select("question_id", status, "systems", "context")

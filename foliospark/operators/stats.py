@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats_exprs import wilson
 from ..functions.udfs import mcnemar_p
+from ..sources.stages import staged
+from .metrics import SCORES, first_hits, generation_pools, metric_values
 
 INTERVAL = "estimate double, low double, high double, n long, method string, confidence double"
 
@@ -57,8 +59,27 @@ def summarize(values: DataFrame, by: list[str], cluster: str | None = None, **op
         *by, "w.estimate", "w.low", "w.high", "n", F.lit("wilson").alias("method"), F.lit(0.95).alias("confidence")
     )
     rest = values.join(F.broadcast(binary.where("NOT binary").select(*by)), by, "left_semi")
-    rest = rest.withColumn("__row", F.monotonically_increasing_id())
-    return plain.unionByName(cluster_bootstrap(rest, by, "__row", **options))
+    return plain.unionByName(histogram_bootstrap(rest, by, **options))
+
+
+def histogram_bootstrap(values: DataFrame, by: list[str], draws: int = 10_000, seed: int = 13, confidence: float = 0.95) -> DataFrame:
+    """The bootstrap of single values. Spark counts the rows of each value; drawing rows with replacement is drawing
+    these counts from a multinomial, so what one task holds is the number of different values, not of rows."""
+    tail = (1 - confidence) / 2
+
+    def interval(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("value", kind="stable")
+        value, count = rows["value"].to_numpy(float), rows["count"].to_numpy(np.int64)
+        n, rng = int(count.sum()), np.random.default_rng(seed)
+        step = max(1, 2_000_000 // len(value))
+        drawn = np.concatenate([rng.multinomial(n, count / n, min(step, draws - k)) @ value / n for k in range(0, draws, step)])
+        low, high = np.quantile(drawn, [tail, 1 - tail])
+        out = {b: rows[b].iloc[0] for b in by}
+        return pd.DataFrame([out | {"estimate": float(value @ count) / n, "low": low, "high": high, "n": n, "method": "bootstrap", "confidence": confidence}])
+
+    counted = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("count"))
+    keys = ", ".join(f"{b} {dict(values.dtypes)[b]}" for b in by)
+    return counted.groupBy(*by).applyInPandas(interval, f"{keys}, {INTERVAL}")
 
 
 def paired(values: DataFrame, base: str, by: list[str]) -> DataFrame:
@@ -142,8 +163,13 @@ def cohens_kappa(pairs: DataFrame, by: list[str], a: str, b: str, weights: str =
     return out.select(*by, "n", F.when(F.col("expected") > 0, 1 - F.col("observed") / F.col("expected")).alias("kappa"))
 
 
-def kappa_interval(pairs: DataFrame, by: list[str], a: str, b: str, weights: str = "none", draws: int = 2000, seed: int = 13) -> DataFrame:
-    """Kappa with a percentile interval: item counts redrawn from the confusion table; undefined draws are skipped."""
+def kappa_interval(
+    pairs: DataFrame, by: list[str], a: str, b: str, weights: str = "none", draws: int = 2000, seed: int = 13, scale: list[float] | None = None
+) -> DataFrame:
+    """Kappa with a percentile interval: item counts redrawn from the confusion table; undefined draws are skipped.
+
+    Distances are over the width of the scale, or of the labels seen.
+    """
 
     def kappas(n: np.ndarray, cost: np.ndarray) -> np.ndarray:
         total = n.sum((1, 2))
@@ -156,7 +182,8 @@ def kappa_interval(pairs: DataFrame, by: list[str], a: str, b: str, weights: str
         labels = np.unique(np.concatenate([rows["a"], rows["b"]]))
         n = np.zeros((len(labels), len(labels)))
         np.add.at(n, (np.searchsorted(labels, rows["a"]), np.searchsorted(labels, rows["b"])), rows["n"])
-        gap = np.abs(labels[:, None] - labels[None, :]) / max(labels[-1] - labels[0], 1e-12)
+        width = max(scale) - min(scale) if scale else labels[-1] - labels[0]
+        gap = np.abs(labels[:, None] - labels[None, :]) / max(width, 1e-12)
         cost = {"none": (gap > 0).astype(float), "linear": gap, "quadratic": gap**2}[weights]
         rng = np.random.default_rng(seed)
         drawn = rng.multinomial(int(n.sum()), (n / n.sum()).ravel(), draws).reshape(draws, *n.shape)
@@ -180,3 +207,65 @@ def compare_systems(values: DataFrame, clusters: DataFrame, base: str = "hybrid_
     tests = mcnemar_exact(diff.where(F.col("metric").startswith("recall")), by).withColumnRenamed("p_value", "mcnemar_p")
     claim = (F.col("verdict") != "no clear difference") & (F.col("holm_p") <= 0.05)
     return out.join(tests, by, "left").withColumn("claim", claim)
+
+
+def summarize_generation(records: DataFrame, cluster: str, **options) -> DataFrame:
+    """Every metric of generation records with its interval, resampling whole clusters; errors are never scored.
+
+    Five scores and the hallucination rate over judged answers, the share whose citations are in the context over
+    answers that cite, and the refusal rate over all that were generated.
+    """
+    pools = generation_pools(records)
+    judged = F.col("is_judged")
+    metrics = [(s, judged, F.col(s).cast("double")) for s in SCORES]
+    metrics.append(("hallucination_rate", judged, F.col("hallucination").cast("double")))
+    metrics.append(("citations_in_context_rate", F.col("is_answered") & F.col("citations_in_context").isNotNull(), F.col("citations_in_context").cast("double")))
+    metrics.append(("refusal_rate", F.col("in_scored_pool"), F.col("is_refused").cast("double")))
+    pairs = F.array(*[F.struct(F.lit(name).alias("metric"), F.when(where, value).alias("value")) for name, where, value in metrics])
+    values = pools.select(F.col(cluster).alias("cluster"), F.explode(pairs).alias("p")).select("cluster", "p.*").where("value IS NOT NULL")
+    return cluster_bootstrap(values, ["metric"], "cluster", **options)
+
+
+def judge_agreement(pairs: DataFrame, scored: tuple[str, ...], scale: list[float], draws: int = 2000, seed: int = 13) -> DataFrame:
+    """For each field of judge-human pairs (field, judge, human): n, agreement, kappa and, for scores, quadratic kappa.
+
+    Both kappas with intervals; a score's distances are over the fixed scale, and labels outside it are an error.
+    """
+    graded = pairs.where(F.col("field").isin(*scored))
+    share = pairs.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("judge") == F.col("human")).cast("double")).alias("agreement"))
+    cohens_kappa(graded, ["field"], "judge", "human", "quadratic", scale)  # raises for labels outside the scale
+    named = lambda df, name: df.select("field", F.col("kappa").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))
+    plain = named(kappa_interval(pairs, ["field"], "judge", "human", "none", draws, seed), "kappa")
+    weighted = named(kappa_interval(graded, ["field"], "judge", "human", "quadratic", draws, seed, scale), "kappa_quadratic")
+    return share.join(plain, "field", "left").join(weighted, "field", "left")
+
+
+def evaluate_retrieval(
+    items: DataFrame, ranked: DataFrame, gold: dict[str, tuple[DataFrame, str]], base: str = "hybrid_rrf",
+    fields: tuple[str, ...] = ("question_type", "bench"), breakdown_k: int = 5, states: DataFrame | None = None, **options,
+) -> dict[str, DataFrame]:
+    """Every system scored on the same questions: ``counts``, ``systems``, ``comparisons`` and ``breakdown``.
+
+    ``items`` has question_id, cluster and the fields; ``gold`` gives for each level the gold table (question_id, gold)
+    and the column of ``ranked`` that it names. Questions that ``states`` (question_id, state) does not call ok are counted
+    and left out. Intervals resample clusters. The breakdown is of the first level, where a field is not blank.
+    """
+    states = items.select("question_id", F.lit("ok").alias("state")) if states is None else states
+    counts = states.groupBy("state").agg(F.count(F.lit(1)).alias("questions"))
+    usable = items.join(states.where("state = 'ok'").select("question_id"), "question_id", "left_semi")
+    values = None
+    for level, (known, target) in gold.items():
+        known = known.join(usable.select("question_id"), "question_id", "left_semi")
+        part = metric_values(first_hits(ranked, known, target)).withColumn("level", F.lit(level))
+        values = part if values is None else values.unionByName(part)
+    values = staged(values)
+    by = ["level", "system", "metric"]
+    clusters = usable.select("question_id", "cluster")
+    clustered = values.join(clusters, "question_id")
+    sizes = clustered.groupBy(*by).agg(F.countDistinct("cluster").alias("clusters"))
+    systems = cluster_bootstrap(clustered, by, "cluster", **options).join(sizes, by)
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("bucket")) for f in fields])
+    buckets = usable.select("question_id", F.explode(pairs).alias("p")).select("question_id", "p.*").where("coalesce(trim(bucket), '') <> ''")
+    one = clustered.where((F.col("level") == next(iter(gold))) & (F.col("metric") == f"recall@{breakdown_k}"))
+    breakdown = cluster_bootstrap(one.join(buckets, "question_id"), ["field", "bucket", "system"], "cluster", **options)
+    return {"counts": counts, "systems": systems, "comparisons": compare_systems(values, clusters, base, **options), "breakdown": breakdown}

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import caseref, dates, textops
 from ..operators import corpus
+from ..sources import tables as T
+from ..sources.stages import scratch
 from .adapters import JUDGMENTS_SQL, MIN_CHARS, TODAY, judgments, table
 
 BUILD = corpus.Build(today=TODAY, min_chars=MIN_CHARS)
@@ -118,17 +120,21 @@ def links(spark, sf_dir):
     return corpus.build_corpus(judgments(spark, sf_dir), BUILD)[1]
 
 
-def _meta(spark, sf_dir):
-    return judgments(spark, sf_dir)
+def read_back(spark, sf_dir):
+    """Records in two folders, read by a folder and a glob of files; one wanted column is in none of them."""
+    folder = scratch(spark)
+    for k in range(2):
+        judgments(spark, sf_dir).where(F.col("d") % 2 == k).write.parquet(f"{folder}/{k}")
+    return T.read_judgments(spark, f"{folder}/0", f"{folder}/1/*.parquet", schema=f"d long, outcome string, {T.RECORD}")
 
 
 QUERIES = {
-    "src1_read_judgments": lambda s, d: judgments(s, d).select("d", "cnr", "bench", "title", "decision_date", F.sha1("full_text").alias("text_sha1")),
+    "src1_read_judgments": lambda s, d: read_back(s, d).select("d", "cnr", "bench", "title", "decision_date", "outcome", F.sha1("full_text").alias("text_sha1")),
     "src2_select_court": lambda s, d: judgments(s, d)
-    .withColumn("kept", F.coalesce((F.col("source_config") != "high_courts") | (F.col("court_code") == "27_1"), F.lit(False)))
+    .withColumn("kept", corpus.selected(BUILD))
     .groupBy("source_config")
     .agg(F.count(F.lit(1)).alias("scanned"), F.count_if(~F.col("kept")).alias("court_not_selected")),
-    "src4_cap_rows": lambda s, d: judgments(s, d).where("court_code = '27_1'").orderBy("d").limit(100).select("d", "cnr"),
+    "src4_cap_rows": lambda s, d: T.cap_rows(judgments(s, d).where("court_code = '27_1'"), 100, "d").select("d", "cnr"),
     "flt1_drop_missing_cnr": lambda s, d: judgments(s, d).where(textops.blank_to_null("cnr").isNotNull()).select("d", "cnr"),
     "flt2_drop_empty_text": lambda s, d: judgments(s, d).where(F.coalesce(textops.strip("full_text"), F.lit("")) != "").select("d"),
     "flt3_drop_corrupted": lambda s, d: judgments(s, d).where(~textops.is_corrupted("full_text")).select("d", textops.control_count("full_text").cast("long").alias("controls")),
@@ -181,7 +187,7 @@ _PARAGRAPHS = (
     r"'[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 )
 SQL = {
-    "src1_read_judgments": _J + "SELECT d, cnr, bench, title, decision_date, sha1(full_text) AS text_sha1 FROM j",
+    "src1_read_judgments": _J + "SELECT d, cnr, bench, title, decision_date, CAST(NULL AS VARCHAR) AS outcome, sha1(full_text) AS text_sha1 FROM j",
     "src2_select_court": _J + "SELECT source_config, count(*) AS scanned, count(*) FILTER (source_config = 'high_courts' AND court_code <> '27_1') AS court_not_selected FROM j GROUP BY 1",
     "src4_cap_rows": _J + "SELECT d, cnr FROM j WHERE court_code = '27_1' ORDER BY d LIMIT 100",
     "flt1_drop_missing_cnr": _J + "SELECT d, cnr FROM j WHERE trim(cnr) <> ''",

@@ -14,6 +14,7 @@ from ..operators import retrieval as R
 from ..operators import runlog as L
 from ..operators import stats as S
 from ..sources import tables as T
+from ..sources.stages import scratch, staged
 from .adapters import table
 from .report_queries import sql_wilson
 
@@ -32,7 +33,8 @@ GEN = [
     "CAST(1 + (d * 7 + 3) % 4 AS INT) AS overall_score", "CAST(d % 10 AS DOUBLE) / 10 AS unsupported_claim_rate",
     "toxic = 1 AS hallucination", "quality = 1 AS hit", "concat('type', CAST(d % 5 AS STRING)) AS question_type",
     "lang AS bench", "CASE WHEN d % 3 = 0 THEN NULL ELSE CAST(1 + (d * 3 + quality) % 4 AS INT) END AS human_relevance",
-    "quality", "toxic", "d",
+    "CASE WHEN d % 4 = 0 THEN NULL ELSE CAST(1 + (d * 7 + toxic) % 4 AS INT) END AS human_faithfulness", "d % 6 = 0 AS human_hallucination",
+    "CASE WHEN d % 5 = 0 THEN NULL ELSE d % 7 > 1 END AS citations_in_context", "quality", "toxic", "d",
 ]
 GEN_SQL = "gen AS (SELECT " + ", ".join(GEN) + " FROM (SELECT doc_id AS d, * FROM documents JOIN labels USING (doc_id)) AS x)"
 
@@ -59,20 +61,18 @@ SYSTEMS = ("bm25", "dense", "hybrid_rrf")
 
 
 def ranked(s, d):
-    """Lists of three systems by hash: documents that share the question's remainder of 40."""
-    docs = table(s, d, "documents").select("doc_id", "source", (F.col("doc_id") % 40).alias("m"))
-    items = table(s, d, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 40).alias("m"))
-    rows = docs.join(F.broadcast(items), "m").withColumn("system", F.explode(F.array(*[F.lit(x) for x in SYSTEMS])))
-    key = F.md5(F.concat_ws("|", "system", "question_id", "doc_id"))
-    out = R.rank_within(rows.withColumn("key", key), 50, F.col("key").asc(), F.col("doc_id").asc(), by=("question_id", "system"))
-    return out.select("question_id", "system", "rank", F.col("doc_id").alias("chunk_id"), F.col("source").alias("cnr"))
-
-
-RANKED_SQL = (
-    "ranked AS (SELECT question_id, system, rank, chunk_id, cnr FROM (SELECT item_id AS question_id, system, doc_id AS chunk_id, source AS cnr, "
-    "CAST(row_number() OVER (PARTITION BY item_id, system ORDER BY md5(system || '|' || item_id || '|' || doc_id), doc_id) AS INTEGER) AS rank "
-    "FROM documents JOIN benchmark ON doc_id % 40 = item_id % 40 CROSS JOIN (SELECT unnest(['bm25', 'dense', 'hybrid_rrf']) AS system)) WHERE rank <= 50)"
-)
+    """Lists of three systems for each question: BM25 over documents, exact vector search, and both fused.
+
+    A question's vector is that of id 20 * item_id; questions beyond the embeddings have no dense list.
+    """
+    words = staged(bm25(s, d))
+    known = table(s, d, "benchmark").selectExpr("item_id AS question_id")
+    near = dense(s, d).withColumn("question_id", F.expr("question_id div 20")).join(known, "question_id", "left_semi")
+    near = staged(near)
+    fused = R.rrf_fuse(R.union_ranked({"bm25": words, "dense": near}))
+    lists = R.union_ranked({"bm25": words, "dense": near, "hybrid_rrf": fused}).drop("list")
+    lists = R.attach_chunks(lists, table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("cnr")))
+    return staged(lists.select("question_id", "system", "rank", "chunk_id", "cnr"))
 
 
 def items(s, d):
@@ -91,15 +91,6 @@ def values(s, d):
     return M.metric_values(M.first_hits(ranked(s, d), gold(s, d), "cnr")).withColumn("level", F.lit("judgment"))
 
 
-VALUES_SQL = (
-    RANKED_SQL + ", " + ITEMS_SQL + ", hits AS (SELECT i.question_id, s.system, min(r.rank) AS hit_rank FROM items i CROSS JOIN (SELECT DISTINCT system FROM ranked) s "
-    "LEFT JOIN ranked r ON r.question_id = i.question_id AND r.system = s.system AND r.cnr = i.cnr GROUP BY 1, 2), "
-    "vals AS (SELECT question_id, system, 'judgment' AS level, unnest(['recall@1', 'recall@5', 'recall@10', 'recall@50', 'mrr@10']) AS metric, "
-    "unnest([CAST(coalesce(hit_rank <= 1, false) AS DOUBLE), CAST(coalesce(hit_rank <= 5, false) AS DOUBLE), CAST(coalesce(hit_rank <= 10, false) AS DOUBLE), "
-    "CAST(coalesce(hit_rank <= 50, false) AS DOUBLE), CASE WHEN hit_rank <= 10 THEN 1.0 / hit_rank ELSE 0.0 END]) AS value FROM hits)"
-)
-
-
 def clusters(s, d):
     return items(s, d).select("question_id", F.col("cnr").alias("cluster"))
 
@@ -113,32 +104,33 @@ WINDOWS_SQL = (
     "chunks AS (SELECT doc_id || '_chunk_' || k AS chunk_id, doc_id AS cnr, k AS chunk_index, k * 1000 AS chunk_start, least(k * 1000 + 1200, length(text)) AS chunk_end, "
     "substring(text, k * 1000 + 1, 1200) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) // 1000 + 1)) AS k FROM documents WHERE n_chars > 0))"
 )
-_PASSAGE = "CASE WHEN d % 3 = 0 THEN substring(text, CAST(1 + d % 700 AS INT), 420) ELSE concat('Unseen lead in words here ', substring(text, CAST(1 + d % 500 AS INT), 300)) END"
+_PASSAGE = "CASE WHEN d % 3 = 0 THEN substring(text, CAST(1 + d * 37 % greatest(n_chars - 420, 1) AS INT), 420) ELSE concat('Unseen lead in words here ', substring(text, CAST(1 + d * 53 % greatest(n_chars - 300, 1) AS INT), 300)) END"
 
 
 def evidence(s, d):
-    docs = table(s, d, "documents").withColumnRenamed("doc_id", "d").where("d % 10 = 3 AND n_chars > 900")
+    """A passage from somewhere in each document, as it stands or behind words that stand nowhere."""
+    docs = table(s, d, "documents").withColumnRenamed("doc_id", "d").where("n_chars > 0")
     return docs.selectExpr("d AS question_id", "d AS cnr", f"{_PASSAGE} AS supporting_text")
 
 
-EVIDENCE_SQL = f"evidence AS (SELECT d AS question_id, d AS cnr, {_PASSAGE} AS supporting_text FROM (SELECT doc_id AS d, text, n_chars FROM documents) WHERE d % 10 = 3 AND n_chars > 900)"
+EVIDENCE_SQL = f"evidence AS (SELECT d AS question_id, d AS cnr, {_PASSAGE} AS supporting_text FROM (SELECT doc_id AS d, text, n_chars FROM documents) WHERE n_chars > 0)"
 
 
 def _blocks(s, d):
     rows = ranked(s, d).where("system = 'bm25'")
-    docs = table(s, d, "documents").selectExpr("doc_id AS chunk_id", "substring(text, 1, 80) AS text", "CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS court_code", "CAST(NULL AS STRING) AS decision_date")
+    docs = table(s, d, "documents").selectExpr("doc_id AS chunk_id", "text", "CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS court_code", "CAST(NULL AS STRING) AS decision_date")
     return R.context_rows(rows, docs).join(table(s, d, "benchmark").selectExpr("item_id AS question_id", "text AS question"), "question_id")
 
 
 _CTX_SQL = (
-    "blocks AS (SELECT r.question_id, r.rank, r.chunk_id, substring(d.text, 1, 80) AS text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS court FROM ranked r "
+    "blocks AS (SELECT r.question_id, r.rank, r.chunk_id, d.text AS text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS court FROM ranked r "
     "JOIN documents d ON d.doc_id = r.chunk_id WHERE system = 'bm25' AND rank <= 5), ctx AS (SELECT question_id, string_agg('[Chunk ID: ' || chunk_id || ' | Court: ' || "
     "coalesce(nullif(court, ''), 'Unspecified') || ' | Date: Unspecified]' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS body FROM blocks GROUP BY 1)"
 )
 
 
 def bm25_queries(s, d):
-    return table(s, d, "benchmark").selectExpr("item_id AS question_id", "substring(text, 1, 60) AS query")
+    return table(s, d, "benchmark").selectExpr("item_id AS question_id", "text AS query")
 
 
 def doc_chunks(s, d):
@@ -151,40 +143,81 @@ def bm25(s, d, k=50):
 
 def dense(s, d, k=50):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return R.dense_search(v.where("id % 50 = 0"), v, k, exclude_self=True)
+    return R.dense_search(v.where("id % 20 = 0"), v, k, exclude_self=True)
 
 
 BM25_CTES = f"""
 bd AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '{W}') AS t FROM documents),
-bq AS (SELECT question_id, token, count(*) AS times FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(substring(text, 1, 60)), '{W}')) AS token FROM benchmark) GROUP BY 1, 2),
+bq AS (SELECT question_id, token, count(*) AS times FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM benchmark) GROUP BY 1, 2),
 bc AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM bd),
 bt AS (SELECT token, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS token FROM bd) GROUP BY 1, 2, 3),
 b0 AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT token, count(*) AS df FROM bt GROUP BY 1), bc),
-bi AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM b0) ELSE raw END AS idf FROM b0),
+bi AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM b0, (SELECT avg(raw) AS mean FROM b0)),
 bs AS (SELECT question_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM bq JOIN bt USING (token) JOIN bi USING (token), bc GROUP BY 1, 2),
-br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, chunk_id) AS k FROM bs) WHERE k <= 50),
+br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS k FROM bs) WHERE k <= 50),
 bf AS (SELECT question_id, chunk_id, score FROM br UNION ALL SELECT q.question_id, l.chunk_id, 0.0 FROM (SELECT DISTINCT question_id FROM bq) q
   CROSS JOIN (SELECT chunk_id FROM bd ORDER BY chunk_id LIMIT 100) l WHERE NOT EXISTS (SELECT 1 FROM br WHERE br.question_id = q.question_id AND br.chunk_id = l.chunk_id)
   AND (SELECT count(*) FROM br WHERE br.question_id = q.question_id) < 50),
-bm AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM bf QUALIFY rank <= 50)"""
+bm AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM bf QUALIFY rank <= 50)"""
 _DOT = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 DENSE_CTES = f"""
 de AS (SELECT question_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM (SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, {_DOT} AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT}, 12) DESC, v.vec_id) AS rank
-  FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 50)"""
+  FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 50)"""
 FUSE_CTES = """
+dq AS (SELECT question_id // 20 AS question_id, rank, chunk_id, score FROM de WHERE question_id // 20 IN (SELECT item_id FROM benchmark)),
 fu AS (SELECT question_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min({'a': list, 'b': rank}) AS seen FROM
-  (SELECT question_id, rank, chunk_id, 0 AS list FROM bm UNION ALL SELECT question_id, rank, chunk_id, 1 FROM de) GROUP BY 1, 2),
+  (SELECT question_id, rank, chunk_id, 0 AS list FROM bm UNION ALL SELECT question_id, rank, chunk_id, 1 FROM dq) GROUP BY 1, 2),
 fr AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, seen) AS INTEGER) AS rank, chunk_id, score FROM fu QUALIFY rank <= 50)"""
-RERANK_CTES = f"""
-rs AS (SELECT fr.question_id, fr.chunk_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END AS score FROM fr
-  JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 60)), '{W}')) AS a FROM benchmark) q ON q.item_id = fr.question_id
-  JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS b FROM documents) c ON c.doc_id = fr.chunk_id),
+
+
+def rerank_ctes(pool: str) -> str:
+    return f"""
+rs AS (SELECT p.question_id, p.chunk_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END AS score FROM {pool} p
+  JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS a FROM benchmark) q ON q.item_id = p.question_id
+  JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS b FROM documents) c ON c.doc_id = p.chunk_id),
 rr AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM rs)"""
 
 
-def fused(s, d):
-    return R.rrf_fuse(R.union_ranked({"bm25": bm25(s, d), "dense": dense(s, d)}))
+LISTS_SQL = f"{BM25_CTES}, {DENSE_CTES}, {FUSE_CTES}"
+RANKED_SQL = LISTS_SQL + """,
+ranked AS (SELECT question_id, system, rank, chunk_id, source AS cnr FROM (SELECT question_id, 'bm25' AS system, rank, chunk_id FROM bm
+  UNION ALL SELECT question_id, 'dense', rank, chunk_id FROM dq UNION ALL SELECT question_id, 'hybrid_rrf', rank, chunk_id FROM fr) LEFT JOIN documents ON doc_id = chunk_id)"""
+VALUES_SQL = (
+    RANKED_SQL + ", " + ITEMS_SQL + ", hits AS (SELECT i.question_id, s.system, min(r.rank) AS hit_rank FROM items i CROSS JOIN (SELECT DISTINCT system FROM ranked) s "
+    "LEFT JOIN ranked r ON r.question_id = i.question_id AND r.system = s.system AND r.cnr = i.cnr GROUP BY 1, 2), "
+    "vals AS (SELECT question_id, system, 'judgment' AS level, unnest(['recall@1', 'recall@5', 'recall@10', 'recall@50', 'mrr@10']) AS metric, "
+    "unnest([CAST(coalesce(hit_rank <= 1, false) AS DOUBLE), CAST(coalesce(hit_rank <= 5, false) AS DOUBLE), CAST(coalesce(hit_rank <= 10, false) AS DOUBLE), "
+    "CAST(coalesce(hit_rank <= 50, false) AS DOUBLE), CASE WHEN hit_rank <= 10 THEN 1.0 / hit_rank ELSE 0.0 END]) AS value FROM hits)"
+)
+
+
+def all_lists(s, d):
+    known = table(s, d, "benchmark").selectExpr("item_id AS question_id")
+    near = dense(s, d).withColumn("question_id", F.expr("question_id div 20")).join(known, "question_id", "left_semi")
+    return R.retrieve_all(bm25_queries(s, d), doc_chunks(s, d), near)
+
+
+def retrieval_records(s, d):
+    courts = table(s, d, "documents").selectExpr("doc_id AS chunk_id", "text", "source AS court_code", "CAST(NULL AS STRING) AS decision_date")
+    asked = bm25_queries(s, d).select("question_id").unionByName(s.range(-2, 0).selectExpr("id AS question_id"))
+    rows = R.retrieval_records(asked, ranked(s, d), courts)
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows.select(
+        "question_id", "status", ids(F.col("systems")["bm25"]).alias("bm25"), ids(F.col("systems")["hybrid_rrf"]).alias("hybrid"),
+        ids(F.transform(F.col("context")["hybrid_rrf"], lambda x: x["chunk_id"])).alias("context"),
+    )
+
+
+def agreement_pairs(s, d):
+    humans = gen(s, d).select("item_id", F.col("human_relevance").alias("answer_relevance"), F.col("human_faithfulness").alias("faithfulness"), F.col("human_hallucination").alias("hallucination"))
+    return L.judge_human_pairs(gen(s, d), humans, "item_id", ("answer_relevance", "faithfulness", "hallucination"))
+
+
+def evaluated(s, d, part):
+    known = items(s, d).withColumn("cluster", F.col("cnr"))
+    states = known.select("question_id", F.when(F.col("question_id") % 13 == 5, "error").otherwise("ok").alias("state"))
+    return S.evaluate_retrieval(known, ranked(s, d), {"judgment": (gold(s, d), "cnr")}, states=states, draws=2000)[part]
 
 
 def both_raters(s, d):
@@ -195,6 +228,30 @@ def _index(s, d):
     return R.bm25_index(doc_chunks(s, d))
 
 
+def benchmark_file(s, d):
+    """The benchmark as a JSON-lines file, read by the reader."""
+    folder = f"{scratch(s)}/benchmark.jsonl"
+    table(s, d, "benchmark").selectExpr("item_id AS question_id", "CASE WHEN item_id % 3 = 0 AND item_id % 2 = 0 THEN ' ' ELSE concat('src', CAST(item_id AS STRING)) END AS source_cnr", "CASE WHEN item_id % 2 = 0 THEN array('g1', 'g2') END AS gold_cnrs").write.json(folder)
+    return T.load_benchmark(s, folder).select("question_id", F.array_join("gold_cnrs", ",").alias("gold"), "group")
+
+
+LOG_LINE = "CASE WHEN event_id % 13 = 0 THEN '{broken' ELSE concat('{\"id\": ', CAST(user_id AS STRING), ', \"event\": ', CAST(event_id AS STRING), ', \"status\": \"', event_type, '\"}') END AS value"
+
+
+def log_file(s, d):
+    """Events as one log file in their order, read by the reader: the last record of each user."""
+    folder = scratch(s)
+    table(s, d, "events").selectExpr("event_id", LOG_LINE).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(folder)
+    last, broken = T.read_result_log(s, folder, "id long, event long, status string", "id")
+    return last.select("id", F.col("event").alias("event_id"), "status").join(F.broadcast(broken))
+
+
+def embedding_file(s, d):
+    n = table(s, d, "embeddings").count()
+    vectors = T.read_embeddings(s, f"{d}/embeddings.parquet", 64, n)
+    return vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
+
+
 REPLIES = (
     "concat(CASE d % 3 WHEN 0 THEN '<think>x</think>' WHEN 1 THEN '```json ' ELSE '' END, '{\"answer_relevance\": ', CAST(1 + d % 5 AS STRING), "
     "', \"faithfulness\": 2, \"citation_correctness\": \"3\", \"overall_score\": 4.0, \"unsupported_claim_rate\": 0.', CAST(d % 10 AS STRING), "
@@ -222,10 +279,11 @@ QUERIES = {
     "jon3_gold_span_overlap": lambda s, d: G.gold_span_overlap(evidence(s, d), table(s, d, "documents").select(F.col("doc_id").alias("cnr"), "text"), windows(s, d)),
     "jon4_gold_similarity": lambda s, d: G.gold_similarity(evidence(s, d), windows(s, d), 0.3, 3),
     "win9_one_per_cnr": lambda s, d: G.one_per_cnr(items(s, d)).select("question_id", "cnr"),
-    "src8_load_benchmark": lambda s, d: T.normalize_benchmark(table(s, d, "benchmark").selectExpr("item_id AS question_id", "CASE WHEN item_id % 3 = 0 THEN ' ' ELSE concat('src', CAST(item_id AS STRING)) END AS source_cnr", "CASE WHEN item_id % 2 = 0 THEN array('g1', 'g2') END AS gold_cnrs")).select("question_id", F.array_join("gold_cnrs", ",").alias("gold"), "group"),
+    "src8_load_benchmark": benchmark_file,
     "src8_benchmark_problems": lambda s, d: T.benchmark_problems(T.normalize_benchmark(table(s, d, "benchmark").selectExpr("CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 1 THEN 'same' ELSE CAST(item_id AS STRING) END AS question_id", "CASE WHEN item_id % 5 > 0 THEN concat('src', CAST(item_id AS STRING)) END AS source_cnr"))),
-    "src9_read_result_log": lambda s, d: L.parse_log(table(s, d, "events").selectExpr("event_id AS line", "CASE WHEN event_id % 13 = 0 THEN '{broken' ELSE concat('{\"id\": ', CAST(user_id AS STRING), ', \"status\": \"', event_type, '\"}') END AS value"), "id long, status string", "id"),
-    "src10_read_embeddings": lambda s, d: R.check_embeddings(table(s, d, "embeddings"), "embedding"),
+    "src9_read_result_log": log_file,
+    "src10_read_embeddings": embedding_file,
+    "src10_check_embeddings": lambda s, d: R.check_embeddings(table(s, d, "embeddings"), "embedding"),
     "win8_last_record_wins": lambda s, d: L.last_record_wins(table(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id"),
     "flt10_usable_questions": lambda s, d: L.usable_questions(table(s, d, "customer").selectExpr("c_custkey AS user_id"), L.last_record_wins(table(s, d, "events").selectExpr("user_id", "event_id", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status"), "user_id", "event_id"), "user_id").groupBy("state").agg(F.count(F.lit(1)).alias("n")),
     "jon6_retrieval_for_items": lambda s, d: L.retrieval_for_items(items(s, d).select("question_id"), table(s, d, "documents").selectExpr("doc_id AS question_id", "CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status"), "question_id"),
@@ -244,11 +302,12 @@ QUERIES = {
     "ret3_normalize_index": lambda s, d: R.normalize_index(table(s, d, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x * 3)), "vec_id", "embedding").select("chunk_id", F.round(F.get("embedding", 0).cast("double"), 5).alias("x0"), F.size("embedding").alias("dim")),
     "scl32_l2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", A.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 2)).alias("u")).select("vec_id", F.round(F.get("u", 1), 6).alias("u1")),
     "ret4_dense_search": lambda s, d: rounded(dense(s, d), "score"),
-    "ret5_rrf_fuse": lambda s, d: rounded(R.rrf_fuse(ranked(s, d).withColumn("list", F.when(F.col("system") == "bm25", 0).when(F.col("system") == "dense", 1).otherwise(2))), "score"),
+    "ret5_rrf_fuse": lambda s, d: rounded(R.rrf_fuse(ranked(s, d).where("system <> 'hybrid_rrf'").withColumn("list", F.when(F.col("system") == "bm25", 0).otherwise(1))), "score"),
     "set3_union_ranked": lambda s, d: R.union_ranked({"x": ranked(s, d).where("system = 'bm25'"), "y": ranked(s, d).where("system = 'dense'")}).groupBy("system", "list").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("deepest")),
     "ret6_rerank": lambda s, d: rounded(R.rerank(ranked(s, d).where("system = 'bm25'"), bm25_queries(s, d), doc_chunks(s, d), k=5), "score"),
     "win7_rank_within_query": lambda s, d: ranked(s, d).where("rank <= 10").select("question_id", "system", "rank", "chunk_id"),
-    "ret7_retrieve_all": lambda s, d: rounded(R.retrieve_all(bm25_queries(s, d).where("question_id % 50 = 0"), doc_chunks(s, d), dense(s, d).where("question_id = 0")), "score"),
+    "ret7_retrieve_all": lambda s, d: rounded(all_lists(s, d), "score"),
+    "ret7_retrieval_records": retrieval_records,
     "jon5_attach_chunk_meta": lambda s, d: R.attach_chunks(ranked(s, d).where("rank <= 3").select("question_id", "system", (F.col("chunk_id") * 2).alias("chunk_id")), table(s, d, "documents").selectExpr("doc_id AS chunk_id", "source AS court", "lang")),
     "top2_context_rows": lambda s, d: _blocks(s, d).select("question_id", F.array_join(F.transform("context", lambda c: c["chunk_id"].cast("string")), ",").alias("ids")),
     "scl31_query_instruction": lambda s, d: table(s, d, "benchmark").select("item_id", A.query_instruction("text", "Th").alias("q")),
@@ -294,10 +353,15 @@ QUERIES = {
     "sta6_quadratic_kappa": lambda s, d: rounded(S.cohens_kappa(both_raters(s, d), ["question_type"], "a", "b", "quadratic", [1, 2, 3, 4]), "kappa"),
     "sta7_kappa_interval": lambda s, d: S.kappa_interval(both_raters(s, d), ["question_type"], "a", "b", "quadratic"),
     "sta8_compare_systems": lambda s, d: S.compare_systems(values(s, d), clusters(s, d), draws=2000),
-    "sta9_summarize_generation": lambda s, d: S.cluster_bootstrap(_long_scores(s, d), ["metric"], "cluster", 2000),
-    "sta9_generation_estimates": lambda s, d: rounded(_long_scores(s, d).groupBy("metric").agg(F.avg("value").alias("estimate"), F.count(F.lit(1)).alias("n")), "estimate"),
-    "sta10_judge_agreement": lambda s, d: rounded(S.cohens_kappa(both_raters(s, d).select("a", "b"), [], "a", "b", "quadratic", [1, 2, 3, 4]), "kappa"),
-    "sta11_evaluate_retrieval": lambda s, d: S.cluster_bootstrap(values(s, d).join(clusters(s, d), "question_id"), BY, "cluster", 2000).join(M.retrieval_scores(values(s, d)).select(*BY, "mean"), BY),
+    "sta9_summarize_generation": lambda s, d: S.summarize_generation(gen(s, d), "cluster", draws=2000),
+    "sta9_generation_estimates": lambda s, d: rounded(S.summarize_generation(gen(s, d), "cluster", draws=200).select("metric", "estimate", "n"), "estimate"),
+    "sta10_judge_agreement": lambda s, d: rounded(S.judge_agreement(agreement_pairs(s, d), ("answer_relevance", "faithfulness"), [1, 2, 3, 4], 200).select("field", "n", "agreement", "kappa", "kappa_quadratic"), "agreement", "kappa", "kappa_quadratic"),
+    "sta10_agreement_intervals": lambda s, d: S.judge_agreement(agreement_pairs(s, d), ("answer_relevance", "faithfulness"), [1, 2, 3, 4]),
+    "sta11_evaluate_retrieval": lambda s, d: evaluated(s, d, "systems"),
+    "sta11_estimates": lambda s, d: rounded(evaluated(s, d, "systems").select("level", "system", "metric", "estimate", "n", "clusters"), "estimate"),
+    "sta11_counts": lambda s, d: evaluated(s, d, "counts"),
+    "sta11_breakdown": lambda s, d: rounded(evaluated(s, d, "breakdown").select("field", "bucket", "system", "estimate", "n"), "estimate"),
+    "sta11_comparisons": lambda s, d: rounded(evaluated(s, d, "comparisons").select("level", "system", "metric", "difference", "n", "a_only", "b_only"), "difference"),
     "win10_holm_adjust": lambda s, d: rounded(S.holm_adjust(table(s, d, "nation").selectExpr("n_nationkey", "n_regionkey", "CAST(n_nationkey * 7 % 25 + 1 AS DOUBLE) / 200 AS p"), "p", ["n_regionkey"], ["n_nationkey"]), "p", "holm_p"),
 }
 
@@ -306,12 +370,6 @@ def _labelled(df):
     return df.withColumn("failure_label", A.label_failure(F.col("generation_ok"), F.col("refused"), F.col("judge_status") == "ok", F.col("hit"), F.col("hallucination"), F.col("faithfulness"), F.col("answer_relevance"), F.col("citation_correctness")))
 
 
-def _long_scores(s, d):
-    pools = M.generation_pools(gen(s, d)).where("is_judged")
-    pairs = F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value")) for x in (*M.SCORES, "hallucination")])
-    return pools.select("cluster", F.explode(pairs).alias("p")).select("cluster", "p.*")
-
-
 def _cited(s, d):
     """Answers that cite three ids: one from their list, one from another judgment, one that was not retrieved."""
     rows = ranked(s, d).where("system = 'bm25'")
@@ -341,12 +399,18 @@ def _match(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_{_SP}]', ' ', 'g'), '[{_SP}]+', ' ', 'g'))"
 
 
+def _same(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[{_SP}]+', ' ', 'g'))"
+
+
 _MATCHED = f"WITH {WINDOWS_SQL}, {EVIDENCE_SQL}, e AS (SELECT question_id, cnr, {_match('supporting_text')} AS p FROM evidence), c AS (SELECT chunk_id, cnr, chunk_index, {_match('text')} AS t FROM chunks), exact AS (SELECT question_id, chunk_id FROM e JOIN c USING (cnr) WHERE p <> '' AND contains(t, p)) "
 _CITED = "_cite AS (SELECT question_id, list_sort(list(chunk_id)) AS ids FROM ranked WHERE system = 'bm25' AND rank IN (1, 3) GROUP BY 1), answers AS (SELECT i.question_id, CASE WHEN i.question_id % 2 = 0 THEN r.cnr ELSE i.cnr END AS cnr, list_append(ids, -1) AS cited FROM items i JOIN _cite USING (question_id) JOIN ranked r ON r.question_id = i.question_id AND r.system = 'bm25' AND r.rank = 1), kinds AS (SELECT a.question_id, a.chunk_id, CASE WHEN r.cnr IS NULL THEN 'not_retrieved' WHEN r.cnr = a.cnr THEN 'correct_judgment' ELSE 'wrong_judgment' END AS kind FROM (SELECT question_id, cnr, unnest(cited) AS chunk_id FROM answers) a LEFT JOIN ranked r ON r.question_id = a.question_id AND r.chunk_id = a.chunk_id AND r.system = 'bm25')"
 _CITES = r"list_distinct(regexp_extract_all(answer, '(?i)\[Chunk ID:\s*([^\]|\s][^\]|]*?)\s*(?:\||\])', 1))"
 _ORDERED = "list_filter({c}, lambda x, i: list_position({c}, x) = i)".format(c=r"regexp_extract_all(answer, '(?i)\[Chunk ID:\s*([^\]|\s][^\]|]*?)\s*(?:\||\])', 1)")
 _PAIRED = _V + ", pd AS (SELECT a.question_id, a.system, a.level, a.metric, a.value AS va, b.value AS vb FROM vals a JOIN vals b USING (question_id, level, metric) WHERE a.system <> 'hybrid_rrf' AND b.system = 'hybrid_rrf') "
-_LONG = _G + ", lg AS (SELECT unnest(['answer_relevance', 'faithfulness', 'citation_correctness', 'overall_score', 'unsupported_claim_rate', 'hallucination']) AS metric, unnest([CAST(answer_relevance AS DOUBLE), faithfulness, citation_correctness, overall_score, unsupported_claim_rate, CAST(hallucination AS DOUBLE)]) AS value FROM gen WHERE generation_ok AND NOT refused AND judge_status = 'ok') "
+_LONG = _G + ", lg AS (SELECT unnest(['answer_relevance', 'faithfulness', 'citation_correctness', 'overall_score', 'unsupported_claim_rate', 'hallucination_rate']) AS metric, unnest([CAST(answer_relevance AS DOUBLE), faithfulness, citation_correctness, overall_score, unsupported_claim_rate, CAST(hallucination AS DOUBLE)]) AS value FROM gen WHERE generation_ok AND NOT refused AND judge_status = 'ok' UNION ALL SELECT 'citations_in_context_rate', CAST(citations_in_context AS DOUBLE) FROM gen WHERE generation_ok AND NOT refused AND citations_in_context IS NOT NULL UNION ALL SELECT 'refusal_rate', CAST(refused AS DOUBLE) FROM gen WHERE generation_ok) "
+_AGREE = _G + ", p AS (SELECT 'answer_relevance' AS field, CAST(answer_relevance AS DOUBLE) AS a, CAST(human_relevance AS DOUBLE) AS b FROM gen WHERE human_relevance IS NOT NULL UNION ALL SELECT 'faithfulness', faithfulness, human_faithfulness FROM gen WHERE human_faithfulness IS NOT NULL UNION ALL SELECT 'hallucination', CAST(hallucination AS DOUBLE), CAST(human_hallucination AS DOUBLE) FROM gen), o AS (SELECT field, count(*) AS n, avg(CAST(a = b AS DOUBLE)) AS same, avg(CAST(a <> b AS DOUBLE)) AS d0, avg((a - b) * (a - b) / 9) AS d2 FROM p GROUP BY 1), x AS (SELECT field, a, count(*) AS n FROM p GROUP BY 1, 2), y AS (SELECT field, b, count(*) AS n FROM p GROUP BY 1, 2), c AS (SELECT field, sum(CAST(a <> b AS DOUBLE) * x.n * y.n) AS c0, sum((a - b) * (a - b) / 9 * x.n * y.n) AS c2 FROM x JOIN y USING (field) GROUP BY 1) "
+_USABLE = _V + ", uv AS (SELECT vals.*, cnr FROM vals JOIN items USING (question_id) WHERE question_id % 13 <> 5) "
 _MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in M.SCORES)
 _CAND = _R + ", v AS (SELECT *, CASE WHEN trim(cnr) = '' OR trim(bench) = '' OR trim(question_type) = '' THEN 'blank_field' WHEN question_type NOT IN ('type0', 'type1', 'type2') THEN 'unknown_type' WHEN question_id % 6 = 0 THEN 'no_gold' END AS reason FROM items) "
 SQL = {
@@ -354,12 +418,19 @@ SQL = {
     "agg38_chunk_stats": f"WITH {WINDOWS_SQL} SELECT substring('C' || cnr, 1, 2) AS prefix, count(*) AS chunks, count(DISTINCT cnr) AS judgments, round(avg(length(text)), 6) AS mean_length, max(length(text)) AS max_length FROM chunks GROUP BY 1",
     "jon1_gold_exact": _MATCHED + "SELECT * FROM exact",
     "jon2_gold_window": _MATCHED + ", w AS (SELECT question_id, cnr, string_split(p, ' ') AS w FROM e WHERE p <> '' AND question_id NOT IN (SELECT question_id FROM exact)), s AS (SELECT *, unnest([60, 40, 25, 15, 10]) AS size FROM w), o AS (SELECT question_id, cnr, size, w, unnest(range(0, len(w) - size + 1, greatest(1, size // 2))) AS pos FROM s WHERE len(w) >= size), h AS (SELECT question_id, size, chunk_id, min({'p': pos, 'i': chunk_index}) AS seen FROM o JOIN c USING (cnr) WHERE contains(t, array_to_string(w[pos + 1:pos + size], ' ')) GROUP BY 1, 2, 3), m AS (SELECT *, max(size) OVER (PARTITION BY question_id) AS best FROM h) SELECT question_id, chunk_id, size, CAST(row_number() OVER (PARTITION BY question_id ORDER BY seen, chunk_id) AS INTEGER) AS place FROM m WHERE size = best",
-    "jon3_gold_span_overlap": f"WITH {WINDOWS_SQL}, {EVIDENCE_SQL}, sp AS (SELECT question_id, cnr, instr(lower(d.text), lower(supporting_text)) - 1 AS st, length(supporting_text) AS n FROM evidence JOIN documents d ON d.doc_id = cnr) SELECT question_id, chunk_id FROM sp JOIN chunks USING (cnr) WHERE st >= 0 AND chunk_start < st + n AND chunk_end > st",
+    "jon3_gold_span_overlap": f"WITH {WINDOWS_SQL}, {EVIDENCE_SQL}, e AS (SELECT question_id, cnr, {_same('supporting_text')} AS p FROM evidence), t AS (SELECT doc_id AS cnr, {_same('text')} AS t FROM documents), c AS (SELECT chunk_id, cnr, chunk_index, {_same('text')} AS c FROM chunks), "
+    "sp AS (SELECT question_id, cnr, instr(t, p) - 1 AS st, length(p) AS n FROM e JOIN t USING (cnr) WHERE p <> ''), pl AS (SELECT cnr, chunk_id, instr(t, c) - 1 AS lo, length(c) AS m FROM c JOIN t USING (cnr)), "
+    "h AS (SELECT DISTINCT question_id, chunk_id FROM sp JOIN pl USING (cnr) WHERE st >= 0 AND lo >= 0 AND lo < st + n AND lo + m > st), "
+    "w AS (SELECT question_id, cnr, string_split(p, ' ') AS w FROM e WHERE p <> '' AND question_id NOT IN (SELECT question_id FROM h)), s AS (SELECT *, unnest([60, 40, 25, 15, 10]) AS size FROM w), "
+    "o AS (SELECT question_id, cnr, size, w, unnest(range(0, len(w) - size + 1)) AS pos FROM s WHERE len(w) >= size), "
+    "f AS (SELECT question_id, arg_min(chunk_id, {'a': -size, 'b': pos, 'c': chunk_index}) AS chunk_id FROM o JOIN c USING (cnr) WHERE contains(c, array_to_string(w[pos + 1:pos + size], ' ')) GROUP BY 1) "
+    "SELECT * FROM h UNION ALL SELECT * FROM f",
     "win9_one_per_cnr": _R + "SELECT min(question_id) AS question_id, cnr FROM items GROUP BY 2",
-    "src8_load_benchmark": "SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'g1,g2' WHEN item_id % 3 > 0 THEN 'src' || item_id END AS gold, CASE WHEN item_id % 3 > 0 THEN 'src' || item_id WHEN item_id % 2 = 0 THEN 'g1' ELSE CAST(item_id AS VARCHAR) END AS \"group\" FROM benchmark",
+    "src8_load_benchmark": "SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'g1,g2' ELSE 'src' || item_id END AS gold, CASE WHEN item_id % 6 = 0 THEN 'g1' ELSE 'src' || item_id END AS \"group\" FROM benchmark",
     "src8_benchmark_problems": "WITH x AS (SELECT CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 1 THEN 'same' ELSE CAST(item_id AS VARCHAR) END AS question_id, item_id % 5 > 0 AS gold FROM benchmark) SELECT question_id, CASE WHEN trim(question_id) = '' THEN 'blank_id' ELSE 'no_gold' END AS problem FROM x WHERE trim(question_id) = '' OR NOT gold UNION ALL SELECT question_id, 'repeated_id' FROM x WHERE trim(question_id) <> '' GROUP BY 1 HAVING count(*) > 1",
-    "src9_read_result_log": "SELECT event_id AS line, user_id AS id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id % 13 > 0) WHERE k = 1",
-    "src10_read_embeddings": "SELECT count(*) AS rows, CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim FROM embeddings",
+    "src9_read_result_log": "SELECT user_id AS id, event_id, event_type AS status, (SELECT count(*) FROM events) AS lines, (SELECT count(*) FROM events WHERE event_id % 13 = 0) AS broken FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id % 13 > 0) WHERE k = 1",
+    "src10_read_embeddings": "SELECT label, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1",
+    "src10_check_embeddings": "SELECT count(*) AS rows, CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim FROM embeddings",
     "win8_last_record_wins": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "flt10_usable_questions": "WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) SELECT CASE WHEN t IS NULL THEN 'not_run' WHEN t = 'error' THEN 'error' ELSE 'ok' END AS state, count(*) AS n FROM customer LEFT JOIN l ON user_id = c_custkey GROUP BY 1",
     "jon6_retrieval_for_items": "SELECT item_id AS question_id, NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = item_id AND doc_id % 3 > 0) AS skipped FROM benchmark",
@@ -378,11 +449,12 @@ SQL = {
     "ret3_normalize_index": "SELECT vec_id AS chunk_id, round(CAST(CAST(embedding[1] * 3 / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * 9) AS FLOAT) AS DOUBLE), 5) AS x0, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings",
     "scl32_l2_normalize": "SELECT vec_id, round(CAST(embedding[2] AS DOUBLE) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS u1 FROM embeddings",
     "ret4_dense_search": f"WITH {DENSE_CTES} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM de",
-    "ret5_rrf_fuse": _R + ", f AS (SELECT question_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min({'l': CASE system WHEN 'bm25' THEN 0 WHEN 'dense' THEN 1 ELSE 2 END, 'r': rank}) AS seen FROM ranked GROUP BY 1, 2) SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, seen) AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM f QUALIFY rank <= 50",
+    "ret5_rrf_fuse": f"WITH {LISTS_SQL} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM fr",
     "set3_union_ranked": _R + "SELECT 'x' AS system, 0 AS list, count(*) AS n, max(rank) AS deepest FROM ranked WHERE system = 'bm25' UNION ALL SELECT 'y', 1, count(*), max(rank) FROM ranked WHERE system = 'dense'",
-    "ret6_rerank": _R + f", fr AS (SELECT question_id, chunk_id FROM ranked WHERE system = 'bm25'), {RERANK_CTES} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM rr WHERE rank <= 5",
+    "ret6_rerank": f"WITH {LISTS_SQL}, {rerank_ctes('bm')} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM rr WHERE rank <= 5",
     "win7_rank_within_query": _R + "SELECT question_id, system, rank, chunk_id FROM ranked WHERE rank <= 10",
-    "ret7_retrieve_all": f"WITH {BM25_CTES.replace('AS token FROM benchmark)', 'AS token FROM benchmark WHERE item_id % 50 = 0)')}, {DENSE_CTES.replace('q.vec_id % 50 = 0', 'q.vec_id = 0')}, {FUSE_CTES}, {RERANK_CTES} SELECT question_id, 'bm25' AS system, rank, chunk_id, round(score, 6) AS score FROM bm UNION ALL SELECT question_id, 'dense', rank, chunk_id, round(score, 6) FROM de UNION ALL SELECT question_id, 'hybrid_rrf', rank, chunk_id, round(score, 6) FROM fr UNION ALL SELECT question_id, 'hybrid_rerank', rank, chunk_id, round(score, 6) FROM rr",
+    "ret7_retrieve_all": f"WITH {LISTS_SQL}, {rerank_ctes('fr')} SELECT question_id, 'bm25' AS system, rank, chunk_id, round(score, 6) AS score FROM bm UNION ALL SELECT question_id, 'dense', rank, chunk_id, round(score, 6) FROM dq UNION ALL SELECT question_id, 'hybrid_rrf', rank, chunk_id, round(score, 6) FROM fr UNION ALL SELECT question_id, 'hybrid_rerank', rank, chunk_id, round(score, 6) FROM rr",
+    "ret7_retrieval_records": _R + ", q AS (SELECT item_id AS question_id FROM benchmark UNION ALL SELECT unnest([-2, -1])), l AS (SELECT question_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) FILTER (system = 'bm25') AS bm25, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) FILTER (system = 'hybrid_rrf') AS hybrid, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) FILTER (system = 'hybrid_rrf' AND rank <= 5) AS context FROM ranked GROUP BY 1) SELECT question_id, CASE WHEN bm25 IS NULL THEN 'error' ELSE 'ok' END AS status, bm25, hybrid, context FROM q LEFT JOIN l USING (question_id)",
     "jon5_attach_chunk_meta": _R + "SELECT r.question_id, r.system, r.chunk_id * 2 AS chunk_id, source AS court, lang FROM ranked r LEFT JOIN documents ON doc_id = r.chunk_id * 2 WHERE rank <= 3",
     "top2_context_rows": _R + "SELECT question_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM ranked WHERE system = 'bm25' AND rank <= 5 GROUP BY 1",
     "scl31_query_instruction": "SELECT item_id, CASE WHEN starts_with(text, 'Th') THEN text ELSE 'Th' || text END AS q FROM benchmark",
@@ -423,6 +495,10 @@ SQL = {
     "sta6_cohens_kappa": _kappa_sql("none"),
     "sta6_quadratic_kappa": _kappa_sql("quadratic"),
     "sta9_generation_estimates": _LONG + "SELECT metric, round(avg(value), 6) AS estimate, count(*) AS n FROM lg GROUP BY 1",
-    "sta10_judge_agreement": _kappa_sql("quadratic").replace("SELECT question_type, answer_relevance AS a", "SELECT 'all' AS question_type, answer_relevance AS a").replace("SELECT question_type, o.n AS n", "SELECT o.n AS n"),
+    "sta10_judge_agreement": _AGREE + "SELECT field, o.n AS n, round(same, 6) AS agreement, round(CASE WHEN c0 > 0 THEN 1 - d0 / (c0 / (o.n * o.n)) END, 6) AS kappa, round(CASE WHEN field <> 'hallucination' AND c2 > 0 THEN 1 - d2 / (c2 / (o.n * o.n)) END, 6) AS kappa_quadratic FROM o JOIN c USING (field)",
+    "sta11_estimates": _USABLE + "SELECT level, system, metric, round(avg(value), 6) AS estimate, count(*) AS n, count(DISTINCT cnr) AS clusters FROM uv GROUP BY 1, 2, 3",
+    "sta11_counts": "SELECT CASE WHEN item_id % 13 = 5 THEN 'error' ELSE 'ok' END AS state, count(*) AS questions FROM benchmark GROUP BY 1",
+    "sta11_breakdown": _USABLE + ", k AS (SELECT question_id, 'question_type' AS field, question_type AS bucket FROM items UNION ALL SELECT question_id, 'bench', bench FROM items WHERE bench <> '') SELECT field, bucket, system, round(avg(value), 6) AS estimate, count(*) AS n FROM uv JOIN k USING (question_id) WHERE metric = 'recall@5' GROUP BY 1, 2, 3",
+    "sta11_comparisons": _USABLE + ", cp AS (SELECT a.level, a.system, a.metric, a.value AS va, b.value AS vb FROM uv a JOIN uv b USING (question_id, level, metric) WHERE a.system <> 'hybrid_rrf' AND b.system = 'hybrid_rrf') SELECT level, system, metric, round(avg(va - vb), 6) AS difference, count(*) AS n, CASE WHEN metric LIKE 'recall%' THEN count(*) FILTER (va > 0 AND vb = 0) END AS a_only, CASE WHEN metric LIKE 'recall%' THEN count(*) FILTER (vb > 0 AND va = 0) END AS b_only FROM cp GROUP BY 1, 2, 3",
     "win10_holm_adjust": "WITH x AS (SELECT n_nationkey, n_regionkey, CAST(n_nationkey * 7 % 25 + 1 AS DOUBLE) / 200 AS p FROM nation), y AS (SELECT *, (count(*) OVER (PARTITION BY n_regionkey) - row_number() OVER (PARTITION BY n_regionkey ORDER BY p, n_nationkey) + 1) * p AS r FROM x) SELECT n_nationkey, n_regionkey, round(p, 6) AS p, round(least(1.0, max(r) OVER (PARTITION BY n_regionkey ORDER BY p, n_nationkey ROWS UNBOUNDED PRECEDING)), 6) AS holm_p FROM y",
 }

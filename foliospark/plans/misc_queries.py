@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..operators import corpus, quality
 from ..operators import retrieval as R
 from ..sources import tables as T
+from ..sources.stages import scratch
 from ..streaming.collect import stream_collect, stream_resume
 from . import eval_queries as E
 from .adapters import judgments, table
-from .corpus_queries import BUILD, BUILD_SQL, ROWS_SQL, labelled, links, rows
-
-
-def scratch(spark) -> str:
-    """A new folder that driver and executors share; a local temporary one only for a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        shared = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared or tempfile.mkdtemp(prefix='foliospark-')}/{uuid.uuid4().hex}"
+from .corpus_queries import BUILD, BUILD_SQL, ROWS_SQL, labelled
 
 
 def write_and_read(s, d):
     """Corpus tables written and read back: rows and characters of each."""
     folder = scratch(s)
-    T.write_corpus(rows(s, d).select(*corpus.OUTPUT), links(s, d), folder)
+    T.write_corpus(*corpus.build_corpus(judgments(s, d), BUILD), folder)
     search = s.read.parquet(f"{folder}/search_corpus").select("clean_chars")
     lookup = s.read.parquet(f"{folder}/lookup_only").select("clean_chars")
     removed = s.read.parquet(f"{folder}/duplicate_links")
@@ -39,7 +29,8 @@ def write_and_read(s, d):
 
 def report_and_read(s, d):
     folder = scratch(s)
-    T.write_report(s, folder, outcomes=corpus.outcome_counts(labelled(s, d)), links=quality.link_stats(links(s, d)))
+    known = labelled(s, d)
+    T.write_report(s, folder, outcomes=corpus.outcome_counts(known), links=quality.link_stats(corpus.duplicate_links(known)))
     report = s.read.json(folder)
     return report.select(F.explode("outcomes").alias("o")).select("o.source_config", "o.outcome", "o.n")
 
@@ -88,8 +79,10 @@ def repeats(s, d):
 
 
 def flagship(s, d):
-    """BM25 lists of every question fused with a second ranked list by reciprocal rank, with each document's source."""
-    fused = R.rrf_fuse(R.union_ranked({"bm25": E.bm25(s, d), "hash": E.ranked(s, d).where("system = 'dense'").drop("system", "cnr")}), top=10)
+    """BM25 and dense lists of every question fused by reciprocal rank: the first ten, with each document's source."""
+    lists = E.ranked(s, d)
+    both = R.union_ranked({name: lists.where(F.col("system") == name) for name in ("bm25", "dense")})
+    fused = R.rrf_fuse(both, top=10)
     return E.rounded(R.attach_chunks(fused, table(s, d, "documents").selectExpr("doc_id AS chunk_id", "source AS cnr")), "score")
 
 
@@ -108,7 +101,7 @@ QUERIES = {
 
 _OUT = ", ".join(f"'{x}'" for x in (*corpus.DROP_REASONS, *corpus.KEPT))
 SQL = {
-    "flagship_hybrid": f"WITH {E.BM25_CTES}, {E.RANKED_SQL}, u AS (SELECT question_id, rank, chunk_id, 0 AS list FROM bm UNION ALL SELECT question_id, rank, chunk_id, 1 FROM ranked WHERE system = 'dense'), f AS (SELECT question_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min({{'a': list, 'b': rank}}) AS seen FROM u GROUP BY 1, 2), r AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, seen) AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM f QUALIFY rank <= 10) SELECT r.*, source AS cnr FROM r LEFT JOIN documents ON doc_id = chunk_id",
+    "flagship_hybrid": f"WITH {E.LISTS_SQL} SELECT question_id, rank, chunk_id, round(score, 6) AS score, source AS cnr FROM fr LEFT JOIN documents ON doc_id = chunk_id WHERE rank <= 10",
     "src3_check_schema": "SELECT count(*) AS rows, count(*) AS counted, 'judge' AS absent, '' AS required_missing FROM documents",
     "src5_write_corpus": ROWS_SQL + "SELECT 'search_corpus' AS table, count(*) AS rows, CAST(sum(clean_chars) AS BIGINT) AS chars FROM r WHERE in_search_index UNION ALL SELECT 'lookup_only', count(*), CAST(sum(clean_chars) AS BIGINT) FROM r WHERE NOT in_search_index UNION ALL SELECT 'duplicate_links', count(*), 0 FROM b WHERE outcome_label = 'near_duplicate'",
     "src6_write_report": BUILD_SQL + f", o AS (SELECT unnest([{_OUT}]) AS outcome), g AS (SELECT unnest(['high_courts', 'supreme_court', 'all']) AS source_config) SELECT g.source_config, o.outcome, count(b.d) AS n FROM g CROSS JOIN o LEFT JOIN b ON b.outcome_label = o.outcome AND (g.source_config = 'all' OR b.source_config = g.source_config) GROUP BY 1, 2",

@@ -24,8 +24,12 @@ FEATURES = tuple(textops.OCR_LIMITS)
 QUOTAS = [("direct", 60), ("reason", 48), ("compare", 40), ("statute", 32), ("outcome", 20)]
 
 
+SPACED = "CASE WHEN doc_id % 3 = 0 THEN concat('(a b c d e f) t h e c o u r t. ', text) ELSE text END"
+
+
 def _ocr(s, d):
-    return table(s, d, "documents").select("doc_id", textops.ocr_metrics("text").alias("m"))
+    """Measures of the documents; each third one starts with letters in brackets, which do not count, and spaced letters."""
+    return table(s, d, "documents").selectExpr("doc_id", f"{SPACED} AS text").select("doc_id", textops.ocr_metrics("text").alias("m"))
 
 
 QUERIES = {
@@ -41,8 +45,8 @@ QUERIES = {
     "agg15_link_stats": lambda s, d: quality.link_stats(links(s, d)),
     "jon13_duplicate_bench": lambda s, d: quality.duplicates_by_bench(links(s, d), rows(s, d)),
     "jon16_profile_reconcile": lambda s, d: quality.reconcile(judgments(s, d).groupBy("source_config").agg(F.count("cnr").alias("expected")), rows(s, d)),
-    "scl15_ocr_metrics": lambda s, d: _round(_ocr(s, d).select("doc_id", *[F.col(f"m.{f}") for f in FEATURES if f != "spaced_letter_share"]), "non_ascii_share", "vowelless_share", "symbol_share"),
-    "scl16_ocr_flags": lambda s, d: _ocr(s, d).select("doc_id", textops.ocr_flags("m").alias("f")).select("doc_id", "f.non_ascii_share", "f.vowelless_share", "f.symbol_share", "f.replacement_chars"),
+    "scl15_ocr_metrics": lambda s, d: _round(_ocr(s, d).select("doc_id", *[F.col(f"m.{f}") for f in FEATURES]), "non_ascii_share", "spaced_letter_share", "vowelless_share", "symbol_share"),
+    "scl16_ocr_flags": lambda s, d: _ocr(s, d).select("doc_id", textops.ocr_flags("m").alias("f")).select("doc_id", "f.non_ascii_share", "f.spaced_letter_share", "f.vowelless_share", "f.symbol_share", "f.replacement_chars", "f.suspect"),
     "scl17_has_repeated_4gram": lambda s, d: table(s, d, "documents").select("doc_id", textops.has_repeated_4gram("text").alias("repeated")),
     "flt7_hash_sample": lambda s, d: table(s, d, "documents").where(sampling.in_sample("doc_id", 0.25, "salt")).select("doc_id"),
     "flt8_eligible_length": lambda s, d: sampling.eligible_length(table(s, d, "documents"), F.char_length(textops.clean_text("text"))).select("doc_id"),
@@ -53,6 +57,7 @@ QUERIES = {
     "agg20_profile_source": lambda s, d: profile.source_summary(judgments(s, d).where("source_config = 'supreme_court'").withColumn("text_length", F.char_length("full_text"))),
     "agg21_court_code_prefixes": lambda s, d: profile.court_prefixes(judgments(s, d), CODES),
     "agg22_profile_text_sample": lambda s, d: _round(profile.text_sample(judgments(s, d), F.col("d") % 3 == 0, header="TION"), "repeated_4gram_share", "non_english_share", "near_duplicate_share"),
+    "agg22_header_by_bench": lambda s, d: profile.header_by_bench(judgments(s, d), F.col("d") % 3 == 0, header="TION"),
     "agg23_table_profile": lambda s, d: _round(profile.table_profile(judgments(s, d).select("cnr", "court_code", "year", "full_text"), "full_text", ["court_code", "year"])[0], "mean_length"),
     "agg23_value_counts": lambda s, d: profile.table_profile(judgments(s, d).select("cnr", "court_code", "year", "full_text"), "full_text", ["court_code", "year"])[1],
     "agg24_length_by_court": lambda s, d: _round(profile.length_by(judgments(s, d), "court_code", "full_text"), "mean"),
@@ -102,6 +107,9 @@ def sql_ocr(text: str) -> str:
     )
 
 
+#: Without look-around: the characters around a run of spaced letters are matched with it, and only the run counts.
+_RUNS = r"regexp_extract_all(text, '(?:^|[^A-Za-z0-9(])((?:[A-Za-z] ){4,}[A-Za-z])(?:[^A-Za-z0-9)]|$)', 1)"
+_SPACED_OCR = f"WITH x AS (SELECT doc_id, {SPACED} AS text FROM documents), m AS (SELECT doc_id, coalesce(list_sum(list_transform({_RUNS}, lambda x: length(x))), 0) / greatest(length(text), 1) AS spaced, {sql_ocr('text')} FROM x) "
 _OCR = f", m AS (SELECT *, {sql_ocr('text')} FROM r WHERE {_SAMPLE.format(salt='q', key='cnr', rate=0.5)}), f AS (SELECT *, non_ascii_share > 0.05 AS f1, replacement_chars > 5 AS f2, spaced_letter_share > 0.02 AS f3, vowelless_share > 0.05 AS f4, symbol_share > 0.15 AS f5 FROM m), g AS (SELECT *, f1 OR f2 OR f3 OR f4 OR f5 AS suspect FROM f)"
 def sql_words(text: str) -> str:
     return f"regexp_extract_all(substring({text}, 1, 3000), '[^{_SPACES}]+')"
@@ -130,8 +138,8 @@ SQL = {
     "agg15_link_stats": BUILD_SQL + "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS removed, count(*) AS kept_with_duplicates, coalesce(max(n), 0) + 1 AS largest_group FROM (SELECT winner, count(*) AS n FROM b WHERE outcome_label = 'near_duplicate' GROUP BY 1)",
     "jon13_duplicate_bench": ROWS_SQL + "SELECT coalesce(r.bench_name, '(not in search index)') AS bench, CAST(sum(n) AS BIGINT) AS removed FROM (SELECT winner, count(*) AS n FROM b WHERE outcome_label = 'near_duplicate' GROUP BY 1) x LEFT JOIN r ON r.cnr = x.winner AND r.in_search_index GROUP BY 1",
     "jon16_profile_reconcile": ROWS_SQL + "SELECT source_config, expected, built, built - expected AS difference FROM (SELECT source_config, count(cnr) AS expected FROM j GROUP BY 1) JOIN (SELECT source_config, count(*) AS built FROM r GROUP BY 1) USING (source_config)",
-    "scl15_ocr_metrics": f"SELECT doc_id, round(non_ascii_share, 6) AS non_ascii_share, replacement_chars, round(vowelless_share, 6) AS vowelless_share, round(symbol_share, 6) AS symbol_share FROM (SELECT doc_id, {sql_ocr('text')} FROM documents)",
-    "scl16_ocr_flags": f"SELECT doc_id, non_ascii_share > 0.05 AS non_ascii_share, vowelless_share > 0.05 AS vowelless_share, symbol_share > 0.15 AS symbol_share, replacement_chars > 5 AS replacement_chars FROM (SELECT doc_id, {sql_ocr('text')} FROM documents)",
+    "scl15_ocr_metrics": _SPACED_OCR + "SELECT doc_id, round(non_ascii_share, 6) AS non_ascii_share, replacement_chars, round(spaced, 6) AS spaced_letter_share, round(vowelless_share, 6) AS vowelless_share, round(symbol_share, 6) AS symbol_share FROM m",
+    "scl16_ocr_flags": _SPACED_OCR + "SELECT *, non_ascii_share OR spaced_letter_share OR vowelless_share OR symbol_share OR replacement_chars AS suspect FROM (SELECT doc_id, non_ascii_share > 0.05 AS non_ascii_share, spaced > 0.02 AS spaced_letter_share, vowelless_share > 0.05 AS vowelless_share, symbol_share > 0.15 AS symbol_share, replacement_chars > 5 AS replacement_chars FROM m)",
     "scl17_has_repeated_4gram": f"SELECT doc_id, {_GRAMS} AS repeated FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)",
     "flt7_hash_sample": f"SELECT doc_id FROM documents WHERE {_SAMPLE.format(salt='salt', key='doc_id', rate=0.25)}",
     "flt8_eligible_length": f"SELECT doc_id FROM documents WHERE length(trim(regexp_replace(regexp_replace(text, '{CTRL}', ' ', 'g'), '[{_SPACES}]+', ' ', 'g'))) BETWEEN 500 AND 80000",
@@ -142,6 +150,7 @@ SQL = {
     "agg20_profile_source": _J + "SELECT count(*) AS records, min(year) AS first_year, max(year) AS last_year, count(*) FILTER (length(full_text) >= 5000) AS reasoned_records, CAST(coalesce(sum(length(full_text)) FILTER (length(full_text) >= 5000), 0) AS BIGINT) AS reasoned_chars FROM j WHERE source_config = 'supreme_court'",
     "agg21_court_code_prefixes": _J + "SELECT court_code, substring(cnr, 1, 4) AS cnr_prefix, count(*) AS records FROM j WHERE court_code IN ('27_1', '10_8', '18_6') GROUP BY 1, 2",
     "agg22_profile_text_sample": _J + f", x AS (SELECT CAST({_GRAMS} AS INTEGER) AS r, CAST({sql_count('substring(full_text, 1, 3000)', r'[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} / greatest(length(substring(full_text, 1, 3000)), 1) > 0.2 AS INTEGER) AS f, CAST(contains(upper(substring(full_text, 1, 400)), 'TION') AS INTEGER) AS h, {_PRINT} AS p FROM (SELECT *, {sql_words('full_text')} AS w FROM j) WHERE d % 3 = 0) SELECT count(*) AS sample_rows, round(avg(r), 6) AS repeated_4gram_share, round(avg(f), 6) AS non_english_share, round((count(*) - count(DISTINCT p)) / count(*), 6) AS near_duplicate_share, CAST(sum(h) AS BIGINT) AS header_hits FROM x",
+    "agg22_header_by_bench": _J + "SELECT bench, count(*) FILTER (contains(upper(substring(full_text, 1, 400)), 'TION')) AS header_hits, count(*) AS rows FROM j WHERE d % 3 = 0 GROUP BY 1",
     "agg23_table_profile": _J + f"SELECT count(*) AS rows, count(*) FILTER (cnr IS NULL) AS null_cnr, count(*) FILTER (court_code IS NULL) AS null_court_code, count(*) FILTER (year IS NULL) AS null_year, count(*) FILTER (full_text IS NULL) AS null_full_text, count(*) FILTER (trim(full_text) = '') AS empty_texts, count(full_text) - count(DISTINCT full_text) AS duplicate_texts, min(length(full_text)) AS min_length, max(length(full_text)) AS max_length, round(avg(length(full_text)), 6) AS mean_length, quantile_cont(length(full_text), 0.25) AS p25_length, quantile_cont(length(full_text), 0.5) AS median_length, quantile_cont(length(full_text), 0.75) AS p75_length, quantile_cont(length(full_text), 0.95) AS p95_length FROM j",
     "agg23_value_counts": _J + "SELECT 'court_code' AS column, court_code AS value, count(*) AS n FROM j GROUP BY 2 UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM j GROUP BY 2",
     "agg24_length_by_court": _J + "SELECT court_code, count(*) AS documents, round(avg(length(full_text)), 6) AS mean, median(length(full_text)) AS median, min(length(full_text)) AS min, max(length(full_text)) AS max FROM j GROUP BY 1",
