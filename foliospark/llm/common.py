@@ -128,24 +128,26 @@ def words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, end, mixed((total[end] - total[first]) * inverse[first] + (end - first).astype(np.uint64))
 
 
-def hash_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, most_classes: int = 1000) -> DataFrame:
+def hash_sample(
+    df: DataFrame, id_col: str, class_col: str, per_class: int, most_rows: int = 8000, most_classes: int = 1000
+) -> DataFrame:
     """``__id, __class`` of at most ``per_class`` rows of each class: those whose ids have the smallest hashes.
 
-    Classes are counted first; of a class of n rows only those with a hash in the lowest 4 * per_class / n of the
-    range are ranked (4 * per_class rows or so), so a common class does not fill a task. More than
-    ``most_classes`` classes is an error.
+    Classes are counted first. The sample as a whole is bounded by ``most_rows``: where there are many classes, each
+    gets an even share of that, one row at least; of more than ``most_classes`` classes the most common ones are
+    sampled (ties to the smaller one). Of a class of n rows only those with a hash in the lowest 4 * per_class / n of
+    the range are ranked (4 * per_class rows or so), so a common class does not fill a task.
     """
     ids = df.select(F.col(id_col).alias("__id"), F.col(class_col).alias("__class"), F.xxhash64(id_col).alias("__hash"))
     ids = ids.where("__id IS NOT NULL AND __class IS NOT NULL")
-    counts = ids.groupBy("__class").count().limit(most_classes + 1).collect()
-    if len(counts) > most_classes:
-        raise ValueError(f"more than {most_classes} classes")
-    below = F.lit(None).cast("double")
-    for value, n in counts:
-        share = min(1.0, 4 * per_class / n)
-        below = F.when(F.col("__class") == F.lit(value), F.lit((2 * share - 1) * 2.0**63)).otherwise(below)
+    counts = ids.groupBy("__class").count().orderBy(F.desc("count"), "__class").limit(most_classes).collect()
+    per_class = min(per_class, max(1, most_rows // max(1, len(counts))))
+    below = [(value, (2 * min(1.0, 4 * per_class / n) - 1) * 2.0**63) for value, n in counts]
+    schema = T.StructType([ids.schema["__class"], T.StructField("__below", T.DoubleType())])
+    limits = F.broadcast(df.sparkSession.createDataFrame(below, schema))
     first = Window.partitionBy("__class").orderBy("__hash", "__id")
-    ids = ids.where(F.col("__hash").cast("double") <= below).withColumn("__rank", F.row_number().over(first))
+    ids = ids.join(limits, "__class").where(F.col("__hash").cast("double") <= F.col("__below"))
+    ids = ids.withColumn("__rank", F.row_number().over(first))
     return ids.where(F.col("__rank") <= per_class).select("__id", "__class").distinct()
 
 

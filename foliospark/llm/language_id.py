@@ -2,8 +2,8 @@
 
 A text is the average of the embeddings of its hashed subwords (byte 2-, 3- and 4-grams that stay inside a word,
 with its edges). A linear softmax reads the language from that average. Since both are linear, embedding times
-output layer is folded into one table with a row per bucket, so a prediction is one table look-up per subword and
-one sum per text: whole texts of any length go through in blocks of bytes.
+output layer is folded into one table with a row per bucket, so a prediction is the counts of a text's buckets times
+that table: whole texts of any length go through in blocks of bytes.
 
 Rejection is calibrated: a temperature is fitted on labelled rows kept out of the training, and a text is rejected
 if its calibrated confidence is under a threshold that keeps all but a stated share of those rows.
@@ -40,6 +40,40 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield row[:n][ok], h[ok]
 
 
+def stretches(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """First row, and the offsets of pieces from it on: many short rows, or one stretch of a row of over ``most`` bytes.
+
+    A long row is cut between words, so that its subwords are those of the whole row.
+    """
+    for first, last in blocks(offsets, most):
+        at, end = int(offsets[first]), int(offsets[last])
+        while end - at > most and last == first + 1:
+            cut = at + most
+            while cut < end and len(gap := np.flatnonzero(LETTERS[data[cut : min(end, cut + most)]] == 32)) == 0:
+                cut += most
+            cut = min(end, cut + int(gap[0]) if cut < end else end)
+            yield first, np.array([at, cut])
+            at = cut
+        yield first, np.concatenate([[at], offsets[first + 1 : last + 1]])
+
+
+def subword_counts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First and last row of a block, and how often each bucket occurs in each of its rows."""
+    held: tuple[int, int, np.ndarray] | None = None
+    for first, ends in stretches(data, offsets):
+        n = len(ends) - 1
+        out = np.zeros((n, 1 << BITS))
+        for row, h in subwords(data, ends):
+            out += np.bincount((row << BITS) + h, minlength=n << BITS).reshape(n, -1)
+        if held is not None and held[0] == first:
+            out += held[2]
+        elif held is not None:
+            yield held
+        held = (first, first + n, out)
+    if held is not None:
+        yield held
+
+
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each row has a letter of any script."""
     ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
@@ -66,16 +100,10 @@ class LanguageModel:
         return z / z.sum(1, keepdims=True)
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n, k = len(offsets) - 1, len(self.languages)
-        total, count = np.zeros((n, k)), np.zeros(n)
-        for first, last in blocks(offsets):
-            for row, h in subwords(data, offsets[first : last + 1]):
-                if not len(row):
-                    continue
-                at = np.flatnonzero(np.diff(row, prepend=-1))
-                total[first + row[at]] += np.add.reduceat(self.scores[h], at, 0, dtype=np.float64)
-                count[first:last] += np.bincount(row, minlength=last - first)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        for first, last, counts in subword_counts(data, offsets):
+            out[first:last] = counts @ self.scores / np.maximum(counts.sum(1), 1)[:, None]
+        return out + self.bias
 
 
 def train(
@@ -126,29 +154,26 @@ def train(
 
 def fit_language_model(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 500, most_languages: int = 64,
+    per_language: int = 500, most_rows: int = 8000, most_languages: int = 1000,
 ) -> LanguageModel | None:
     """A model from a bounded sample of labelled rows: at most ``per_language`` rows of each language.
 
     The sample takes the smallest hashes of the ids, so it is the same in every run. Each sampled text is read as
     a whole and becomes one row of bucket shares in 16-bit floats (8 KB) on the executors; only those reach the
-    driver, at most ``per_language * most_languages`` of them. None if there is no labelled text with a letter.
+    driver. All languages together get ``most_rows`` rows at most, in even shares; beyond ``most_languages`` the
+    most common ones are learned. None if there is no labelled text with a letter.
     """
     small_batches(df.sparkSession)
-    ids = hash_sample(df, id_col, lang_col, per_language)
+    ids = hash_sample(df, id_col, lang_col, per_language, most_rows, most_languages)
     rows = df.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__class"), F.col(text_col).alias("__text"))
     sample = rows.join(F.broadcast(ids), ["__id", "__class"], "left_semi")
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
-            for a, b in blocks(offsets):
-                out = np.zeros((b - a, 1 << BITS), np.float32)
-                for row, h in subwords(data, offsets[a : b + 1]):
-                    out += np.bincount((row << BITS) + h, minlength=(b - a) << BITS).reshape(b - a, -1)
-                total = out.sum(1)
+            for a, b, counts in subword_counts(*text_bytes(batch.column(2))):
+                total = counts.sum(1)
                 some = total > 0
-                out = (out[some] / total[some][:, None] * 4096).astype(np.float16)
+                out = (counts[some] / total[some][:, None] * 4096).astype(np.float16)
                 vectors, mask, part = pa.array([x.tobytes() for x in out], pa.binary()), pa.array(some), batch.slice(a, b - a)
                 arrays = [part.column(0).filter(mask), part.column(1).filter(mask), vectors]
                 yield pa.RecordBatch.from_arrays(arrays, ["__id", "__class", "x"])
@@ -159,8 +184,6 @@ def fit_language_model(
         return None
     langs = np.array(got.column("__class").to_pylist())
     languages = tuple(sorted(set(langs)))
-    if len(languages) > most_languages:
-        raise ValueError(f"{len(languages)} languages; at most {most_languages} are expected")
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(len(langs), -1)
     ids_ = np.array([str(v) for v in got.column("__id").to_pylist()])
     order = np.lexsort((langs, ids_))
@@ -180,14 +203,18 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
 
     ``lang_pred`` is ``und`` (score 0, rejected) if the text is null or has no letter, or if there is no model.
     Otherwise it is the likeliest language, and ``rejected`` says that its confidence is under the calibrated
-    threshold. Existing columns named like a result are replaced. Nothing but the text is read.
+    threshold. Of languages that are equally likely the first by name is taken. Each row stands for itself, so
+    repeated rows come out alike and an empty table stays empty; texts of any length are read whole, in stretches
+    of bounded size. Existing columns named like a result are replaced. Nothing but the text is read.
     """
     small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
     kept, schema = add_columns(df, FIELDS)
     text = kept.columns.index(text_col)
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in slices(batches, text):
             n = batch.num_rows
             pred, score, out = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)

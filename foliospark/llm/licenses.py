@@ -137,19 +137,18 @@ def _automaton():
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
     """What the query returns for one text: words, base places, first and last start, labels, score."""
     words = text.translate(_WORDS).split()
-    joined = b" " + b" ".join(words) + b" "
-    base, own, score, tagged, starts = set(), set(), 0.0, False, []
-    found = list(_automaton().iter(joined.decode("utf-8", "surrogateescape")))
-    if found:
-        plain = joined.decode("utf-8", "surrogateescape")
-        for end, phrase in found:
-            if phrase == TAG:
-                tagged = True
-            elif phrase in BASE:
-                base.add(BASE[phrase])
-                starts.append(plain.count(" ", 0, end + 1) - 1 - len(phrase.split()))
-            if phrase in NOTICES:
-                own.add(NOTICES[phrase])
+    plain = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogateescape")
+    base, own, tagged, starts = set(), set(), False, []
+    word = seen = 0  # matches come by their ends, so the words in front of each are counted on from the last one
+    for end, phrase in _automaton().iter(plain):
+        if phrase == TAG:
+            tagged = True
+        elif phrase in BASE:
+            word, seen = word + plain.count(" ", seen, end + 1), end + 1
+            base.add(BASE[phrase])
+            starts.append(word - 1 - len(phrase.split()))
+        if phrase in NOTICES:
+            own.add(NOTICES[phrase])
     score = max((RESTRICTS[x] for x in base | own), default=0.0)
     if tagged:
         for expression in _TAGGED.findall(text):
@@ -177,7 +176,9 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of the table and what the scan finds in each whole text; one row per row, no shuffle.
 
     Null counts as empty: no words, no places (null starts), empty label lists, score 0. ``score`` says how much
-    the strictest notice restricts reuse. Existing columns named like a result are replaced.
+    the strictest notice restricts reuse. Each row stands for itself, so repeated rows come out alike and an empty
+    table stays empty. A text is scanned whole, in time in proportion to its length and its matches. Existing
+    columns named like a result are replaced.
     """
     small_batches(df.sparkSession)
     kept, schema = add_columns(df, FIELDS)

@@ -80,7 +80,12 @@ class Neighbours:
         """Share of label 1 among the votes of the k nearest labelled rows; the prior where nothing is similar."""
         sims = unit(x @ self.space) @ self.vectors.T
         k = min(self.k, sims.shape[1])
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        near = np.argpartition(-sims, min(k, sims.shape[1] - 1), axis=1)[:, : k + 1]
+        value = np.take_along_axis(sims, near, 1)
+        if near.shape[1] > k:  # the last one is the next in line; where it ties with a chosen one, the first labelled rows count
+            tied = value[:, :k].min(1) == value[:, k]
+            near = near[:, :k]
+            near[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
         votes = np.maximum(np.take_along_axis(sims, near, 1), 0) * self.weights[near]
         total = votes.sum(1)
         return np.where(total > 0, (votes * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
