@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import ready_checkpoints
 from foliospark.llm.language_id import fit_language_model, identify
 from foliospark.llm.line_dedup import line_dedup
-from foliospark.llm.mixing import in_mixture_order, mix
+from foliospark.llm.mixing import TARGET_WEIGHTS, in_mixture_order, mix
 from foliospark.llm.near_dedup import near_dedup
 from foliospark.llm.packing import pack_documents
 
@@ -59,8 +59,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture with equal weights: range-partitioned and sorted files."""
-    return in_mixture_order(mix(docs)).select(*docs.columns)
+    """All documents in the order of the mixture to the target weights: range-partitioned and sorted files.
+
+    Null and empty sources are one source, repeated rows take places of their own, an empty table stays empty.
+    """
+    return in_mixture_order(mix(docs, TARGET_WEIGHTS)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -38,6 +39,13 @@ def test_packing_edges(odd, none):
     assert len(special) == 1
 
 
+def test_a_long_run_of_blanks_is_packed(spark):
+    text = "a" + " " * 1_200_000 + "b"
+    got = pack_documents(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), with_ids=True).collect()
+    ids = [i for r in sorted((r for r in got if r["doc_id"] == 1), key=lambda r: r["start"]) for i in r["ids"]]
+    assert ids == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids + [0]
+
+
 def _fewest(sizes, capacity):
     best = [len(sizes)]
 
@@ -74,34 +82,63 @@ def test_bin_completion_of_a_block_of_many_sequences():
     assert np.bincount(number, sizes).max() <= 100 and (offset + sizes).max() <= 100
 
 
+def _plain_schedule(weights, slots):
+    """Earliest deadline first over exact fractions, slot by slot and without a period: (source, block) of each slot."""
+    total = sum(Fraction(str(w)) for w in weights.values())
+    share = {s: Fraction(str(w)) / total for s, w in weights.items()}
+    done, out = dict.fromkeys(share, 0), []
+    for t in range(slots):
+        ready = [s for s in share if done[s] / share[s] // 1 <= t]
+        s = min(ready, key=lambda s: (-(-(done[s] + 1) / share[s] // 1), -share[s], s))
+        out.append((s, done[s]))
+        done[s] += 1
+        assert all(abs(done[x] - share[x] * (t + 1)) < 1 for x in share)
+    return out
+
+
 def test_schedule_stays_within_a_block():
-    for weights in ({"a": 5, "b": 3, "c": 2}, {str(k): k + 1 for k in range(40)}, {"a": 0.98, "b": 0.01, "c": 0.01}):
-        quota = quotas(weights, 1000)
-        seen = dict.fromkeys(quota, 0)
-        for t, s in enumerate(schedule(quota), 1):
+    many = ({"a": 5, "b": 3, "c": 2}, {str(k): k + 1 for k in range(40)}, {"a": 0.98, "b": 0.01, "c": 0.01}, {str(k): 1 for k in range(7)}, {"a": 0.9999, "b": 0.0001})
+    for weights in many:
+        quota = quotas(weights)
+        period = schedule(quota)
+        total = sum(weights.values())
+        assert all(abs(quota[s] / len(period) - w / total) < 1e-12 for s, w in weights.items())
+        slots = min(4 * len(period), 3000)
+        seen, got = dict.fromkeys(quota, 0), []
+        for t in range(slots):
+            s = period[t % len(period)]
+            got.append((s, seen[s]))
             seen[s] += 1
-            assert all(abs(seen[k] - quota[k] * t / 1000) < 1 for k in quota)
-        assert seen == quota
+        assert got == _plain_schedule(weights, slots)
+    rounded = quotas({"a": 1.0, "b": 2**0.5, "c": 1e-9}, 1 << 10)
+    assert sum(rounded.values()) == 1 << 10 and rounded["c"] == 1
+    assert sum(quotas({str(k): 1 + k % 3 for k in range(3000)}, 1 << 10).values()) >= 3000
 
 
 def test_mixing_by_brute_force(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
     weights = {"src0": 3.0, "src1": 1.0}
-    rows = mix(docs, weights, block_rows=4, bucket_rows=20).collect()
-    quota = quotas({f"src{k}": weights.get(f"src{k}", 2.0) for k in range(20)}, 1000)
-    places = {s: [t for t, x in enumerate(schedule(quota)) if x == s] for s in quota}
+    rows = mix(docs, weights, block_rows=4, bucket_rows=20, group_buckets=2).collect()
+    every = {f"src{k}": weights.get(f"src{k}", 2.0) for k in range(20)}
     by = {}
     for r in rows:
         by.setdefault(r["source"], []).append(r)
+    slots = {(s, b): t for t, (s, b) in enumerate(_plain_schedule(every, 40 * (2 + max(len(x) for x in by.values()) // 4)))}
     assert len(rows) == docs.count()
     for s, group in by.items():
         taken = sorted((r["mix_block"], r["mix_row"]) for r in group)
         assert taken == [(k // 4, k % 4) for k in range(len(group))]
         for r in group:
-            period, turn = divmod(r["mix_block"], quota[s])
-            assert r["mix_slot"] == period * 1000 + places[s][turn] and r["mix_release"] <= r["mix_slot"] < r["mix_deadline"]
-    assert mix(odd).count() == odd.count() and mix(none).count() == 0
-    assert in_mixture_order(mix(docs)).count() == docs.count()
+            assert r["mix_slot"] == slots[s, r["mix_block"]] and r["mix_release"] <= r["mix_slot"] < r["mix_deadline"]
+    mixed = mix(odd)
+    assert mixed.count() == odd.count() and mixed.columns[: len(odd.columns)] == [c for c in odd.columns if c != "mix_slot"] + ["mix_source"]
+    assert mix(none).count() == 0 and in_mixture_order(mix(docs)).count() == docs.count()
+
+
+def test_mixing_of_many_sources_and_rows_without_id(spark):
+    rows = spark.range(6000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('s', id % 1500) AS source", "CAST(id AS STRING) AS text")
+    got = mix(rows, bucket_rows=2).collect()
+    assert len({(r["mix_slot"], r["mix_row"]) for r in got}) == 6000 and {r["mix_block"] for r in got} == {0}
 
 
 def _recall(got, vectors, queries, k):
@@ -128,6 +165,19 @@ def test_search_recall(spark):
     assert _recall(got, made, [i for i in made if i % 50 == 0], 10) >= 0.9
 
 
+def test_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0] + [0.0] * 15)]
+    for i in range(1, 41):
+        rest = rng.integers(-4, 5, 15) / 8
+        rows.append((i, [1.0, *rest.tolist()]))
+    rows += [(i, [0.5, *(rng.integers(-4, 5, 15) / 8).tolist()]) for i in range(41, 200)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = nearest(frame, frame.where("vec_id = 0"), k=20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(1, 21)]
+
+
 def test_search_edges(spark):
     same = [1.0, 2.0, 0.5]
     rows = [(i, same) for i in range(60)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 1.0]), (103, [float("nan"), 1.0, 1.0]),
