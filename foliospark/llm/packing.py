@@ -45,10 +45,29 @@ def encoder(path: str, end_of_text: int = 50256):
     )
 
 
-def default_vocabulary() -> str:
+@lru_cache(maxsize=2)
+def slow_encoder(path: str):
+    """The JSON form of the vocabulary, which has no limit on runs of blanks."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def default_vocabulary() -> tuple[str, str]:
+    """Rank file and JSON form of the same vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_ids(text: str, ranks: str, whole: str) -> np.ndarray:
+    """Ids of a text by the rank file; by the JSON form where the pattern of the first gives up (a million blanks in a row)."""
+    try:
+        if END_OF_TEXT in text:
+            return encoder(ranks).encode_to_numpy(text, allowed_special={END_OF_TEXT})
+        return encoder(ranks).encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        return np.array(slow_encoder(whole).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -217,17 +236,18 @@ def pack(sizes: np.ndarray, capacity: int, nodes: int = 1500) -> tuple[np.ndarra
 
 def token_pieces(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
-    vocabulary: str | None = None, with_ids: bool = False, place_col: str | None = None,
+    vocabulary: tuple[str, str] | None = None, with_ids: bool = False, place_col: str | None = None,
 ) -> DataFrame:
     """Pieces of the tokenised texts: ``doc_id, piece, start, length, ids_crc32, __row`` and, if wanted, ``ids``.
 
     A text's ids are followed by ``end_id``; null counts as empty (one piece that is ``end_id`` alone). Only what
-    is longer than ``capacity`` is cut; then the first piece takes the remainder and all others are full. Ids may
-    be null or repeated; other columns are not read. ``__row`` is ``place_col`` where given, else the row's number in
+    is longer than ``capacity`` is cut; then the first piece takes the remainder and all others are full. Texts of
+    any length are encoded whole. Ids may be null or repeated, repeated rows have pieces of their own, an empty table
+    has none; other columns are not read. ``vocabulary`` is a rank file and its JSON form. ``__row`` is ``place_col`` where given, else the row's number in
     its task.
     """
     small_batches(df.sparkSession)
-    path = vocabulary or default_vocabulary()
+    ranks, whole = vocabulary or default_vocabulary()
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(place_col)] if place_col else []))
     schema = T.StructType(
         [
@@ -242,16 +262,11 @@ def token_pieces(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, number = encoder(path), 0
+        number = 0
         for batch in slices(batches, 1):
             rows_, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                text = text or ""
-                if END_OF_TEXT in text:
-                    tokens = encoding.encode_to_numpy(text, allowed_special={END_OF_TEXT})
-                else:
-                    tokens = encoding.encode_to_numpy(text, disallowed_special=())
-                tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
+                tokens = np.append(token_ids(text or "", ranks, whole), np.uint32(end_id)).astype("<u4")
                 cuts = [0, *range(len(tokens) % capacity or capacity, len(tokens) + 1, capacity)]
                 if len(tokens) <= capacity:
                     cuts = [0, len(tokens)]
