@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +19,33 @@ from foliospark.llm.mixing import TARGET_WEIGHTS, in_mixture_order, mix
 from foliospark.llm.near_dedup import near_dedup
 from foliospark.llm.packing import pack_documents
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Pieces of a block of the packing stage.
 BLOCK_ROWS = 8192
 
 
+def hidden(docs: DataFrame) -> DataFrame:
+    """The rows with columns beyond those of ``documents`` under numbered names, which no operator uses."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in COLUMNS else f"column_{k}_of_input") for k, c in enumerate(docs.columns)])
+
+
+def shown(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, under their own names and in their order."""
+    return rows.select(*[F.col(c if c in COLUMNS else f"column_{k}_of_input").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def with_places(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of a folder of files with ``__place``: their number in the order of the files, from 0 on."""
-    docs = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+    """The rows with ``__place``: their number in the order of the files, from 0 on.
+
+    Rows that come from no files are written to the shared folder first, so that a lost executor does not renumber them.
+    One count for each file reaches the driver.
+    """
+    try:
+        docs = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        ready_checkpoints(spark)
+        number = F.lpad(F.spark_partition_id().cast("string"), 10, "0")
+        docs = docs.checkpoint().withColumns({"__file": number, "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     before, start = [], 0
     for name, n in sorted(tuple(r) for r in docs.groupBy("__file").count().collect()):
         before.append((name, start))
@@ -34,28 +55,42 @@ def with_places(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return placed.drop("__file", "__at", "__start")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this run has written."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID accepts; those without a letter or with a rejected prediction go."""
-    found = identify(docs, fit_language_model(docs)).where("NOT rejected")
-    return found.select(*docs.columns)
+    """Documents that language ID accepts; those without a letter (null, empty or blank texts too) or with a rejected
+    prediction go. Repeated rows come out alike; rows without ``lang`` are not learned from, but judged like any other.
+    """
+    rows = hidden(docs)
+    return shown(identify(rows, fit_language_model(rows)).where("NOT rejected"), docs)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated runs of lines, ``n_chars`` following; a document all of whose text went goes too."""
-    cut = line_dedup(docs, passages=True)
+    """Texts without repeated runs of lines, ``n_chars`` following; a document all of whose text went goes too.
+
+    A null text stays null, an empty one empty. Rows that repeat id and text are one document, and all of them stay.
+    """
+    cut = line_dedup(hidden(docs), passages=True)
     cut = cut.where(~((F.col("chunks_removed") > 0) & (F.trim(F.col("text")) == "")))
-    return cut.select(*[F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else f"`{c}`" for c in docs.columns])
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast("long"))
+    return shown(cut, docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (5-word shingles, similarity of 0.8): smallest id, then place in the files.
 
-    Rows are dropped one by one, so other rows of an id stay and repeated rows go; null ids come last.
+    Rows are dropped one by one, so other rows of an id stay and repeated rows go; null ids come last. Null, empty
+    and blank texts are copies of nothing and stay.
     """
-    keyed = with_places(spark, docs)
+    keyed = with_places(spark, hidden(docs))
     keyed = keyed.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__place"))
     gone = near_dedup(keyed, id_col="__key", size=5, percent=80).where("NOT kept").select("doc_id.__place")
-    return keyed.join(gone, "__place", "left_anti").select(*docs.columns)
+    return shown(keyed.join(gone, "__place", "left_anti"), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,15 +98,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty sources are one source, repeated rows take places of their own, an empty table stays empty.
     """
-    return in_mixture_order(mix(docs, TARGET_WEIGHTS)).select(*docs.columns)
+    return shown(in_mixture_order(mix(hidden(docs), TARGET_WEIGHTS)), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents in packed sequences of 2048: a row for each piece, with its place.
 
-    Blocks are cut from the rows in the order of the files, which is that of the mixture.
+    Blocks are cut from the rows in the order of the files, which is that of the mixture. A null or empty text is one
+    piece of one token; repeated rows have pieces of their own.
     """
-    return pack_documents(with_places(spark, docs), with_ids=True, place_col="__place", block_rows=BLOCK_ROWS)
+    return pack_documents(with_places(spark, hidden(docs)), with_ids=True, place_col="__place", block_rows=BLOCK_ROWS)
 
 
 STAGES = [
@@ -87,12 +123,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
+    """All stages over ``documents``; each one's result is written to the shared folder and read again.
+
+    A stage's folder is removed when the next one is written; the last one holds the result and stays.
+    """
     ready_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
