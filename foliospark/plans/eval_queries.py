@@ -344,11 +344,14 @@ QUERIES = {
     "top6_label_sheet": lambda s, d: _sheet(s, d),
     "sta1_wilson": lambda s, d: rounded(gen(s, d).groupBy("cluster").agg(F.count_if("hallucination").alias("k"), F.count(F.lit(1)).alias("n")).withColumn("w", wilson("k", "n")).select("cluster", "k", "n", "w.*"), "estimate", "low", "high"),
     "sta2_cluster_bootstrap": lambda s, d: S.cluster_bootstrap(values(s, d).join(clusters(s, d), "question_id"), BY, "cluster", 2000),
+    "sta2_estimates": lambda s, d: rounded(S.cluster_bootstrap(values(s, d).join(clusters(s, d), "question_id"), BY, "cluster", 200).select(*BY, "estimate", "n", "method"), "estimate"),
     "sta3_summarize": lambda s, d: S.summarize(values(s, d), BY, draws=2000),
+    "sta3_wilson_intervals": lambda s, d: rounded(S.summarize(values(s, d), BY, draws=200).where("method = 'wilson'").select(*BY, "estimate", "low", "high", "n"), "estimate", "low", "high"),
     "sta4_paired_bootstrap": lambda s, d: S.paired_bootstrap(S.paired(values(s, d), "hybrid_rrf", ["level", "metric"]).join(clusters(s, d), "question_id"), BY, "cluster", 2000),
     "sta4_paired_differences": lambda s, d: rounded(S.paired(values(s, d), "hybrid_rrf", ["level", "metric"]).groupBy(*BY).agg(F.avg("value").alias("difference"), F.count(F.lit(1)).alias("n")), "difference"),
     "sta5_mcnemar_counts": lambda s, d: S.mcnemar_counts(S.paired(values(s, d), "hybrid_rrf", ["level", "metric"]), BY),
-    "sta5_mcnemar_exact": lambda s, d: S.mcnemar_exact(S.paired(values(s, d), "hybrid_rrf", ["level", "metric"]), BY),
+    # Tails are fractions of a power of two: moved off the halves, so that both sides round alike.
+    "sta5_mcnemar_exact": lambda s, d: rounded(S.mcnemar_exact(S.paired(values(s, d), "hybrid_rrf", ["level", "metric"]), BY).withColumn("p_value", F.col("p_value") + 1e-9), "p_value"),
     "sta6_cohens_kappa": lambda s, d: rounded(S.cohens_kappa(both_raters(s, d), ["question_type"], "a", "b"), "kappa"),
     "sta6_quadratic_kappa": lambda s, d: rounded(S.cohens_kappa(both_raters(s, d), ["question_type"], "a", "b", "quadratic", [1, 2, 3, 4]), "kappa"),
     "sta7_kappa_interval": lambda s, d: S.kappa_interval(both_raters(s, d), ["question_type"], "a", "b", "quadratic"),
@@ -492,6 +495,9 @@ SQL = {
     "sta1_wilson": _G + f"SELECT cluster, k, n, {sql_wilson('k', 'n')} FROM (SELECT cluster, count(*) FILTER (hallucination) AS k, count(*) AS n FROM gen GROUP BY 1)",
     "sta4_paired_differences": _PAIRED + "SELECT level, system, metric, round(avg(va - vb), 6) AS difference, count(*) AS n FROM pd GROUP BY 1, 2, 3",
     "sta5_mcnemar_counts": _PAIRED + "SELECT level, system, metric, count(*) FILTER (va > 0 AND vb = 0) AS a_only, count(*) FILTER (vb > 0 AND va = 0) AS b_only FROM pd GROUP BY 1, 2, 3",
+    "sta5_mcnemar_exact": _PAIRED + ", c AS (SELECT level, system, metric, count(*) FILTER (va > 0 AND vb = 0) AS a_only, count(*) FILTER (vb > 0 AND va = 0) AS b_only FROM pd GROUP BY 1, 2, 3) SELECT level, system, metric, a_only, b_only, round(1e-9 + least(1.0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1), lambda i: exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))))), 6) AS p_value FROM c",
+    "sta2_estimates": _V + "SELECT level, system, metric, round(avg(value), 6) AS estimate, count(*) AS n, 'bootstrap' AS method FROM vals GROUP BY 1, 2, 3",
+    "sta3_wilson_intervals": _V + f"SELECT level, system, metric, n, {sql_wilson('k', 'n')} FROM (SELECT level, system, metric, sum(value) AS k, count(*) AS n, bool_and(value IN (0, 1)) AS whole FROM vals GROUP BY 1, 2, 3) WHERE whole",
     "sta6_cohens_kappa": _kappa_sql("none"),
     "sta6_quadratic_kappa": _kappa_sql("quadratic"),
     "sta9_generation_estimates": _LONG + "SELECT metric, round(avg(value), 6) AS estimate, count(*) AS n FROM lg GROUP BY 1",
