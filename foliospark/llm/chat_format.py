@@ -45,7 +45,8 @@ def format_chats(
     null number comes first). Null roles and texts count as empty; rows with a null conversation id form one
     conversation. Repeated rows are turns like any other. An empty table gives no examples, and other columns are
     not read. The expansion writes every prefix, so its output grows with the square of the turns of a single
-    conversation, never with the number of conversations; one conversation is formatted in one row.
+    conversation, never with the number of conversations; one conversation is formatted in one row. Texts of any
+    length are formatted whole, as far as a conversation's prefixes fit in one task.
     """
     turns = (
         df.select(

@@ -35,8 +35,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     Texts are equal when they are identical; null counts as empty. Of equal texts the row with the largest id
     stays. A null id is smaller than any other; a group in which every id is null keeps all its rows (keep_id
-    null). Rows that repeat both id and text are the same row twice: all of them carry the same verdict. An empty
-    table gives no rows; other columns, whatever their names, are not read.
+    null). Rows that repeat both id and text are the same row twice: all of them carry the same verdict. Texts of
+    any length count whole; only their digests are shuffled. An empty table gives no rows; other columns, whatever
+    their names, are not read.
     """
     rows = df.select(
         F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("__hex")

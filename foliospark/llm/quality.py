@@ -144,7 +144,9 @@ def score_quality(df: DataFrame, model: Neighbours | None, text_col: str = "text
     """All columns of the table with ``score, predicted``; one row per row, no shuffle.
 
     ``score`` is the share of label 1 among the neighbours' votes, ``predicted`` is 1 from ``threshold`` up. A null
-    or empty text gets the labels' true share (0.5 without a model). Columns named like a result are replaced.
+    or empty text gets the labels' true share (0.5 without a model). Each row stands for itself, so repeated rows come
+    out alike and an empty table stays empty; texts count whole, a long one as a block of its own. Of neighbours that are
+    equally near, the first labelled ones vote. Columns named like a result are replaced.
     """
     small_batches(df.sparkSession)
     kept, schema = add_columns(df, FIELDS)

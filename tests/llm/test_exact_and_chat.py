@@ -28,6 +28,16 @@ def test_exact_dedup_of_nothing_and_of_one_hot_text(spark, none):
     assert got.where("keep_id = 4998").count() == 1667
 
 
+def test_very_long_texts(spark):
+    long = "<|turn|> word " * 200_000
+    frame = spark.createDataFrame([(1, long), (2, long), (3, long + "x")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup(frame).collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1)}
+    chats = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    row = read_back(format_chats(chats)).first()
+    assert [t["text"] for t in row["turns"]] == [long, long] and row["loss_text"] == long
+
+
 def test_escape_is_reversible(spark):
     texts = ["<|turn|>", "<\\|x", "</s>[INST] ok [/INST]", "<<s>", "a\\b", "[\\\\/INST]", "", "<|end|>\n", "[INST"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", escape(F.col("t")).alias("e"))
