@@ -20,11 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+#: Large arrays of Python workers go back to the system when they are freed, and do not stay with idle workers.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound the bytes of the Arrow batches that go to Python workers, unless the session has set a bound itself.
 
     Spark's own bound of 64 MB is held several times over, outside the heap, by each task.
     """
+    for name, value in MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("64MB", "67108864b", "64m"):
         spark.conf.set(key, size)
@@ -52,7 +58,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 20, rows: int = 512) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 18, rows: int = 128) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``rows`` rows that hold about ``most`` bytes each; a longer row stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from .common import LETTERS, add_columns, blocks, hash_sample, hashed_ngrams, remainder, slices, small_batches, spaced, table, text_bytes
 
 BITS, SIZES = 12, (2, 3, 4)
+UNIT = 4096  #: shares are kept in units of 1 / UNIT
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -40,7 +41,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield row[:n][ok], h[ok]
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def stretches(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
     """First row, and the offsets of pieces from it on: many short rows, or one stretch of a row of over ``most`` bytes.
 
     A long row is cut between words, so that its subwords are those of the whole row.
@@ -110,14 +111,18 @@ def train(
     features: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], dim: int = 16, epochs: int = 30,
     rate: float = 0.5, batch: int = 32, seed: int = 7, keep: float = 0.999,
 ) -> LanguageModel:
-    """SGD over averaged embeddings; each fourth row is kept out to fit temperature and threshold."""
+    """SGD over averaged embeddings; each fourth row is kept out to fit temperature and threshold.
+
+    ``features`` are bucket shares in units of 1 / ``UNIT``; they stay 16-bit floats but for the rows of a batch.
+    """
     rng = np.random.default_rng(seed)
     n, k = len(labels), len(languages)
     held = np.arange(n) % 4 == 3
     fit = np.flatnonzero(~held) if (~held).any() else np.arange(n)
     emb = rng.normal(0, 1 / dim, (features.shape[1], dim)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (dim, k)).astype(np.float32), np.zeros(k, np.float32)
-    scale = np.float32(1 / max(np.linalg.norm(features[fit], axis=1).mean(), 1e-6))
+    norms = [np.linalg.norm(features[k : k + 256].astype(np.float32), axis=1) for k in range(0, n, 256)]
+    scale = np.float32(1 / max(np.concatenate(norms)[fit].mean(), 1e-6))
     steps, done = epochs * (-(-len(fit) // batch)), 0
     for _ in range(epochs):
         order = rng.permutation(fit)
@@ -135,10 +140,10 @@ def train(
             bias -= lr * p.sum(0)
             emb -= lr * (x.T @ d_hidden)
             done += 1
-    table_ = (emb @ out * scale).astype(np.float32)
+    table_ = (emb @ out * (scale * UNIT)).astype(np.float32)
     check = np.flatnonzero(held) if held.any() else fit
-    model = LanguageModel(languages, table_, bias, 1.0, 0.0)
-    z = features[check].astype(np.float32) @ table_ + bias
+    parts = np.array_split(check, max(1, len(check) // 256))
+    z = np.concatenate([features[k].astype(np.float32) @ (table_ / UNIT) + bias for k in parts])
 
     def loss(t: float) -> float:
         p = LanguageModel(languages, table_, bias, t, 0.0).confidence(z.astype(np.float64))
@@ -173,7 +178,7 @@ def fit_language_model(
             for a, b, counts in subword_counts(*text_bytes(batch.column(2))):
                 total = counts.sum(1)
                 some = total > 0
-                out = (counts[some] / total[some][:, None] * 4096).astype(np.float16)
+                out = (counts[some] / total[some][:, None] * UNIT).astype(np.float16)
                 vectors, mask, part = pa.array([x.tobytes() for x in out], pa.binary()), pa.array(some), batch.slice(a, b - a)
                 arrays = [part.column(0).filter(mask), part.column(1).filter(mask), vectors]
                 yield pa.RecordBatch.from_arrays(arrays, ["__id", "__class", "x"])
@@ -188,7 +193,7 @@ def fit_language_model(
     ids_ = np.array([str(v) for v in got.column("__id").to_pylist()])
     order = np.lexsort((langs, ids_))
     labels = np.searchsorted(languages, langs)
-    return train(x[order].astype(np.float32) / 4096, labels[order], languages)
+    return train(x[order], labels[order], languages)
 
 
 FIELDS = [

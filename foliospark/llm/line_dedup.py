@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _P, _P_INVERSE, add_columns, blocks, mixed, small_batches, table, text_bytes
+from .common import _P, _P_INVERSE, add_columns, blocks, mixed, ready_checkpoints, small_batches, table, text_bytes
 
 HOT, SALTS = 1024, 64
 
@@ -117,6 +117,7 @@ def line_dedup(
     stays empty.
     """
     small_batches(df.sparkSession)
+    ready_checkpoints(df.sparkSession)
     cut = {"min_words": min_words, "divisor": divisor, "window": window}
     kept, out_schema = add_columns(df, FIELDS)
     text_at, out_names = kept.columns.index(text_col), out_schema.fieldNames()
@@ -149,8 +150,9 @@ def line_dedup(
         places.select("h", F.xxhash64("id", "t").alias("doc"))
         .groupBy("h")
         .agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
-        .where("least <> most AND n > 1")  # names n, so that both uses below share one shuffle
+        .where("least <> most")
         .select("h", "n")
+        .checkpoint()  # short rows; the plans below then read texts twice and not once for each use
     )
     hot = F.broadcast(repeated.orderBy(F.desc("n"), "h").limit(HOT).select("h", F.lit(True).alias("hot")))
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
