@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from .common import ready_checkpoints
 
 
+HOT, SALTS = 1024, 64
+
+
 def _smallest(edges: DataFrame, parts: int) -> DataFrame:
-    """Edges (v, u) with m, the smallest of v and all that v is linked to."""
-    least = edges.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-    return edges.join(least.coalesce(parts), "v").coalesce(parts)
+    """Edges (v, u) with m, the smallest of v and all that v is linked to.
+
+    Where links fill more than one task, those of the nodes that have most of them are dealt out over several keys.
+    """
+    least = edges.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")).select("v", F.least("v", "m").alias("m"), "n")
+    if parts == 1:
+        return edges.join(least.drop("n").coalesce(1), "v").coalesce(1)
+    hot = F.broadcast(least.orderBy(F.desc("n"), "v").limit(HOT).select("v", F.lit(True).alias("hot")))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    least = least.join(hot, "v", "left").select("v", "m", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return edges.join(hot, "v", "left").withColumn("salt", salt).join(least, ["v", "salt"]).select("v", "u", "m").coalesce(parts)
 
 
 def components(links: DataFrame, part_rows: int = 200_000) -> DataFrame:
     """``node, label`` for each node of the links ``a, b`` (longs): the smallest node of its component.
 
     Each step is two grouped minima joined back, so a node with very many links is combined on the map side and
-    split by the join; labels settle in about the logarithm of the longest chain. Self-links are ignored. Steps
+    dealt out by a salt; labels settle in about the logarithm of the longest chain. Self-links are ignored. Steps
     run in as many tasks as ``part_rows`` links to a task give, so that a small table does not leave thousands of
     small shuffle files.
     """

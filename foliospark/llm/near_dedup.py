@@ -5,8 +5,8 @@ register holds floor(1 - log_b(smallest value)), truncated to 16 bits. Registers
 two, so sketches merge; and two sets agree in a register with a probability close to their similarity, so equal
 registers can be banded.
 
-1. One pass over the texts gives each document its set's size, digest and registers. Documents with equal sets are
-   one class from here on.
+1. One pass over the texts gives each document its set's size, 128-bit digest and registers. Documents with equal sets
+   are one class from here on; sets that share the first 64 bits alone are told apart.
 2. Bands of registers put classes in buckets; buckets with one class go. In a bucket, pairs whose joint likelihood
    (given both exact sizes) peaks under the threshold less five standard deviations are dropped.
 3. First each class proposes its likeliest partner in each bucket; pairs proposed are checked on the full sets, and
@@ -16,8 +16,9 @@ registers can be banded.
    all pairs, and no cap decides a result.
    Buckets of different bands with the same classes are one. The documents read for a check are found by broadcast
    of at most ``broadcast_rows`` ids (counted first), by an ordinary join beyond that.
-4. Buckets over ``chunk`` classes are split by a hash; a star around one class joins the parts. Where such a bucket
-   still holds two components then, its parts are compared with each other, pair of parts by pair, in the same way.
+4. Buckets over ``chunk`` classes (or ``chunk_items`` shingles) are split by a hash; a star around one class joins the
+   parts. Where such a bucket still holds two components then, the classes outside its largest one are compared with
+   all its parts and with each other, in the same way.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``doc_id, n_shingles, rep`` (digest of the set, null if empty) and ``sketch``."""
+    """``doc_id, n_shingles``, ``rep, other`` (both halves of a digest of the set, null if empty) and ``sketch``."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -136,16 +137,17 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                         reps.append(_digest(shingles[bounds[k] : bounds[k + 1]]))
                         sketches.append(drawn[where[k]].tobytes())
                     else:
-                        reps.append(None)
+                        reps.append((None, None))
                         sketches.append(None)
-            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(reps, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "rep", "sketch"])
+            halves = [pa.array([x[k] for x in reps], pa.int64()) for k in range(2)]
+            arrays = [batch.column(0), pa.array(counts, pa.int64()), *halves, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "rep", "other", "sketch"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, rep long, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, rep long, other long, sketch binary")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, sketch -> rep, bucket: one row for each band."""
+    """rep, sketch, n -> rep, bucket, n: one row for each band."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -154,7 +156,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(ROWS):
             h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + drawn[:, :, k].astype(np.uint64))
         reps = np.repeat(batch.column(0).to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(h.ravel().view(np.int64))], ["rep", "bucket"])
+        sizes = np.repeat(batch.column(2).to_numpy(), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(h.ravel().view(np.int64)), pa.array(sizes)], ["rep", "bucket", "n"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, bound: tuple[int, int]) -> bool:
@@ -182,7 +185,7 @@ def _proposals(limit: int | None, first_round: bool, least: float, bound: tuple[
         ends = np.cumsum(earlier)
         first = 0
         while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(ends, ends[first] - earlier[first] + 200_000, "right")))
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - earlier[first] + 50_000, "right")))
             n = earlier[first:last]
             later = np.repeat(np.arange(first, last), n)
             yield later, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[first:last], n)
@@ -263,11 +266,13 @@ def _proposals(limit: int | None, first_round: bool, least: float, bound: tuple[
     return run
 
 
-def _digest(shingles: np.ndarray) -> int:
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two longs."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest(shingles.tobytes())
-    return digest - (1 << 64) if digest >> 63 else digest
+    digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    low, high = digest & ((1 << 64) - 1), digest >> 64
+    return (low - (1 << 64) if low >> 63 else low), (high - (1 << 64) if high >> 63 else high)
 
 
 def _sets(size: int):
@@ -278,7 +283,11 @@ def _sets(size: int):
             data, offsets = text_bytes(batch.column(1))
             shingles, bounds = shingle_sets(data, offsets, size)
             sets = [shingles[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-            rows = [(rep, x.tobytes()) for rep, x in zip(batch.column(0).to_pylist(), sets) if rep == _digest(x)]
+            rows = []
+            for rep, x in zip(batch.column(0).to_pylist(), sets):
+                low, high = _digest(x)
+                if rep in (low, low ^ high):
+                    rows.append((rep, x.tobytes()))
             arrays = [pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["rep", "items"])
 
@@ -297,7 +306,7 @@ def _verified(bound: tuple[int, int]):
 
 def near_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, chunk: int = 2048,
-    few: int = 8, broadcast_rows: int = 1_000_000,
+    chunk_items: int = 4_000_000, few: int = 8, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -305,7 +314,8 @@ def near_dedup(
     between white space, A-Z lower-cased; a text with fewer words is one shingle). ``component_id`` is the smallest
     id that links reach. A null, empty or blank text has no shingles and is linked with nothing. Rows that repeat
     an id are linked like any others with equal texts; an id whose rows differ gets a row for each. A null id
-    counts only where a component has no other (component_id null, kept). Other columns are not read.
+    counts only where a component has no other (component_id null, kept). Other columns are not read. Texts of any
+    length count with all their shingles. An empty table stays empty.
     """
     spark = df.sparkSession
     ready_checkpoints(spark)
@@ -314,22 +324,34 @@ def near_dedup(
     share = percent / 100
     least = max(0.05, share - 5 * (share * (1 - share) / REGISTERS) ** 0.5)
     signed = signatures(df, id_col, text_col, size).checkpoint()
-    classes = signed.where("rep IS NOT NULL").groupBy("rep").agg(
-        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id")
-    )
-    classes = classes.checkpoint()
-    bands = classes.select("rep", "sketch").mapInArrow(_buckets, "rep long, bucket long")
+
+    def classed(rows: DataFrame) -> DataFrame:
+        classes = rows.where("rep IS NOT NULL").groupBy("rep").agg(
+            F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"),
+            F.min("other").alias("low"), F.max("other").alias("high"),
+        )
+        return classes.checkpoint()
+
+    classes = classed(signed)
+    alike = classes.where("low <> high").select("rep")
+    if (n_alike := alike.count()):  # different sets that share 64 bits: both halves tell them apart
+        alike = F.broadcast(alike) if n_alike <= broadcast_rows else alike
+        split = signed.join(alike.withColumn("twice", F.lit(True)), "rep", "left")
+        signed = split.withColumn("rep", F.when(F.col("twice"), F.col("rep").bitwiseXOR(F.col("other"))).otherwise(F.col("rep"))).drop("twice").checkpoint()
+        classes = classed(signed)
+    bands = classes.select("rep", "sketch", "n").mapInArrow(_buckets, "rep long, bucket long, n long")
     shared = bands.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("c"),
+        F.sum("n").alias("items"),
         F.min("rep").alias("centre"),
         F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("__sum"),
     )
     # Bands in which the same classes meet make the same pairs: one of them is enough.
-    shared = shared.where("c > 1").groupBy("c", "centre", "__sum").agg(F.min("bucket").alias("bucket")).drop("__sum")
-    parts = F.expr(f"CAST(ceil(c / {chunk}) AS INT)")
+    shared = shared.where("c > 1").groupBy("c", "centre", "__sum", "items").agg(F.min("bucket").alias("bucket")).drop("__sum")
+    parts = F.expr(f"CAST(least(c, greatest(ceil(c / {chunk}), ceil(items / {chunk_items}))) AS INT)")
     members = (
         bands.join(shared, "bucket")
-        .select("bucket", "rep", "centre", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).alias("part"))
+        .select("bucket", "rep", "n", "centre", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).alias("part"))
         .checkpoint()
     )
     hot = members.where("parts > 1")
@@ -401,10 +423,24 @@ def near_dedup(
             rows = grouped(labelled(members, labels)).join(large, "group", "left_semi").checkpoint()
             add(proposed(rows, None).select("a", "b").distinct())
     if not hot.isEmpty():
-        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
-        rows = labelled(hot, labels).withColumn("other", other)
-        pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
-        rows = rows.withColumns({"group": pair, "side": (F.col("part") > F.col("other")).cast("int")}).checkpoint()
+        # In a bucket that still holds two components, pairs inside its largest one are no news: its classes stay in
+        # their parts, and only the others go to all of these.
+        rows = labelled(hot, labels).checkpoint()
+        sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("items"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp", "items")).alias("m"), F.sum("c").alias("c"), F.sum("items").alias("items"))
+        amount = lambda c, n: F.expr(f"CAST(greatest(1, ceil(({c}) / {chunk}), ceil(({n}) / {chunk_items})) AS INT)")
+        main = main.select("bucket", F.col("m.comp").alias("main"), amount("m.c", "m.items").alias("mine"), amount("c - m.c", "items - m.items").alias("others")).checkpoint()
+        rows = rows.join(F.broadcast(main) if main.count() <= broadcast_rows else main, "bucket").withColumn("inside", F.col("comp") == F.col("main"))
+        own = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("mine")).otherwise(F.col("others"))).cast("int")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        place = lambda side, a, b: F.struct(side.alias("side"), a.alias("a"), b.alias("b"))
+        against = F.transform(every("mine"), lambda p: place(F.lit(1), p, F.col("own")))
+        side = lambda q: F.when(q == F.col("own"), -1).otherwise((q < F.col("own")).cast("int"))
+        among = F.transform(every("others"), lambda q: place(side(q), F.least(q, F.col("own")) - F.col("others"), F.greatest(q, F.col("own"))))
+        held = F.transform(every("others"), lambda q: place(F.lit(0), F.col("own"), q))
+        rows = rows.withColumn("own", own)
+        rows = rows.withColumn("at", F.explode(F.when(F.col("inside"), held).otherwise(F.concat(against, among))))
+        rows = rows.select("rep", "comp", F.xxhash64("bucket", "at.a", "at.b").alias("group"), "at.side").checkpoint()
         add(proposed(rows, None).select("a", "b").distinct())
     reached = classes.select("rep", "least_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     reached = reached.withColumn("label", F.coalesce("label", "rep"))

@@ -134,6 +134,30 @@ def test_near_dedup_by_brute_force(spark, chunk):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(_components(rows))
 
 
+def test_a_bucket_of_many_components_in_parts(spark):
+    rng = np.random.default_rng(8)
+    base = [f"c{k}" for k in range(400)]
+    rows = []
+    for i in range(90):  # near enough to share bands, mostly not near enough to be linked
+        text = list(base)
+        for k in rng.choice(400, int(rng.integers(1, 26)), replace=False):
+            text[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(_components(rows))
+    for chunk in (4, 16):
+        got = near_dedup(frame, chunk=chunk, few=1).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    got = near_dedup(frame, chunk_items=3000, few=1).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_components_of_a_star_in_many_tasks(spark):
+    links = spark.range(1, 5000).selectExpr("id AS a", "0L AS b").unionByName(spark.range(1, 50).selectExpr("id + 10000 AS a", "id AS b"))
+    got = components(links, part_rows=500)
+    assert got.count() == 5049 and got.where("label = 0").count() == 5049
+
+
 def test_near_dedup_edges(odd, none):
     got = near_dedup(odd)
     assert near_dedup(none).count() == 0
