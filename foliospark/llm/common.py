@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.stages import ready_checkpoints  # noqa: F401
+
 #: ASCII bytes that are letters, lower-cased; every other ASCII byte becomes a space; UTF-8 bytes stay.
 LETTERS = np.array(
     [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8
@@ -93,21 +95,6 @@ def hashed_ngrams(data: np.ndarray, size: int, bits: int) -> np.ndarray:
     return h >> np.uint32(32 - bits)
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() work: the folder is the session's spark.checkpoint.dir; one of our own only where unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    context.setCheckpointDir(folder)
-
-
 _BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 2**64))
