@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DEGREE, BEAM, ALPHA, WIDE = 24, 64, 1.2, 4
+DEGREE, BEAM, ALPHA, WIDE = 24, 64, 1.2, 8
 
 
 def beam_search(
@@ -136,16 +136,42 @@ def build_graph(points: np.ndarray, norm2: float, batch: int = 512, seed: int =
     return graph, order[: min(n, 8)]
 
 
+def _best_rows(g: dict, found: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best rows of one graph for each query, out of the points its beam holds (-1: none).
+
+    Points are ordered by exact score and then by their smallest id before anything is cut. Each of the first k + 1
+    points has a row other than the query's own that comes before all rows of the points behind it.
+    """
+    some = np.maximum(found, 0)
+    exact = np.where(found >= 0, np.einsum("qbd,qd->qb", g["v"][some], v), -np.inf)
+    smallest = np.array([x[0] for x in g["ids"]], np.int64)
+    order = np.lexsort((smallest[some], -exact), axis=1)[:, : k + 1]
+    point, score = np.take_along_axis(some, order, 1).ravel(), np.take_along_axis(exact, order, 1).ravel()
+    query = np.repeat(np.arange(len(ids)), order.shape[1])
+    real = np.isfinite(score)
+    point, score, query = point[real], score[real], query[real]
+    sizes = np.array([len(g["ids"][p]) for p in point], np.int64)
+    rows = np.concatenate([g["ids"][p] for p in point]) if len(point) else np.zeros(0, np.int64)
+    query, score = np.repeat(query, sizes), np.repeat(score, sizes)
+    other = rows != ids[query]
+    rows, query, score = rows[other], query[other], score[other]
+    order = np.lexsort((rows, -score, query))
+    rows, query, score = rows[order], query[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return pd.DataFrame({"query_id": ids[query[kept]], "vec_id": rows[kept], "score": score[kept]})
+
+
 def nearest(
     df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
-    shard_rows: int = 16384, block_rows: int = 2048, beam: int = 192,
+    shard_rows: int = 8192, block_rows: int = 2048, beam: int = 128, group_blocks: int = 16, shard_bytes: int = 1 << 26,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best rows found for each query, other than the query's own id.
 
     Score is the inner product in double precision; ties go to the smaller id. Null ids, and vectors that are null,
     empty, zero or hold a null or non-finite component, take no part; vectors are compared with those of the same
     width. Rows that repeat id and vector count once. Extra columns are not read. Fewer than ``k`` candidates give
-    fewer rows, an empty side none.
+    fewer rows, an empty side none. Shards and blocks of queries hold fewer rows where vectors are so wide that they
+    would take more than ``shard_bytes``.
     """
 
     def usable(rows: DataFrame) -> DataFrame:
@@ -153,8 +179,9 @@ def nearest(
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
 
-    n_shards = max(1, -(-df.count() // shard_rows))
-    n_blocks = max(1, -(-queries.count() // block_rows))
+    (n, width), (n_asked, wide) = (x.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector_col)), F.lit(0))).first() for x in (df, queries))
+    n_shards = max(1, -(-n // max(1, min(shard_rows, shard_bytes // (16 * max(width, 1))))))
+    n_blocks = max(1, -(-n_asked // max(1, min(block_rows, shard_bytes // (16 * max(wide, 1))))))
     first = Window.partitionBy("v").orderBy("id")
     points = (
         usable(df)
@@ -178,7 +205,8 @@ def nearest(
         kept = {"v": original, "points": lifted, "ids": ids, "graph": graph.astype(np.int32), "start": start}
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [pickle.dumps(kept)]})
 
-    graphs = points.groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, graph binary")
+    # A number of partitions of their own, so that small shards are not put together in one task.
+    graphs = points.repartition(4 * n_shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, graph binary")
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         held = {"id": rows["id"].to_numpy(np.int64), "v": np.array(rows["v"].tolist(), np.float64)}
@@ -198,17 +226,13 @@ def nearest(
                     scaled = v / np.abs(v).max(1, keepdims=True)
                     asked_ = np.concatenate([scaled, np.zeros((len(v), 1))], 1).astype(np.float32)
                     found, _ = beam_search(points_, links, g["start"], asked_, min(beam, max(len(points_), 2)))
-                    out = []
-                    for i in range(len(ids)):
-                        at = found[i][found[i] >= 0]
-                        exact = g["v"][at] @ v[i]
-                        top = np.argsort(-exact, kind="stable")[: k + 1 + 8]
-                        rows = [(int(x), float(s)) for s, p in zip(exact[top], at[top]) for x in g["ids"][p] if x != ids[i]]
-                        rows.sort(key=lambda r: (-r[1], r[0]))
-                        out += [(int(ids[i]), x, s) for x, s in rows[:k]]
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    pairs = graphs.join(blocks, "dim").select("graph", "queries")
+                    yield _best_rows(g, found, ids, v, k)
+
+    # Each shard meets each group of blocks in a task of its own, whatever the number of widths.
+    shards, groups = (F.explode(F.expr(f"sequence(0L, {n - 1}L)")) for n in (n_shards, -(-n_blocks // group_blocks)))
+    left = graphs.withColumn("group", groups)
+    right = blocks.select("dim", F.expr(f"block div {group_blocks}").alias("group"), "queries", shards.alias("shard"))
+    pairs = left.join(right, ["dim", "shard", "group"]).select("graph", "queries")
     hits = pairs.mapInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
