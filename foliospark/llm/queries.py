@@ -1,4 +1,4 @@
-"""Queries of the ten operators and their SQL, by name."""
+"""Queries of the thirteen operators and their SQL, by name."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ _OPS = [
     ("near_dedup", "op8_setsketch_dedup", None),
     ("mixing", "op9_pfair_mixing", None),
     ("ann", "op10_graph_search", None),
+    ("secret_scan", "op13_secret_scan", None),
 ]
 
 
