@@ -200,6 +200,10 @@ def redacted(text: Column, secrets: Column) -> Column:
     return F.aggregate(secrets, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, length)))
 
 
+def _of(secrets: str, kinds: list[str]) -> Column:
+    return F.filter(secrets, lambda x: x["kind"].isin(kinds))
+
+
 def _joined(secrets: Column) -> Column:
     return F.array_join(F.transform(secrets, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
@@ -207,6 +211,6 @@ def _joined(secrets: Column) -> Column:
 def op13_secret_scan(spark, sf_dir):
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [r.kind for r in BASE]
-    counts = [F.size(F.filter("secrets", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
-    base = F.filter("secrets", lambda x: x["kind"].isin(kinds))
+    counts = [F.size(_of("secrets", [k])).cast("long").alias(f"n_{k}") for k in kinds]
+    base = _of("secrets", kinds)
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
