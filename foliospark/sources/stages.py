@@ -33,3 +33,9 @@ def scratch(spark) -> str:
     if not shared and not spark.sparkContext.master.startswith("local["):
         shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared or tempfile.mkdtemp(prefix='foliospark-')}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session has written and that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
