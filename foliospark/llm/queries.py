@@ -16,6 +16,7 @@ _OPS = [
     ("near_dedup", "op8_setsketch_dedup", None),
     ("mixing", "op9_pfair_mixing", None),
     ("ann", "op10_graph_search", None),
+    ("collocations", "op11_collocations", None),
     ("alignment", "op12_token_alignment", None),
     ("secret_scan", "op13_secret_scan", None),
 ]
