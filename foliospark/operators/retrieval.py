@@ -7,42 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import textops
 from ..functions.answers import l2_normalize
-from ..sources.stages import staged
-
-
-def rank_within(df: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("question_id",)) -> DataFrame:
-    """Rows 1 to ``k`` of each question in the given order, as ``rank``."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
-
-
-def bm25_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", position: str | None = None) -> dict[str, DataFrame]:
-    """``postings`` (token, chunk_id, position, dl, tf), ``terms`` (token, df, idf), ``corpus`` (n, avgdl), ``places``.
-
-    idf is ln(n - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean idf. Texts are cut into tokens
-    once: all else is counted from the postings, which are kept in the shared folder. ``places`` has the ids and
-    positions of all chunks.
-    """
-    places = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(position or chunk_id).alias("position"))
-    docs = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(position or chunk_id).alias("position"), textops.tokenize(text).alias("tokens"))
-    tokens = docs.select("chunk_id", "position", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    postings = staged(tokens.groupBy("token", "chunk_id", "position", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
-    corpus = places.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
-    terms = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = terms.join(F.broadcast(corpus.select("n"))).select("token", "df", raw.alias("raw"))
-    floor = terms.agg((F.avg("raw") * 0.25).alias("floor"))
-    terms = terms.join(F.broadcast(floor)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": postings, "terms": terms, "corpus": corpus, "places": places}
+from ..sources.stages import scratch, staged
+from .inverted import InvertedIndex, rank_within, search_index, write_index
 
 
 def _pairs(left: DataFrame, n_left: int, right: DataFrame, n_right: int) -> DataFrame:
@@ -59,100 +30,16 @@ def _number(n_blocks: int, *key: str) -> Column:
 
 
 def bm25_search(
-    queries: DataFrame, chunks: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, chunk_id: str = "chunk_id",
-    text: str = "text", position: str | None = None, index: dict[str, DataFrame] | None = None,
-    block_rows: int = 4096, block_questions: int = 512, broadcast_rows: int = 1_000_000,
+    queries: DataFrame, chunks: DataFrame | None, k: int = 50, k1: float = 1.5, b: float = 0.75, chunk_id: str = "chunk_id",
+    text: str = "text", position: str | None = None, index: InvertedIndex | None = None,
 ) -> DataFrame:
     """``question_id, rank, chunk_id, score`` for queries (question_id, query); questions without tokens get nothing.
 
-    Postings are packed into blocks of chunks, questions into blocks of questions with the idf of their tokens. A pair
-    of blocks adds up, for each question, the stretches of postings that its tokens have, and returns its own best
-    ``k``; so no token, however common, is a key of a shuffle. A prebuilt ``index`` is taken as it is. Where fewer than
-    ``k`` chunks match, the lowest positions fill up with score 0. Scores equal to 9 digits are ties.
+    Without an ``index`` one is written to the shared folder first. Where fewer than ``k`` chunks score above 0, those
+    without a match come next, by position. Scores equal to 9 digits are ties and go by position.
     """
-    index = index or bm25_index(chunks, chunk_id, text, position)
-    postings, places = index["postings"], index["places"]
-    asked = queries.select("question_id", F.explode(textops.tokenize("query")).alias("token"))
-    asked = staged(asked.groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("times")))
-    wanted = asked.select("token").distinct()
-    n_chunks, n_questions, n_wanted = places.count(), asked.select("question_id").distinct().count(), wanted.count()
-    if n_wanted <= broadcast_rows:
-        postings = postings.join(F.broadcast(wanted), "token", "left_semi")
-    known = index["terms"].join(wanted, "token", "left_semi").select("token", "idf")
-    n_left, n_right = max(1, -(-n_questions // block_questions)), max(1, -(-n_chunks // block_rows))
-    kinds = dict(places.dtypes) | {"question_id": dict(queries.dtypes)["question_id"]}
-    avgdl = F.broadcast(index["corpus"].select("avgdl"))
-
-    def packed(name: str, *columns: str):
-        def pack(key: tuple, rows: pa.Table) -> pa.Table:
-            rows = rows.select(list(columns)).sort_by([(c, "ascending") for c in columns[:2]]).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as writer:
-                writer.write_table(rows)
-            return pa.table({"number": key[0:1], name: pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-        return lambda df, block: df.withColumn("number", block).groupBy("number").applyInArrow(pack, f"number int, {name} binary")
-
-    left = packed("questions", "question_id", "token", "times", "idf")(asked.join(known, "token"), _number(n_left, "question_id"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = postings.join(avgdl).select("token", "position", "chunk_id", weight.alias("w"))
-    right = packed("postings", "token", "position", "chunk_id", "w")(weighted, _number(n_right, "chunk_id"))
-    pairs = _pairs(left.withColumnRenamed("number", "block"), n_left, right.withColumnRenamed("number", "other"), n_right)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for questions, held in zip(batch.column(0), batch.column(1)):
-                q, p = (pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks() for x in (questions, held))
-                if out := _bm25_block(q, p, k):
-                    yield pa.RecordBatch.from_arrays(out, ["question_id", "chunk_id", "position", "score"])
-
-    found = f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, position {kinds['position']}, score double"
-    scored = pairs.select("questions", "postings").mapInArrow(score, found)
-    top = staged(rank_within(scored, k, F.round("score", 9).desc(), F.col("position").asc()))
-    counts = asked.select("question_id").distinct().join(top.groupBy("question_id").agg(F.count(F.lit(1)).alias("found")), "question_id", "left")
-    lacking = counts.where(F.coalesce("found", F.lit(0)) < k).select("question_id")
-    lowest = places.orderBy("position").limit(2 * k)
-    fill = lacking.join(F.broadcast(lowest)).join(top.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    both = top.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0)))
-    return rank_within(both, k, F.round("score", 9).desc(), F.col("position").asc()).select("question_id", "rank", "chunk_id", "score")
-
-
-def _bm25_block(q: pa.Table, p: pa.Table, k: int) -> list[pa.Array]:
-    """question_id, chunk_id, position, score of the best ``k`` chunks of a block for each question; postings by token."""
-    if not len(p):
-        return []
-    tokens = p.column("token").dictionary_encode().combine_chunks()
-    ends = np.append(np.flatnonzero(np.diff(tokens.indices.to_numpy())) + 1, len(p))
-    at = {t: (a, z) for t, a, z in zip(tokens.dictionary.to_pylist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())}
-    chunk = p.column("chunk_id").dictionary_encode().combine_chunks()
-    place, w = chunk.indices.to_numpy(), p.column("w").to_numpy()
-    own = np.zeros(len(chunk.dictionary), np.int64)
-    own[place] = np.arange(len(place))  # a posting of each chunk
-    position = p.column("position").take(pa.array(own))
-    order = np.empty(len(own), np.int64)
-    order[pa.compute.sort_indices(position).to_numpy()] = np.arange(len(own))
-    rows, hits, scores = [], [], []
-    ids, first = q.column("question_id"), 0
-    number = ids.dictionary_encode().combine_chunks().indices.to_numpy()
-    names, share = q.column("token").to_pylist(), q.column("idf").to_numpy() * q.column("times").to_numpy()
-    for last in np.append(np.flatnonzero(np.diff(number)) + 1, len(number)).tolist():
-        spans = [(*at[t], share[n]) for n, t in zip(range(first, last), names[first:last]) if t in at]
-        if spans:
-            where = np.concatenate([place[a:z] for a, z, _ in spans])
-            total = np.bincount(where, np.concatenate([w[a:z] * x for a, z, x in spans]), len(own))
-            seen = np.flatnonzero(np.bincount(where, minlength=len(own)))
-            if len(seen) > 4 * k:  # all that tie with the k-th stay
-                least = np.round(np.partition(total[seen], len(seen) - k)[len(seen) - k], 9) - 1e-9
-                seen = seen[total[seen] >= least]
-            best = seen[np.lexsort((order[seen], -np.round(total[seen], 9)))[:k]]
-            rows += [first] * len(best)
-            hits.append(best)
-            scores.append(total[best])
-        first = last
-    if not rows:
-        return []
-    best = pa.array(np.concatenate(hits))
-    return [ids.take(pa.array(rows)).combine_chunks(), chunk.dictionary.take(best), position.take(best).combine_chunks(), pa.array(np.concatenate(scores))]
+    index = index or write_index(chunks, scratch(queries.sparkSession), chunk_id, text, position)
+    return search_index(index, queries, k, k1, b)[0]
 
 
 def normalize_index(vectors: DataFrame, chunk_id: str, embedding: str) -> DataFrame:
@@ -290,9 +177,9 @@ def context_rows(ranked: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     return rows.groupBy("question_id", "system").agg(F.sort_array(F.collect_list(items)).alias("context"))
 
 
-def retrieve_all(queries: DataFrame, chunks: DataFrame, dense: DataFrame, scorer=overlap_scorer, k: int = 50) -> DataFrame:
+def retrieve_all(queries: DataFrame, chunks: DataFrame, dense: DataFrame, scorer=overlap_scorer, k: int = 50, index: InvertedIndex | None = None) -> DataFrame:
     """bm25, dense, hybrid_rrf and hybrid_rerank lists of every question as one long table."""
-    bm25 = staged(bm25_search(queries, chunks, k))
+    bm25 = staged(bm25_search(queries, chunks, k, index=index))
     lists = union_ranked({"bm25": bm25, "dense": dense})
     fused = staged(rrf_fuse(lists, top=k))
     again = rerank(fused.join(queries.select("question_id"), "question_id", "left_semi"), queries, chunks, scorer, k)

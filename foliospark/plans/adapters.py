@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 TODAY = "2026-11-02"
 MIN_CHARS = 1200
 
@@ -13,6 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for this application and these very files (by path, length and time of change)."""
+    files = []
+    for x in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{x}.parquet")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(path)]
+    key = (spark.sparkContext.applicationId, name, *files)
+    if key not in _KEPT:
+        for old in [k for k in _KEPT if k[0] != key[0]]:
+            del _KEPT[old]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 _DAY = "date_add(DATE'2005-01-01', CAST(({d}) * 37 % 7300 AS INT))"
 _CNR = "concat('HCBM0', 1 + ({d}) % 7, '_', {d}, {tail})"
 _TAIL = (

@@ -80,9 +80,7 @@ def repeats(s, d):
 
 def flagship(s, d):
     """BM25 and dense lists of every question fused by reciprocal rank: the first ten, with each document's source."""
-    lists = E.ranked(s, d)
-    both = R.union_ranked({name: lists.where(F.col("system") == name) for name in ("bm25", "dense")})
-    fused = R.rrf_fuse(both, top=10)
+    fused = R.rrf_fuse(E.two_lists(s, d), top=10)
     return E.rounded(R.attach_chunks(fused, table(s, d, "documents").selectExpr("doc_id AS chunk_id", "source AS cnr")), "score")
 
 
