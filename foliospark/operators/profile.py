@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textops
+from ..sources.stages import staged
+from .quantiles import with_quantiles
 
 
 def _long(chars: str, least: int):
@@ -15,14 +17,15 @@ def _long(chars: str, least: int):
 def by_bench(df: DataFrame, long_chars: int = 5000) -> DataFrame:
     """By bench and 6-character prefix of the number: records, long ones, characters, median, under 2,000."""
     keep = _long("text_length", long_chars)
-    return df.groupBy("bench", F.substring("cnr", 1, 6).alias("cnr_prefix")).agg(
+    df = staged(df.select("bench", F.substring("cnr", 1, 6).alias("cnr_prefix"), "text_length"))
+    out = df.groupBy("bench", "cnr_prefix").agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(keep).alias("reasoned_records"),
         F.sum("text_length").alias("chars"),
         F.sum(F.when(keep, F.col("text_length")).otherwise(0)).alias("reasoned_chars"),
-        F.median("text_length").alias("median_chars"),
         F.count_if(F.col("text_length") < 2000).alias("under_2k"),
     )
+    return with_quantiles(out, df, ["bench", "cnr_prefix"], "text_length", {"median_chars": 0.5})
 
 
 def by_cnr_year(df: DataFrame, long_chars: int = 5000) -> DataFrame:
@@ -114,7 +117,6 @@ def header_by_bench(df: DataFrame, keep, text: str = "full_text", header: str =
 def table_profile(df: DataFrame, text: str, group_cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """One row of counts and text lengths; and value counts of the grouping columns as (column, value, n)."""
     length = F.char_length(text)
-    q = F.percentile(length, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95)))
     summary = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns],
@@ -123,20 +125,18 @@ def table_profile(df: DataFrame, text: str, group_cols: list[str]) -> tuple[Data
         F.min(length).alias("min_length"),
         F.max(length).alias("max_length"),
         F.avg(length).alias("mean_length"),
-        q.alias("q"),
     )
-    names = ("p25_length", "median_length", "p75_length", "p95_length")
-    summary = summary.select("*", *[F.col("q")[k].alias(n) for k, n in enumerate(names)]).drop("q")
+    probs = {"p25_length": 0.25, "median_length": 0.5, "p75_length": 0.75, "p95_length": 0.95}
+    summary = with_quantiles(summary, df, [], length, probs)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in group_cols])
     values = df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
     return summary, values
 
 
 def length_by(df: DataFrame, group: str, text: str) -> DataFrame:
-    n = F.char_length(text)
-    return df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("documents"), F.avg(n).alias("mean"), F.median(n).alias("median"), F.min(n).alias("min"), F.max(n).alias("max")
-    )
+    df = staged(df.select(group, F.char_length(text).alias("n")))
+    out = df.groupBy(group).agg(F.count(F.lit(1)).alias("documents"), F.avg("n").alias("mean"), F.min("n").alias("min"), F.max("n").alias("max"))
+    return with_quantiles(out, df, [group], "n", {"median": 0.5})
 
 
 def majority_name(df: DataFrame, group: str, name: str) -> DataFrame:

@@ -7,9 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, textops
 from ..functions.stats_exprs import wilson
+from ..sources.stages import staged
+from .quantiles import with_quantiles
 from .sampling import in_sample
 
 
+def _covered(rows: DataFrame, *groups: Column | str) -> DataFrame:
+    """Counts of each group with the exact median length of its search records; the rows are read once, narrow."""
+    named = rows.select(*groups, "in_search_index", "judgment_year", "clean_chars")
+    names = named.columns[: len(groups)]
+    named = staged(named)
+    out = named.groupBy(*names).agg(*_coverage())
+    return with_quantiles(out, named.where("in_search_index"), names, "clean_chars", {"median_search_chars": 0.5})
+
+
 def _coverage() -> list[Column]:
     search = F.col("in_search_index")
     year = F.when(F.col("judgment_year") > 0, F.col("judgment_year"))
@@ -17,7 +28,6 @@ def _coverage() -> list[Column]:
         F.count(F.lit(1)).alias("records"),
         F.count_if(search).alias("search_records"),
         F.coalesce(F.sum(F.when(search, F.col("clean_chars"))), F.lit(0)).alias("search_chars"),
-        F.median(F.when(search, F.col("clean_chars"))).alias("median_search_chars"),
         F.min(year).alias("first_year"),
         F.max(year).alias("last_year"),
     ]
@@ -25,14 +35,14 @@ def _coverage() -> list[Column]:
 
 def coverage_by_bench(rows: DataFrame) -> DataFrame:
     """Records, search records, share, characters, exact median length and years of each source and bench."""
-    out = rows.groupBy("source_config", "bench_name").agg(*_coverage())
+    out = _covered(rows, "source_config", "bench_name")
     return out.withColumn("search_share", F.col("search_records") / F.col("records")).orderBy(
         F.desc("records"), "source_config", "bench_name"
     )
 
 
 def coverage_by_period(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(dates.year_period("judgment_year").alias("period")).agg(*_coverage())
+    return _covered(rows, dates.year_period("judgment_year").alias("period"))
 
 
 def date_quality(rows: DataFrame) -> DataFrame:
@@ -92,10 +102,9 @@ def feature_distribution(rows: DataFrame, rate: float = 1.0, salt: str = "") ->
     """Mean, 95th and 99th percentile (linear) and maximum of each scan measure."""
     m = rows.where(in_sample("cnr", rate, salt)).select(textops.ocr_metrics("text").alias("m"))
     pairs = F.array(*[F.struct(F.lit(r).alias("feature"), F.col(f"m.{r}").cast("double").alias("v")) for r in REASONS])
-    out = m.select(F.explode(pairs).alias("p")).groupBy("p.feature").agg(
-        F.avg("p.v").alias("mean"), F.percentile("p.v", F.array(F.lit(0.95), F.lit(0.99))).alias("q"), F.max("p.v").alias("max")
-    )
-    return out.select("feature", "mean", F.col("q")[0].alias("p95"), F.col("q")[1].alias("p99"), "max")
+    m = staged(m.select(F.explode(pairs).alias("p")).select("p.feature", "p.v"))
+    out = m.groupBy("feature").agg(F.avg("v").alias("mean"), F.max("v").alias("max"))
+    return with_quantiles(out, m, ["feature"], "v", {"p95": 0.95, "p99": 0.99}).select("feature", "mean", "p95", "p99", "max")
 
 
 def repeat_share(rows: DataFrame, rate: float = 1.0, salt: str = "") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import with_quantiles
+
 
 def last_record_wins(log: DataFrame, item: str, line: str) -> DataFrame:
     latest = Window.partitionBy(item).orderBy(F.desc(line))
@@ -72,9 +74,9 @@ def judge_human_pairs(judged: DataFrame, human: DataFrame, item: str, fields: tu
 
 
 def latency_stats(log: DataFrame, stage: str, value: str) -> DataFrame:
-    return log.groupBy(stage).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95")
-    )
+    """Records, mean, exact median and 95th percentile (linear) of a value at each stage."""
+    out = log.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    return with_quantiles(out, log, [stage], value, {"median": 0.5, "p95": 0.95})
 
 
 def validate_candidates(rows: DataFrame, fields: tuple[str, ...], gold: str, kinds: dict[str, int]) -> tuple[DataFrame, DataFrame]:

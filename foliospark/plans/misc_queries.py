@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import udfs
-from ..operators import corpus, quality
+from ..operators import corpus
+from ..operators import quantiles as Q
+from ..operators import quality
 from ..operators import retrieval as R
 from ..sources import tables as T
 from ..sources.stages import scratch
@@ -84,12 +86,20 @@ def flagship(s, d):
     return E.rounded(R.attach_chunks(fused, table(s, d, "documents").selectExpr("doc_id AS chunk_id", "source AS cnr")), "score")
 
 
+def percentiles_in_passes(s, d):
+    """Prices of each flag by selection in passes, as groups of any size are treated."""
+    rows = table(s, d, "lineitem").selectExpr("l_returnflag", "CAST(l_extendedprice AS DOUBLE) AS __v")
+    probs = {"p5": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
+    return E.rounded(Q.selected(rows, ["l_returnflag"], probs, small=0), *probs)
+
+
 QUERIES = {
     "flagship_hybrid": flagship,
     "src3_check_schema": schema_rows,
     "src5_write_corpus": write_and_read,
     "src6_write_report": report_and_read,
     "src7_write_csv_sample": csv_and_read,
+    "agg39_percentiles_in_passes": percentiles_in_passes,
     "str1_stream_collect": collected,
     "str2_stream_resume": resumed,
     "scl8_collapse_repeats": repeats,
@@ -103,6 +113,7 @@ SQL = {
     "src3_check_schema": "SELECT count(*) AS rows, count(*) AS counted, 'judge' AS absent, '' AS required_missing FROM documents",
     "src5_write_corpus": ROWS_SQL + "SELECT 'search_corpus' AS table, count(*) AS rows, CAST(sum(clean_chars) AS BIGINT) AS chars FROM r WHERE in_search_index UNION ALL SELECT 'lookup_only', count(*), CAST(sum(clean_chars) AS BIGINT) FROM r WHERE NOT in_search_index UNION ALL SELECT 'duplicate_links', count(*), 0 FROM b WHERE outcome_label = 'near_duplicate'",
     "src6_write_report": BUILD_SQL + f", o AS (SELECT unnest([{_OUT}]) AS outcome), g AS (SELECT unnest(['high_courts', 'supreme_court', 'all']) AS source_config) SELECT g.source_config, o.outcome, count(b.d) AS n FROM g CROSS JOIN o LEFT JOIN b ON b.outcome_label = o.outcome AND (g.source_config = 'all' OR b.source_config = g.source_config) GROUP BY 1, 2",
+    "agg39_percentiles_in_passes": "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p}), 6) AS {n}" for n, p in (("p5", 0.05), ("median", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM lineitem GROUP BY 1",
     "src7_write_csv_sample": "SELECT doc_id, lang, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT 50",
     "str2_stream_resume": "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS items FROM customer GROUP BY 1",
     "jon_build_corpus": ROWS_SQL + "SELECT in_search_index, count(*) AS n, CAST(sum(clean_chars) AS BIGINT) AS chars FROM r GROUP BY 1",
