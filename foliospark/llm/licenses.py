@@ -1,9 +1,9 @@
 """Licence scans: Aho-Corasick over words, and a shunting-yard parser for licence expressions.
 
 One automaton holds all notice phrases and the words of the identifier tag. It runs over each text's words,
-lower-cased and joined by single spaces, so a phrase matches only where its words stand consecutively. Where the
-tag is found, the expression behind each ``SPDX-License-Identifier:`` of the text is parsed into postfix form and
-evaluated: ``or`` lets the reader choose (the least restrictive side counts), ``and`` binds to both (the most
+lower-cased and joined by single spaces, so a phrase matches only where its words stand consecutively. Behind each place
+where it finds the tag ``SPDX-License-Identifier:``, up to the end of the line or the next tag, an expression is parsed
+into postfix form and evaluated: ``or`` lets the reader choose (the least restrictive side counts), ``and`` binds to both (the most
 restrictive counts), ``with`` attaches an exception that eases the licence before it.
 """
 
@@ -42,7 +42,9 @@ NOTICES = {
     "boost software license": "boost",
 }
 TAG = "spdx license identifier"
-_TAGGED = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*([^\r\n]*)", re.I)
+_SPAN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: What may stand between the tag and its expression, and the expression.
+_LINE = re.compile(rb"[ \t]*:?[ \t]*([^\r\n]*)")
 #: How much each label restricts reuse, 0 to 1; labels that are not listed count as UNKNOWN.
 RESTRICTS = {
     "public-domain": 0.05, "cc0": 0.05, "mit": 0.1, "isc": 0.1, "bsd": 0.1, "boost": 0.1, "apache": 0.15,
@@ -51,6 +53,8 @@ RESTRICTS = {
 }
 UNKNOWN = 0.5
 _FAMILY = re.compile(r"^(agpl|lgpl|gpl|apache|bsd|mit|mpl|epl|isc|cc0|cc-by-nc|cc-by-sa|cc-by-nd|cc-by)(?![a-z0-9])")
+# Identifiers without a digit or a hyphen, besides the families.
+_PLAIN = set("beerware curl intel libpng naist ncsa openssl php postgresql python qhull ruby saxpath sleepycat unlicense vim w3c wtfpl xerox xnet zed zend zlib".split())
 _RANK = {"or": 1, "and": 2, "with": 3}
 _WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -58,9 +62,12 @@ _WORDS = bytes(
 
 
 def family(identifier: str) -> str:
-    """Label of an identifier: its family if that is known, else the identifier itself."""
+    """Label of an identifier: its family if that is known, else the identifier itself; empty for a plain word.
+
+    Identifiers have a digit or a hyphen, but for some known ones, so words of a sentence behind a tag are none.
+    """
     found = _FAMILY.match(identifier)
-    return found[1] if found else identifier
+    return found[1] if found else identifier if identifier in _PLAIN or re.search(r"[0-9]|[a-z]-[a-z]", identifier) else ""
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -118,7 +125,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
                 stack.append((left | right, min(a, b) if token == "or" else max(a, b)))
         elif token not in _RANK:
             label = family(token)
-            stack.append(({label}, RESTRICTS.get(label, UNKNOWN)))
+            stack.append(({label} - {""}, RESTRICTS.get(label, UNKNOWN) if label else 0.0))
     labels = set().union(*(x for x, _ in stack)) if stack else set()
     return labels, max((x for _, x in stack), default=0.0)
 
@@ -134,27 +141,41 @@ def _automaton():
     return made
 
 
+def expressions(text: bytes, tags: list[int]) -> Iterator[str]:
+    """What stands behind each tag on its line, up to the next tag; ``tags`` are the numbers of their last words."""
+    spans, at, places = _SPAN.finditer(text), -1, []
+    for number in tags:
+        first = last = None
+        while at < number:
+            last, at = next(spans), at + 1
+            if at == number - TAG.count(" "):
+                first = last
+        places.append((first.start(), last.end()))
+    for (_, end), (stop, _) in zip(places, [*places[1:], (len(text), 0)], strict=True):
+        yield _LINE.match(text[end:stop])[1].decode("utf-8", "replace")
+
+
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
     """What the query returns for one text: words, base places, first and last start, labels, score."""
     words = text.translate(_WORDS).split()
     plain = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogateescape")
-    base, own, tagged, starts = set(), set(), False, []
+    base, own, tags, starts = set(), set(), [], []
     word = seen = 0  # matches come by their ends, so the words in front of each are counted on from the last one
     for end, phrase in _automaton().iter(plain):
+        if phrase == TAG or phrase in BASE:
+            word, seen = word + plain.count(" ", seen, end + 1), end + 1
         if phrase == TAG:
-            tagged = True
+            tags.append(word - 2)
         elif phrase in BASE:
-            word, seen = word + plain.count(" ", seen, end + 1), end + 1
             base.add(BASE[phrase])
             starts.append(word - 1 - len(phrase.split()))
         if phrase in NOTICES:
             own.add(NOTICES[phrase])
     score = max((RESTRICTS[x] for x in base | own), default=0.0)
-    if tagged:
-        for expression in _TAGGED.findall(text):
-            labels, strength = evaluate(to_postfix(expression.decode("utf-8", "replace")))
-            own |= {x for x in labels if "," not in x}
-            score = max(score, strength)
+    for expression in expressions(text, tags):
+        labels, strength = evaluate(to_postfix(expression))
+        own |= {x for x in labels if "," not in x}
+        score = max(score, strength)
     return (
         len(words), len(starts), min(starts, default=None), max(starts, default=None),
         ",".join(sorted(base)), ",".join(sorted(base | own)), score,

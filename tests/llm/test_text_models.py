@@ -27,6 +27,16 @@ def test_scan_matches_plain_search():
         got = scan(text.encode())
         assert got[:4] == (len(words), len(hits), hits[0][0] if hits else None, hits[-1][0] if hits else None)
         assert got[4] == ",".join(sorted({x for _, x in hits}))
+    several = {
+        b"SPDX-License-Identifier: MIT; SPDX-License-Identifier: GPL-2.0-only": ("gpl,mit", 0.8),
+        b"/* SPDX-License-Identifier: (MIT OR GPL-2.0-only) SPDX-License-Identifier: Apache-2.0 SPDX license identifier ISC */ x": ("apache,gpl,isc,mit", 0.15),
+        b"spdx SPDX-License-Identifier: SPDX-License-Identifier: Zlib\nGPL-2.0": ("zlib", 0.5),
+        b"SPDX-License-Identifier: see the file": ("", 0.0),
+        b"\xc3\xa9 SPDX-License-Identifier: LicenseRef-Own": ("licenseref-own", 0.5),
+        b"SPDX-License-Identifier:": ("", 0.0),
+    }
+    for text, (labels, strength) in several.items():
+        assert scan(text)[5:] == (labels, strength), text
     got = scan(b"// SPDX-License-Identifier: MIT OR BSD-3-Clause\ncode")
     assert got[5] == "bsd,mit" and got[6] == 0.1
 
