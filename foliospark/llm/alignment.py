@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: common ends of the tokens of two tokenizers, by hash sets of cumulative byte ends.
 
 Where a token of each tokenizer ends at the same byte, the text is cut into groups; ids that share a group are linked.
-Both tokenizers cut in front of a blank that follows another sign, so a text is read as the pieces between such
-places: a piece has the same ids wherever it stands, and pieces seen before are not read again. Inside a piece the
-ends of the first tokenizer's tokens are keys of a dictionary to token numbers, so are those of the second; the sorted
+Both tokenizers cut where another sign is followed by a blank or a line end, and where a letter is followed by a mark
+(looked up in the vocabulary), so a text is read as the pieces between such places: a piece has the same ids wherever
+it stands, and a worker does not read again what it remembers. Inside a piece the ends of the first tokenizer's tokens are keys of a dictionary to token numbers, so are those of the second; the sorted
 keys of both slice the two id lists into groups, and links are expanded slice by slice, equal ids at once.
 
 How many documents hold a pair of ids is counted over the corpus. Documents are read once, in blocks, and their links
@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,11 @@ from ..sources.stages import scratch
 from .common import small_batches, table
 from .packing import encoder, slow_encoder
 
-_PLACE = re.compile(r"(?<=\S)(?= )")
+#: A letter, as far as the search for cuts goes: signs of words without digits.
+_LETTER = "[^\\W\\d_¹²³]"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Signs of a block of documents; a stretch of a longer text; pieces that a worker remembers.
-BLOCK, REMEMBERED = 1 << 22, 300_000
+#: Signs of a block of documents, and of a stretch of a longer text; pieces that a worker remembers (some 350 bytes each).
+BLOCK, REMEMBERED = 1 << 22, 1_000_000
 
 
 def default_vocabularies() -> tuple[str, str, str]:
@@ -45,46 +46,63 @@ def default_vocabularies() -> tuple[str, str, str]:
     return tuple(public_tokenizers.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
-def aligned(a_ids: list[int], a_sizes: list[int], b_ids: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups: slices of both id lists between bytes at which tokens of both end."""
-    a_at = {end: k for k, end in enumerate(accumulate(a_sizes), 1)}
-    b_at = {end: k for k, end in enumerate(accumulate(b_sizes), 1)}
-    out, i, j = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        out.append((a_ids[i : a_at[end]], b_ids[j : b_at[end]]))
-        i, j = a_at[end], b_at[end]
-    return out
+def aligned(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of each tokenizer end at or before each byte at which tokens of both end, in order."""
+    a_at = dict(zip(a_ends, range(1, len(a_ends) + 1)))
+    b_at = dict(zip(b_ends, range(1, len(b_ends) + 1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return [*map(a_at.__getitem__, common)], [*map(b_at.__getitem__, common)]
 
 
-def links(groups: list[tuple[list[int], list[int]]]) -> Counter:
-    """Pairs of ids that share a group (first id << 32 | second id), and how often their tokens do."""
-    out: Counter = Counter()
-    for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            out[a[0] << 32 | b[0]] += 1
-        else:
-            second = Counter(b)
-            for x, n in Counter(a).items():
-                for y, m in second.items():
-                    out[x << 32 | y] += n * m
-    return out
+def links(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids that share a slice (first id << 32 | second id), how often, and the number of the slice.
+
+    Slices end at ``a_at`` and ``b_at``. Those with many pairs are expanded by different ids.
+    """
+    a_from, b_from = np.append(0, a_at[:-1]), np.append(0, b_at[:-1])
+    wide, high = a_at - a_from, b_at - b_from
+    size = np.where(wide * high <= 4096, wide * high, 0)
+    of = np.repeat(np.arange(len(size)), size)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    keys = [a[a_from[of] + k // high[of]] << 32 | b[b_from[of] + k % high[of]]]
+    times, slices_ = [np.ones(len(of), np.int64)], [of]
+    for g in np.flatnonzero((size == 0) & (wide * high > 0)).tolist():
+        x, n = np.unique(a[a_from[g] : a_at[g]], return_counts=True)
+        y, m = np.unique(b[b_from[g] : b_at[g]], return_counts=True)
+        keys.append((x[:, None] << 32 | y).ravel())
+        times.append((n[:, None] * m).ravel())
+        slices_.append(np.full(len(x) * len(y), g))
+    return np.concatenate(keys), np.concatenate(times), np.concatenate(slices_)
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of their tokens."""
+    """Both tokenizers with the bytes of their tokens. The second one gets texts with the blank that it would add."""
 
     def __init__(self, ranks: str, whole: str, model: str) -> None:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.ranks, self.whole = ranks, whole
         first = encoder(ranks)
         self.a_bytes = {k: first.decode_single_token_bytes(k) for k in range(first.n_vocab)}
-        self.second = sentencepiece.SentencePieceProcessor(model_file=model)
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(model, "rb") as file:
+            proto.ParseFromString(file.read())
+        proto.normalizer_spec.add_dummy_prefix = False
+        self.second = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         names = [self.second.id_to_piece(k) for k in range(len(self.second))]
         self.b_bytes = [bytes([int(m[1], 16)]) if self.second.is_byte(k) and (m := _BYTE.fullmatch(x)) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
-        self.blank = self.second.piece_to_id("▁")
-        #: Whether no piece goes across a place in front of a blank, so that texts can be cut there.
-        self.cuts = not any(re.search("[^▁]▁", x) for x in names)
+        self.a_sizes = np.array([len(self.a_bytes[k]) for k in range(len(self.a_bytes))])
+        self.b_sizes = np.array([*map(len, self.b_bytes)])
+        self.place = self._cuts([x.replace("▁", " ") for k, x in enumerate(names) if not (self.second.is_byte(k) or self.second.is_control(k) or self.second.is_unknown(k))])
+
+    @staticmethod
+    def _cuts(names: list[str]) -> re.Pattern | None:
+        """Places at which no token of either tokenizer goes on: those that no piece of the second one goes across."""
+        ways = [rf"(?<=\S)(?={x})" for x in (" ", "\n") if not any(re.search(f"[^{x}]{x}", n) for n in names)]
+        marks = [c for c in string.punctuation if c != "_" and not any(re.search(_LETTER + re.escape(c), n) for n in names)]
+        ways += [f"(?<={_LETTER})(?=[{re.escape(''.join(marks))}])"] if marks else []
+        return re.compile("|".join(ways)) if ways else None
 
     def first_ids(self, text: str) -> list[int]:
         try:
@@ -94,11 +112,6 @@ class Tokenizers:
             slow.encode_special_tokens = True
             return slow.encode(text, add_special_tokens=False).ids
 
-    def second_ids(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces, each of which starts with a blank; the tokenizer adds that one itself."""
-        got = self.second.encode([x[1:] for x in pieces], num_threads=1)
-        return [ids if len(x) > 1 else [self.blank] for x, ids in zip(pieces, got, strict=True)]
-
 
 @lru_cache(maxsize=1)
 def tokenizers(ranks: str, whole: str, model: str) -> Tokenizers:
@@ -121,36 +134,56 @@ class Pieces(dict):
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        new, self.new = self.new, []
-        for piece, b_ids in zip(new, self.both.second_ids(new), strict=True):
-            self.read(piece, b_ids)
+        if self.new:
+            new, self.new = self.new, []
+            self.read(new)
         return out
 
-    def read(self, piece: str, b_ids: list[int]) -> None:
-        a_ids, data = self.both.first_ids(piece), piece.encode()
-        a = [self.both.a_bytes[x] for x in a_ids]
-        b = [self.both.b_bytes[x] for x in b_ids]
-        good = b"".join(a) == data and b"".join(b) == data
-        groups = aligned(a_ids, [len(x) for x in a], b_ids, [len(x) for x in b]) if good else []
-        pairs = links(groups)
-        self.sizes.extend((len(a_ids), len(b_ids), len(groups), sum(pairs.values()), good))
-        self.texts.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-        self.keys.extend(pairs.keys())
-        self.times.extend(pairs.values())
-        self.ends.append(len(self.keys))
-
-
-def stretches(text: str, cuts: bool, most: int = BLOCK) -> Iterator[list[str]]:
+    def read(self, pieces: list[str]) -> None:
+        """Read pieces that are not known yet, one behind the other: their ends are bytes of all of them."""
+        both = self.both
+        a_lists, b_lists = [both.first_ids(x) for x in pieces], both.second.encode(pieces, num_threads=1)
+        a_bytes, b_bytes = both.a_bytes.__getitem__, both.b_bytes.__getitem__
+        good = np.ones(len(pieces), bool)
+        for k, piece in enumerate(pieces):
+            data = piece.encode()
+            if b"".join(map(b_bytes, b_lists[k])) != data or b"".join(map(a_bytes, a_lists[k])) != data:
+                good[k], a_lists[k], b_lists[k] = False, [], []
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_lists, b_lists))
+        a_count, b_count = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_lists, b_lists))
+        a_at, b_at = aligned(np.cumsum(both.a_sizes[a]).tolist(), np.cumsum(both.b_sizes[b]).tolist())
+        a_said, b_said = [*map(str, a.tolist())], [*map(str, b.tolist())]
+        said = [",".join(a_said[w:x]) + "|" + ",".join(b_said[y:z]) for w, x, y, z in zip(chain((0,), a_at), a_at, chain((0,), b_at), b_at)]
+        a_at, b_at = np.array(a_at, np.int64), np.array(b_at, np.int64)
+        of = np.searchsorted(np.cumsum(a_count), a_at)  # the piece of each group
+        groups = np.bincount(of, minlength=len(pieces))
+        keys, times, slices_ = links(a, b, a_at, b_at)
+        of = of[slices_]
+        order = np.argsort(of, kind="stable")
+        self.keys.frombytes(keys[order].tobytes())
+        self.times.frombytes(times[order].tobytes())
+        ends = np.cumsum(np.bincount(of, minlength=len(pieces))) + self.ends[-1]
+        self.ends.frombytes(ends.tobytes())
+        n_links = np.bincount(of, times, len(pieces)).astype(np.int64)
+        self.sizes.frombytes(np.column_stack([a_count, b_count, groups, n_links, good]).astype(np.int64).tobytes())
+        at = np.cumsum(groups).tolist()
+        self.texts.extend([";".join(said[x:y]) for x, y in zip(chain((0,), at), at)])
+
+
+@lru_cache(maxsize=1)
+def remembered(vocabularies: tuple[str, str, str]) -> list[Pieces]:
+    """What this worker has read with these vocabularies, in a list of one so that it can be replaced."""
+    return [Pieces(tokenizers(*vocabularies))]
+
+
+def stretches(text: str, place: re.Pattern | None, most: int = BLOCK) -> Iterator[list[str]]:
     """The pieces of a blank and the text, in stretches of about ``most`` signs; one piece if it may not be cut."""
     text, at = " " + text, 0
-    while cuts and len(text) - at > most:
-        place = _PLACE.search(text, at + most)
-        if place is None:
-            break
-        yield _PLACE.split(text[at : place.start()])
-        at = place.start()
+    while place and len(text) - at > most and (cut := place.search(text, at + most)):
+        yield place.split(text[at : cut.start()])
+        at = cut.start()
     rest = text[at:] if at else text
-    yield _PLACE.split(rest) if cuts else [rest]
+    yield place.split(rest) if place else [rest]
 
 
 def read_block(known: Pieces, texts: list[str | None]) -> dict:
@@ -162,7 +195,7 @@ def read_block(known: Pieces, texts: list[str | None]) -> dict:
         if not text:
             continue
         digest, total, held = hashlib.sha256(), np.zeros(5, np.int64), []
-        for k, pieces in enumerate(stretches(text, known.both.cuts)):
+        for k, pieces in enumerate(stretches(text, known.both.place)):
             found = known.numbers(pieces)
             total += np.frombuffer(known.sizes, np.int64).reshape(-1, 5)[found].sum(0) - [0, 0, 0, 0, len(found)]
             if total[4]:  # some piece has other bytes than the text
@@ -211,16 +244,16 @@ def aligned_blocks(df: DataFrame, id_col: str, text_col: str, vocabularies: tupl
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(doc)), T.StructField("pairs", longs), T.StructField("held", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = Pieces(tokenizers(*vocabularies)), TaskContext.get().partitionId() << 32
+        held, block = remembered(vocabularies), TaskContext.get().partitionId() << 32
         ids: list[pa.Scalar] = []
         texts: list[str | None] = []
         signs, id_type = 0, None
 
         def flush() -> pa.RecordBatch:
-            nonlocal known, block, ids, texts, signs
-            if len(known) > REMEMBERED:
-                known = Pieces(known.both)
-            got = read_block(known, texts)
+            nonlocal block, ids, texts, signs
+            if len(held[0]) > REMEMBERED:
+                held[0] = Pieces(held[0].both)
+            got = read_block(held[0], texts)
             ends = pa.array(got["ends"], pa.int32())
             kind = _doc_type(id_type)
             columns = [pa.array(ids, id_type), *[pa.array(got["sizes"][:, k]) for k in range(4)], pa.array(got["digests"], pa.string())]
@@ -256,7 +289,7 @@ def align_tokenizers(
     all), ``count_sum`` the sum of the counts over its links. Null and empty texts, and those whose tokens have other
     bytes than the text, have no tokens: zeros and an empty digest. Repeated rows are rows of their own; null ids stay;
     an empty table stays empty. Only the id and the text are read. Long texts are read in stretches of about 4 million
-    signs; a run without any blank is read at once.
+    signs; a run without a place to cut is read at once.
 
     Blocks of about 4 million signs are written to the shared folder, so a lost executor costs only its own blocks.
     """

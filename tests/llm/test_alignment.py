@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -65,7 +66,7 @@ def brute(libraries, rows):
 
 def odd_texts():
     rng = random.Random(3)
-    parts = [" ", "  ", "\n", "\t", " \n ", "a", "the", "'s", "don't", "é", "漢字", "😀", "▁", "<s>", "<|endoftext|>", "<0x41>", "12345", "...", " ", " ", "\x1c", "\x00", "word", "Größe", "!", "     "]
+    parts = [" ", "  ", "\n", "\t", " \n ", "a", "the", "'s", "don't", "é", "漢字", "😀", "▁", "<s>", "<|endoftext|>", "<0x41>", "12345", "...", " ", " ", "\x1c", "\x00", "word", "Größe", "!", "     ", "x²", "²", ".", "II", "Ⅻ", ",", "_", "-", "'", "¹.", "a.b", "ö,", "́"]
     made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
     return [*made, " ", "a ", " a", "  ", "\n", "x" * 300, None, "", " " * 40 + "end", "á b"]
 
@@ -92,16 +93,20 @@ def test_small_blocks_and_stretches_give_the_same(monkeypatch):
     both = tokenizers(*default_vocabularies())
     whole = read_block(Pieces(both), texts)
     short = alignment.stretches
-    monkeypatch.setattr(alignment, "stretches", lambda text, cuts: short(text, cuts, 16))
+    monkeypatch.setattr(alignment, "stretches", lambda text, place: short(text, place, 16))
     cut = read_block(Pieces(both), texts)
     assert cut["digests"] == whole["digests"] and all((cut[k] == whole[k]).all() for k in ("sizes", "pairs", "held", "ends", "links", "times"))
 
 
 def test_groups_and_links_by_hand():
-    groups = aligned([1, 2, 3, 4], [2, 1, 3, 1], [7, 8, 9], [3, 2, 2])
-    assert groups == [([1, 2], [7]), ([3, 4], [8, 9])]
-    assert links([([5, 5], [6, 6, 7])]) == {5 << 32 | 6: 4, 5 << 32 | 7: 2}
-    assert aligned([], [], [], []) == []
+    assert aligned([2, 3, 6, 7], [3, 5, 7]) == ([2, 4], [1, 3])
+    assert aligned([], []) == ([], [])
+    keys, times, slices = links(np.array([5, 5, 1]), np.array([6, 6, 7, 9]), np.array([2, 3]), np.array([3, 4]))
+    assert sorted(zip(keys.tolist(), times.tolist(), slices.tolist())) == sorted([(1 << 32 | 9, 1, 1), *[(5 << 32 | y, 1, 0) for y in (6, 6, 7)] * 2])
+    a, b = np.arange(300) % 7, np.arange(200) % 3
+    keys, times, _ = links(a, b, np.array([300]), np.array([200]))
+    expected = Counter(int(x) << 32 | int(y) for x in a for y in b)
+    assert dict(zip(keys.tolist(), times.tolist())) == dict(expected)
 
 
 def test_odd_rows(spark, odd, none, libraries):
