@@ -5,17 +5,23 @@ with its edges). A linear softmax reads the language from that average. Since bo
 output layer is folded into one table with a row per bucket, so a prediction is the counts of a text's buckets times
 that table: whole texts of any length go through in blocks of bytes.
 
-Rejection is calibrated: a temperature is fitted on labelled rows kept out of the training, and a text is rejected
-if its calibrated confidence is under a threshold that keeps all but a stated share of those rows.
+Rejection is calibrated on labelled rows kept out of the training, and on texts made from some of them by shuffling their
+letters, which look like no language. A second table holds the logarithms of the buckets' shares in each language: its
+average over a text says how usual the text's subwords are in the predicted language, and a logistic curve turns that
+into the chance that the text is of a learned language at all. The score is that chance times the confidence of the
+softmax, whose temperature gives the kept-out rows their labels and the shuffled ones an even spread. A text is rejected
+if its score is under half of what all but a stated share of the kept-out rows reach.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,26 +100,58 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    usual: np.ndarray  #: bucket x language: logarithm of the bucket's share
+    curve: tuple[float, float]  #: slope and middle of the chance over the average of ``usual``
 
     def confidence(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(offsets) - 1, len(self.languages)))
+    def judged(self, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the likeliest language, and score, of rows of bucket shares."""
+        p = self.confidence(shares @ self.scores + self.bias)
+        best = p.argmax(1)
+        usual = (shares @ self.usual)[np.arange(len(best)), best]
+        return best, p.max(1) / (1 + np.exp(np.clip(-self.curve[0] * (usual - self.curve[1]), -50, 50)))
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of whole texts."""
+        best, score = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1)
         for first, last, counts in subword_counts(data, offsets):
-            out[first:last] = counts @ self.scores / np.maximum(counts.sum(1), 1)[:, None]
-        return out + self.bias
+            best[first:last], score[first:last] = self.judged(counts / np.maximum(counts.sum(1), 1)[:, None])
+        return best, score
+
+
+def logistic(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """Slope and middle of a logistic curve between values of two kinds, each kind weighing the same (Newton steps).
+
+    A little pull on the slope, in units of the spread, keeps it finite where the kinds do not overlap.
+    """
+    x = np.concatenate([good, bad])
+    y = np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
+    weight = np.concatenate([np.full(len(good), 0.5 / len(good)), np.full(len(bad), 0.5 / len(bad))])
+    shift, spread = (good.mean() + bad.mean()) / 2, max(x.std(), 1e-9)
+    z = np.column_stack([(x - shift) / spread, np.ones(len(x))])
+    w, pull = np.array([1.0, 0.0]), np.array([1e-3, 1e-6])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + np.diag(pull), z.T @ (weight * (y - p)) - pull * w)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    slope = max(float(w[0]), 1e-3)
+    return slope / spread, float(shift - w[1] / slope * spread)
 
 
 def train(
-    features: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], dim: int = 16, epochs: int = 30,
+    features: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], shuffled: np.ndarray, dim: int = 16, epochs: int = 30,
     rate: float = 0.5, batch: int = 32, seed: int = 7, keep: float = 0.999,
 ) -> LanguageModel:
-    """SGD over averaged embeddings; each fourth row is kept out to fit temperature and threshold.
+    """SGD over averaged embeddings; each fourth row is kept out to fit temperature, curve and threshold.
 
-    ``features`` are bucket shares in units of 1 / ``UNIT``; they stay 16-bit floats but for the rows of a batch.
+    ``features`` are bucket shares in units of 1 / ``UNIT``; they stay 16-bit floats but for the rows of a batch. ``shuffled``
+    are those of texts with shuffled letters.
     """
     rng = np.random.default_rng(seed)
     n, k = len(labels), len(languages)
@@ -145,16 +183,40 @@ def train(
     parts = np.array_split(check, max(1, len(check) // 256))
     z = np.concatenate([features[k].astype(np.float32) @ (table_ / UNIT) + bias for k in parts])
 
-    def loss(t: float) -> float:
-        p = LanguageModel(languages, table_, bias, t, 0.0).confidence(z.astype(np.float64))
-        return float(-np.log(np.maximum(p[np.arange(len(check)), labels[check]], 1e-12)).mean())
+    usual = np.zeros((features.shape[1], k), np.float32)
+    for c in range(k):
+        rows = fit[labels[fit] == c]
+        sums = sum((features[part].astype(np.float64).sum(0) for part in np.array_split(rows, max(1, len(rows) // 256))), np.zeros(features.shape[1]))
+        usual[:, c] = np.log(0.98 * sums / max(sums.sum(), 1) + 0.02 / features.shape[1])
+    rest = shuffled.astype(np.float32) / UNIT
+    z, y = z.astype(np.float64), rest @ table_ + bias
 
-    t = min((2.0**e for e in np.arange(-2, 4.01, 0.25)), key=loss)
-    model = LanguageModel(languages, table_, bias, t, 0.0)
-    p = model.confidence(z.astype(np.float64))
-    right = p.max(1)[p.argmax(1) == labels[check]]
-    threshold = float(np.quantile(right, 1 - keep)) * 0.9 if len(right) else 0.0
-    return LanguageModel(languages, table_, bias, t, min(threshold, 0.5))
+    def loss(t: float) -> float:
+        model = LanguageModel(languages, table_, bias, t, 0.0, usual, (1.0, 0.0))
+        right = -np.log(np.maximum(model.confidence(z)[np.arange(len(check)), labels[check]], 1e-12)).mean()
+        return float(right - (np.log(np.maximum(model.confidence(y), 1e-12)).mean() if len(y) else 0.0))
+
+    t = min((2.0**e for e in np.arange(-6, 10.01, 0.25)), key=loss)
+    if len(y):
+        best = z.argmax(1)
+        good = np.concatenate([((features[i].astype(np.float32) / UNIT) @ usual)[np.arange(len(i)), j] for i, j in zip(parts, np.split(best, np.cumsum([len(i) for i in parts])[:-1]))])
+        curve = logistic(good, (rest @ usual)[np.arange(len(rest)), y.argmax(1)])
+    else:
+        curve = (0.0, 0.0)
+    model = LanguageModel(languages, table_, bias, t, 0.0, usual, curve)
+    judged = [model.judged(features[i].astype(np.float32) / UNIT) for i in parts]
+    best, score = (np.concatenate([x[j] for x in judged]) for j in range(2))
+    right = score[best == labels[check]]
+    threshold = float(np.quantile(right, 1 - keep)) * 0.5 if len(right) else 0.0
+    return LanguageModel(languages, table_, bias, t, min(threshold, 0.5), usual, curve)
+
+
+def shuffled_letters(text: str) -> str:
+    """The text with its letters in another order, which depends on the text alone; all other signs stay."""
+    at = np.array([k for k, c in enumerate(text) if c.isalpha()], np.int64)
+    signs = np.array(list(text), object)
+    signs[at] = signs[np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace"))).permutation(at)]
+    return "".join(signs)
 
 
 def fit_language_model(
@@ -164,8 +226,8 @@ def fit_language_model(
     """A model from a bounded sample of labelled rows: at most ``per_language`` rows of each language.
 
     The sample takes the smallest hashes of the ids, so it is the same in every run. Each sampled text is read as
-    a whole and becomes one row of bucket shares in 16-bit floats (8 KB) on the executors; only those reach the
-    driver. All languages together get ``most_rows`` rows at most, in even shares; beyond ``most_languages`` the
+    a whole and becomes one row of bucket shares in 16-bit floats (8 KB) on the executors, for one in four ids another row
+    of the text with shuffled letters; only those reach the driver. All languages together get ``most_rows`` rows at most, in even shares; beyond ``most_languages`` the
     most common ones are learned. None if there is no labelled text with a letter.
     """
     small_batches(df.sparkSession)
@@ -175,25 +237,32 @@ def fit_language_model(
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, counts in subword_counts(*text_bytes(batch.column(2))):
-                total = counts.sum(1)
-                some = total > 0
-                out = (counts[some] / total[some][:, None] * UNIT).astype(np.float16)
-                vectors, mask, part = pa.array([x.tobytes() for x in out], pa.binary()), pa.array(some), batch.slice(a, b - a)
-                arrays = [part.column(0).filter(mask), part.column(1).filter(mask), vectors]
-                yield pa.RecordBatch.from_arrays(arrays, ["__id", "__class", "x"])
-
-    schema = T.StructType([rows.schema["__id"], rows.schema["__class"], T.StructField("x", T.BinaryType())])
-    got = sample.mapInArrow(shares, schema).toArrow()
+            chosen = [zlib.crc32(str(x).encode()) % 4 == 0 for x in batch.column(0).to_pylist()]
+            other = batch.filter(pa.array(chosen, pa.bool_()))
+            made = pa.array([shuffled_letters(x or "") for x in other.column(2).to_pylist()], pa.string())
+            for rows_, column, false in ((batch, batch.column(2), False), (other, made, True)):
+                for a, b, counts in subword_counts(*text_bytes(column)):
+                    total = counts.sum(1)
+                    some = total > 0
+                    out = (counts[some] / total[some][:, None] * UNIT).astype(np.float16)
+                    vectors, mask, part = pa.array([x.tobytes() for x in out], pa.binary()), pa.array(some), rows_.slice(a, b - a)
+                    arrays = [part.column(0).filter(mask), part.column(1).filter(mask), vectors, pa.array([false] * len(vectors), pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["__id", "__class", "x", "shuffled"])
+
+    schema = T.StructType([rows.schema["__id"], rows.schema["__class"], T.StructField("x", T.BinaryType()), T.StructField("shuffled", T.BooleanType())])
+    both = sample.mapInArrow(shares, schema).toArrow().combine_chunks()
+    got = both.filter(pc.invert(both.column("shuffled")))
     if not got.num_rows:
         return None
+    vectors = sorted(both.filter(both.column("shuffled")).column("x").to_pylist())
+    shuffled = np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), 1 << BITS)
     langs = np.array(got.column("__class").to_pylist())
-    languages = tuple(sorted(set(langs)))
+    languages = tuple(str(x) for x in sorted(set(langs.tolist())))
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(len(langs), -1)
     ids_ = np.array([str(v) for v in got.column("__id").to_pylist()])
     order = np.lexsort((langs, ids_))
     labels = np.searchsorted(languages, langs)
-    return train(x[order], labels[order], languages)
+    return train(x[order], labels[order], languages, shuffled)
 
 
 FIELDS = [
@@ -226,9 +295,9 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
             if model is not None and n:
                 data, offsets = text_bytes(batch.column(text))
                 lettered = has_letter(data, offsets)
-                p = model.confidence(model.logits(data, offsets))
-                score = np.where(lettered, p.max(1), 0.0)
-                pred = np.where(lettered, np.array(model.languages, object)[p.argmax(1)], "und")
+                best, score = model.judge(data, offsets)
+                score = np.where(lettered, score, 0.0)
+                pred = np.where(lettered, np.array(model.languages, object)[best], "und")
                 out = ~lettered | (score < model.threshold)
             new = [pa.array(pred, pa.string()), pa.array(score), pa.array(out)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names)

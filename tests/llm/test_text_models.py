@@ -1,6 +1,9 @@
+import math
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
-from foliospark.llm.language_id import LanguageModel, fit_language_model, identify, op4_language_id
+from foliospark.llm.language_id import LanguageModel, fit_language_model, identify, op4_language_id, shuffled_letters
 from foliospark.llm.licenses import evaluate, scan, scan_licenses, to_postfix
 from foliospark.llm.quality import Neighbours, features, fit_neighbours, op7_quality_knn, score_quality
 
@@ -56,9 +59,9 @@ def test_language_model_by_brute_force(spark, odd, none):
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 and got[k]["rejected"] for k in (3, 4, 5, 10))
     assert got[11]["lang_pred"] in ("en", "de") and "lang" in got[11]
     data, offsets = np.frombuffer(b"the dogder hund", np.uint8), np.array([0, 7, 15])
-    both, alone = model.logits(data, offsets), model.logits(data[:7], np.array([0, 7]))
-    assert np.allclose(both[0], alone[0]) and isinstance(model, LanguageModel)
-    assert model.languages[both[0].argmax()] == "en" and model.languages[both[1].argmax()] == "de"
+    (best, score), (_, alone) = model.judge(data, offsets), model.judge(data[:7], np.array([0, 7]))
+    assert np.allclose(score[0], alone[0]) and isinstance(model, LanguageModel)
+    assert [model.languages[k] for k in best] == ["en", "de"]
 
 
 def _bucket(gram, bits=12):
@@ -70,8 +73,8 @@ def _bucket(gram, bits=12):
     return h >> (32 - bits)
 
 
-def _plain_logits(model, text):
-    """Look-ups gram by gram: 2 to 4 bytes, with a blank at most at either end."""
+def _plain_score(model, text):
+    """Look-ups gram by gram: 2 to 4 bytes, with a blank at most at either end. Number of the language, and score."""
     data = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()) + b" "
     found = []
     for size in (2, 3, 4):
@@ -79,7 +82,9 @@ def _plain_logits(model, text):
             gram = data[k : k + size]
             if 32 not in gram[1:-1] and (gram[0] != 32 or gram[-1] != 32):
                 found.append(_bucket(gram))
-    return model.scores[found].astype(float).mean(0) + model.bias
+    p = model.confidence((model.scores[found].astype(float).mean(0) + model.bias)[None, :])[0]
+    usual = float(model.usual[found, p.argmax()].astype(float).mean())
+    return int(p.argmax()), p.max() / (1 + math.exp(min(50, -model.curve[0] * (usual - model.curve[1]))))
 
 
 def test_predictions_by_plain_look_ups(spark):
@@ -91,10 +96,26 @@ def test_predictions_by_plain_look_ups(spark):
     frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows] + [(-1, long), (-2, long[:2000] + "é" * 1_500_000)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in identify(frame, model).collect()}
     for doc, text in [(r["doc_id"], r["text"]) for r in rows] + [(-1, long)]:
-        p = model.confidence(_plain_logits(model, text)[None, :])[0]
-        assert got[doc]["lang_pred"] == model.languages[p.argmax()] and abs(got[doc]["score"] - p.max()) < 1e-6
-        assert got[doc]["rejected"] == bool(p.max() < model.threshold)
-    assert got[-1]["lang_pred"] == "de" and got[-2]["score"] > 0
+        best, score = _plain_score(model, text)
+        assert got[doc]["lang_pred"] == model.languages[best] and abs(got[doc]["score"] - score) < 1e-5
+        assert got[doc]["rejected"] == bool(score < model.threshold)
+    assert got[-1]["lang_pred"] == "de" and 0 < got[-2]["score"] < 1
+
+
+def test_text_unlike_the_training_rows_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_language_model(docs.where("crc32(CAST(doc_id AS STRING)) % 3 <> 1"))
+    assert 2.0**-6 < model.temperature < 2.0**10 and 0 < model.threshold < 0.5
+    held = docs.where("crc32(CAST(doc_id AS STRING)) % 3 = 1")
+    assert identify(held, model).where("rejected").count() <= 0.01 * held.count()
+    rng = random.Random(5)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(80)) for _ in range(20)]
+    keys = [" ".join("".join(rng.choice("qwertasdfgzxcvb") for _ in range(rng.randint(4, 9))) for _ in range(8)) for _ in range(20)]
+    other = ["これは日本語の文章です。今日は天気がいい。", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina"]
+    mixed = [shuffled_letters(r["text"]) for r in held.where("length(text) > 200").limit(50).collect()]
+    frame = spark.createDataFrame([(t,) for t in hexes + keys + other + mixed], "text string")
+    assert identify(frame, model).where("rejected").count() >= 0.95 * frame.count()
+    assert sorted(shuffled_letters("ab, cd é!")) == sorted("ab, cd é!") and shuffled_letters("") == ""
 
 
 def test_any_number_of_languages(spark):
