@@ -76,6 +76,9 @@ def spaced(data: np.ndarray, offsets: np.ndarray, mapping: np.ndarray | None = N
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
     out = np.full(starts[-1], 32, np.uint8)
     body = data[offsets[0] : offsets[-1]]
+    if len(lengths) == 1:  # a long row has no array of places
+        out[:-1] = body if mapping is None else mapping[body]
+        return out, starts
     out[np.arange(len(body)) + np.repeat(np.arange(len(lengths)), lengths)] = body if mapping is None else mapping[body]
     return out, starts
 
@@ -107,11 +110,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word of a text of bytes in which 32 separates words.
-
-    The hash is that of a polynomial over the word's bytes, read off sums over the whole text.
-    """
+def _words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = text != 32
     first = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
     end = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
@@ -121,6 +120,29 @@ def words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, end, mixed((total[end] - total[first]) * inverse[first] + (end - first).astype(np.uint64))
 
 
+def windows(text: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` bytes that end in front of a byte 32, so that no word is cut; a longer word stays whole."""
+    at, n = 0, len(text)
+    while at < n:
+        cut = at + most
+        while cut < n and not len(gap := np.flatnonzero(text[cut : cut + most] == 32)):
+            cut += most
+        cut = cut + int(gap[0]) if cut < n else n
+        yield at, cut
+        at = cut
+
+
+def words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of a text of bytes in which 32 separates words.
+
+    The hash is that of a polynomial over the word's bytes, read off sums over windows of the text.
+    """
+    if len(text) <= 1 << 21:
+        return _words(text)
+    parts = [(a, *_words(text[a:b])) for a, b in windows(text)]
+    return np.concatenate([a + x for a, x, _, _ in parts]), np.concatenate([a + x for a, _, x, _ in parts]), np.concatenate([x for *_, x in parts])
+
+
 def hash_sample(
     df: DataFrame, id_col: str, class_col: str, per_class: int, most_rows: int = 8000, most_classes: int = 1000
 ) -> DataFrame:

@@ -50,7 +50,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 3) -> tuple[
     n_rows = len(offsets) - 1
     text, starts = spaced(data, offsets, _LOWER)
     first, _, words = words_of(text)
-    row = np.searchsorted(starts, first, "right") - 1
+    row = np.searchsorted(starts, first, "right") - 1 if n_rows > 1 else np.zeros(len(words), np.int8)
+    del first, text
     at = np.searchsorted(row, np.arange(n_rows + 1))
     count = np.diff(at)
     full = len(words) - size + 1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, blocks, hash_sample, hashed_ngrams, remainder, small_batches, spaced, table, text_bytes, words_of
+from .common import add_columns, blocks, hash_sample, hashed_ngrams, remainder, small_batches, spaced, table, text_bytes, windows, words_of
 
 BITS, SIZES = 12, (1, 2, 3)
 _BLANK = np.array([32 if c <= 32 else c for c in range(256)], np.uint8)
@@ -28,17 +28,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log(1 + count) of the hashed n-grams of each row, scaled to length one; rows without text stay zero.
-
-    One more component is the share of words that say the word before them again; then the length is one again.
-    """
+def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each bucket of n-grams occurs in each row."""
     n = len(offsets) - 1
     text, starts = spaced(data, offsets)
     row = np.repeat(np.arange(n), np.diff(starts))
     inside = np.ones(len(text), bool)
     inside[starts[1:] - 1] = False
-    out = np.zeros((n, 1 << BITS), np.float32)
+    out = np.zeros((n, 1 << BITS))
     for size in SIZES:
         h = hashed_ngrams(text, size, BITS)
         ok = inside[: len(h)]
@@ -46,13 +43,52 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             ok = ok & inside[k : len(h) + k]
         where = (row[: len(h)] << BITS) + h
         out += np.bincount(where[ok], minlength=n << BITS).reshape(n, -1)
-    out = unit(np.log1p(out))
+    return out
+
+
+def repeated_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each row that say the word before them again, and words of each row."""
+    n = len(offsets) - 1
+    text, starts = spaced(data, offsets)
     first, _, word = words_of(_BLANK[text])
     owner = np.searchsorted(starts, first, "right") - 1
     again = np.zeros(len(word), bool)
     again[1:] = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
-    share = np.bincount(owner[again], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
-    return unit(np.concatenate([out, share[:, None].astype(np.float32)], 1))
+    return np.bincount(owner[again], minlength=n), np.bincount(owner, minlength=n)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """log(1 + count) of the hashed n-grams of each row, scaled to length one; rows without text stay zero.
+
+    One more component is the share of words that say the word before them again; then the length is one again. A
+    row of over ``most`` bytes is read in stretches between words, whose counts add up.
+    """
+    if len(offsets) == 2 and offsets[1] - offsets[0] > most:
+        counts, again, words = np.zeros((1, 1 << BITS)), 0, 0
+        body = data[offsets[0] : offsets[1]]
+        before = np.zeros(0, np.uint8)  # the last word and what follows it
+        for a, b in windows(_BLANK[body], most):
+            over = gram_counts(body, np.array([a, min(b + SIZES[-1] - 1, len(body))]))
+            counts += over - _late(body, b)
+            part = np.concatenate([before, body[a:b]])
+            said, n = repeated_words(part, np.array([0, len(part)]))
+            again, words = again + int(said[0]), words + int(n[0]) - (len(before) > 0)
+            plain = _BLANK[part]
+            last = np.flatnonzero(plain != 32)
+            if len(last):
+                gap = np.flatnonzero(plain[: last[-1]] == 32)
+                before = part[gap[-1] + 1 if len(gap) else 0 :]
+        said, n = np.array([again]), np.array([words])
+    else:
+        counts = gram_counts(data, offsets)
+        said, n = repeated_words(data, offsets)
+    out = unit(np.log1p(counts.astype(np.float32)))
+    return unit(np.concatenate([out, (said / np.maximum(n, 1))[:, None].astype(np.float32)], 1))
+
+
+def _late(body: np.ndarray, cut: int) -> np.ndarray:
+    """Counts of n-grams that start at ``cut`` or later among the bytes that a stretch up to there reads beyond it."""
+    return gram_counts(body, np.array([cut, min(cut + SIZES[-1] - 1, len(body))]))
 
 
 def latent(x: np.ndarray, dim: int, seed: int = 5) -> np.ndarray:
@@ -145,7 +181,7 @@ def score_quality(df: DataFrame, model: Neighbours | None, text_col: str = "text
 
     ``score`` is the share of label 1 among the neighbours' votes, ``predicted`` is 1 from ``threshold`` up. A null
     or empty text gets the labels' true share (0.5 without a model). Each row stands for itself, so repeated rows come
-    out alike and an empty table stays empty; texts count whole, a long one as a block of its own. Of neighbours that are
+    out alike and an empty table stays empty; texts count whole, a long one in stretches of 1 MB. Of neighbours that are
     equally near, the first labelled ones vote. Columns named like a result are replaced.
     """
     small_batches(df.sparkSession)

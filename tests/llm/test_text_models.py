@@ -1,10 +1,12 @@
 import math
 import random
+import resource
 
 import numpy as np
 from pyspark.sql import functions as F
 from foliospark.llm.language_id import LanguageModel, fit_language_model, identify, op4_language_id, shuffled_letters
 from foliospark.llm.licenses import evaluate, scan, scan_licenses, to_postfix
+from foliospark.llm.near_dedup import shingle_sets
 from foliospark.llm.quality import Neighbours, features, fit_neighbours, op7_quality_knn, score_quality
 
 
@@ -165,6 +167,23 @@ def test_votes_by_plain_cosines(spark):
         assert abs(got[r["doc_id"]] - want) < 1e-4
 
 
+def test_long_rows_in_stretches():
+    rng = np.random.default_rng(3)
+    words = ["a", "bb", "é", "ccc", "a a", "\n", "  ", "dddd."]
+    text = " ".join(words[k] for k in rng.integers(0, len(words), 4000)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    for most in (7, 64, 1000):
+        assert np.allclose(features(data, offsets, most), features(data, offsets), atol=1e-6)
+    long = np.frombuffer(b"word again again " * 6_000_000, np.uint8)  # 102 MB
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert features(long, np.array([0, len(long)])).shape == (1, 4097)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+    long = np.frombuffer("".join(f"w{k * 7919 % 9_999_991} " for k in range(11_000_000)).encode(), np.uint8)  # 98 MB
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    sets, bounds = shingle_sets(long, np.array([0, len(long)]))
+    assert len(sets) == bounds[1] > 9_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
 def test_tied_neighbours_are_the_first_ones():
     vectors = np.array([[1.0, 0.0]] * 40, np.float32)
     labels = np.array([1.0] * 5 + [0.0] * 35)
