@@ -6,6 +6,7 @@ and read again by the next one.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -34,20 +35,27 @@ def shown(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c if c in COLUMNS else f"column_{k}_of_input").alias(c) for k, c in enumerate(docs.columns)])
 
 
+def file_order(path: str) -> tuple[str, int, str]:
+    """Folder, number of the part (-1 if the name has none) and name: part-99999 comes before part-100000."""
+    folder, _, name = path.rpartition("/")
+    part = re.search(r"part-(\d+)", name)
+    return folder, int(part[1]) if part else -1, name
+
+
 def with_places(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows with ``__place``: their number in the order of the files, from 0 on.
+    """The rows with ``__place``: their number in the order of the files (``file_order``), from 0 on.
 
-    Rows that come from no files are written to the shared folder first, so that a lost executor does not renumber them.
+    A file is known by its whole path, so files of one name in two folders are two. Rows that come from no files are written to the shared folder first, so that a lost executor does not renumber them.
     One count for each file reaches the driver.
     """
     try:
-        docs = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+        docs = docs.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
     except AnalysisException:
         ready_checkpoints(spark)
         number = F.lpad(F.spark_partition_id().cast("string"), 10, "0")
         docs = docs.checkpoint().withColumns({"__file": number, "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     before, start = [], 0
-    for name, n in sorted(tuple(r) for r in docs.groupBy("__file").count().collect()):
+    for name, n in sorted((tuple(r) for r in docs.groupBy("__file").count().collect()), key=lambda r: file_order(r[0])):
         before.append((name, start))
         start += n
     starts = F.broadcast(spark.createDataFrame(before, "__file string, __start long"))
