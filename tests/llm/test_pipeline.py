@@ -88,3 +88,28 @@ def test_stages_are_removed_but_the_last(spark, tmp_path, monkeypatch):
     path = jvm.Path(folder)
     names = [x.getPath().getName() for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
     assert names == ["4-packing"]
+
+
+def test_files_are_ordered_by_number_and_known_by_path(spark, tmp_path):
+    names = [f"part-{k:05d}-x.parquet" for k in range(99_994, 100_006)]
+    one = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k, name in enumerate(names):
+        frame = spark.createDataFrame([(10 * k + j, f"text {k} {j}", "en", "a", 8) for j in range(3)], one)
+        frame.coalesce(1).write.parquet(f"{tmp_path}/w{k}")
+        next((tmp_path / f"w{k}").glob("*.parquet")).rename(folder / name)
+    placed = corpus_pipeline.with_places(spark, spark.read.parquet(str(folder))).collect()
+    assert [r["doc_id"] for r in sorted(placed, key=lambda r: r["__place"])] == [10 * k + j for k in range(12) for j in range(3)]
+    assert sorted(r["__place"] for r in placed) == list(range(36))
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    one = "doc_id long, text string, lang string, source string, n_chars long"
+    same, other, third = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    for sub, rows in (("p0", [(1, same), (2, other)]), ("p1", [(3, third), (4, same)])):
+        spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], one).coalesce(1).write.parquet(f"{tmp_path}/w{sub}")
+        (tmp_path / "in" / sub).mkdir(parents=True)
+        next((tmp_path / f"w{sub}").glob("*.parquet")).rename(tmp_path / "in" / sub / "part.parquet")
+    docs = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [1, 2, 3]
