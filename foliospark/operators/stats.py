@@ -1,7 +1,11 @@
-"""Intervals and paired tests. Spark reduces the data to cluster totals; numpy draws over one small group."""
+"""Intervals and paired tests. Spark reduces the data to cluster totals; numpy draws over small groups in one task, and
+weighs the clusters of large ones partition by partition."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,13 +19,86 @@ from .metrics import SCORES, first_hits, generation_pools, metric_values
 INTERVAL = "estimate double, low double, high double, n long, method string, confidence double"
 
 
-def ratio_draws(total: np.ndarray, count: np.ndarray, draws: int, seed: int, block: int = 500) -> np.ndarray:
-    """Resampled ratios of sums: whole clusters drawn with replacement."""
-    rng, out = np.random.default_rng(seed), []
-    for first in range(0, draws, block):
-        picked = rng.integers(0, len(total), (min(block, draws - first), len(total)))
-        out.append(total[picked].sum(1) / count[picked].sum(1))
-    return np.concatenate(out)
+#: Clusters of a group up to which one task redraws them; larger groups get Poisson weights where their clusters are.
+ONE_TASK = 20_000
+
+
+def ratio_draws(total: np.ndarray, count: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Resampled ratios of sums. Drawing clusters with replacement is drawing how often each one comes from a multinomial."""
+    rng, n = np.random.default_rng(seed), len(total)
+    even, step = np.full(n, 1 / n), max(1, 1_000_000 // n)
+    times = (rng.multinomial(n, even, min(step, draws - k)) for k in range(0, draws, step))
+    return np.concatenate([(w @ total) / (w @ count) for w in times])
+
+
+_TIMES = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def poisson_times(hashes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """How often each cluster comes in each draw: Poisson with mean 1, from a hash of cluster and draw alone."""
+    h = hashes.astype(np.uint64)[:, None] + draws.astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_TIMES, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, "right")
+
+
+def poisson_draws(totals: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
+    """``draw, ratio`` of each group: every partition weighs its own clusters, and only sums by draw are shuffled.
+
+    A draw in which no cluster comes is left out. The result depends on the clusters' names, not on the partitions.
+    """
+    kinds = dict(totals.dtypes)
+    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", t array<double>, c array<double>"
+    names, numbers = [*by, "t", "c"], np.arange(draws)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for key, rows in batch.groupby(by, dropna=False, sort=False):
+                key = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
+                t, c = sums.setdefault(key, (np.zeros(draws), np.zeros(draws)))
+                for k in range(0, len(rows), 128):
+                    part = rows.iloc[k : k + 128]
+                    times = poisson_times(part["hash"].to_numpy(), numbers)
+                    t += part["total"].to_numpy(float) @ times
+                    c += part["count"].to_numpy(float) @ times
+            if len(sums) > 100:
+                yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=names)
+                sums = {}
+        if sums:
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=names)
+
+    hashed = totals.select(*by, F.xxhash64(F.lit(seed), F.col("cluster")).alias("hash"), "total", "count")
+    parts = hashed.mapInPandas(weigh, schema).select(*by, F.posexplode(F.arrays_zip("t", "c")).alias("draw", "x"))
+    sums = parts.groupBy(*by, "draw").agg(F.sum("x.t").alias("t"), F.sum("x.c").alias("c"))
+    return sums.where("c > 0").select(*by, "draw", (F.col("t") / F.col("c")).alias("ratio"))
+
+
+def _by_size(totals: DataFrame, by: list[str], one_task: int) -> tuple[DataFrame, DataFrame | None]:
+    """The totals of groups that one task can redraw, and those of larger groups (None if there are none)."""
+    totals = staged(totals)
+    sizes = totals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > one_task).select(*by)
+    if not sizes.limit(1).count():
+        return totals, None
+    large = sizes.withColumnsRenamed({b: f"__{b}" for b in by})
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    return totals.join(large, same, "left_anti"), totals.join(large, same, "left_semi")
+
+
+def _large(totals: DataFrame, by: list[str], draws: int, seed: int, tail: float) -> DataFrame:
+    """Estimate, interval and signs of the draws of groups with many clusters."""
+    drawn = poisson_draws(totals, by, draws, seed).groupBy(*by).agg(
+        F.percentile("ratio", F.lit(tail)).alias("low"), F.percentile("ratio", F.lit(1 - tail)).alias("high"),
+        F.count_if(F.col("ratio") <= 0).alias("under"), F.count_if(F.col("ratio") >= 0).alias("over"),
+    )
+    whole = totals.groupBy(*by).agg((F.sum("total") / F.sum("count")).alias("estimate"), F.sum("count").alias("n"))
+    drawn = drawn.withColumnsRenamed({b: f"__{b}" for b in by})
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    return whole.join(drawn, same).drop(*[f"__{b}" for b in by])
 
 
 def cluster_totals(values: DataFrame, by: list[str], cluster: str) -> DataFrame:
@@ -30,8 +107,14 @@ def cluster_totals(values: DataFrame, by: list[str], cluster: str) -> DataFrame:
     )
 
 
-def cluster_bootstrap(values: DataFrame, by: list[str], cluster: str, draws: int = 10_000, seed: int = 13, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of a mean for each group, over clusters in the order of their names, so draws repeat."""
+def cluster_bootstrap(
+    values: DataFrame, by: list[str], cluster: str, draws: int = 10_000, seed: int = 13, confidence: float = 0.95, one_task: int = ONE_TASK
+) -> DataFrame:
+    """Percentile interval of a mean for each group, over clusters in the order of their names, so draws repeat.
+
+    A group of over ``one_task`` clusters is drawn by Poisson weights, which agree with redrawing the more, the more
+    clusters there are; no task holds such a group.
+    """
     tail = (1 - confidence) / 2
 
     def interval(rows: pd.DataFrame) -> pd.DataFrame:
@@ -43,9 +126,13 @@ def cluster_bootstrap(values: DataFrame, by: list[str], cluster: str, draws: int
         out |= {"estimate": total.sum() / count.sum(), "low": low, "high": high, "n": int(count.sum()), "method": "bootstrap", "confidence": confidence}
         return pd.DataFrame([out])
 
-    totals = cluster_totals(values, by, cluster)
+    totals, many = _by_size(cluster_totals(values, by, cluster), by, one_task)
     keys = ", ".join(f"{b} {dict(values.dtypes)[b]}" for b in by)
-    return totals.groupBy(*by).applyInPandas(interval, f"{keys}, {INTERVAL}")
+    out = totals.groupBy(*by).applyInPandas(interval, f"{keys}, {INTERVAL}")
+    if many is None:
+        return out
+    large = _large(many, by, draws, seed, tail)
+    return out.unionByName(large.select(*by, "estimate", "low", "high", "n", F.lit("bootstrap").alias("method"), F.lit(confidence).alias("confidence")))
 
 
 def summarize(values: DataFrame, by: list[str], cluster: str | None = None, **options) -> DataFrame:
@@ -89,8 +176,13 @@ def paired(values: DataFrame, base: str, by: list[str]) -> DataFrame:
     return a.join(b, ["question_id", *by]).withColumn("value", F.col("value_a") - F.col("value_b"))
 
 
-def paired_bootstrap(differences: DataFrame, by: list[str], cluster: str, draws: int = 10_000, seed: int = 13, confidence: float = 0.95) -> DataFrame:
-    """Mean difference with interval, two-sided p (with one added to both counts), and a verdict from the interval."""
+def paired_bootstrap(
+    differences: DataFrame, by: list[str], cluster: str, draws: int = 10_000, seed: int = 13, confidence: float = 0.95, one_task: int = ONE_TASK
+) -> DataFrame:
+    """Mean difference with interval, two-sided p (with one added to both counts), and a verdict from the interval.
+
+    Groups of over ``one_task`` clusters are drawn as in ``cluster_bootstrap``.
+    """
     tail = (1 - confidence) / 2
 
     def test(rows: pd.DataFrame) -> pd.DataFrame:
@@ -103,9 +195,15 @@ def paired_bootstrap(differences: DataFrame, by: list[str], cluster: str, draws:
         out = {b: rows[b].iloc[0] for b in by}
         return pd.DataFrame([out | {"difference": total.sum() / count.sum(), "low": low, "high": high, "p_value": p, "n": int(count.sum()), "verdict": verdict}])
 
-    totals = cluster_totals(differences, by, cluster)
+    totals, many = _by_size(cluster_totals(differences, by, cluster), by, one_task)
     keys = ", ".join(f"{b} {dict(differences.dtypes)[b]}" for b in by)
-    return totals.groupBy(*by).applyInPandas(test, f"{keys}, difference double, low double, high double, p_value double, n long, verdict string")
+    out = totals.groupBy(*by).applyInPandas(test, f"{keys}, difference double, low double, high double, p_value double, n long, verdict string")
+    if many is None:
+        return out
+    p = F.least(F.lit(1.0), 2 * (F.least("under", "over") + 1) / F.lit(draws + 1))
+    verdict = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("no clear difference")
+    large = _large(many, by, draws, seed, tail)
+    return out.unionByName(large.select(*by, F.col("estimate").alias("difference"), "low", "high", p.alias("p_value"), "n", verdict.alias("verdict")))
 
 
 def mcnemar_counts(differences: DataFrame, by: list[str]) -> DataFrame:

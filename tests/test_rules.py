@@ -202,3 +202,21 @@ def test_drop_reasons(spark):
             {"d": 5, "cnr": "C_1_2015-06-01", "full_text": None}, {"d": 6, "cnr": "D_1_2015-06-01", "full_text": "\x01" * 50 + "a" * 100}]
     got = corpus.label_records(_records(spark, rows), corpus.Build(today=TODAY, min_chars=200)).orderBy("d")
     assert [r["outcome_label"] for r in got.collect()] == ["court_not_selected", "missing_cnr", "empty_text", "duplicate_cnr", "empty_text", "corrupted_text"]
+
+
+def test_large_groups_are_drawn_where_their_clusters_are(spark):
+    rows = spark.range(6000).selectExpr("IF(id % 2 = 0, 'm', NULL) AS metric", "concat('c', id % 1500) AS cl", "CAST(pmod(hash(id), 10) < 3 AS DOUBLE) AS value")
+    small = {r["metric"]: r for r in stats.cluster_bootstrap(rows, ["metric"], "cl", 4000).collect()}
+    large = {r["metric"]: r for r in stats.cluster_bootstrap(rows.repartition(5), ["metric"], "cl", 4000, one_task=100).collect()}
+    again = {r["metric"]: r for r in stats.cluster_bootstrap(rows.repartition(2), ["metric"], "cl", 4000, one_task=100).collect()}
+    assert set(small) == set(large) == {"m", None}
+    for key, r in small.items():
+        width = r["high"] - r["low"]
+        assert large[key]["n"] == r["n"] and np.isclose(large[key]["estimate"], r["estimate"])
+        assert all(abs(large[key][x] - r[x]) < 0.06 * width and np.isclose(large[key][x], again[key][x]) for x in ("low", "high"))
+    gaps = rows.withColumn("value", F.expr("value - 0.31"))
+    a = {r["metric"]: r for r in stats.paired_bootstrap(gaps, ["metric"], "cl", 4000).collect()}
+    b = {r["metric"]: r for r in stats.paired_bootstrap(gaps, ["metric"], "cl", 4000, one_task=100).collect()}
+    assert all(abs(a[k]["p_value"] - b[k]["p_value"]) < 0.08 and a[k]["verdict"] == b[k]["verdict"] for k in a)
+    times = stats.poisson_times(np.arange(300) * 77, np.arange(300))
+    assert abs(times.mean() - 1) < 0.02 and abs(times.var() - 1) < 0.03 and abs(np.mean(times == 0) - np.exp(-1)) < 0.01
