@@ -36,7 +36,7 @@ from .packing import encoder, slow_encoder
 _LETTER = "[^\\W\\d_¹²³]"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Signs of a block of documents, and of a stretch of a longer text; pieces that a worker remembers (some 350 bytes each).
-BLOCK, REMEMBERED = 1 << 22, 1_000_000
+BLOCK, REMEMBERED = 1 << 21, 700_000
 
 
 def default_vocabularies() -> tuple[str, str, str]:
@@ -288,10 +288,10 @@ def align_tokenizers(
     hold it linked. ``n_best`` is how many links of the row are of a pair with the highest count of its first id (ties
     all), ``count_sum`` the sum of the counts over its links. Null and empty texts, and those whose tokens have other
     bytes than the text, have no tokens: zeros and an empty digest. Repeated rows are rows of their own; null ids stay;
-    an empty table stays empty. Only the id and the text are read. Long texts are read in stretches of about 4 million
+    an empty table stays empty. Only the id and the text are read. Long texts are read in stretches of about 2 million
     signs; a run without a place to cut is read at once.
 
-    Blocks of about 4 million signs are written to the shared folder, so a lost executor costs only its own blocks.
+    Blocks of about 2 million signs are written to the shared folder, so a lost executor costs only its own blocks.
     """
     spark = df.sparkSession
     path = scratch(spark)
