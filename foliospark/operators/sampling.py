@@ -61,8 +61,8 @@ def cap_per_court(df: DataFrame, key: str, cap: int, total: int, seed: int = 0)
 def round_robin(df: DataFrame, group: str, key: str, size: int, seed: int = 0) -> DataFrame:
     """Rows numbered within their group in shuffled order; the first ``size`` by (round, group)."""
     ordered = Window.partitionBy(group).orderBy(draw(key, seed), key)
-    rows = df.withColumn("round", F.row_number().over(ordered) - 1).where(F.col("round") < size)
-    return rows.orderBy("round", group).limit(size)
+    rows = df.withColumn("round", F.row_number().over(ordered)).where(F.col("round") <= size)  # as a rank, so that tasks keep so many rows
+    return rows.withColumn("round", F.col("round") - 1).orderBy("round", group).limit(size)
 
 
 def assign_quota(df: DataFrame, key: str, quotas: list[tuple[str, int]], seed: int = 0) -> DataFrame:

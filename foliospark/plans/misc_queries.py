@@ -13,8 +13,8 @@ from ..sources import tables as T
 from ..sources.stages import scratch
 from ..streaming.collect import stream_collect, stream_resume
 from . import eval_queries as E
-from .adapters import judgments, table
-from .corpus_queries import BUILD, BUILD_SQL, ROWS_SQL, labelled
+from .adapters import JUDGMENTS_SQL, judgments, table
+from .corpus_queries import BUILD, BUILD_SQL, ROWS_SQL, labelled, sql_strip
 
 
 def write_and_read(s, d):
@@ -52,13 +52,23 @@ def schema_rows(s, d):
 
 
 def collected(s, d):
-    """documents as a stream of records; numbers repeat by d % 97, texts as they do."""
+    """documents as a stream of records in three files, one to a batch; numbers repeat by d % 97, texts as they do.
+
+    The first run reads two files; the second one has a new checkpoint, so what it knows of the first is its shards.
+    """
     folder = scratch(s)
-    judgments(s, d).where("cnr IS NOT NULL").select("cnr", "full_text").repartition(3).write.parquet(f"{folder}/in")
-    stream = s.readStream.schema("cnr string, full_text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    stream_collect(stream, f"{folder}/out", f"{folder}/state", "cnr", "full_text").awaitTermination()
+    rows = judgments(s, d).select("d", "cnr", "full_text")
+    last = rows.agg(F.max("d")).first()[0] or 0
+    for k in range(3):
+        part = rows.where(F.floor(F.col("d") * 3 / (last + 1)) == k).coalesce(1).sortWithinPartitions("d")
+        part.write.parquet(f"{folder}/in/{'early' if k < 2 else 'late'}/{k}")
+    for k, source in enumerate(("early", "*")):
+        stream = s.readStream.schema("d long, cnr string, full_text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/{source}/*")
+        place = F.lpad(F.col("d").cast("string"), 20, "0")
+        stream_collect(stream, f"{folder}/out", f"{folder}/state{k}", "cnr", "full_text", place).awaitTermination()
     out = s.read.parquet(f"{folder}/out")
-    return out.agg(F.countDistinct("text_hash").alias("texts"), (F.count(F.lit(1)) - F.countDistinct("text_hash")).alias("repeated"))
+    shards = F.countDistinct("shard").cast("boolean").alias("numbered")
+    return out.agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("cnr").alias("numbers"), F.countDistinct("text_hash").alias("texts"), F.sum("d").alias("d"), shards)
 
 
 def resumed(s, d):
@@ -115,6 +125,7 @@ SQL = {
     "src6_write_report": BUILD_SQL + f", o AS (SELECT unnest([{_OUT}]) AS outcome), g AS (SELECT unnest(['high_courts', 'supreme_court', 'all']) AS source_config) SELECT g.source_config, o.outcome, count(b.d) AS n FROM g CROSS JOIN o LEFT JOIN b ON b.outcome_label = o.outcome AND (g.source_config = 'all' OR b.source_config = g.source_config) GROUP BY 1, 2",
     "agg39_percentiles_in_passes": "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p}), 6) AS {n}" for n, p in (("p5", 0.05), ("median", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM lineitem GROUP BY 1",
     "src7_write_csv_sample": "SELECT doc_id, lang, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT 50",
+    "str1_stream_collect": f"WITH {JUDGMENTS_SQL}, v AS (SELECT d, {sql_strip('cnr')} AS c, {sql_strip('full_text')} AS t FROM j), a AS (SELECT * FROM v WHERE c <> '' AND t <> '' QUALIFY row_number() OVER (PARTITION BY c ORDER BY d) = 1), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY t ORDER BY d) = 1) SELECT count(*) AS kept, count(DISTINCT c) AS numbers, count(DISTINCT t) AS texts, CAST(sum(d) AS BIGINT) AS d, true AS numbered FROM b",
     "str2_stream_resume": "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS items FROM customer GROUP BY 1",
     "jon_build_corpus": ROWS_SQL + "SELECT in_search_index, count(*) AS n, CAST(sum(clean_chars) AS BIGINT) AS chars FROM r GROUP BY 1",
 }

@@ -1,40 +1,133 @@
-"""Streams: collection with de-duplication state, and results that resume.
+"""Streams: collection with keyed state, and results that resume.
 
-There is no event time, so state grows with the keys. It holds hashes of numbers and texts, never texts: the number
-is deduplicated by the state store, the text by an anti-join with the hashes already in the sink.
+There is no event time, so state grows with the keys. It holds hashes of numbers and texts in the RocksDB store, never
+texts, and can be filled from the shards of an earlier run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.textops import strip
-from ..operators.corpus import first_of
 
+#: Columns of the stream; the state's workers rename columns that start with an underscore.
+PLACE, CNR = "place_of_the_row", "hash_of_the_number"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+class FirstOfKey(StatefulProcessor):
+    """The first row of a key by ``place`` in the batch in which the key comes up; later rows go."""
+
+    def __init__(self, place: str) -> None:
+        self.place = place
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            for _ in rows:
+                pass
+            return
+        first = None
+        for part in rows:
+            least = part.loc[[part[self.place].idxmin()]]
+            if first is None or least[self.place].iloc[0] < first[self.place].iloc[0]:
+                first = least
+        self.seen.update((True,))
+        yield first
 
-def stream_collect(source: DataFrame, sink: str, checkpoint: str, cnr: str = "cnr", text: str = "text") -> StreamingQuery:
-    """Appends the first row of each number and of each trimmed text to the sink; blank texts are dropped.
+    def close(self) -> None:
+        pass
 
-    A restart goes on from the checkpoint. Each batch is written once under its own folder, so a batch that is run
-    again after a failure replaces what it had written.
+
+def stream_collect(
+    source: DataFrame, sink: str, checkpoint: str, cnr: str = "cnr", text: str = "text", place: Column | None = None, shard_rows: int = 5000
+) -> StreamingQuery:
+    """Appends the first row of each number, and of these the first of each trimmed text, to numbered shards.
+
+    Rows with a blank number or text are dropped. Of the rows of a batch the first by ``place`` (any text that sorts; by
+    default the path and row of a file) counts; an earlier batch comes before a later one. A restart goes on from the
+    checkpoint. Without one, the numbers and texts of the shards in the sink are the initial state, so a run over the
+    same source adds nothing that is there. Shards have ``shard_rows`` rows, but for the last one of a batch, and lie
+    in run=r/batch=b/shard=n; n goes on from run to run. A batch that is run again writes the same shards anew.
     """
-    rows = source.where(F.coalesce(strip(text), F.lit("")) != "").withColumn("text_hash", F.sha1(strip(text)))
-    rows = rows.dropDuplicates([cnr])
+    spark = source.sparkSession
+    if place is None:
+        place = F.concat(F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0"))
+    names = [*source.columns, "text_hash"]
+    rows = source.withColumn(PLACE, place).withColumn("text_hash", F.sha1(strip(text))).withColumn(CNR, F.sha1(strip(cnr)))
+    rows = rows.where((F.coalesce(strip(text), F.lit("")) != "") & (F.coalesce(strip(cnr), F.lit("")) != ""))
+    known = _exists(spark, sink)
+    run = _run_number(spark, sink, checkpoint, known)
+    if known:
+        old = spark.read.parquet(sink).where(F.col("run") < run)
+        keys = {CNR: old.select(F.sha1(strip(cnr)).alias(CNR)), "text_hash": old.select("text_hash")}
+    else:
+        keys = {k: spark.createDataFrame([], f"{k} string") for k in (CNR, "text_hash")}
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKS)
+    try:
+        for key, start in keys.items():
+            processor = FirstOfKey(PLACE)
+            rows = rows.groupBy(key).transformWithStateInPandas(processor, rows.schema, "Append", "None", start.distinct().groupBy(key))
+        writer = rows.writeStream.foreachBatch(_shards(sink, run, names, shard_rows)).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(provider, before)  # a query keeps the settings that it was started with
+
 
+def _run_number(spark: SparkSession, sink: str, checkpoint: str, known: bool) -> int:
+    """Number of the run that a checkpoint belongs to: written beside it at its first start."""
+    path = f"{checkpoint}_run"
+    if not _exists(spark, path):
+        last = spark.read.parquet(sink).agg(F.max("run")).first()[0] if known else None
+        spark.createDataFrame([(0 if last is None else int(last) + 1,)], "run int").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path).first()[0]
+
+
+def _shards(sink: str, run: int, names: list[str], shard_rows: int):
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = first_of(batch, "text_hash", [cnr], "__first").where("__first").drop("__first")
+        batch = held = batch.persist()  # the state is gone through once
+        batch = batch.repartitionByRange(PLACE).sortWithinPartitions(PLACE).withColumn("__part", F.spark_partition_id()).persist()
         try:
-            seen = spark.read.parquet(sink).where(F.col("batch") != number).select("text_hash")
-            fresh = fresh.join(seen, "text_hash", "left_anti")
-        except Exception as error:  # the sink does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            counts = sorted(tuple(r) for r in batch.groupBy("__part").count().collect())  # one for each partition
+            if not counts:
+                return
+            first = 0
+            if _exists(spark, sink):
+                old = spark.read.parquet(sink).where((F.col("run") < run) | ((F.col("run") == run) & (F.col("batch") < number)))
+                first = (old.agg(F.max("shard")).first()[0] + 1) if old.limit(1).count() else 0
+            starts, at = [], 0
+            for part, n in counts:
+                starts.append((part, at))
+                at += n
+            starts = F.broadcast(spark.createDataFrame(starts, "__part int, __start long"))
+            inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+            placed = batch.withColumn("__in", inside).join(starts, "__part")
+            shard = F.lit(first) + F.floor((F.col("__start") + F.col("__in")) / shard_rows)
+            out = placed.select(*names, shard.cast("int").alias("shard")).repartition("shard")
+            out.write.mode("overwrite").partitionBy("shard").parquet(f"{sink}/run={run}/batch={number}")
+        finally:
+            batch.unpersist()
+            held.unpersist()
 
-    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return append
 
 
 def stream_resume(
@@ -46,25 +139,20 @@ def stream_resume(
     """
     wanted = sorted((str(k), str(v)) for k, v in settings.items())
     kept = f"{sink}_settings"
-    try:
+    if _exists(spark, kept):
         found = sorted((r[0], r[1]) for r in spark.read.parquet(kept).collect())
         if found != wanted:
             raise ValueError(f"the sink was started with other settings: {dict(found)}")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    else:
         spark.createDataFrame(wanted, "key string, value string").coalesce(1).write.parquet(kept)
 
     def append(batch: DataFrame, number: int) -> None:
         todo = batch
-        try:
+        if _exists(spark, sink):  # it does not before the first batch
             done = batch.sparkSession.read.parquet(sink).where(F.col("batch") != number)
             if retry:
                 done = done.where(~F.col("status").isin(*retry))
             todo = batch.join(done.select(item), item, "left_anti")
-        except Exception as error:  # the sink does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         work(todo).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -46,14 +46,24 @@ def test_log_keeps_the_last_line(spark, tmp_path):
 
 def test_collect_stream_and_restart(spark, tmp_path):
     folder = str(tmp_path)
-    write = lambda rows: spark.createDataFrame(rows, "cnr string, full_text string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    run = lambda: stream_collect(spark.readStream.schema("cnr string, full_text string").parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state", "cnr", "full_text").awaitTermination()
-    write([("a", "one"), ("a", "two"), ("b", " one "), ("c", " "), ("d", None)])
-    run()
-    write([("a", "three"), ("e", "one"), ("f", "new")])
-    run()
-    got = spark.read.parquet(f"{folder}/out").collect()
-    assert len(got) == len({r["text_hash"] for r in got}) == len({r["cnr"] for r in got}) and "f" in {r["cnr"] for r in got}
+    schema = "cnr string, full_text string, n int"
+
+    def write(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def run(state):
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        stream_collect(stream, f"{folder}/out", f"{folder}/{state}", "cnr", "full_text", shard_rows=2).awaitTermination()
+        return sorted((r["n"], r["cnr"], r["shard"], r["run"], r["batch"]) for r in spark.read.parquet(f"{folder}/out").collect())
+
+    write([("a", "one", 1), ("a", "two", 2), ("b", " one ", 3), ("c", " ", 4), ("d", None, 5), (" ", "x", 6), ("g", "seven", 7), ("h", "eight", 8), (None, "y", 9)])
+    assert run("state") == [(1, "a", 0, 0, 0), (7, "g", 0, 0, 0), (8, "h", 1, 0, 0)]
+    write([(" a ", "three", 10), ("e", "one", 11), ("f", "new", 12), ("b", "b again", 13)])
+    kept = run("state")
+    assert kept[:3] == [(1, "a", 0, 0, 0), (7, "g", 0, 0, 0), (8, "h", 1, 0, 0)] and kept[3] == (12, "f", 2, 0, 1) and len(kept) == 4
+    assert run("other") == kept  # a new checkpoint: the shards alone are the state
+    write([("i", "nine", 14), ("f", "ten", 15)])
+    assert run("other") == kept + [(14, "i", 3, 1, 1)]
 
 
 def test_resume_refuses_other_settings(spark, tmp_path):
