@@ -3,7 +3,8 @@
 Vectors are dealt by hash into shards; each shard's graph is built in one task. Points enter in batches: a greedy
 beam search in the graph so far proposes neighbours, and robust pruning keeps a diverse few of them (a neighbour
 goes if one kept already is nearer to it by the factor ``alpha``); reverse edges are pruned in the same way. Inner
-products become distances by one more component that gives all vectors the same length. Queries, in blocks of
+products become distances by one more component that gives all vectors the same length. Searches start at points far
+from each other; what cannot be reached from them gets links, and each shard measures how wide a beam it needs. Queries, in blocks of
 bounded size, run a beam search through every shard, and what the beams hold is scored on the original vectors in
 double precision.
 
@@ -136,6 +137,64 @@ def build_graph(points: np.ndarray, norm2: float, batch: int = 512, seed: int =
     return graph, order[: min(n, 8)]
 
 
+def spread_starts(points: np.ndarray, first: np.ndarray, most: int = 48) -> np.ndarray:
+    """The given starts and points far from all before them, one after the other, so that each group of points has one."""
+    chosen = first.tolist()
+    nearest_ = (points @ points[chosen].T).max(1)
+    while len(chosen) < min(most, len(points)):
+        far = int(nearest_.argmin())
+        if far in chosen:
+            break
+        chosen.append(far)
+        nearest_ = np.maximum(nearest_, points @ points[far])
+    return np.array(chosen)
+
+
+def connected(points: np.ndarray, graph: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The graph with further links where some points cannot be reached from the starts: a point that can gets one to the
+    nearest that cannot, again and again. Lists grow as they must; -1 fills them."""
+    n, reached = len(points), np.zeros(len(points), bool)
+    front, more = np.unique(start), [[] for _ in range(n)]
+    reached[front] = True
+    while True:
+        while len(front):
+            near = np.unique(graph[front])
+            front = near[near >= 0]
+            front = front[~reached[front]]
+            reached[front] = True
+        lost = np.flatnonzero(~reached)
+        if not len(lost):
+            break
+        there = np.flatnonzero(reached)
+        product = points[there] @ points[lost[0]]
+        more[int(there[product.argmax()])].append(int(lost[0]))
+        front = lost[:1]
+        reached[front] = True
+    width = max(map(len, more))
+    if not width:
+        return graph
+    extra = np.full((n, width), -1, np.int64)
+    for k, links in enumerate(more):
+        extra[k, : len(links)] = links
+    return np.concatenate([graph, extra], 1)
+
+
+def enough_beam(points: np.ndarray, scaled: np.ndarray, graph: np.ndarray, start: np.ndarray, beam: int, k: int, recall: float) -> int:
+    """The smallest of ``beam``, twice it, and so on, that finds a share ``recall`` of the true ``k`` best of a sample of the
+    graph's own points, and half of them for nine in ten; at most all points."""
+    n, k = len(points), min(k, len(points))
+    some = np.unique(np.linspace(0, n - 1, min(n, 64)).astype(int))
+    asked = np.concatenate([scaled[some], np.zeros((len(some), 1))], 1).astype(np.float32)
+    true = np.partition(asked @ points.T, n - k, axis=1)[:, n - k]
+    while beam < n:
+        _, score = beam_search(points, graph, start, asked, beam)
+        share = (score >= true[:, None] - 1e-6 * np.abs(true[:, None])).sum(1) / k
+        if np.minimum(share, 1).mean() >= recall and np.quantile(share, 0.1) >= 0.5:
+            break
+        beam *= 2
+    return min(beam, max(n, 2))
+
+
 def _best_rows(g: dict, found: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
     """The ``k`` best rows of one graph for each query, out of the points its beam holds (-1: none).
 
@@ -164,6 +223,7 @@ def _best_rows(g: dict, found: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
 def nearest(
     df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
     shard_rows: int = 8192, block_rows: int = 2048, beam: int = 128, group_blocks: int = 16, shard_bytes: int = 1 << 26,
+    recall: float = 0.93,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best rows found for each query, other than the query's own id.
 
@@ -171,7 +231,8 @@ def nearest(
     empty, zero or hold a null or non-finite component, take no part; vectors are compared with those of the same
     width. Rows that repeat id and vector count once. Extra columns are not read. Fewer than ``k`` candidates give
     fewer rows, an empty side none. Shards and blocks of queries hold fewer rows where vectors are so wide that they
-    would take more than ``shard_bytes``.
+    would take more than ``shard_bytes``. A shard's beam starts at ``beam`` and is doubled until a sample of its own points
+    finds the share ``recall`` of their true neighbours, up to a search of the whole shard.
     """
 
     def usable(rows: DataFrame) -> DataFrame:
@@ -202,7 +263,10 @@ def nearest(
         longest = float(square.max())
         lifted = np.concatenate([scaled, np.sqrt(np.maximum(longest - square, 0))[:, None]], 1).astype(np.float32)
         graph, start = build_graph(lifted, longest)
-        kept = {"v": original, "points": lifted, "ids": ids, "graph": graph.astype(np.int32), "start": start}
+        start = spread_starts(lifted, start)
+        graph = connected(lifted, graph, start)
+        wide = enough_beam(lifted, scaled, graph, start, beam, k + 1, recall)
+        kept = {"v": original, "points": lifted, "ids": ids, "graph": graph.astype(np.int32), "start": start, "beam": wide}
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [pickle.dumps(kept)]})
 
     # A number of partitions of their own, so that small shards are not put together in one task.
@@ -221,11 +285,12 @@ def nearest(
             for graph, block in zip(batch["graph"], batch["queries"]):
                 g, q = pickle.loads(graph), pickle.loads(block)
                 points_, links = g["points"], g["graph"].astype(np.int64)
-                for a in range(0, len(q["id"]), 256):
-                    ids, v = q["id"][a : a + 256], q["v"][a : a + 256]
+                step = max(1, 256 * 128 // max(g["beam"], 128))
+                for a in range(0, len(q["id"]), step):
+                    ids, v = q["id"][a : a + step], q["v"][a : a + step]
                     scaled = v / np.abs(v).max(1, keepdims=True)
                     asked_ = np.concatenate([scaled, np.zeros((len(v), 1))], 1).astype(np.float32)
-                    found, _ = beam_search(points_, links, g["start"], asked_, min(beam, max(len(points_), 2)))
+                    found, _ = beam_search(points_, links, g["start"], asked_, min(g["beam"], max(len(points_), 2)))
                     yield _best_rows(g, found, ids, v, k)
 
     # Each shard meets each group of blocks in a task of its own, whatever the number of widths.

@@ -3,6 +3,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+from foliospark.llm import ann
 from foliospark.llm.ann import nearest, op10_graph_search
 from foliospark.llm.mixing import in_mixture_order, mix, quotas, schedule
 from foliospark.llm.packing import best_fit, complete_bins, lower_bound, op6_best_fit_packing, pack, pack_documents
@@ -188,3 +189,40 @@ def test_search_edges(spark):
     assert [r["vec_id"] for r in first] == list(range(1, 21)) and first[0]["score"] == 5.25
     assert not [r for r in got if r["query_id"] in (100, 105)]
     assert nearest(frame.limit(0), frame).count() == 0 and nearest(frame, frame.limit(0)).count() == 0
+
+
+def _found(x, k=20, asked=100):
+    """Recall of each of some queries in a graph made and searched as a shard's is."""
+    rng, scaled = np.random.default_rng(2), x / np.abs(x).max()
+    square = (scaled**2).sum(1)
+    lifted = np.concatenate([scaled, np.sqrt(square.max() - square)[:, None]], 1).astype(np.float32)
+    graph, start = ann.build_graph(lifted, float(square.max()))
+    start = ann.spread_starts(lifted, start)
+    graph = ann.connected(lifted, graph, start)
+    beam = ann.enough_beam(lifted, scaled, graph, start, 128, k + 1, 0.93)
+    some = rng.choice(len(x), asked, replace=False)
+    ids, _ = ann.beam_search(lifted, graph, start, np.concatenate([scaled[some], np.zeros((asked, 1))], 1).astype(np.float32), beam)
+    true = np.argsort(-(scaled[some] @ scaled.T), axis=1)[:, :k]
+    return np.array([len(set(a) & set(b)) / k for a, b in zip(ids.tolist(), true.tolist())])
+
+
+def test_recall_without_structure_and_on_tight_clusters():
+    rng = np.random.default_rng(1)
+    assert _found(rng.normal(size=(2500, 64))).mean() >= 0.9
+    long = rng.normal(size=(2500, 32))
+    long[:20] *= 30
+    assert _found(long).mean() >= 0.9
+    tight = rng.normal(size=(60, 64))[rng.integers(0, 60, 4000)] + 0.01 * rng.normal(size=(4000, 64))
+    got = _found(tight)
+    assert got.mean() >= 0.9 and got.min() > 0
+
+
+def test_points_without_a_way_to_them_get_links():
+    points = np.eye(6, dtype=np.float32)
+    graph = np.array([[1, -1], [0, -1], [3, -1], [2, -1], [-1, -1], [-1, -1]], np.int64)
+    linked = ann.connected(points, graph, np.array([0]))
+    reached, front = {0}, [0]
+    while front:
+        front = [int(y) for x in front for y in linked[x] if y >= 0 and y not in reached]
+        reached |= set(front)
+    assert reached == set(range(6)) and (linked[:, :2] == graph).all()
