@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,13 +116,37 @@ def attach_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.join(chunks, "chunk_id", "left")
 
 
+def in_full_batches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows in frames whose lengths are multiples of ``size``, but for the last: rows wait over the ends of batches."""
+    held = None
+    for rows in batches:
+        held = rows if held is None or not len(held) else pd.concat([held, rows], ignore_index=True)
+        full = len(held) - len(held) % size
+        if full:
+            yield held.iloc[:full]
+            held = held.iloc[full:]
+    if held is not None and len(held):
+        yield held
+
+
+_LOADED: dict[str, object] = {}
+
+
+def loaded(token: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in each Python worker for a token; those of other tokens go."""
+    if token not in _LOADED:
+        _LOADED.clear()
+        _LOADED[token] = make()
+    return _LOADED[token]
+
+
 def score_pairs(df: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], batch_size: int = 32) -> DataFrame:
-    """Adds ``score`` to rows with query and text; the scorer gets full batches in each Python worker."""
+    """Adds ``score`` to rows with query and text; the scorer gets full batches in each task."""
     schema = T.StructType([*df.drop("score").schema.fields, T.StructField("score", T.DoubleType())])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in in_full_batches(batches, batch_size):
             scores: list[float] = []
             for a in range(0, len(rows), batch_size):
                 part = rows.iloc[a : a + batch_size]
@@ -131,19 +156,38 @@ def score_pairs(df: DataFrame, scorer: Callable[[list[str], list[str]], list[flo
     return df.drop("score").mapInPandas(run, schema)
 
 
-def embed(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", batch_size: int = 32) -> DataFrame:
-    """Adds ``embedding``: the encoder's vectors at length one."""
-    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+def embed(df: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", batch_size: int = 32) -> DataFrame:
+    """Adds ``embedding``: the encoder's vectors at length one; a null text is read as an empty one.
+
+    ``make`` loads the encoder. It is called once in each Python worker, however many tasks that runs, and the encoder
+    gets batches of ``batch_size`` texts, but for the last one of a task. A vector of zeros stays one.
+    """
+    token = uuid.uuid4().hex
+    schema = T.StructType([*df.drop("embedding").schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        encode = loaded(token, make)
+        for rows in in_full_batches(batches, batch_size):
             out = []
             for a in range(0, len(rows), batch_size):
-                x = np.asarray(encoder(rows[text].iloc[a : a + batch_size].tolist()), np.float32)
+                x = np.asarray(encode([t or "" for t in rows[text].iloc[a : a + batch_size]]), np.float32)
                 out += list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
             yield rows.assign(embedding=out)
 
-    return df.mapInPandas(run, schema)
+    return df.drop("embedding").mapInPandas(run, schema)
+
+
+def letter_encoder(dim: int = 8) -> Callable[[list[str]], np.ndarray]:
+    """An encoder without a model: how many letters a to z of a text fall in each of ``dim`` classes, by their place."""
+    place = np.full(256, dim)
+    for c in range(26):
+        place[97 + c] = place[65 + c] = c % dim
+
+    def encode(texts: list[str]) -> np.ndarray:
+        rows = [place[np.frombuffer(t.encode("utf-8", "replace"), np.uint8)] for t in texts]
+        return np.array([np.bincount(r, minlength=dim + 1)[:dim] for r in rows], float)
+
+    return encode
 
 
 def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:

@@ -243,6 +243,22 @@ def _index(s, d):
     return kept(s, d, "index", ("documents",), lambda: write_index(doc_chunks(s, d), scratch(s)))
 
 
+_CLASSES = ["".join(chr(97 + c) for c in range(26) if c % 8 == k) for k in range(8)]
+EMBED_SQL = (
+    "WITH c AS (SELECT doc_id, " + ", ".join(f"len(regexp_replace(coalesce(text, ''), '[^{x}{x.upper()}]', '', 'g')) AS c{k}" for k, x in enumerate(_CLASSES)) + " FROM documents), "
+    "n AS (SELECT *, sqrt(" + " + ".join(f"c{k} * c{k}" for k in range(8)) + ") AS n FROM c) SELECT doc_id, "
+    + ", ".join(f"round(CASE WHEN n = 0 THEN 0 ELSE c{k} / n END, 1) AS e{k}" for k in range(8)) + ", n > 0 AS unit FROM n"
+)
+
+
+def embedded(s, d):
+    """Each document's vector of letter classes to one digit, and whether its length is one."""
+    rows = R.embed(table(s, d, "documents").select("doc_id", "text"), R.letter_encoder)
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    parts = [F.round(F.col("embedding")[k].cast("double"), 1).alias(f"e{k}") for k in range(8)]
+    return rows.select("doc_id", *parts, (F.abs(length - 1) < 1e-5).alias("unit"))
+
+
 def index_postings(s, d):
     """What the stored postings say of each token; the index is opened anew, as a later session would."""
     path = scratch(s)
@@ -322,6 +338,7 @@ QUERIES = {
     "ret1_bm25_index": lambda s, d: rounded(_index(s, d).terms, "idf"),
     "ret1_bm25_postings": index_postings,
     "ret2_bm25_search": lambda s, d: rounded(bm25(s, d), "score"),
+    "udf3_embed": embedded,
     "top1_top_k_per_query": lambda s, d: rounded(bm25(s, d).where("rank <= 5"), "score"),
     "ret3_normalize_index": lambda s, d: R.normalize_index(table(s, d, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x * 3)), "vec_id", "embedding").select("chunk_id", F.round(F.get("embedding", 0).cast("double"), 5).alias("x0"), F.size("embedding").alias("dim")),
     "scl32_l2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", A.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 2)).alias("u")).select("vec_id", F.round(F.get("u", 1), 6).alias("u1")),
@@ -472,6 +489,7 @@ SQL = {
     "ret1_bm25_index": f"WITH {BM25_CTES} SELECT token, df, round(idf, 6) AS idf FROM bi",
     "ret1_bm25_postings": f"WITH {BM25_CTES} SELECT token, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS chunks, max(tf) AS most FROM bt GROUP BY 1",
     "ret2_bm25_search": f"WITH {BM25_CTES} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM bm",
+    "udf3_embed": EMBED_SQL,
     "top1_top_k_per_query": f"WITH {BM25_CTES} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM bm WHERE rank <= 5",
     "ret3_normalize_index": "SELECT vec_id AS chunk_id, round(CAST(CAST(embedding[1] * 3 / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * 9) AS FLOAT) AS DOUBLE), 5) AS x0, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings",
     "scl32_l2_normalize": "SELECT vec_id, round(CAST(embedding[2] AS DOUBLE) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS u1 FROM embeddings",

@@ -88,9 +88,33 @@ def test_rerank_of_unknown_ids_is_an_error(spark):
     assert retrieval.rerank(known, asked, chunks).first()["score"] == 1.0
 
 
-def test_encoder_gives_unit_vectors(spark):
-    import numpy as np
-
-    frame = spark.createDataFrame([("ab",), ("abcd",)], "text string")
-    got = retrieval.embed(frame, lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()
-    assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-6 for r in got)
+def test_encoder_is_loaded_once_in_each_worker(spark, tmp_path):
+    folder, sizes = tmp_path / "loads", tmp_path / "sizes"
+    folder.mkdir(), sizes.mkdir()
+
+    def make():
+        import os
+        import uuid
+
+        import numpy as np
+
+        (folder / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+        def encode(texts):
+            (sizes / f"{len(texts)}-{uuid.uuid4().hex}").touch()
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return encode
+
+    frame = spark.createDataFrame([("a" * (k % 7),) for k in range(1000)] + [(None,)], "text string").repartition(16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = retrieval.embed(frame, make, batch_size=10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 1001 and all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-6 for r in got)
+    loads = [x.name.split("-")[0] for x in folder.iterdir()]
+    assert len(loads) == len(set(loads))
+    parts = [int(x.name.split("-")[0]) for x in sizes.iterdir()]
+    assert sum(parts) == 1001 and sum(n < 10 for n in parts) <= 16
+    assert retrieval.embed(frame.limit(0), make).count() == 0
