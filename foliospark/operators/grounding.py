@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textops
@@ -65,11 +65,43 @@ def gold_span_overlap(items: DataFrame, documents: DataFrame, chunks: DataFrame,
     return hits.unionByName(first.select("question_id", "x.chunk_id"))
 
 
+#: Classes of signs whose counts bound a similarity: each letter a to z, the blank, all digits; the rest is one more.
+_CLASSES = (*"abcdefghijklmnopqrstuvwxyz", " ", "0123456789")
+
+
+def sign_counts(text: Column) -> Column:
+    """How often a text has signs of each class; an array of as many numbers as there are classes, and one."""
+    n = F.char_length(text)
+    each = [n - F.char_length(F.translate(text, c, "")) for c in _CLASSES]
+    rest = n
+    for c in each:
+        rest = rest - c
+    return F.array(*each, rest)
+
+
+def similar_pairs(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Passages beside the chunks of their judgment, lower-cased, with an upper bound of their similarity.
+
+    Matching blocks share signs one to one, so the similarity is at most twice what both have in common, class by class,
+    over both lengths. Counts are taken once for each passage and chunk, before they meet.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    left = items.select("question_id", "cnr", low("supporting_text").alias("a")).withColumn("m", sign_counts(F.col("a")))
+    right = chunks.select("chunk_id", "cnr", low("text").alias("b")).join(left.select(F.col("cnr").alias("asked")).distinct(), F.expr("cnr = asked"), "left_semi")
+    right = right.withColumn("n", sign_counts(F.col("b")))
+    common = F.aggregate(F.zip_with("m", "n", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    length = F.char_length("a") + F.char_length("b")
+    return left.join(right, "cnr").withColumn("bound", F.when(length == 0, F.lit(1.0)).otherwise(2.0 * common / length)).drop("m", "n")
+
+
 def gold_similarity(items: DataFrame, chunks: DataFrame, least: float = 0.5, top: int = 1) -> DataFrame:
-    """The chunks of the judgment that are most like the passage, from ``least`` up."""
+    """The chunks of the judgment that are most like the passage, from ``least`` up.
+
+    Only pairs whose bound reaches ``least`` are compared sign by sign.
+    """
     ratio = F.pandas_udf(sequence_ratio, "double")
-    pairs = items.select("question_id", "cnr", "supporting_text").join(chunks.select("chunk_id", "cnr", "text"), "cnr")
-    scored = pairs.withColumn("score", ratio(F.lower("supporting_text"), F.lower("text"))).where(F.col("score") >= least)
+    likely = similar_pairs(items, chunks).where(F.col("bound") >= least - 1e-9)
+    scored = likely.withColumn("score", ratio("a", "b")).where(F.col("score") >= least)
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("question_id", "rank", "chunk_id", "score")
 

@@ -17,6 +17,7 @@ from ..operators.inverted import read_index, write_index
 from ..sources import tables as T
 from ..sources.stages import scratch, staged
 from .adapters import kept, table
+from .corpus_queries import sql_strip
 from .report_queries import sql_wilson
 
 W = r"[\p{L}\p{N}_]+"
@@ -130,6 +131,22 @@ def evidence(s, d):
 EVIDENCE_SQL = f"evidence AS (SELECT d AS question_id, d AS cnr, {_PASSAGE} AS supporting_text FROM (SELECT doc_id AS d, text, n_chars FROM documents) WHERE n_chars > 0)"
 
 
+_COUNTS = ["".join(c) for c in (*"abcdefghijklmnopqrstuvwxyz", " ", "0123456789")]
+
+
+def _counted(x: str) -> str:
+    each = [f"length({x}) - length(translate({x}, '{c}', ''))" for c in _COUNTS]
+    return "[" + ", ".join(each) + f", length({x}) - (" + " + ".join(f"({e})" for e in each) + ")]"
+
+
+SIMILAR_SQL = (
+    f"WITH {WINDOWS_SQL}, {EVIDENCE_SQL}, a AS (SELECT question_id, cnr, x, {_counted('x')} AS m FROM (SELECT question_id, cnr, lower(supporting_text) AS x FROM evidence)), "
+    f"b AS (SELECT chunk_id, cnr, x, {_counted('x')} AS n FROM (SELECT chunk_id, cnr, lower(text) AS x FROM chunks)), "
+    "p AS (SELECT question_id, chunk_id, length(a.x) + length(b.x) AS l, list_sum(list_transform(list_zip(m, n), lambda z: least(z[1], z[2]))) AS c FROM a JOIN b USING (cnr)) "
+    "SELECT question_id, chunk_id, round(CASE WHEN l = 0 THEN 1.0 ELSE 2.0 * c / l END, 6) AS bound FROM p"
+)
+
+
 def _blocks(s, d):
     rows = ranked(s, d).where("system = 'bm25'")
     docs = table(s, d, "documents").selectExpr("doc_id AS chunk_id", "text", "CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS court_code", "CAST(NULL AS STRING) AS decision_date")
@@ -259,6 +276,19 @@ def embedded(s, d):
     return rows.select("doc_id", *parts, (F.abs(length - 1) < 1e-5).alias("unit"))
 
 
+def chunk_invariants(s, d):
+    """Of each chunked document: whether its chunks stand in it, keep to the length, and have numbers that rise without
+    repeats and ids made of them."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    chunks = C.chunk_documents(docs.withColumn("whole", F.col("text")), "doc_id", "text", carry=("whole",))
+    inside = F.contains("whole", "text")
+    named = F.col("chunk_id") == F.concat(F.col("cnr").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string"))
+    return chunks.groupBy(F.col("cnr").alias("doc_id")).agg(
+        F.bool_and(inside).alias("inside"), F.bool_and(F.char_length("text").between(100, 1200)).alias("sized"), F.bool_and(named).alias("named"),
+        (F.countDistinct("chunk_index") == F.count(F.lit(1))).alias("apart"),
+    )
+
+
 def index_postings(s, d):
     """What the stored postings say of each token; the index is opened anew, as a later session would."""
     path = scratch(s)
@@ -317,6 +347,8 @@ QUERIES = {
     "jon1_gold_exact": lambda s, d: G.gold_exact(evidence(s, d), windows(s, d)),
     "jon2_gold_window": lambda s, d: G.gold_window(evidence(s, d), windows(s, d)),
     "jon3_gold_span_overlap": lambda s, d: G.gold_span_overlap(evidence(s, d), table(s, d, "documents").select(F.col("doc_id").alias("cnr"), "text"), windows(s, d)),
+    "jon4_similarity_bounds": lambda s, d: rounded(G.similar_pairs(evidence(s, d), windows(s, d)).select("question_id", "chunk_id", "bound"), "bound"),
+    "chk1_invariants": chunk_invariants,
     "jon4_gold_similarity": lambda s, d: G.gold_similarity(evidence(s, d), windows(s, d), 0.3, 3),
     "win9_one_per_cnr": lambda s, d: G.one_per_cnr(items(s, d)).select("question_id", "cnr"),
     "src8_load_benchmark": benchmark_file,
@@ -462,6 +494,8 @@ SQL = {
     "agg38_chunk_stats": f"WITH {WINDOWS_SQL} SELECT substring('C' || cnr, 1, 2) AS prefix, count(*) AS chunks, count(DISTINCT cnr) AS judgments, round(avg(length(text)), 6) AS mean_length, max(length(text)) AS max_length FROM chunks GROUP BY 1",
     "jon1_gold_exact": _MATCHED + "SELECT * FROM exact",
     "jon2_gold_window": _MATCHED + ", w AS (SELECT question_id, cnr, string_split(p, ' ') AS w FROM e WHERE p <> '' AND question_id NOT IN (SELECT question_id FROM exact)), s AS (SELECT *, unnest([60, 40, 25, 15, 10]) AS size FROM w), o AS (SELECT question_id, cnr, size, w, unnest(range(0, len(w) - size + 1, greatest(1, size // 2))) AS pos FROM s WHERE len(w) >= size), h AS (SELECT question_id, size, chunk_id, min({'p': pos, 'i': chunk_index}) AS seen FROM o JOIN c USING (cnr) WHERE contains(t, array_to_string(w[pos + 1:pos + size], ' ')) GROUP BY 1, 2, 3), m AS (SELECT *, max(size) OVER (PARTITION BY question_id) AS best FROM h) SELECT question_id, chunk_id, size, CAST(row_number() OVER (PARTITION BY question_id ORDER BY seen, chunk_id) AS INTEGER) AS place FROM m WHERE size = best",
+    "jon4_similarity_bounds": SIMILAR_SQL,
+    "chk1_invariants": f"SELECT doc_id, true AS inside, true AS sized, true AS named, true AS apart FROM documents WHERE length({sql_strip('text')}) >= 100",
     "jon3_gold_span_overlap": f"WITH {WINDOWS_SQL}, {EVIDENCE_SQL}, e AS (SELECT question_id, cnr, {_same('supporting_text')} AS p FROM evidence), t AS (SELECT doc_id AS cnr, {_same('text')} AS t FROM documents), c AS (SELECT chunk_id, cnr, chunk_index, {_same('text')} AS c FROM chunks), "
     "sp AS (SELECT question_id, cnr, instr(t, p) - 1 AS st, length(p) AS n FROM e JOIN t USING (cnr) WHERE p <> ''), pl AS (SELECT cnr, chunk_id, instr(t, c) - 1 AS lo, length(c) AS m FROM c JOIN t USING (cnr)), "
     "h AS (SELECT DISTINCT question_id, chunk_id FROM sp JOIN pl USING (cnr) WHERE st >= 0 AND lo >= 0 AND lo < st + n AND lo + m > st), "

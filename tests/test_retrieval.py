@@ -89,3 +89,26 @@ def test_empty_tables(spark, tmp_path):
     assert search_index(write_index(none, str(tmp_path / "index")), queries, 5)[0].count() == 0
     some = spark.createDataFrame([(1, "x")], "chunk_id int, text string")
     assert search_index(write_index(some, str(tmp_path / "some")), queries.where("false"), 5)[0].count() == 0
+
+
+def test_similarity_compares_only_likely_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from foliospark.operators.grounding import gold_similarity, similar_pairs
+
+    rng = random.Random(4)
+    words = ["bail", "Act", "Ünder", "138", "court", "the", "of", "x", "é"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    asked = [(q, q % 5, text(rng.randint(0, 12))) for q in range(40)] + [(90, 1, None), (91, 2, "")]
+    held = [(f"c{k}", k % 5, text(rng.randint(0, 60))) for k in range(60)] + [("n", 1, None), ("e", 2, "")]
+    items = spark.createDataFrame(asked, "question_id int, cnr int, supporting_text string")
+    chunks = spark.createDataFrame(held, "chunk_id string, cnr int, text string")
+    scores = {(q, c): SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio() for q, n, a in asked for c, m, b in held if n == m}
+    pairs = {(r["question_id"], r["chunk_id"]): r["bound"] for r in similar_pairs(items, chunks).collect()}
+    assert set(pairs) == set(scores) and all(pairs[k] >= s - 1e-12 for k, s in scores.items())
+    assert sum(b >= 0.5 for b in pairs.values()) < 0.8 * len(pairs)
+    expected = []
+    for q, _, _ in asked:
+        best = sorted((-s, c) for (p, c), s in scores.items() if p == q and s >= 0.5)[:2]
+        expected += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in gold_similarity(items, chunks, 0.5, 2).collect()) == sorted(expected)
