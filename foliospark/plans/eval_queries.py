@@ -367,7 +367,7 @@ QUERIES = {
     "flt12_validate_candidates": lambda s, d: L.validate_candidates(items(s, d).withColumn("gold", F.when(F.col("question_id") % 6 > 0, F.array("cnr"))), ("cnr", "bench", "question_type"), "gold", {"type0": 4, "type1": 4, "type2": 4})[0].groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n")),
     "flt12_mix": lambda s, d: L.validate_candidates(items(s, d).withColumn("gold", F.when(F.col("question_id") % 6 > 0, F.array("cnr"))), ("cnr", "bench", "question_type"), "gold", {"type0": 4, "type1": 4, "type2": 4})[1],
     "scl33_model_family": lambda s, d: L.check_independence(table(s, d, "documents").selectExpr("concat('Org/', upper(lang), CAST(doc_id % 3 AS STRING)) AS judge", "concat(lang, CAST(doc_id % 4 AS STRING)) AS generator"), "judge", "generator"),
-    "ret1_bm25_index": lambda s, d: rounded(_index(s, d).terms, "idf"),
+    "ret1_bm25_index": lambda s, d: rounded(write_index(doc_chunks(s, d), scratch(s)).terms, "idf"),
     "ret1_bm25_postings": index_postings,
     "ret2_bm25_search": lambda s, d: rounded(bm25(s, d), "score"),
     "udf3_embed": embedded,

@@ -60,7 +60,8 @@ def stream_collect(
     """Appends the first row of each number, and of these the first of each trimmed text, to numbered shards.
 
     Rows with a blank number or text are dropped. Of the rows of a batch the first by ``place`` (any text that sorts; by
-    default the path and row of a file) counts; an earlier batch comes before a later one. A restart goes on from the
+    default the path and row of a file) counts; an earlier batch comes before a later one. A number is taken by its first
+    row even if that one goes for its text. A restart goes on from the
     checkpoint. Without one, the numbers and texts of the shards in the sink are the initial state, so a run over the
     same source adds nothing that is there. Shards have ``shard_rows`` rows, but for the last one of a batch, and lie
     in run=r/batch=b/shard=n; n goes on from run to run. A batch that is run again writes the same shards anew.

@@ -53,7 +53,8 @@ def test_collect_stream_and_restart(spark, tmp_path):
 
     def run(state):
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        stream_collect(stream, f"{folder}/out", f"{folder}/{state}", "cnr", "full_text", shard_rows=2).awaitTermination()
+        place = F.lpad(F.col("n").cast("string"), 9, "0")
+        stream_collect(stream, f"{folder}/out", f"{folder}/{state}", "cnr", "full_text", place, shard_rows=2).awaitTermination()
         return sorted((r["n"], r["cnr"], r["shard"], r["run"], r["batch"]) for r in spark.read.parquet(f"{folder}/out").collect())
 
     write([("a", "one", 1), ("a", "two", 2), ("b", " one ", 3), ("c", " ", 4), ("d", None, 5), (" ", "x", 6), ("g", "seven", 7), ("h", "eight", 8), (None, "y", 9)])
