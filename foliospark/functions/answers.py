@@ -41,6 +41,7 @@ def is_refusal(c: Column | str) -> Column:
     return F.lower(c).contains(REFUSAL) & (F.size(extract_citations(c)) == 0)
 
 
+# The wording of context blocks and of both prompts, in the three functions below.
 def format_context(chunk_id: Column, text: Column, court: Column, date: Column) -> Column:
     given = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("Unspecified"))
     return F.concat(

@@ -145,7 +145,7 @@ def summarize(values: DataFrame, by: list[str], cluster: str | None = None, **op
     plain = binary.where("binary").withColumn("w", wilson("k", "n")).select(
         *by, "w.estimate", "w.low", "w.high", "n", F.lit("wilson").alias("method"), F.lit(0.95).alias("confidence")
     )
-    rest = values.join(F.broadcast(binary.where("NOT binary").select(*by)), by, "left_semi")
+    rest = values.join(binary.where("NOT binary").select(*by), by, "left_semi")
     return plain.unionByName(histogram_bootstrap(rest, by, **options))
 
 

@@ -30,8 +30,8 @@ def staged(df: DataFrame) -> DataFrame:
 def scratch(spark) -> str:
     """A new folder that driver and executors share; a local temporary one only for a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        shared = spark.conf.get("spark.sql.warehouse.dir")
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared or tempfile.mkdtemp(prefix='foliospark-')}/{uuid.uuid4().hex}"
 
 
