@@ -151,7 +151,8 @@ def expressions(text: bytes, tags: list[int]) -> Iterator[str]:
             if at == number - TAG.count(" "):
                 first = last
         places.append((first.start(), last.end()))
-    for (_, end), (stop, _) in zip(places, [*places[1:], (len(text), 0)], strict=True):
+    stops = [start for start, _ in places[1:]] + [len(text)]
+    for (_, end), stop in zip(places, stops):  # no tag: nothing
         yield _LINE.match(text[end:stop])[1].decode("utf-8", "replace")
 
 

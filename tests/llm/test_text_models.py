@@ -39,6 +39,8 @@ def test_scan_matches_plain_search():
         b"SPDX-License-Identifier: see the file": ("", 0.0),
         b"\xc3\xa9 SPDX-License-Identifier: LicenseRef-Own": ("licenseref-own", 0.5),
         b"SPDX-License-Identifier:": ("", 0.0),
+        b"no tag at all": ("", 0.0),
+        b"": ("", 0.0),
     }
     for text, (labels, strength) in several.items():
         assert scan(text)[5:] == (labels, strength), text
