@@ -83,7 +83,7 @@ def resumed(s, d):
 
 
 def repeats(s, d):
-    """The words of each tenth document, its first seven written three times."""
+    """The words of each document, its first seven written three times."""
     docs = table(s, d, "documents").withColumn("w", F.filter(F.split("text", r"\s+"), lambda x: x != ""))
     head = F.array_join(F.slice("w", 1, 7), " ")
     docs = docs.select("doc_id", F.concat_ws(" ", head, head, head, F.array_join("w", " ")).alias("text"), F.lit(0).cast("long").alias("removed"))
