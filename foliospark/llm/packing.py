@@ -12,9 +12,10 @@ anew in groups. Blocks hold thousands of pieces, so what the blocks' last sequen
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import le
 
 import numpy as np
 import pyarrow as pa
@@ -105,77 +106,111 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return bound
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, most: int = 32, tries: int = 3000) -> list[tuple[int, ...]]:
+def beaten(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether ``b``, which is no less full, has as many pieces as ``a`` and none smaller, or is one piece."""
+    return a != b and (len(b) == 1 or len(a) == len(b) and all(map(le, a, b)))
+
+
+def fillings(
+    counts: dict[int, int], rising: list[int], room: int, waste: int, most: int = 32, tries: int = 3000
+) -> Iterator[tuple[int, ...]]:
     """Undominated multisets of sizes that fit in ``room`` and leave at most ``waste``, fullest first.
 
-    A filling is dominated if another one has a piece no smaller for each of its pieces, or replaces several of
-    its pieces by one piece as large as all of them. Sets are tried with large pieces first, ``tries`` at most.
+    ``rising`` are the sizes in stock, ``counts`` how many of each. A filling is dominated if another one of as many
+    pieces has none smaller, or is one piece as large as all of them. Sets are tried with large pieces first, ``tries``
+    at most, in the call; dominance is decided as the iterator goes on, since most steps take the first filling only.
     """
-    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    rising = sizes[::-1]
+    n = bisect_right(rising, room)
+    if not n:
+        return iter([()] if room <= waste else [])
+    if rising[n - 1] == room and waste >= 0:  # dominates all others
+        return iter([(room,)])
     found: list[tuple[int, ...]] = []
+    enough, smallest = 4 * most, rising[0]
 
-    def extend(chosen: tuple[int, ...], left: int, at: int) -> None:
-        nonlocal tries
+    # A set may be extended by sizes up to number ``at``; of that one ``spare`` are left besides the set, of lower ones all.
+    chosen, left, at, spare = (), room, n - 1, counts[rising[n - 1]]
+    open_: list[tuple] = []
+    while True:
         tries -= 1
-        closed = True
-        for k in range(max(at, len(sizes) - bisect_right(rising, left)), len(sizes)):
-            s = sizes[k]
-            if chosen.count(s) < counts[s]:
-                closed = False
-                if len(found) >= 4 * most or tries <= 0:
-                    return
-                extend((*chosen, s), left - s, k)
-        if closed and left <= waste:
+        end, k = bisect_right(rising, left, 0, at + 1), -1
+        if end:
+            last = bisect_right(rising, left - smallest, 0, end)  # from there on nothing fits beside a size
+            full = bisect_left(rising, left - waste, last, end)  # and from there on it wastes little enough
+            if full < end:
+                n = min(end - full, max(0, tries), max(0, enough - len(found)))
+                found.extend([(*chosen, s) for s in rising[end - n : end][::-1]])
+                if n < end - full:
+                    break
+                tries -= n
+            tries -= full - last  # sets that waste too much are counted without a look at each
+            k = last - 1
+        elif left <= waste:
             found.append(chosen)
-
-    extend((), room, 0)
-    if not found and not sizes and room <= waste:
-        return [()]
-
-    def beaten(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-        if len(b) <= len(a) and all(x <= y for x, y in zip(a, b)) and len(a) == len(b) and a != b:
-            return True
-        return len(b) == 1 and sum(a) <= b[0] and a != b
-
-    found = list(dict.fromkeys(found))
-    kept = [a for a in found if not any(beaten(a, b) for b in found)]
-    return sorted(kept, key=lambda a: (-sum(a), len(a), a))[:most]
+        while k < 0 and open_:
+            chosen, left, at, spare, k = open_.pop()
+        if k < 0 or tries <= 0 or len(found) >= enough:
+            break
+        open_.append((chosen, left, at, spare, k - 1))
+        s = rising[k]
+        chosen, left, more = (*chosen, s), left - s, (spare if k == at else counts[s]) - 1
+        at, spare = (k, more) if more else (k - 1, counts[rising[k - 1]] if k else 0)
+    return undominated(found, most)
+
+
+def undominated(found: list[tuple[int, ...]], most: int) -> Iterator[tuple[int, ...]]:
+    """Fillings that no other one beats, fullest first; one that beats another stands in front of it."""
+    kept: list[tuple[int, ...]] = []
+    for a in sorted(dict.fromkeys(found), key=lambda a: (-sum(a), len(a), a)):
+        if len(kept) < most and not any(beaten(a, b) for b in kept):
+            kept.append(a)
+            yield a
 
 
 def complete_bins(sizes: np.ndarray, capacity: int, incumbent: int, nodes: int) -> list[tuple[int, ...]] | None:
     """Bins (as sizes) of a packing with fewer than ``incumbent`` bins, the best found in ``nodes`` steps."""
     values, amounts = np.unique(sizes, return_counts=True)
-    counts = dict(zip(values.tolist(), amounts.tolist()))
+    rising, counts = values.tolist(), dict(zip(values.tolist(), amounts.tolist()))
     total, best, bound = int(sizes.sum()), None, lower_bound(sizes, capacity)
     path: list[tuple[int, ...]] = []
     wasted, steps = 0, 0
 
-    def options() -> list[tuple[int, ...]]:
-        top = max((s for s, n in counts.items() if n), default=0)
-        counts[top] -= 1
+    def take(s: int) -> None:
+        counts[s] -= 1
+        if not counts[s]:
+            del rising[bisect_left(rising, s)]
+
+    def give(s: int) -> None:
+        if not counts[s]:
+            insort(rising, s)
+        counts[s] += 1
+
+    def options() -> Iterator[tuple[int, ...]]:
         budget = (incumbent - 1) * capacity - total - wasted
-        out = [(top, *x) for x in fillings(counts, capacity - top, budget)] if budget >= 0 else []
-        counts[top] += 1
-        return out[::-1]
+        if budget < 0:
+            return iter(())
+        top = rising[-1]
+        take(top)
+        out = fillings(counts, rising, capacity - top, budget)
+        give(top)
+        return ((top, *x) for x in out)
 
     stack, left = [options()], len(sizes)
     while stack and steps < nodes:
         steps += 1
-        if not stack[-1]:
+        if (chosen := next(stack[-1], None)) is None:
             stack.pop()
             if path:
                 for s in (last := path.pop()):
-                    counts[s] += 1
+                    give(s)
                 left += len(last)
                 wasted -= capacity - sum(last)
             continue
-        chosen = stack[-1].pop()
         if wasted + capacity - sum(chosen) > (incumbent - 1) * capacity - total:
             continue
         path.append(chosen)
         for s in chosen:
-            counts[s] -= 1
+            take(s)
         left -= len(chosen)
         wasted += capacity - sum(chosen)
         if left == 0:
@@ -183,9 +218,9 @@ def complete_bins(sizes: np.ndarray, capacity: int, incumbent: int, nodes: int)
                 best, incumbent = list(path), len(path)
                 if incumbent <= bound:
                     break
-            stack.append([])
+            stack.append(iter(()))
         else:
-            stack.append(options() if len(path) < incumbent - 1 else [])
+            stack.append(options() if len(path) < incumbent - 1 else iter(()))
     return best
 
 

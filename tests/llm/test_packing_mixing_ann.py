@@ -1,12 +1,15 @@
+import sys
 import zlib
+from collections import Counter
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 from foliospark.llm import ann
 from foliospark.llm.ann import nearest, op10_graph_search
 from foliospark.llm.mixing import in_mixture_order, mix, quotas, schedule
-from foliospark.llm.packing import best_fit, complete_bins, lower_bound, op6_best_fit_packing, pack, pack_documents
+from foliospark.llm.packing import best_fit, complete_bins, fillings, lower_bound, op6_best_fit_packing, pack, pack_documents
 from tokenizers import Tokenizer
 
 
@@ -83,6 +86,52 @@ def test_bin_completion_of_a_block_of_many_sequences():
     assert np.bincount(number, sizes).max() <= 100 and (offset + sizes).max() <= 100
 
 
+def _plain_fillings(counts, room, waste, most):
+    """All multisets to which no piece can be added that is as small as their smallest one, without those that another one dominates."""
+    stock = sorted((s for s, n in counts.items() for _ in range(n)), reverse=True)
+    sets = {x for n in range(len(stock) + 1) for x in combinations(stock, n) if sum(x) <= room}
+
+    def closed(a):
+        return not any(s <= min(a, default=s) and s <= room - sum(a) for s in Counter(stock) - Counter(a))
+
+    def dominates(b, a):
+        return a != b and (len(a) == len(b) and all(x <= y for x, y in zip(a, b)) or len(b) == 1 and sum(a) <= b[0])
+
+    ends = [a for a in sets if room - sum(a) <= waste and closed(a)]
+    kept = [a for a in ends if not any(dominates(b, a) for b in ends)]
+    return sorted(kept, key=lambda a: (-sum(a), len(a), a))[:most]
+
+
+def test_fillings_are_all_undominated_ones_in_order():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        values, amounts = np.unique(rng.integers(3, 30, rng.integers(0, 8)), return_counts=True)
+        counts, room, waste = dict(zip(values.tolist(), amounts.tolist())), int(rng.integers(0, 60)), int(rng.integers(0, 15))
+        got = list(fillings(counts, values.tolist(), room, waste))
+        assert got == _plain_fillings(counts, room, waste, 32)
+
+
+def test_a_search_that_finds_nothing_better_is_cheap():
+    sizes, calls = np.sort(np.random.default_rng(3).integers(400, 800, 200)), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        number, _ = pack(sizes, 2048)
+    finally:
+        sys.setprofile(None)
+    assert number.max() + 1 == 59 and len(best_fit(sizes, 2048)) == 62
+    assert calls[0] < 500_000
+
+
+def test_a_search_among_many_pieces_of_one_token():
+    sizes = np.array([1] * 1500 + [700] * 1000)
+    number, offset = pack(sizes, 2048)
+    assert number.max() + 1 == 500 and np.bincount(number, sizes).max() <= 2048 and (offset + sizes).max() <= 2048
+
+
 def _plain_schedule(weights, slots):
     """Earliest deadline first over exact fractions, slot by slot and without a period: (source, block) of each slot."""
     total = sum(Fraction(str(w)) for w in weights.values())
