@@ -7,7 +7,8 @@ quotient filter, which loses nothing; its parts go by the leading bits of the pe
 sorted filters of all shards. Pairs that reach ``least`` get numbers, which go back to the blocks that hold them, and the
 next level starts. Blocks keep only runs of numbered phrases, so they shrink from level to level.
 
-Everything between the steps is a table in the shared folder. No word, phrase or block is broadcast or collected.
+Everything between the steps is a table in the shared folder. No word, phrase or block is broadcast or collected; a block
+meets its answers in a cogroup, so an executor holds those of one block in a task and never a list of them by block.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.stages import discard, scratch
-from .common import slices, small_batches, table
+from .common import slices, small_batches, table, written
 from .quotient import QuotientFilter, permuted, restored
 
 #: Words of a block; entries that a merging task is meant to hold; bytes of a text read at once.
@@ -140,50 +141,50 @@ def paired(level: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _advance(bits: int, prefix: int, numbered):
-    """A function of blocks with answers: to each block its runs of numbers, and the parts of its filter of pairs.
+    """A function of a block and its answers: the block's runs of numbers, and the parts of its filter of pairs.
 
     ``numbered(seq, answers)`` gives the numbers at this level. ``bits`` are those of a key, ``prefix`` those that choose the
-    task of a part.
+    task of a part. A block without an answer has no pair and goes.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block, old = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
-                seq = np.frombuffer(batch.column(1)[k].as_py(), np.uint32)
-                level = numbered(seq, batch.column(3)[k])
-                level, old = compacted(level, max(0, old - (len(seq) - len(level))))  # of two old words one pair is old
-                at, keys = paired(level, bits)
-                if not len(at):
-                    continue
-                parts = QuotientFilter.of(keys, at + 1 >= old, bits).parts(prefix)
-                n = len(parts)
-                columns = [
-                    pa.array([block] * (n + 1)), pa.array([level.tobytes(), *[None] * n], pa.binary()), pa.array([old, *[None] * n], pa.int32()),
-                    pa.array([None, *[p for p, _ in parts]], pa.int32()), pa.array([None, *[f.to_bytes() for _, f in parts]], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "seq", "old", "part", "filter"])
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        if not state.num_rows or not answers.num_rows:
+            return _KIND.empty_table()
+        block, old = state.column("block")[0].as_py(), state.column("old")[0].as_py()
+        seq = np.frombuffer(state.column("seq")[0].as_py(), np.uint32)
+        level = numbered(seq, answers)
+        level, old = compacted(level, max(0, old - (len(seq) - len(level))))  # of two old words one pair is old
+        at, keys = paired(level, bits)
+        if not len(at):
+            return _KIND.empty_table()
+        parts = QuotientFilter.of(keys, at + 1 >= old, bits).parts(prefix)
+        n = len(parts)
+        columns = [
+            [block] * (n + 1), [level.tobytes(), *[None] * n], [old, *[None] * n],
+            [None, *[p for p, _ in parts]], [None, *[f.to_bytes() for _, f in parts]],
+        ]
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, _KIND, strict=True)], schema=_KIND)
 
     return run
 
 
 _STATE = "block long, seq binary, old int, part int, filter binary"
+_KIND = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("old", pa.int32()), ("part", pa.int32()), ("filter", pa.binary())])
 
 
-def _word_numbers(seq: np.ndarray, answers: pa.Scalar) -> np.ndarray:
+def _word_numbers(seq: np.ndarray, answers: pa.Table) -> np.ndarray:
     out = np.zeros(int(seq.max(initial=0)) + 1, np.uint32)
-    if answers.is_valid:
-        out[np.asarray(answers.values.field("at"))] = np.asarray(answers.values.field("id"))
+    out[np.asarray(answers.column("at"))] = np.asarray(answers.column("id"))
     return out[seq]
 
 
 def _phrase_numbers(bits: int):
-    def numbered(seq: np.ndarray, answers: pa.Scalar) -> np.ndarray:
+    def numbered(seq: np.ndarray, answers: pa.Table) -> np.ndarray:
         out = np.zeros(max(len(seq) - 1, 0), np.uint32)
-        if not answers.is_valid or not len(out):
+        if not len(out):
             return out
-        values = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.values.field("values").to_pylist()])
-        ids = np.concatenate([np.frombuffer(x, np.uint32) for x in answers.values.field("ids").to_pylist()])
+        values = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("values").to_pylist()])
+        ids = np.concatenate([np.frombuffer(x, np.uint32) for x in answers.column("ids").to_pylist()])
         order = np.argsort(values)
         values, ids = values[order], ids[order]
         at, keys = paired(seq, bits)
@@ -230,11 +231,6 @@ def _merge(least: int, bits: int, prefix: int):
     return run
 
 
-def _written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _prefix(entries: int, per_task: int) -> int:
     return max(0, -(-entries // per_task) - 1).bit_length()
 
@@ -257,16 +253,16 @@ def mine_collocations(
     """
     spark = df.sparkSession
     folder = scratch(spark)
-    blocks = _written(spark, encoded(df, text_col, lang_col, block_words), f"{folder}/blocks")
+    blocks = written(encoded(df, text_col, lang_col, block_words), f"{folder}/blocks")
     held = blocks.select("block", F.posexplode("words").alias("at", "w")).select("block", (F.col("at") + 1).alias("at"), "w.word", "w.lang", "w.n")
-    totals = _written(spark, held.groupBy("lang").agg(F.sum("n").alias("n")), f"{folder}/totals")
+    totals = written(held.groupBy("lang").agg(F.sum("n").alias("n")), f"{folder}/totals")
     size = totals.agg(F.sum("n")).first()[0] or 0
     prefix = _prefix(size // least, per_task)
     bucket = F.xxhash64("lang", "word").bitwiseAND((1 << prefix) - 1)
     counts = held.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("bucket", bucket)
     number = F.shiftleft(F.row_number().over(Window.partitionBy("bucket").orderBy("lang", "word")).cast("long"), prefix)
-    words = _written(spark, counts.select(number.bitwiseOR(F.col("bucket")).alias("id"), "lang", "word", "a"), f"{folder}/words")
-    answers = held.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("answers"))
+    words = written(counts.select(number.bitwiseOR(F.col("bucket")).alias("id"), "lang", "word", "a"), f"{folder}/words")
+    answers = held.join(words, ["lang", "word"]).select(F.col("block").alias("of"), "at", "id")
     numbered, state, last = _word_numbers, blocks, f"{folder}/blocks"
     most, occurrences = words.agg(F.max("id"), F.sum("a")).first()
     level = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"), "a")
@@ -279,17 +275,17 @@ def mine_collocations(
             raise OverflowError("over 2^32 numbered words or phrases of one length")
         bits = 2 * int(most).bit_length()
         prefix = min(_prefix(occurrences, per_task), bits)
-        joined = state.join(answers, "block").select("block", "seq", "old", "answers")
+        joined = state.select("block", "seq", "old").groupBy("block").cogroup(answers.groupBy("of"))
         path = f"{folder}/state{length}"
-        now = _written(spark, joined.mapInArrow(_advance(bits, prefix, numbered), _STATE), path)
+        now = written(joined.applyInArrow(_advance(bits, prefix, numbered), _STATE), path)
         discard(spark, last)
         merged = now.where("part IS NOT NULL").select("part", "block", "filter").groupBy("part").applyInArrow(_merge(least, bits, prefix), _MERGED)
-        merged = _written(spark, merged, f"{folder}/merged{length}")
+        merged = written(merged, f"{folder}/merged{length}")
         pair = merged.where("block IS NULL").select(F.explode(F.arrays_zip("id", "first", "second", "n")).alias("x")).select("x.*")
         most, occurrences = pair.agg(F.max("id"), F.sum("n")).first()
-        answers = merged.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("values", "ids")).alias("answers"))
+        answers = merged.where("block IS NOT NULL").select(F.col("block").alias("of"), "values", "ids")
         numbered, state, last = _phrase_numbers(bits), now.where("part IS NULL").select("block", "seq", "old"), path
-        level = _written(spark, _longer(pair, level), f"{folder}/phrases{length}")
+        level = written(_longer(pair, level), f"{folder}/phrases{length}")
         found.append(level)
         pairs.append(pair)
     discard(spark, last)

@@ -38,6 +38,17 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
+#: Bytes of a row group of a stored table, looked at after every row: a writer holds one whole, and a reader a batch of 4,096
+#: rows of one, so rows of several MB (blocks) would otherwise stand in memory by the dozen, the more the larger a task is.
+GROUP = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a stored table with row groups of about 8 MB."""
+    df.write.options(**GROUP).option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(modulus)

@@ -5,10 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from foliospark.llm import collocations
 from foliospark.llm.collocations import compacted, mine_collocations, op11_collocations, stretches
 from foliospark.llm.quotient import QuotientFilter, permuted, restored
 
@@ -115,3 +117,25 @@ def test_runs_and_cuts_by_hand():
     assert level.tolist() == [0, 6, 7, 0, 1, 2, 3] and old == 3
     assert b"".join(stretches(b"ab cd,ef" * 9, 4)) == b"ab cd,ef" * 9
     assert all(not x[1:].startswith(b" ") for x in stretches(b"ab cd,ef" * 9, 4))
+
+
+def test_stored_blocks_stand_in_small_row_groups(spark, monkeypatch, tmp_path):
+    """Whoever writes or reads stored blocks holds a row group: with 20 blocks in a task it must not be all of them."""
+    monkeypatch.setattr(collocations, "scratch", lambda spark: str(tmp_path))
+    monkeypatch.setattr(collocations, "discard", lambda spark, path: None)
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(map(str, rng.integers(0, 1 << 40, 100_000).tolist())), "en") for _ in range(20)]
+    mine_collocations(spark.createDataFrame(rows, "text string, lang string").coalesce(1), block_words=100_000)
+    sizes = [f.row_group(k).total_byte_size for p in tmp_path.glob("blocks/*.parquet") for f in [pq.ParquetFile(p).metadata] for k in range(f.num_row_groups)]
+    assert sum(sizes) > 30 << 20 and max(sizes) < 16 << 20
+
+
+def test_answers_are_not_gathered_in_lists(spark, monkeypatch):
+    """A block's answers stream into its cogroup; lists of them by block filled an executor's heap."""
+    plans = []
+    real = collocations.written
+    monkeypatch.setattr(collocations, "written", lambda df, path: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, path))
+    rows = made(120)
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    assert rows_of(mine_collocations(frame, least=3, top=50, block_words=100)) == brute(rows, 3, 50)
+    assert any("CoGroup" in x for x in plans) and not any("collect_list" in x for x in plans)
