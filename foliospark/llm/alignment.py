@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.stages import scratch
-from .common import small_batches, table
+from .common import small_batches, table, written
 from .packing import encoder, slow_encoder
 
 #: A letter, as far as the search for cuts goes: signs of words without digits.
 _LETTER = "[^\\W\\d_¹²³]"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Signs of a block of documents, and of a stretch of a longer text; pieces that a worker remembers (some 350 bytes each).
-BLOCK, REMEMBERED = 1 << 21, 700_000
+#: Signs of a block of documents, and of a stretch of a longer text; pieces that are read at once; what a worker remembers:
+#: pieces (some 500 bytes each), and bytes of their texts, groups and links.
+BLOCK, AT_ONCE, REMEMBERED, BYTES = 1 << 21, 1 << 14, 160_000, 1 << 26
 
 
 def default_vocabularies() -> tuple[str, str, str]:
@@ -126,6 +127,8 @@ class Pieces(dict):
         self.sizes = array("q")  # tokens of both, groups, links, and whether the bytes agree; five numbers a piece
         self.texts: list[str] = []
         self.keys, self.times, self.ends = array("q"), array("q"), array("q", [0])
+        self.used = np.zeros(0, np.int64)  # in how many texts each piece stood, halved from time to time
+        self.held = 0  # bytes of the texts and groups
 
     def __missing__(self, piece: str) -> int:
         self[piece] = k = len(self)
@@ -134,9 +137,39 @@ class Pieces(dict):
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        if self.new:
-            new, self.new = self.new, []
-            self.read(new)
+        new, self.new = self.new, []
+        for k in range(0, len(new), AT_ONCE):
+            self.read(new[k : k + AT_ONCE])
+        return out
+
+    def use(self, numbers: np.ndarray) -> None:
+        if len(self.used) < len(self):
+            self.used = np.concatenate([self.used, np.zeros(len(self) - len(self.used) + AT_ONCE, np.int64)])
+        self.used[numbers] += 1
+
+    def full(self) -> bool:
+        return len(self) > REMEMBERED or self.held + 16 * len(self.keys) > BYTES
+
+    def forget(self) -> Pieces:
+        """The half of the pieces that stood in most texts (of half the bytes at most), with new numbers."""
+        out = Pieces(self.both)
+        ends = np.frombuffer(self.ends, np.int64)
+        widths, names = np.diff(ends), [*self]
+        used = np.concatenate([self.used, np.zeros(max(0, len(self) - len(self.used)), np.int64)])[: len(self)]
+        order = np.argsort(-used, kind="stable")[: REMEMBERED // 2]
+        sizes = [len(names[k]) + len(self.texts[k]) for k in order.tolist()]
+        order = order[np.cumsum(np.array(sizes, np.int64) + 16 * widths[order]) <= BYTES // 2]
+        for k in order.tolist():
+            out[names[k]] = len(out)
+            out.texts.append(self.texts[k])
+            out.held += len(names[k]) + len(self.texts[k])
+        out.sizes.frombytes(np.frombuffer(self.sizes, np.int64).reshape(-1, 5)[order].tobytes())
+        after = np.cumsum(widths[order])
+        place = np.arange(int(widths[order].sum())) + np.repeat(ends[order] - (after - widths[order]), widths[order])
+        out.keys.frombytes(np.frombuffer(self.keys, np.int64)[place].tobytes())
+        out.times.frombytes(np.frombuffer(self.times, np.int64)[place].tobytes())
+        out.ends.frombytes(after.astype(np.int64).tobytes())
+        out.used = used[order] // 2
         return out
 
     def read(self, pieces: list[str]) -> None:
@@ -167,7 +200,9 @@ class Pieces(dict):
         n_links = np.bincount(of, times, len(pieces)).astype(np.int64)
         self.sizes.frombytes(np.column_stack([a_count, b_count, groups, n_links, good]).astype(np.int64).tobytes())
         at = np.cumsum(groups).tolist()
-        self.texts.extend([";".join(said[x:y]) for x, y in zip(chain((0,), at), at)])
+        texts = [";".join(said[x:y]) for x, y in zip(chain((0,), at), at)]
+        self.texts.extend(texts)
+        self.held += sum(map(len, pieces)) + sum(map(len, texts))
 
 
 @lru_cache(maxsize=1)
@@ -202,6 +237,7 @@ def read_block(known: Pieces, texts: list[str | None]) -> dict:
                 break
             digest.update((";" if k else "").encode() + ";".join(map(known.texts.__getitem__, found.tolist())).encode())
             held.append(np.unique(found, return_counts=True))
+            known.use(held[-1][0])
         if not total[4]:
             sizes[row], digests[row] = total[:4], digest.hexdigest()
             for some, counts in held:
@@ -251,8 +287,8 @@ def aligned_blocks(df: DataFrame, id_col: str, text_col: str, vocabularies: tupl
 
         def flush() -> pa.RecordBatch:
             nonlocal block, ids, texts, signs
-            if len(held[0]) > REMEMBERED:
-                held[0] = Pieces(held[0].both)
+            if held[0].full():
+                held[0] = held[0].forget()
             got = read_block(held[0], texts)
             ends = pa.array(got["ends"], pa.int32())
             kind = _doc_type(id_type)
@@ -291,44 +327,39 @@ def align_tokenizers(
     an empty table stays empty. Only the id and the text are read. Long texts are read in stretches of about 2 million
     signs; a run without a place to cut is read at once.
 
-    Blocks of about 2 million signs are written to the shared folder, so a lost executor costs only its own blocks.
+    Blocks of about 2 million signs are written to the shared folder, so a lost executor costs only its own blocks. A block
+    meets its counts in a cogroup. A worker forgets the pieces that it uses least before they fill its memory.
     """
     spark = df.sparkSession
     path = scratch(spark)
     vocabularies = vocabularies or default_vocabularies()
-    aligned_blocks(df, id_col, text_col, vocabularies).write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.parquet(path)
+    blocks = written(aligned_blocks(df, id_col, text_col, vocabularies), path)
     held = blocks.select("block", F.explode(F.arrays_zip("pairs", "held")).alias("x"))
     held = held.select("block", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     counts = held.groupBy("pair").agg(F.sum("held").alias("count")).withColumn("first", F.shiftright("pair", 32))
     highest = counts.groupBy("first").agg(F.max("count").alias("highest"))
     counts = counts.join(highest, "first").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
-    answers = held.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "count", "best")).alias("answers"))
-    joined = blocks.select("block", "docs", "pairs").join(answers, "block", "left").select("docs", "pairs", "answers")
+    answers = held.join(counts, "pair").select(F.col("block").alias("of"), "pair", "count", "best")
     id_field = T.StructField(id_col, df.schema[id_col].dataType)
     names = [*NUMBERS, "n_best", "count_sum"]
     schema = T.StructType([id_field, *[T.StructField(x, T.LongType()) for x in names], T.StructField("groups_sha256", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                docs = batch.column(0)[k].values
-                pairs = np.asarray(batch.column(1)[k].values)
-                count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-                if batch.column(2)[k].is_valid:
-                    got = batch.column(2)[k].values
-                    where = np.searchsorted(pairs, np.asarray(got.field("pair")))
-                    count[where] = np.asarray(got.field("count"))
-                    best[where] = np.asarray(got.field("best").cast(pa.int64()))
-                lists = docs.field("links")
-                ends = np.asarray(lists.offsets).astype(np.int64)
-                link, times = np.asarray(lists.values)[ends[0] : ends[-1]], np.asarray(docs.field("times").flatten())
-                sums = [np.concatenate([[0], np.cumsum(times * x[link])]) for x in (best, count)]
-                sums = [pa.array(x[ends[1:] - ends[0]] - x[ends[:-1] - ends[0]]) for x in sums]
-                columns = [docs.field("id"), *[docs.field(x) for x in NUMBERS], *sums, docs.field("groups_sha256")]
-                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
-
-    return joined.mapInArrow(run, schema)
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = block.column("docs").combine_chunks().values
+        pairs = np.asarray(block.column("pairs").combine_chunks().values)
+        count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+        where = np.searchsorted(pairs, np.asarray(answers.column("pair")))
+        count[where] = np.asarray(answers.column("count"))
+        best[where] = np.asarray(answers.column("best").cast(pa.int64()))
+        lists = docs.field("links")
+        ends = np.asarray(lists.offsets).astype(np.int64)
+        link, times = np.asarray(lists.values)[ends[0] : ends[-1]], np.asarray(docs.field("times").flatten())
+        sums = [np.concatenate([[0], np.cumsum(times * x[link])]) for x in (best, count)]
+        sums = [pa.array(x[ends[1:] - ends[0]] - x[ends[:-1] - ends[0]]) for x in sums]
+        columns = [docs.field("id"), *[docs.field(x) for x in NUMBERS], *sums, docs.field("groups_sha256")]
+        return pa.Table.from_arrays(columns, schema.fieldNames())
+
+    return blocks.select("block", "docs", "pairs").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, schema)
 
 
 def op12_token_alignment(spark, sf_dir):

@@ -114,3 +114,30 @@ def test_odd_rows(spark, odd, none, libraries):
     assert rows_of(align_tokenizers(odd)) == brute(libraries, rows)
     assert align_tokenizers(none).count() == 0
     assert align_tokenizers(odd, id_col="source").columns[0] == "source"
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    """By pieces and by bytes; what it forgets and reads again gives the same numbers."""
+    both_of = tokenizers(*default_vocabularies())
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "a.", "word%d" % rng.randrange(4000), "ab" * rng.randrange(1, 400)]) for _ in range(200)) for _ in range(40)]
+    expected = [read_block(Pieces(both_of), [t]) for t in texts]
+    for pieces, size in ((300, 1 << 26), (10**6, 100_000)):
+        monkeypatch.setattr(alignment, "REMEMBERED", pieces)
+        monkeypatch.setattr(alignment, "BYTES", size)
+        known, forgotten = Pieces(both_of), 0
+        for text, whole in zip(texts, expected, strict=True):
+            if known.full():
+                known, forgotten = known.forget(), forgotten + 1
+                assert len(known) <= pieces // 2 and known.held + 16 * len(known.keys) <= size // 2 and " the" in known
+            got = read_block(known, [text])
+            assert all(np.array_equal(got[x], whole[x]) for x in whole)
+        assert forgotten > 5
+
+
+def test_counts_are_not_gathered_in_lists(spark):
+    """A block's counts stream into its cogroup; lists of them by block would stand on an executor's heap."""
+    got = align_tokenizers(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "collect_list" not in plan
+    assert sorted((r.doc_id, r.n_groups > 0) for r in got.collect()) == [(1, True), (2, False)]
