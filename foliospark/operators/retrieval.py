@@ -156,22 +156,26 @@ def score_pairs(df: DataFrame, scorer: Callable[[list[str], list[str]], list[flo
     return df.drop("score").mapInPandas(run, schema)
 
 
-def embed(df: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", batch_size: int = 32) -> DataFrame:
+def embed(df: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", batch_size: int = 32, kind: str = "float") -> DataFrame:
     """Adds ``embedding``: the encoder's vectors at length one; a null text is read as an empty one.
 
+    Lengths are taken as doubles; ``kind`` (float or double) is what the numbers are kept as. A share of exactly 0.35 lies
+    below it as a float, so numbers that are rounded later need doubles.
+
     ``make`` loads the encoder. It is called once in each Python worker, however many tasks that runs, and the encoder
     gets batches of ``batch_size`` texts, but for the last one of a task. A vector of zeros stays one.
     """
     token = uuid.uuid4().hex
-    schema = T.StructType([*df.drop("embedding").schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*df.drop("embedding").schema.fields, T.StructField("embedding", T.ArrayType({"float": T.FloatType(), "double": T.DoubleType()}[kind]))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = loaded(token, make)
         for rows in in_full_batches(batches, batch_size):
             out = []
             for a in range(0, len(rows), batch_size):
-                x = np.asarray(encode([t or "" for t in rows[text].iloc[a : a + batch_size]]), np.float32)
-                out += list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))
+                x = np.asarray(encode([t or "" for t in rows[text].iloc[a : a + batch_size]]), float)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                out += list(x.astype(np.float32 if kind == "float" else float))
             yield rows.assign(embedding=out)
 
     return df.drop("embedding").mapInPandas(run, schema)

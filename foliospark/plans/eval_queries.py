@@ -270,9 +270,9 @@ EMBED_SQL = (
 
 def embedded(s, d):
     """Each document's vector of letter classes to one digit, and whether its length is one."""
-    rows = R.embed(table(s, d, "documents").select("doc_id", "text"), R.letter_encoder)
-    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    parts = [F.round(F.col("embedding")[k].cast("double"), 1).alias(f"e{k}") for k in range(8)]
+    rows = R.embed(table(s, d, "documents").select("doc_id", "text"), R.letter_encoder, kind="double")
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    parts = [F.round(F.col("embedding")[k], 1).alias(f"e{k}") for k in range(8)]
     return rows.select("doc_id", *parts, (F.abs(length - 1) < 1e-5).alias("unit"))
 
 

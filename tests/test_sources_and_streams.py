@@ -1,6 +1,8 @@
 import json
 
+import duckdb
 import pytest
+import __spark_entry__ as entry
 from foliospark.operators import retrieval, runlog
 from foliospark.sources import tables
 from foliospark.streaming.collect import stream_collect, stream_resume
@@ -119,3 +121,14 @@ def test_encoder_is_loaded_once_in_each_worker(spark, tmp_path):
     parts = [int(x.name.split("-")[0]) for x in sizes.iterdir()]
     assert sum(parts) == 1001 and sum(n < 10 for n in parts) <= 16
     assert retrieval.embed(frame.limit(0), make).count() == 0
+
+
+def test_embedded_shares_on_a_tie_round_up_as_in_sql(spark, tmp_path):
+    """Counts 7, 18, 5, 1, 1 have length 20, so shares of 0.35, 0.9, 0.25, 0.05; as floats 0.35 and 0.05 are not what they were."""
+    text = "a" * 7 + "b" * 18 + "c" * 5 + "d" + "e"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, entry.queries()["udf3_embed"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(entry.oracle_sql()["udf3_embed"]).fetchall())
+    assert got[0][1:6] == (0.4, 0.9, 0.3, 0.1, 0.1)
