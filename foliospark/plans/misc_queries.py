@@ -52,20 +52,20 @@ def schema_rows(s, d):
 
 
 def collected(s, d):
-    """documents as a stream of records in three files, one to a batch; numbers repeat by d % 97, texts as they do.
+    """documents as a stream of records in three parts, one after the other; numbers repeat by d % 97, texts as they do.
 
-    The first run reads two files; the second one has a new checkpoint, so what it knows of the first is its shards.
+    The first run is started again when the second part is there, so it has a batch for each; the second run reads all three
+    parts with a new checkpoint, so what it knows of the first is its shards.
     """
     folder = scratch(s)
     rows = judgments(s, d).select("d", "cnr", "full_text")
     last = rows.agg(F.max("d")).first()[0] or 0
-    for k in range(3):
-        part = rows.where(F.floor(F.col("d") * 3 / (last + 1)) == k).coalesce(1).sortWithinPartitions("d")
+    for k, (source, state) in enumerate((("early", "state0"), ("early", "state0"), ("*", "state1"))):
+        part = rows.where(F.floor(F.col("d") * 3 / (last + 1)) == k)
         part.write.parquet(f"{folder}/in/{'early' if k < 2 else 'late'}/{k}")
-    for k, source in enumerate(("early", "*")):
-        stream = s.readStream.schema("d long, cnr string, full_text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/{source}/*")
+        stream = s.readStream.schema("d long, cnr string, full_text string").parquet(f"{folder}/in/{source}/*")
         place = F.lpad(F.col("d").cast("string"), 20, "0")
-        stream_collect(stream, f"{folder}/out", f"{folder}/state{k}", "cnr", "full_text", place).awaitTermination()
+        stream_collect(stream, f"{folder}/out", f"{folder}/{state}", "cnr", "full_text", place).awaitTermination()
     out = s.read.parquet(f"{folder}/out")
     shards = F.countDistinct("shard").cast("boolean").alias("numbered")
     return out.agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("cnr").alias("numbers"), F.countDistinct("text_hash").alias("texts"), F.sum("d").alias("d"), shards)

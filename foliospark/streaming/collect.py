@@ -1,23 +1,19 @@
-"""Streams: collection with keyed state, and results that resume.
+"""Streams: collection that knows what it has seen, and results that resume.
 
-There is no event time, so state grows with the keys. It holds hashes of numbers and texts in the RocksDB store, never
-texts, and can be filled from the shards of an earlier run.
+There is no event time, so what has been seen grows with the keys. It is kept as tables of hashes, a part for each batch,
+never as texts; a batch meets it by anti-joins, so no key goes through Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.textops import strip
 
-#: Columns of the stream; the state's workers rename columns that start with an underscore.
+#: Columns of a batch besides those of the stream.
 PLACE, CNR = "place_of_the_row", "hash_of_the_number"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,33 +21,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-class FirstOfKey(StatefulProcessor):
-    """The first row of a key by ``place`` in the batch in which the key comes up; later rows go."""
-
-    def __init__(self, place: str) -> None:
-        self.place = place
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.seen.update((True,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            for _ in rows:
-                pass
-            return
-        first = None
-        for part in rows:
-            least = part.loc[[part[self.place].idxmin()]]
-            if first is None or least[self.place].iloc[0] < first[self.place].iloc[0]:
-                first = least
-        self.seen.update((True,))
-        yield first
-
-    def close(self) -> None:
-        pass
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """The first row of each key by its place; each task keeps the first ones of its own before they are shuffled."""
+    first = Window.partitionBy(key).orderBy(PLACE)
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
 def stream_collect(
@@ -62,8 +35,9 @@ def stream_collect(
     Rows with a blank number or text are dropped. Of the rows of a batch the first by ``place`` (any text that sorts; by
     default the path and row of a file) counts; an earlier batch comes before a later one. A number is taken by its first
     row even if that one goes for its text. A restart goes on from the
-    checkpoint. Without one, the numbers and texts of the shards in the sink are the initial state, so a run over the
-    same source adds nothing that is there. Shards have ``shard_rows`` rows, but for the last one of a batch, and lie
+    checkpoint; the numbers that its batches have taken lie beside it. Without one, the numbers and texts of the shards in
+    the sink are what is known, so a run over the same source adds nothing that is there. Each batch reads the hashes of
+    all earlier ones, so few large batches cost less than many small ones. Shards have ``shard_rows`` rows, but for the last one of a batch, and lie
     in run=r/batch=b/shard=n; n goes on from run to run. A batch that is run again writes the same shards anew.
     """
     spark = source.sparkSession
@@ -72,24 +46,9 @@ def stream_collect(
     names = [*source.columns, "text_hash"]
     rows = source.withColumn(PLACE, place).withColumn("text_hash", F.sha1(strip(text))).withColumn(CNR, F.sha1(strip(cnr)))
     rows = rows.where((F.coalesce(strip(text), F.lit("")) != "") & (F.coalesce(strip(cnr), F.lit("")) != ""))
-    known = _exists(spark, sink)
-    run = _run_number(spark, sink, checkpoint, known)
-    if known:
-        old = spark.read.parquet(sink).where(F.col("run") < run)
-        keys = {CNR: old.select(F.sha1(strip(cnr)).alias(CNR)), "text_hash": old.select("text_hash")}
-    else:
-        keys = {k: spark.createDataFrame([], f"{k} string") for k in (CNR, "text_hash")}
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKS)
-    try:
-        for key, start in keys.items():
-            processor = FirstOfKey(PLACE)
-            rows = rows.groupBy(key).transformWithStateInPandas(processor, rows.schema, "Append", "None", start.distinct().groupBy(key))
-        writer = rows.writeStream.foreachBatch(_shards(sink, run, names, shard_rows)).option("checkpointLocation", checkpoint)
-        return writer.trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(provider, before)  # a query keeps the settings that it was started with
+    run = _run_number(spark, sink, checkpoint, _exists(spark, sink))
+    batches = _collected(sink, run, f"{checkpoint}_numbers", cnr, names, shard_rows)
+    return rows.writeStream.foreachBatch(batches).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _run_number(spark: SparkSession, sink: str, checkpoint: str, known: bool) -> int:
@@ -101,36 +60,56 @@ def _run_number(spark: SparkSession, sink: str, checkpoint: str, known: bool) ->
     return spark.read.parquet(path).first()[0]
 
 
-def _shards(sink: str, run: int, names: list[str], shard_rows: int):
+def _collected(sink: str, run: int, taken: str, cnr: str, names: list[str], shard_rows: int):
+    """What is done with a batch: its new numbers go to ``taken``, the rows of theirs with new texts to the shards."""
+
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = held = batch.persist()  # the state is gone through once
-        batch = batch.repartitionByRange(PLACE).sortWithinPartitions(PLACE).withColumn("__part", F.spark_partition_id()).persist()
+        old = None
+        if _exists(spark, sink):
+            old = spark.read.parquet(sink).where((F.col("run") < run) | ((F.col("run") == run) & (F.col("batch") < number)))
+        new = _first(batch, CNR)
+        if old is not None:
+            new = new.join(old.where(F.col("run") < run).select(F.sha1(strip(cnr)).alias(CNR)), CNR, "left_anti")
+        if _exists(spark, taken):
+            seen = spark.read.schema(f"{CNR} string, batch int").parquet(taken).where(F.col("batch") < number)
+            new = new.join(seen.select(CNR), CNR, "left_anti")
+        new = new.persist()  # both the numbers and the rows
         try:
-            counts = sorted(tuple(r) for r in batch.groupBy("__part").count().collect())  # one for each partition
-            if not counts:
-                return
-            first = 0
-            if _exists(spark, sink):
-                old = spark.read.parquet(sink).where((F.col("run") < run) | ((F.col("run") == run) & (F.col("batch") < number)))
-                first = (old.agg(F.max("shard")).first()[0] + 1) if old.limit(1).count() else 0
-            starts, at = [], 0
-            for part, n in counts:
-                starts.append((part, at))
-                at += n
-            starts = F.broadcast(spark.createDataFrame(starts, "__part int, __start long"))
-            inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-            placed = batch.withColumn("__in", inside).join(starts, "__part")
-            shard = F.lit(first) + F.floor((F.col("__start") + F.col("__in")) / shard_rows)
-            out = placed.select(*names, shard.cast("int").alias("shard")).repartition("shard")
-            out.write.mode("overwrite").partitionBy("shard").parquet(f"{sink}/run={run}/batch={number}")
+            new.select(CNR).write.mode("overwrite").parquet(f"{taken}/batch={number}")
+            kept = _first(new, "text_hash")
+            if old is not None:
+                kept = kept.join(old.select("text_hash"), "text_hash", "left_anti")
+            _write_shards(kept, old, f"{sink}/run={run}/batch={number}", names, shard_rows)
         finally:
-            batch.unpersist()
-            held.unpersist()
+            new.unpersist()
 
     return append
 
 
+def _write_shards(rows: DataFrame, old: DataFrame | None, path: str, names: list[str], shard_rows: int) -> None:
+    spark = rows.sparkSession
+    batch = rows.repartitionByRange(PLACE).sortWithinPartitions(PLACE).withColumn("__part", F.spark_partition_id()).persist()
+    try:
+        counts = sorted(tuple(r) for r in batch.groupBy("__part").count().collect())  # one for each partition
+        if not counts:
+            return
+        last = old.agg(F.max("shard")).first()[0] if old is not None else None
+        first = 0 if last is None else last + 1
+        starts, at = [], 0
+        for part, n in counts:
+            starts.append((part, at))
+            at += n
+        starts = F.broadcast(spark.createDataFrame(starts, "__part int, __start long"))
+        inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        placed = batch.withColumn("__in", inside).join(starts, "__part")
+        shard = F.lit(first) + F.floor((F.col("__start") + F.col("__in")) / shard_rows)
+        out = placed.select(*names, shard.cast("int").alias("shard")).repartition("shard")
+        out.write.mode("overwrite").partitionBy("shard").parquet(path)
+    finally:
+        batch.unpersist()
+
+
 def stream_resume(
     spark: SparkSession, source: DataFrame, item: str, work, sink: str, checkpoint: str, settings: dict[str, str], retry: tuple[str, ...] = ()
 ) -> StreamingQuery:

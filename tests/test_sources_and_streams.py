@@ -132,3 +132,16 @@ def test_embedded_shares_on_a_tie_round_up_as_in_sql(spark, tmp_path):
     got = sorted(map(tuple, entry.queries()["udf3_embed"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(entry.oracle_sql()["udf3_embed"]).fetchall())
     assert got[0][1:6] == (0.4, 0.9, 0.3, 0.1, 0.1)
+
+
+def test_collector_keeps_no_state_by_key_in_python(spark, tmp_path):
+    """A stream of 30,000 numbers, each twice and in any order: right rows, and no keyed state in the stream."""
+    rows = spark.range(60_000, numPartitions=6).selectExpr("id AS n", "concat('c', id % 30000) AS cnr", "concat('t', (id % 30000) div 2) AS full_text")
+    rows.orderBy(F.xxhash64("n")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("n long, cnr string, full_text string").parquet(f"{tmp_path}/in")
+    place = F.lpad(F.col("n").cast("string"), 9, "0")
+    query = stream_collect(stream, f"{tmp_path}/out", f"{tmp_path}/state", "cnr", "full_text", place)
+    query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.agg(F.count("n"), F.max("n"), F.sum(F.col("n") % 2), F.countDistinct("shard")).first() == (15_000, 29_998, 0, 3)
+    assert query.lastProgress["stateOperators"] == []
