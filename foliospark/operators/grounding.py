@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +80,21 @@ def sign_counts(text: Column) -> Column:
     return F.array(*each, rest)
 
 
+def _lowered(items: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    left = items.select("question_id", "cnr", low("supporting_text").alias("a"))
+    right = chunks.select("chunk_id", "cnr", low("text").alias("b"))
+    return left, right.join(left.select(F.col("cnr").alias("asked")).distinct(), F.expr("cnr = asked"), "left_semi")
+
+
 def similar_pairs(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """Passages beside the chunks of their judgment, lower-cased, with an upper bound of their similarity.
 
     Matching blocks share signs one to one, so the similarity is at most twice what both have in common, class by class,
     over both lengths. Counts are taken once for each passage and chunk, before they meet.
     """
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    left = items.select("question_id", "cnr", low("supporting_text").alias("a")).withColumn("m", sign_counts(F.col("a")))
-    right = chunks.select("chunk_id", "cnr", low("text").alias("b")).join(left.select(F.col("cnr").alias("asked")).distinct(), F.expr("cnr = asked"), "left_semi")
-    right = right.withColumn("n", sign_counts(F.col("b")))
+    left, right = _lowered(items, chunks)
+    left, right = left.withColumn("m", sign_counts(F.col("a"))), right.withColumn("n", sign_counts(F.col("b")))
     common = F.aggregate(F.zip_with("m", "n", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     length = F.char_length("a") + F.char_length("b")
     return left.join(right, "cnr").withColumn("bound", F.when(length == 0, F.lit(1.0)).otherwise(2.0 * common / length)).drop("m", "n")
@@ -97,11 +103,16 @@ def similar_pairs(items: DataFrame, chunks: DataFrame) -> DataFrame:
 def gold_similarity(items: DataFrame, chunks: DataFrame, least: float = 0.5, top: int = 1) -> DataFrame:
     """The chunks of the judgment that are most like the passage, from ``least`` up.
 
-    Only pairs whose bound reaches ``least`` are compared sign by sign.
+    A pair is compared only as long as it can still reach ``least``, by the signs that both hold and by the blocks found so
+    far; the counts of signs are taken beside the comparison (those of ``similar_pairs`` cost more than they spare here).
     """
-    ratio = F.pandas_udf(sequence_ratio, "double")
-    likely = similar_pairs(items, chunks).where(F.col("bound") >= least - 1e-9)
-    scored = likely.withColumn("score", ratio("a", "b")).where(F.col("score") >= least)
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return sequence_ratio(a, b, least)
+
+    left, right = _lowered(items, chunks)
+    scored = left.join(right, "cnr").withColumn("score", ratio("a", "b")).where(F.col("score") >= least)
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("question_id", "rank", "chunk_id", "score")
 

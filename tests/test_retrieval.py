@@ -4,9 +4,11 @@ import math
 import random
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 
+from foliospark.functions.udfs import ratio_from
 from foliospark.operators.inverted import read_index, search_index, write_index
 
 
@@ -112,3 +114,39 @@ def test_similarity_compares_only_likely_pairs(spark):
         best = sorted((-s, c) for (p, c), s in scores.items() if p == q and s >= 0.5)[:2]
         expected += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
     assert sorted(tuple(r) for r in gold_similarity(items, chunks, 0.5, 2).collect()) == sorted(expected)
+
+
+def test_ratio_is_that_of_difflib_from_the_least_on():
+    rng = random.Random(6)
+    words = ["court", "of", "appeal", "the", "x", "zq", "é", "\U0001d11e", "7"]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))[: rng.randint(0, 6 * n + 1)]
+
+    pairs = [("", ""), ("", "a"), ("a", "")]
+    for _ in range(300):
+        b = text(rng.choice([3, 30, 45, 60, 200]))
+        at = rng.randint(0, len(b))
+        pairs.append((rng.choice([text(40), b[at : at + 150], text(5) + b[at : at + 90] + text(9), "".join(rng.choice("ab ") for _ in range(80))]), b))
+    for a, b in pairs:
+        whole = SequenceMatcher(None, a, b).ratio()
+        assert ratio_from(a, b) == whole
+        for least in (0.1, 0.3, 0.5, whole):
+            assert ratio_from(a, b, least) == (whole if whole >= least else 0.0)
+
+
+def test_pairs_that_cannot_reach_the_least_end_early():
+    """By the signs looked at: these two share less than half of their signs."""
+    looked = []
+
+    class Text(str):
+        def __getitem__(self, k):
+            looked.append(k)
+            return str.__getitem__(self, k)
+
+    rng = random.Random(7)
+    a, b = ("".join(chr(200 + rng.randrange(200)) for _ in range(n)) for n in (420, 1200))
+    ratio_from(Text(a), b)
+    every = len(looked)
+    looked.clear()
+    assert ratio_from(Text(a), b, 0.5) == 0.0 and len(looked) < every / 10
